@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import exact_dedup, license_scan, sharding, url_filter
+from skein.llm import exact_dedup, language_id, license_scan, mixing, sharding, url_filter
 from skein.llm.common import documents
 
 
@@ -17,10 +17,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
@@ -31,12 +39,47 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_mixing": op3_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
     "op10_sharding": op10_sharding,
 }
 
 ORACLE: dict[str, str] = {
+    "op3_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                   length(coalesce(text, ''))::DOUBLE AS n,
+                   (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || 'mix'), 1, 13))::BIGINT::DOUBLE + 0.5e0) / 4503599627370496e0 AS u
+            FROM documents
+        ), k AS (
+            SELECT *, -ln(u) / CASE WHEN size > 0 THEN 1e0 / (1e0 + abs(n / size::DOUBLE - 6e0) / 2e0) ELSE 1e0 END AS key FROM d
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                   CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight
+            FROM d GROUP BY source
+        ), f AS (
+            SELECT *, source_size * 2e0 AS most, source_size * 2e0 / weight AS full_at, sum(source_size) OVER ()::DOUBLE AS total FROM s
+        ), l AS (
+            SELECT *, row_number() OVER w AS place,
+                   (total * 1.5e0 - coalesce(sum(most) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))
+                   / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM f WINDOW w AS (ORDER BY full_at, source NULLS LAST)
+        ), c AS (
+            SELECT place AS from_place, level AS at FROM l WHERE level <= full_at ORDER BY place LIMIT 1
+        ), t AS (
+            SELECT source, source_size, CASE WHEN from_place IS NULL OR place < from_place THEN most ELSE at * weight END AS target
+            FROM l LEFT JOIN c ON true
+        ), g AS (
+            SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t
+        ), r AS (
+            SELECT k.doc_id, k.size, g.source_size, g.target, g.epochs, g.target - g.epochs * g.source_size AS budget,
+                   sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id) AS upto
+            FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source
+        )
+        SELECT doc_id, size, source_size, target, ((epochs + CASE WHEN upto - size / 2e0 <= budget THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r
+    """,
     "op5_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
