@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import exact_dedup, language_id, license_scan, mixing, sharding, url_filter
+from skein.llm import exact_dedup, language_id, license_scan, mixing, sharding, simhash, url_filter
 from skein.llm.common import documents
 
 
@@ -17,6 +17,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -39,6 +43,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
@@ -67,9 +72,9 @@ ORACLE: dict[str, str] = {
                    / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
             FROM f WINDOW w AS (ORDER BY full_at, source NULLS LAST)
         ), c AS (
-            SELECT place AS from_place, level AS at FROM l WHERE level <= full_at ORDER BY place LIMIT 1
+            SELECT place AS from_place, level AS lam FROM l WHERE level <= full_at ORDER BY place LIMIT 1
         ), t AS (
-            SELECT source, source_size, CASE WHEN from_place IS NULL OR place < from_place THEN most ELSE at * weight END AS target
+            SELECT source, source_size, CASE WHEN from_place IS NULL OR place < from_place THEN most ELSE lam * weight END AS target
             FROM l LEFT JOIN c ON true
         ), g AS (
             SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t
