@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import exact_dedup, fingerprints, language_id, license_scan, mixing, sharding, simhash, url_filter
+from skein.llm import exact_dedup, fingerprints, language_id, license_scan, mixing, piece_sampling, sharding, simhash, url_filter
 from skein.llm.common import documents
 
 
@@ -37,6 +37,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
 
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.encode_samples(documents(spark, sf_dir))
+
+
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(documents(spark, sf_dir))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_language_id": op6_language_id,
     "op7_license_scan": op7_license_scan,
+    "op8_piece_sampling": op8_piece_sampling,
     "op9_fingerprint": op9_fingerprint,
     "op10_sharding": op10_sharding,
 }
