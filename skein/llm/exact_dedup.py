@@ -146,12 +146,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose number (monotonically_increasing_id() of docs) is in gone's column _skein_rid."""
+    maybe = probe(gone, "_skein_rid")(F.col("_skein_rid"))
+    numbered = docs.withColumn("_skein_rid", F.monotonically_increasing_id())
+    return numbered.where(~maybe).unionByName(numbered.where(maybe).join(gone, "_skein_rid", "left_anti")).drop("_skein_rid")
+
+
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup() does not keep; all columns of docs.
+    """docs without the rows that exact_dedup() does not keep; all columns of docs. docs has to be a table or other stable scan.
 
     Rows that the filter of dropped row numbers surely lacks pass as they are; the others alone are joined.
     """
     gone = written(exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("rid").alias("_skein_rid")), "dedup-gone")
-    maybe = probe(gone, "_skein_rid")(F.col("_skein_rid"))
-    numbered = docs.withColumn("_skein_rid", F.monotonically_increasing_id())
-    return numbered.where(~maybe).unionByName(numbered.where(maybe).join(gone, "_skein_rid", "left_anti")).drop("_skein_rid")
+    return without_rows(docs, gone)

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from skein.llm.common import crc_mod
 
 PROFILE = 300
+#: Least score of a document that keep_identified() keeps; prose scores 0.55 and more, single words 0.4.
+MIN_SCORE = 0.3
 #: Expected number of documents of a language that its profile is learned from, where there are more.
 MAX_DOCS = 4000
 EDGE = 0x1FFFFF
@@ -136,14 +138,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Profiles({k: [v[i] for i in sorted(v)] for k, v in ranks.items()})
 
 
-def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text"):
-    """docs with a column _lang struct<lang_pred string, score double>."""
+def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text", name: str = "_lang") -> DataFrame:
+    """docs with one more column, struct<lang_pred string, score double>."""
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_lang", predict(F.col(text_col).cast("string")))
+    return docs.withColumn(name, predict(F.col(text_col).cast("string")))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -155,3 +157,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     profiles = learn(docs, id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return predicted(rows, profiles).select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "_lang.lang_pred", "_lang.score")
+
+
+def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """docs without the rows whose language cannot be told: no letters, or a score below min_score. All columns of docs."""
+    found = predicted(docs, learn(docs), name="_skein_lang")
+    return found.where((F.col("_skein_lang.lang_pred") != "und") & (F.col("_skein_lang.score") >= min_score)).drop("_skein_lang")

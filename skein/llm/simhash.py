@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import written
 from skein.llm.components import components
+from skein.llm.exact_dedup import without_rows
 
 SHINGLE, SEED, MAX_BITS, SEGMENTS = 3, 42, 2, 16
 #: Shingle hashes that are unpacked at a time.
@@ -119,6 +120,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs without the rows that near_dedup() does not keep; all columns of docs."""
+    """docs without the rows that near_dedup() does not keep; all columns of docs.
+
+    Rows that the filter of dropped row numbers surely lacks pass as they are; the others alone are joined.
+    """
     gone = written(near_dedup(docs, shingle=shingle, max_bits=max_bits).where(~F.col("kept")).select(F.col("rid").alias("_skein_rid")), "simhash-gone")
-    return docs.withColumn("_skein_rid", F.monotonically_increasing_id()).join(gone, "_skein_rid", "left_anti").drop("_skein_rid")
+    return without_rows(docs, gone)
