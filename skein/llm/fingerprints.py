@@ -46,7 +46,7 @@ class Sampler:
     def reset(self, least: int) -> None:
         self.row: dict[bytes, int] = {}
         n = max(KEPT, least)
-        self.r, self.log_c, self.b = (np.empty((n, self.samples), dtype=np.float32) for _ in range(3))
+        self.r, self.once, self.b = (np.empty((n, self.samples), dtype=np.float32) for _ in range(3))
         self.hash = np.empty(n, dtype=np.uint64)
 
     def _learn(self, words: list[bytes]) -> None:
@@ -56,7 +56,9 @@ class Sampler:
         high = ((bits[:, :2] >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
         gamma = -np.log(low[:, :2] * high)  # the product of two uniforms: shape 2, scale 1
         at = slice(start, start + len(words))
-        self.r[at], self.log_c[at], self.b[at], self.hash[at] = np.maximum(gamma[:, 0], 1e-6), np.log(np.maximum(gamma[:, 1], 1e-30)), low[:, 2], h
+        r, b = np.maximum(gamma[:, 0], np.float32(1e-6)), low[:, 2]
+        # `once`: ln(c) - r (t - b) - r at t = 0, which is t for a word that occurs once, as ln(1) is 0 and b below 1.
+        self.r[at], self.once[at], self.b[at], self.hash[at] = r, np.log(np.maximum(gamma[:, 1], np.float32(1e-30))) + r * (b - 1), b, h
         for k, w in enumerate(words):
             self.row[w] = start + k
 
@@ -71,20 +73,24 @@ class Sampler:
             new = list(counts)
         if new:
             self._learn(new)
-        rows = np.fromiter((self.row[w] for w in counts), dtype=np.int64, count=len(counts))
-        weight = np.log(np.fromiter(counts.values(), dtype=np.float32, count=len(counts)))[:, None]
+        rows = np.fromiter(map(self.row.__getitem__, counts), dtype=np.int64, count=len(counts))
+        times = np.fromiter(counts.values(), dtype=np.float32, count=len(counts))
         best, sig_w, sig_t = np.full(self.samples, np.inf, dtype=np.float32), np.zeros(self.samples, dtype=np.uint64), np.zeros(self.samples, dtype=np.int64)
         order = np.argsort(self.hash[rows])  # equal sets in equal order, whatever the texts' word order
-        rows, weight = rows[order], weight[order]
+        rows, times, j = rows[order], times[order], np.arange(self.samples)
         for k in range(0, len(rows), 8192):
-            at = rows[k : k + 8192]
-            r = self.r[at]
-            t = np.floor(weight[k : k + 8192] / r + self.b[at])
-            a = self.log_c[at] - r * (t - self.b[at]) - r
+            at, n = rows[k : k + 8192], times[k : k + 8192]
+            a = self.once[at]
+            more = np.flatnonzero(n > 1)
+            r = self.r[at[more]]
+            t = np.floor(np.log(n[more])[:, None] / r + self.b[at[more]])
+            a[more] -= r * t
             i = a.argmin(axis=0)
-            j = np.arange(self.samples)
+            steps = np.zeros(len(at), dtype=np.int64)
+            steps[more] = np.arange(len(more))
+            own_t = np.where(n[i] > 1, t[steps[i], j] if len(more) else 0, 0).astype(np.int64)
             better = a[i, j] < best
-            best[better], sig_w[better], sig_t[better] = a[i, j][better], self.hash[at[i]][better], t[i, j][better].astype(np.int64)
+            best[better], sig_w[better], sig_t[better] = a[i, j][better], self.hash[at[i]][better], own_t[better]
         mixed = mixed_bits(sig_w + sig_t.astype(np.uint64) * _STEP)
         return (mixed >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
