@@ -35,11 +35,11 @@ MARK = "▁"
 LITERAL_MARK = "\U0010ffff"
 SAMPLES = 2
 #: Words that are segmented at a time.
-BATCH_WORDS = 300_000
+BATCH_WORDS = 400_000
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x5851F42D4C957F2D)
-_SLOT_BITS = 20
+_SLOT_BITS = 17
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -113,8 +113,9 @@ class Vocabulary:
         """Piece ids of hashes, -1 where there is none."""
         at = (h * _STEP >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
         got = self.slots[at]
-        out = np.where(got == h, self.ids[at], -1)
-        open_ = np.flatnonzero((got != h) & (got != 0))
+        hit = got == h
+        out = np.where(hit, self.ids[at], np.int32(-1))
+        open_ = np.flatnonzero(~hit & (got != 0))
         while len(open_):
             at[open_] = (at[open_] + 1) % len(self.slots)
             got = self.slots[at[open_]]
@@ -127,8 +128,9 @@ class Vocabulary:
 class Lattice:
     """The lattices of distinct units: states are the characters' places, ordered by their distance to the unit's end.
 
-    Edges of a state lie together, longest first: piece id (-1: the character's bytes), next state (-1: the end), log
-    probability given the state, and its running sum of probabilities.
+    Edges of a state lie together, longest first: piece id (below 0: -1 less the code point whose bytes it stands for),
+    next state (-1: the end), log probability given the state, and its running sum of probabilities (in single precision:
+    draws tell probabilities of 2**-24 apart).
     """
 
     def __init__(self, vocab: Vocabulary, names: list[str]):
@@ -136,33 +138,40 @@ class Lattice:
         codes = np.frombuffer("".join(names).encode("utf-32-le"), dtype=np.uint32)
         ends = np.cumsum(sizes)
         n = len(codes)
-        rem = np.repeat(ends, sizes) - np.arange(n)
+        rem = (np.repeat(ends, sizes) - np.arange(n)).astype(np.int32)
         by_rem = np.argsort(rem.astype(np.uint16) if n and rem.max() < 1 << 16 else rem, kind="stable")
         state = np.empty(n, dtype=np.int32)
         state[by_rem] = np.arange(n, dtype=np.int32)
         self.root = state[ends - sizes]
         # Pieces by length: places where a piece of that many characters starts.
         found: list[tuple[np.ndarray, int, np.ndarray]] = []
-        h, live, symbols = np.zeros(n, dtype=np.uint64), np.arange(n), codes.astype(np.uint64) + np.uint64(1)
-        degree = np.zeros(n, dtype=np.int64)
+        h, live, symbols = np.zeros(n, dtype=np.uint64), np.arange(n, dtype=np.int32), codes.astype(np.uint64) + np.uint64(1)
+        degree = np.zeros(n, dtype=np.int32)
         for length in range(1, vocab.longest + 1):
             live = live[rem[live] >= length]
             if not len(live):
                 break
-            h[live] = h[live] * _BASE + symbols[live + (length - 1)]
-            ids = vocab.find(h[live])
+            if 4 * len(live) > n:  # most places: hashes of all in one sweep
+                m = n - length + 1
+                np.multiply(h[:m], _BASE, out=h[:m])
+                h[:m] += symbols[length - 1 :]
+                own = h[live]
+            else:
+                own = h[live] * _BASE + symbols[live + (length - 1)]
+                h[live] = own
+            ids = vocab.find(own)
             if length == 1:
                 ids[codes[live] == ord(LITERAL_MARK)] = -1
                 found.append((live, 1, ids))
+                degree += 1
             else:
-                at = ids >= 0
+                at = np.flatnonzero(ids >= 0)
                 found.append((live[at], length, ids[at]))
-            degree[found[-1][0]] += 1
+                degree[found[-1][0]] += 1
         self.first = np.zeros(n + 1, dtype=np.int64)
         np.cumsum(degree[by_rem], out=self.first[1:])
         edges = int(self.first[-1])
         self.piece, self.next, w = np.empty(edges, dtype=np.int32), np.empty(edges, dtype=np.int32), np.empty(edges)
-        self.code, self.width = np.zeros(edges, dtype=np.uint32), np.ones(edges, dtype=np.int8)
         fill = self.first[:-1].copy()
         for places, length, ids in reversed(found):
             s = state[places]
@@ -175,8 +184,9 @@ class Lattice:
                 c = codes[places[raw]]
                 c = np.where(c == ord(LITERAL_MARK), ord(MARK), c)
                 width = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
-                self.code[e[raw]], self.width[e[raw]] = c, width
+                self.piece[e[raw]] = -1 - c.astype(np.int32)
                 w[e[raw]] = vocab.byte_weight * width
+        del found, h, symbols, fill
         degree = degree[by_rem]
         back = np.zeros(n + 1)  # the last one, reached by -1, is the end
         p = np.empty(edges)
@@ -195,9 +205,9 @@ class Lattice:
             w[lo:hi] = x - np.repeat(back[a:b], sizes_)
         self.state = np.repeat(np.arange(n, dtype=np.int32), degree)
         self.log_p = np.minimum(w, 0.0, out=w)
-        run = np.cumsum(p)
+        run = np.cumsum(p, out=p)
         run -= np.repeat(np.concatenate(([0.0], run))[self.first[:-1]], degree)
-        self.up_to = run
+        self.up_to = run.astype(np.float32)
         if edges:
             self.up_to[self.first[1:] - 1] = 2.0  # the last edge takes what rounding leaves
 
@@ -218,20 +228,20 @@ class Lattice:
             while len(more):
                 e[more] += 1
                 more = more[u[more] > self.up_to[e[more]]]
-            kept.append((live, e))
+            kept.append((live.astype(np.int32), e.astype(np.int32)))
             s = self.next[e]
             go = s >= 0
             live, s, step = live[go], s[go], step + 1
         if not kept:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+            return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
         n = np.zeros(len(start), dtype=np.int64)
         for which, _ in kept:
             n[which] += 1
         at = np.cumsum(n) - n
-        out = np.empty(int(n.sum()), dtype=np.int64)
+        out = np.empty(int(n.sum()), dtype=np.int32)
         for k, (which, e) in enumerate(kept):
             out[at[which] + k] = e
-        return out, np.repeat(np.arange(len(start)), n)
+        return out, np.repeat(np.arange(len(start), dtype=np.int32), n)
 
 
 class _Row:
@@ -247,6 +257,10 @@ class _Row:
         self.todo: tuple | None = None
 
 
+#: No draw of _gumbel(_uniform()) is above it.
+MOST_GUMBEL = 54 * math.log(2)
+
+
 def _gumbel(u):
     return -np.log(-np.log(u))
 
@@ -261,7 +275,7 @@ def search(lattice: Lattice, rows: list[_Row], samples: int) -> None:
     """Fills paths and scores of the rows: up to `samples` distinct paths each, best first, and leaves the queue's next."""
     for r in rows:
         top = float(_gumbel(_uniform(np.array([r.key], dtype=np.uint64)))[0])
-        r.todo = (top, np.empty(0, np.int64), np.empty(0, np.int64), 0.0, -1, 0)
+        r.todo = (top, np.empty(0, np.int32), np.empty(0, np.int32), 0.0, -1, 0)
     for k in range(samples):
         starts: list[np.ndarray] = []
         seeds: list[np.ndarray] = []
@@ -290,10 +304,16 @@ def search(lattice: Lattice, rows: list[_Row], samples: int) -> None:
             r.scores.append((so_far + float(log_p.sum()), bound))
             r.paths.append((path, words))
             if len(tail):
-                phi = before + lattice.log_rest(tail)
-                u = _uniform(np.uint64(r.key) + np.uint64(k + 101) * _M2 + np.arange(len(head), len(path), dtype=np.uint64) * _STEP)
-                g = _bounded(phi, u, bound)
-                best = np.argpartition(-g, samples)[:samples] if len(g) > samples else np.arange(len(g))
+                # Siblings further on are of ever smaller weight: those that cannot be among the best are left out.
+                m = min(len(tail), 256)
+                while True:
+                    phi = before[:m] + lattice.log_rest(tail[:m])
+                    u = _uniform(np.uint64(r.key) + np.uint64(k + 101) * _M2 + np.arange(len(head), len(head) + m, dtype=np.uint64) * _STEP)
+                    g = _bounded(phi, u, bound)
+                    best = np.argpartition(-g, samples)[:samples] if m > samples else np.arange(m)
+                    if m == len(tail) or (m > samples and before[m] + MOST_GUMBEL < g[best].min()):
+                        break
+                    m = min(len(tail), 4 * m)
                 for j in best.tolist():
                     if g[j] > -np.inf:
                         heapq.heappush(r.queue, (-float(g[j]), k, len(head) + j, (int(tail[j]),), float(before[j])))
@@ -318,7 +338,7 @@ def _expand(lattice: Lattice, r: _Row, k: int) -> None:
     if left > 0 and len(edges) > 1:
         g = float(_bounded(np.array([before + math.log(left)]), u[1:], -minus)[0])
         heapq.heappush(r.queue, (-g, of, j, (*taken, e), before))
-    head = np.append(path[:j], e)
+    head = np.append(path[:j], np.int32(e))
     head_words = np.append(words[:j], words[j])
     r.todo = (-minus, head, head_words, before + float(lattice.log_p[e]), int(lattice.next[e]), int(words[j]) + 1)
 
@@ -329,23 +349,25 @@ class Segmenter:
     def __init__(self, pieces: list[tuple[str, float]], samples: int = SAMPLES):
         self.vocab, self.samples = Vocabulary(pieces), samples
 
-    def ids(self, lattice: Lattice, path: np.ndarray) -> np.ndarray:
-        width = lattice.width[path].astype(np.int64)
+    def ids(self, lattice: Lattice, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of the edges, bytes spelled out, and where each edge's ids begin (and the last one's end)."""
         piece = lattice.piece[path]
-        if not (piece < 0).any():
-            return piece
-        at = np.cumsum(width) - width
-        out = np.empty(int(width.sum()), dtype=np.int32)
-        out[at] = piece
-        raw = piece < 0
-        c, n, at = lattice.code[path[raw]].astype(np.int64), width[raw], at[raw]
+        raw = np.flatnonzero(piece < 0)
+        c = -1 - piece[raw].astype(np.int64)
+        n = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
+        at = np.zeros(len(path) + 1, dtype=np.int64)
+        at[1:] = 1
+        at[raw + 1] = n
+        np.cumsum(at, out=at)
+        out = np.empty(int(at[-1]), dtype=np.int32)
+        out[at[:-1]] = piece
         lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])
         for k in range(4):
             m = n > k
             bits = c[m] >> (6 * (n[m] - 1 - k))
             byte = np.where(n[m] == 1, c[m], lead[n[m]] | bits) if k == 0 else 0x80 | (bits & 0x3F)
-            out[at[m] + k] = self.vocab.bytes_at[byte]
-        return out
+            out[at[raw[m]] + k] = self.vocab.bytes_at[byte]
+        return out, at
 
     def sample(self, keys: list[int], texts: list[str]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to `samples` (ids, log_prob, perturbed, log_inclusion), best first."""
@@ -359,9 +381,8 @@ class Segmenter:
             search(lattice, rows, self.samples)
         paths = [path for r in rows for path, _ in r.paths]
         flat = np.concatenate(paths) if paths else np.empty(0, dtype=np.int64)
-        ids = self.ids(lattice, flat)
-        width = np.concatenate(([0], np.cumsum(lattice.width[flat], dtype=np.int64)))
-        cuts = width[np.concatenate(([0], np.cumsum([len(x) for x in paths], dtype=np.int64)))].tolist()
+        ids, at = self.ids(lattice, flat)
+        cuts = at[np.concatenate(([0], np.cumsum([len(x) for x in paths], dtype=np.int64)))].tolist()
         out, k = [], 0
         for r in rows:
             limit = -r.queue[0][0] if len(r.scores) == self.samples and r.queue else -math.inf
