@@ -173,8 +173,7 @@ def _literal(text: str, kind: str, indent: int) -> str:
         lines = [f'{pad}    "{quoted(piece)}"' for piece in wrapped(text)]
         return "(\n" + "\n".join(lines) + f"\n{pad})"
     if kind == "triple_quote":
-        safe = text.replace("\\", "\\\\").replace('"""', '\\"\\"\\"')
-        return '"""' + (safe[:-1] + '\\"' if safe.endswith('"') else safe) + '"""'
+        return '"""' + text.replace("\\", "\\\\").replace('"', '\\"') + '"""'
     return f'"{quoted(text)}"'
 
 
