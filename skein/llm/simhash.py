@@ -1,10 +1,14 @@
 """SimHash near-deduplication through a segment-popcount embedding.
 
-A 64-bit fingerprint is mapped to the bit counts of its SEGMENTS segments. The Manhattan distance of two such points is
-a lower bound of the fingerprints' Hamming distance, so all links lie within that distance on the integer grid. The
-range join works on the grid: two points within distance 2 r meet in a cell within r of both, so each distinct
-fingerprint is entered in its own cell and in those around it, and fingerprints of one cell are compared exactly. With
-16 segments of 4 bits two unrelated fingerprints are compared with a probability of about 3e-7.
+A 64-bit fingerprint is mapped to the bit counts of its segments. The Manhattan distance of two such points is a lower
+bound of the fingerprints' Hamming distance, so all links lie within that distance on the integer grid. The range join
+works on the grid: two points within distance 2 meet in a cell within 1 of both, so each distinct fingerprint is entered
+in its own cell and in those above and below it, and fingerprints of one cell are compared exactly. Of several cells
+in which a pair meets one counts, so each pair is made once. With 16 segments of 4 bits two unrelated fingerprints are
+compared with a probability of about 3e-7.
+
+For more than 2 bits the fingerprint is cut into parts: of two parts one differs in at most half the bits, so up to 5 bits
+take two grids of 32-bit parts. Links over 2 bits can be verified by the similarity of the texts' word shingles.
 
 Equal fingerprints are one point, so copies are never paired; components run over distinct fingerprints only.
 """
@@ -12,7 +16,6 @@ Equal fingerprints are one point, so copies are never paired; components run ove
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations_with_replacement, product
 
 import numpy as np
 import pandas as pd
@@ -22,9 +25,11 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import written
 from skein.llm.components import components
-from skein.llm.exact_dedup import without_rows
+from skein.llm.exact_dedup import probe, without_rows
 
 SHINGLE, SEED, MAX_BITS, SEGMENTS = 3, 42, 2, 16
+#: The near-copies stage: fingerprints within STAGE_BITS are candidates, verified by the Jaccard similarity of WORDS-word shingles.
+STAGE_BITS, WORDS, SIMILARITY = 5, 5, 0.8
 #: Shingle hashes that are unpacked at a time.
 CHUNK = 1 << 14
 
@@ -58,59 +63,108 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select("doc_id", "rid", of("text").alias("fp"))
 
 
-def offsets(segments: int, radius: int) -> np.ndarray:
-    """All integer vectors of Manhattan norm at most radius."""
-    found = {(0,) * segments}
-    for r in range(1, radius + 1):
-        for where in combinations_with_replacement(range(segments), r):
-            for signs in product((1, -1), repeat=r):
-                v = [0] * segments
-                for k, s in zip(where, signs):
-                    v[k] += s
-                found.add(tuple(v))
-    return np.array(sorted(found), dtype=np.int64)
+OWN, UP, DOWN = 0, 1, 2
 
 
-def _cells(radius: int, segments: int):
-    width = 64 // segments
-    around = offsets(segments, radius)
-    #: Bit counts take values -radius to width + radius; a cell is a number in that base, hashed by wrapping where it is larger.
-    scale = np.array([(width + 2 * radius + 1) ** k % (1 << 64) for k in range(segments)], dtype=np.uint64).astype(np.int64)
+def _cells(parts: int, segments: int):
+    """For each part of a fingerprint its own cell and the cells one step up and down: part and place as one number."""
+    width = 64 // parts // segments
+    around = np.concatenate((np.zeros((1, segments), dtype=np.int64), np.eye(segments, dtype=np.int64), -np.eye(segments, dtype=np.int64)))
+    role = np.repeat(np.array([OWN, UP, DOWN], dtype=np.int8), [1, segments, segments])
+    scale = np.array([(width + 3) ** k for k in range(segments)], dtype=np.int64)  # counts -1 to width + 1
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k in range(0, len(b), 4096):
                 fp = b["fp"].to_numpy()[k : k + 4096]
-                bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                own = bits.reshape(len(fp), segments, width).sum(axis=2, dtype=np.int64) + radius
-                with np.errstate(over="ignore"):
-                    cell = ((own * scale).sum(axis=1)[:, None] + (around * scale).sum(axis=1)[None, :]).ravel()
-                yield pd.DataFrame({"cell": cell, "fp": np.repeat(fp, len(around))})
+                bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").reshape(len(fp), parts, segments, width)
+                own = ((bits.sum(axis=3, dtype=np.int64) + 1) * scale).sum(axis=2) + (np.arange(parts, dtype=np.int64) << 60)
+                cell = own[:, :, None] + (around * scale).sum(axis=1)
+                shape = cell.shape
+                yield pd.DataFrame({
+                    "cell": cell.ravel(), "own": np.broadcast_to(own[:, :, None], shape).ravel(), "role": np.broadcast_to(role, shape).ravel(), "fp": np.broadcast_to(fp[:, None, None], shape).ravel(),
+                })
 
     return run
 
 
 def link(points: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints (column fp) that differ in at most max_bits bits.
+    """Pairs (a, b), each once, of distinct fingerprints (column fp) that differ in at most max_bits bits, which is at most 11.
+
+    A pair is made in the first part that differs in at most 2 bits, in the cell between the two points: the own cell of
+    equal points, the upper one's own cell, the cell above one and below the other (of two such cells the lower), or
+    the cell above both.
+    """
+    parts = 1 << (max_bits // 3).bit_length()
+    if 64 // parts < 2 * segments:
+        raise ValueError("too many bits for the segments")
+    cells = written(points.select("fp").mapInPandas(_cells(parts, segments), "cell long, own long, role byte, fp long"), "simhash-cells")
+    x, y, bits = cells.alias("x"), cells.alias("y"), 64 // parts
+    diff = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
+    part = F.shiftright("x.cell", 60)
+
+    def within(k: int):
+        mask = ((1 << bits) - 1) << (k * bits)
+        return F.bit_count(diff.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))) <= 2
+
+    first = F.lit(False)
+    for k in range(parts):
+        here = (part == k) & within(k)
+        for j in range(k):
+            here = here & ~within(j)
+        first = first | here
+    rx, ry, once = F.col("x.role"), F.col("y.role"), F.col("x.fp") < F.col("y.fp")
+    met = (
+        ((rx == OWN) & (ry == OWN) & once) | ((rx == OWN) & (ry == UP)) | ((rx == UP) & (ry == UP) & once & (F.col("x.own") != F.col("y.own")))
+        | ((rx == UP) & (ry == DOWN) & (F.col("x.cell") * 2 <= F.col("x.own") + F.col("y.own")))
+    )
+    near = (F.col("x.cell") == F.col("y.cell")) & (F.bit_count(diff) <= max_bits) & met & first
+    return x.join(y, near).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
+
+
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Distinct hashes of the word shingles (fewer words: the whole sequence), as in fingerprint()."""
+    w = (text or "").encode("utf-8", "replace").lower().split()
+    n = min(words, len(w))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in zip(*(w[k:] for k in range(n)))), dtype=np.uint64)).astype(np.int64) if w else np.empty(0, np.int64)
+
+
+def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
+    """pairs of fingerprints whose first texts have a Jaccard similarity of word shingles of at least `similarity`.
 
-    A pair that meets in several cells is returned once for each; components() and distinct() do not mind.
+    Only the texts of paired fingerprints are read again; a filter of fixed size over their row numbers finds them.
     """
-    cells = written(points.select("fp").mapInPandas(_cells((max_bits + 1) // 2, segments), "cell long, fp long"), "simhash-cells")
-    x, y = cells.alias("x"), cells.alias("y")
-    near = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.fp") < F.col("y.fp")) & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= max_bits)
-    return x.join(y, near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    pairs = written(pairs, "simhash-pairs")
+    wanted = written(points.join(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "fp").select("fp", F.col("first.rid").alias("rid")), "simhash-paired")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("string").alias("text"))
 
+    @F.pandas_udf("array<long>")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words) for t in texts], dtype=object)
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    s = written(rows.where(probe(wanted, "rid")(F.col("rid"))).join(wanted, "rid").select("fp", sets("text").alias("set")), "simhash-sets")
+    both = pairs.join(s.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a").join(s.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    total = F.size("sa") + F.size("sb") - shared
+    return both.where((total == 0) | (shared >= total * F.lit(similarity))).select("a", "b")
+
+
+def near_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, similarity: float | None = None
+) -> DataFrame:
     """One row per input row: doc_id, rid, fingerprint (hex), component_id, kept.
 
+    Texts are linked if their fingerprints are equal or differ in at most max_bits bits; with a similarity given, the
+    latter only if their 5-word shingles are that similar.
+
     component_id is the smallest doc_id reachable over links, null only where all ids are; the row with that id is
     kept, the first one read where rows repeat it. Texts without words (null, empty, white space) have fingerprint 0,
     which is linked like any other. Other columns are ignored. An empty table gives an empty result.
     """
     marked = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
     points = written(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rid")).alias("first")), "simhash-points")
-    found = components(link(points, max_bits))
+    pairs = link(points, max_bits)
+    found = components(pairs if similarity is None else verified(pairs, points, docs, similarity=similarity, text_col=text_col))
     by_fp = points.join(found, points["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
     leader = by_fp.groupBy("c").agg(F.min("first").alias("lead"))
     named = written(by_fp.join(leader, "c").select("fp", "lead"), "simhash-named")
@@ -119,10 +173,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """docs without the rows that near_dedup() does not keep; all columns of docs.
+def drop_near_copies(docs: DataFrame, max_bits: int = STAGE_BITS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without the rows that near_dedup() does not keep; all columns of docs. docs has to be a table or other stable scan.
 
     Rows that the filter of dropped row numbers surely lacks pass as they are; the others alone are joined.
     """
-    gone = written(near_dedup(docs, shingle=shingle, max_bits=max_bits).where(~F.col("kept")).select(F.col("rid").alias("_skein_rid")), "simhash-gone")
+    gone = written(near_dedup(docs, max_bits=max_bits, similarity=similarity).where(~F.col("kept")).select(F.col("rid").alias("_skein_rid")), "simhash-gone")
     return without_rows(docs, gone)
