@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from skein.llm import fingerprints, language_id, mixing, piece_sampling, queries, recurrent_lm
@@ -63,12 +64,10 @@ def test_mixing(docs):
 
 
 def test_mixing_prefers_quality(spark):
-    import pyspark.sql.functions as F
-
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, "words of fair length here ok").otherwise("w w w w w w").alias("text"), F.lit("en").alias("lang"), F.lit(1).alias("n_chars"))
-    more = rows.unionByName(spark.createDataFrame([(10**6, "t", "x " * 40_000, "en", 1)], "doc_id long, source string, text string, lang string, n_chars int"))
+    more = rows.unionByName(spark.createDataFrame([(10**6 + k, t, "x " * 40_000, "en", 1) for k, t in enumerate("ab")], "doc_id long, source string, text string, lang string, n_chars int"))
     taken = Counter(r.doc_id % 2 for r in mixing.mix(more).collect() if r.doc_id < 10**6 and r.taken > r.size)
-    assert taken[0] > 1.2 * taken[1] or not taken
+    assert 150 < taken[0] + taken[1] < 300 and taken[0] > 1.2 * taken[1]
 
 
 def test_mixing_edges(edges, empty):
@@ -94,7 +93,8 @@ def test_language_edges(spark, edges, empty):
     by = {r.doc_id: r for r in got}
     assert by[2].lang_pred == by[3].lang_pred == by[10].lang_pred == "und" and by[10].score == 0.0 and not by[None].held_out
     assert language_id.identify(empty).count() == 0
-    assert {r.lang_pred for r in language_id.identify(edges.drop("lang").withColumn("lang", edges.lang.substr(9, 1)).where("doc_id = 3")).collect()} == {"und"}
+    unlabelled = edges.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.lang_pred for r in language_id.identify(unlabelled).collect()} == {"und"}
     assert language_id.keep_identified(edges).columns == edges.columns
     assert 2 not in {r.doc_id for r in language_id.keep_identified(edges).collect()}
 
