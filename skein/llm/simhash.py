@@ -10,6 +10,9 @@ compared with a probability of about 3e-7.
 For more than 2 bits the fingerprint is cut into parts: of two parts one differs in at most half the bits, so up to 5 bits
 take two grids of 32-bit parts. Links over 2 bits can be verified by the similarity of the texts' word shingles.
 
+A second fingerprint from the same shingles, their hashes mixed once more, finds pairs that the first one misses; both grids
+are one join.
+
 Equal fingerprints are one point, so copies are never paired; components run over distinct fingerprints only.
 """
 
@@ -28,98 +31,112 @@ from skein.llm.components import components
 from skein.llm.exact_dedup import probe, without_rows
 
 SHINGLE, SEED, MAX_BITS, SEGMENTS = 3, 42, 2, 16
-#: The near-copies stage: fingerprints within STAGE_BITS are candidates, verified by the Jaccard similarity of WORDS-word shingles.
-STAGE_BITS, WORDS, SIMILARITY = 5, 5, 0.8
+#: The near-copies stage: texts with one of STAGE_TABLES fingerprints within STAGE_BITS are candidates, verified by the Jaccard similarity of WORDS-word shingles.
+STAGE_BITS, STAGE_TABLES, WORDS, SIMILARITY = 5, 2, 5, 0.8
 #: Shingle hashes that are unpacked at a time.
 CHUNK = 1 << 14
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Fingerprint of a whole text: A-Z lower-cased, words between ASCII white space, space-joined shingles with repeats.
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Other uniform bits from a hash: splitmix64's finaliser."""
+    h = h + np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
 
-    A bit is set if it is set in over half the shingles' XXH64. Fewer words than a shingle: the whole sequence; none: 0.
+def fingerprint(text: str | None, shingle: int = SHINGLE, tables: int = 1) -> list[int]:
+    """Fingerprints of a whole text: A-Z lower-cased, words between ASCII white space, space-joined shingles with repeats.
+
+    A bit is set if it is set in over half the shingles' XXH64 (in the second fingerprint: their mixed XXH64). Fewer words
+    than a shingle: the whole sequence; none: 0.
     """
     w = (text or "").encode("utf-8", "replace").lower().split()
     if not w:
-        return 0
-    if len(w) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(w), SEED)
-    h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in zip(*(w[k:] for k in range(shingle)))), dtype=np.uint64, count=len(w) - shingle + 1)
-    n = np.zeros(64, dtype=np.int64)
-    for k in range(0, len(h), CHUNK):
-        bits = np.unpackbits(h[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        n += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(n * 2 > len(h), bitorder="little").tobytes(), "little")
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row per input row: doc_id, rid (monotonically_increasing_id() of docs), fp (the 64 bits as a signed long)."""
+        return [0] * tables
+    n = min(shingle, len(w))
+    h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in zip(*(w[k:] for k in range(n)))), dtype=np.uint64, count=len(w) - n + 1)
+    out = []
+    for t in range(tables):
+        h = _mixed(h) if t else h
+        set_ = np.zeros(64, dtype=np.int64)
+        for k in range(0, len(h), CHUNK):
+            bits = np.unpackbits(h[k : k + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            set_ += bits.sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(set_ * 2 > len(h), bitorder="little").tobytes(), "little"))
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, tables: int = 1) -> DataFrame:
+    """One row per input row: doc_id, rid (monotonically_increasing_id() of docs), fp (the 64 bits as a signed long), and
+    more, the other tables' fingerprints."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("string").alias("text"))
 
-    @F.pandas_udf("long")
+    @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).astype(np.int64))
+        return pd.Series([np.array(fingerprint(t, shingle, tables), dtype=np.uint64).astype(np.int64) for t in texts], dtype=object)
 
-    return rows.select("doc_id", "rid", of("text").alias("fp"))
+    return rows.select("doc_id", "rid", of("text").alias("all")).select("doc_id", "rid", F.get("all", F.lit(0)).alias("fp"), F.slice("all", 2, tables).alias("more"))
 
 
 OWN, UP, DOWN = 0, 1, 2
 
 
-def _cells(parts: int, segments: int):
-    """For each part of a fingerprint its own cell and the cells one step up and down: part and place as one number."""
+def _cells(parts: int, segments: int, tables: int):
+    """For each part of each fingerprint its own cell and the cells one step up and down: table, part and place as one number."""
     width = 64 // parts // segments
     around = np.concatenate((np.zeros((1, segments), dtype=np.int64), np.eye(segments, dtype=np.int64), -np.eye(segments, dtype=np.int64)))
     role = np.repeat(np.array([OWN, UP, DOWN], dtype=np.int8), [1, segments, segments])
     scale = np.array([(width + 3) ** k for k in range(segments)], dtype=np.int64)  # counts -1 to width + 1
+    grid = np.arange(tables * parts, dtype=np.int64).reshape(tables, parts)
+    grid = ((grid // parts << 1) + grid % parts) << 60
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["fp", "fp2"][:tables]
         for b in batches:
-            for k in range(0, len(b), 4096):
-                fp = b["fp"].to_numpy()[k : k + 4096]
-                bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").reshape(len(fp), parts, segments, width)
-                own = ((bits.sum(axis=3, dtype=np.int64) + 1) * scale).sum(axis=2) + (np.arange(parts, dtype=np.int64) << 60)
-                cell = own[:, :, None] + (around * scale).sum(axis=1)
+            for k in range(0, len(b), 2048):
+                fp = np.ascontiguousarray(b[names].to_numpy()[k : k + 2048].astype(np.int64))
+                bits = np.unpackbits(fp.view(np.uint8).reshape(len(fp), tables, 8), axis=2, bitorder="little").reshape(len(fp), tables, parts, segments, width)
+                own = ((bits.sum(axis=4, dtype=np.int64) + 1) * scale).sum(axis=3) + grid
+                cell = own[..., None] + (around * scale).sum(axis=1)
                 shape = cell.shape
-                yield pd.DataFrame({
-                    "cell": cell.ravel(), "own": np.broadcast_to(own[:, :, None], shape).ravel(), "role": np.broadcast_to(role, shape).ravel(), "fp": np.broadcast_to(fp[:, None, None], shape).ravel(),
-                })
+                cols = {"cell": cell, "own": own[..., None], "role": role} | {n: fp[:, i, None, None, None] for i, n in enumerate(names)}
+                yield pd.DataFrame({n: np.broadcast_to(c, shape).ravel() for n, c in cols.items()})
 
     return run
 
 
-def link(points: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS) -> DataFrame:
-    """Pairs (a, b), each once, of distinct fingerprints (column fp) that differ in at most max_bits bits, which is at most 11.
+def link(points: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, tables: int = 1) -> DataFrame:
+    """Pairs (a, b), each once, of distinct fingerprints (column fp) that differ in at most max_bits bits, which is at most
+    5; with two tables also those whose other fingerprints (fp2) do.
 
-    A pair is made in the first part that differs in at most 2 bits, in the cell between the two points: the own cell of
-    equal points, the upper one's own cell, the cell above one and below the other (of two such cells the lower), or
-    the cell above both.
+    A pair is made in the first table and part that differs in at most 2 bits, in the cell between the two points: the own
+    cell of equal points, the upper one's own cell, the cell above one and below the other (of two such cells the
+    lower), or the cell above both.
     """
-    parts = 1 << (max_bits // 3).bit_length()
-    if 64 // parts < 2 * segments:
-        raise ValueError("too many bits for the segments")
-    cells = written(points.select("fp").mapInPandas(_cells(parts, segments), "cell long, own long, role byte, fp long"), "simhash-cells")
+    if max_bits > 5 or tables > 2:
+        raise ValueError("at most 5 bits and two tables")
+    parts, names = (1 if max_bits <= 2 else 2), ["fp", "fp2"][:tables]
+    schema = "cell long, own long, role byte, " + ", ".join(f"{n} long" for n in names)
+    cells = written(points.select(*names).mapInPandas(_cells(parts, segments, tables), schema), "simhash-cells")
     x, y, bits = cells.alias("x"), cells.alias("y"), 64 // parts
-    diff = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-    part = F.shiftright("x.cell", 60)
-
-    def within(k: int):
-        mask = ((1 << bits) - 1) << (k * bits)
-        return F.bit_count(diff.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))) <= 2
-
-    first = F.lit(False)
-    for k in range(parts):
-        here = (part == k) & within(k)
-        for j in range(k):
-            here = here & ~within(j)
-        first = first | here
+    table, part = F.shiftright("x.cell", 61), F.shiftright("x.cell", 60).bitwiseAND(F.lit(1))
+    here = F.lit(False)
+    before = F.lit(False)
+    for t, n in enumerate(names):
+        diff = F.col(f"x.{n}").bitwiseXOR(F.col(f"y.{n}"))
+        close = [F.bit_count(diff.bitwiseAND(F.lit(-1 if parts == 1 else (1 << bits) - 1 if k == 0 else -(1 << bits)))) <= 2 for k in range(parts)]
+        near = F.bit_count(diff) <= max_bits
+        first = (part == 0) & close[0] if parts == 1 else ((part == 0) & close[0]) | ((part == 1) & close[1] & ~close[0])
+        here = here | ((table == t) & near & first & ~before)
+        before = before | near
     rx, ry, once = F.col("x.role"), F.col("y.role"), F.col("x.fp") < F.col("y.fp")
     met = (
         ((rx == OWN) & (ry == OWN) & once) | ((rx == OWN) & (ry == UP)) | ((rx == UP) & (ry == UP) & once & (F.col("x.own") != F.col("y.own")))
         | ((rx == UP) & (ry == DOWN) & (F.col("x.cell") * 2 <= F.col("x.own") + F.col("y.own")))
     )
-    near = (F.col("x.cell") == F.col("y.cell")) & (F.bit_count(diff) <= max_bits) & met & first
-    return x.join(y, near).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
+    pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & met & here)
+    return pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -150,20 +167,22 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int =
 
 
 def near_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, similarity: float | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, similarity: float | None = None,
+    tables: int = 1,
 ) -> DataFrame:
     """One row per input row: doc_id, rid, fingerprint (hex), component_id, kept.
 
-    Texts are linked if their fingerprints are equal or differ in at most max_bits bits; with a similarity given, the
-    latter only if their 5-word shingles are that similar.
+    Texts are linked if their fingerprints are equal or differ in at most max_bits bits (with two tables, either
+    fingerprint); with a similarity given, the latter only if their 5-word shingles are that similar.
 
     component_id is the smallest doc_id reachable over links, null only where all ids are; the row with that id is
     kept, the first one read where rows repeat it. Texts without words (null, empty, white space) have fingerprint 0,
     which is linked like any other. Other columns are ignored. An empty table gives an empty result.
     """
-    marked = written(fingerprints(docs, id_col, text_col, shingle), "simhash")
-    points = written(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rid")).alias("first")), "simhash-points")
-    pairs = link(points, max_bits)
+    marked = written(fingerprints(docs, id_col, text_col, shingle, tables), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rid", "more")).alias("first")
+    points = written(marked.groupBy("fp").agg(first).withColumn("fp2", F.get("first.more", F.lit(0))), "simhash-points")
+    pairs = link(points, max_bits, tables=tables)
     found = components(pairs if similarity is None else verified(pairs, points, docs, similarity=similarity, text_col=text_col))
     by_fp = points.join(found, points["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
     leader = by_fp.groupBy("c").agg(F.min("first").alias("lead"))
@@ -173,10 +192,10 @@ def near_dedup(
     )
 
 
-def drop_near_copies(docs: DataFrame, max_bits: int = STAGE_BITS, similarity: float = SIMILARITY) -> DataFrame:
+def drop_near_copies(docs: DataFrame, max_bits: int = STAGE_BITS, similarity: float = SIMILARITY, tables: int = STAGE_TABLES) -> DataFrame:
     """docs without the rows that near_dedup() does not keep; all columns of docs. docs has to be a table or other stable scan.
 
     Rows that the filter of dropped row numbers surely lacks pass as they are; the others alone are joined.
     """
-    gone = written(near_dedup(docs, max_bits=max_bits, similarity=similarity).where(~F.col("kept")).select(F.col("rid").alias("_skein_rid")), "simhash-gone")
+    gone = written(near_dedup(docs, max_bits=max_bits, similarity=similarity, tables=tables).where(~F.col("kept")).select(F.col("rid").alias("_skein_rid")), "simhash-gone")
     return without_rows(docs, gone)

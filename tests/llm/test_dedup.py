@@ -97,9 +97,9 @@ def test_fingerprint_definition():
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text))
     h = [xxhash.xxh64_intdigest(" ".join(w[k : k + 3]).encode(), 42) for k in range(len(w) - 2)]
     want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-    assert simhash.fingerprint(text) == want
-    assert simhash.fingerprint("") == simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
-    assert simhash.fingerprint("One two") == xxhash.xxh64_intdigest(b"one two", 42)
+    assert simhash.fingerprint(text) == [want] and simhash.fingerprint(text, tables=2)[0] == want != simhash.fingerprint(text, tables=2)[1]
+    assert simhash.fingerprint("", tables=2) == simhash.fingerprint(None, tables=2) == simhash.fingerprint(" \n", tables=2) == [0, 0]
+    assert simhash.fingerprint("One two") == [xxhash.xxh64_intdigest(b"one two", 42)]
 
 
 def test_near_matches_brute_force(docs):
@@ -131,6 +131,29 @@ def test_links_match_brute_force(spark, bits):
     assert set(got) == want and len(got) == len(want) > 60
 
 
+@pytest.mark.parametrize("bits", [2, 5])
+def test_two_tables_link_each_pair_once(spark, bits):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (30, 2), dtype=np.uint64)
+    rows = {}
+    for a, b in base.tolist():
+        for _ in range(12):
+            x, y = a, b
+            for _ in range(int(rng.integers(0, 6))):
+                x ^= 1 << int(rng.integers(0, 64))
+            for _ in range(int(rng.integers(0, 6))):
+                y ^= 1 << int(rng.integers(0, 64))
+            rows[x] = y
+    f = np.array(sorted(rows.items()), dtype=np.uint64)
+    signed = f.astype(np.int64)
+    want = set()
+    for i in range(len(f)):
+        near = (np.bitwise_count(f ^ f[i]) <= bits).any(axis=1)
+        want |= {tuple(sorted((int(signed[i, 0]), int(signed[j, 0])))) for j in np.flatnonzero(near) if j != i}
+    got = [tuple(r) for r in simhash.link(spark.createDataFrame([tuple(map(int, x)) for x in signed], "fp long, fp2 long"), bits, tables=2).collect()]
+    assert set(got) == want and len(got) == len(want) > 30
+
+
 def test_stage_verifies_similarity(spark, tmp_path):
     rng = np.random.default_rng(8)
     words = [f"w{k}" for k in range(5000)]
