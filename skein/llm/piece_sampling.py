@@ -11,7 +11,8 @@ enumeration: the root's perturbed maximum is a Gumbel variable, a path that atta
 siblings that the path passes gets a maximum of its own, truncated at the path's. The best set is expanded next, below
 the prefix that it shares. All draws come from a hash of the row key, sample, word and step: a row's samples depend on
 nothing else. log_inclusion is the log probability that the segmentation would be among the k, given the threshold (the
-next largest perturbed value).
+next largest perturbed value). Sets are the other segmentations of one word below a prefix; only a word that is taken
+off the queue is split into the sets of its single pieces.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ MARK = "▁"
 LITERAL_MARK = "\U0010ffff"
 SAMPLES = 2
 #: Words that are segmented at a time.
-BATCH_WORDS = 400_000
+BATCH_WORDS = 150_000
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -219,7 +220,7 @@ class Lattice:
         return out
 
     def walk(self, start: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """From each start state to the end of its unit: edges in order, and for each the index of its start."""
+        """From each start state to the end of its unit: edges in order, and the number of each start's edges."""
         live, s, step, kept = np.arange(len(start)), start, 0, []
         while len(live):
             u = _uniform(seed[live] + np.uint64(step) * _M2)
@@ -233,7 +234,7 @@ class Lattice:
             go = s >= 0
             live, s, step = live[go], s[go], step + 1
         if not kept:
-            return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32)
+            return np.empty(0, dtype=np.int32), np.zeros(len(start), dtype=np.int64)
         n = np.zeros(len(start), dtype=np.int64)
         for which, _ in kept:
             n[which] += 1
@@ -241,82 +242,79 @@ class Lattice:
         out = np.empty(int(n.sum()), dtype=np.int32)
         for k, (which, e) in enumerate(kept):
             out[at[which] + k] = e
-        return out, np.repeat(np.arange(len(start), dtype=np.int32), n)
+        return out, n
 
 
 class _Row:
-    """A row's search: paths so far (edges, word of each edge, log probability before each), and the sets left."""
+    """A row's search: paths so far (edges), their scores, the sets left, and the path to draw next.
+
+    A set: less its maximum, the path it branches from, the edges in question, the edges taken there (none: the set of a
+    word's other segmentations), the log probability before it, and its word. To draw: bound, edges and log probability of
+    the prefix, the state to go on from (-1: none), and the next word.
+    """
 
     __slots__ = ("key", "words", "paths", "scores", "queue", "todo")
 
     def __init__(self, key: int, words: np.ndarray):
         self.key, self.words = key, words
-        self.paths: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.paths: list[np.ndarray] = []
         self.scores: list[tuple[float, float]] = []
-        self.queue: list[tuple[float, int, int, tuple[int, ...]]] = []
-        self.todo: tuple | None = None
-
-
-#: No draw of _gumbel(_uniform()) is above it.
-MOST_GUMBEL = 54 * math.log(2)
+        self.queue: list[tuple[float, int, int, int, tuple[int, ...], float, int]] = []
+        self.todo: tuple[float, np.ndarray, float, int, int] | None = None
 
 
 def _gumbel(u):
     return -np.log(-np.log(u))
 
 
-def _bounded(phi: np.ndarray, u: np.ndarray, bound: float) -> np.ndarray:
+def _bounded(phi: np.ndarray, u: np.ndarray, bound) -> np.ndarray:
     """Maxima of sets of log weight phi, given that they are below bound."""
-    with np.errstate(over="ignore"):
-        return -np.logaddexp(-bound, -(phi + _gumbel(u)))
+    return -np.logaddexp(-bound, -(phi + _gumbel(u)))
 
 
 def search(lattice: Lattice, rows: list[_Row], samples: int) -> None:
     """Fills paths and scores of the rows: up to `samples` distinct paths each, best first, and leaves the queue's next."""
-    for r in rows:
-        top = float(_gumbel(_uniform(np.array([r.key], dtype=np.uint64)))[0])
-        r.todo = (top, np.empty(0, np.int32), np.empty(0, np.int32), 0.0, -1, 0)
+    for r, top in zip(rows, _gumbel(_uniform(np.array([r.key for r in rows], dtype=np.uint64))).tolist()):
+        r.todo = (top, np.empty(0, np.int32), 0.0, -1, 0)
     for k in range(samples):
-        starts: list[np.ndarray] = []
-        seeds: list[np.ndarray] = []
         active = [r for r in rows if r.todo is not None]
+        if not active:
+            return
+        starts: list[np.ndarray] = []
+        places: list[np.ndarray] = []
         for r in active:
-            _, _, _, _, state, word = r.todo
-            s = lattice.root[r.words[word:]]
-            w = np.arange(word, len(r.words), dtype=np.uint64)
+            _, _, _, state, word = r.todo
+            s, w = lattice.root[r.words[word:]], np.arange(word, len(r.words), dtype=np.uint64)
             if state >= 0:
-                s, w = np.concatenate(([state], s)), np.concatenate(([max(word, 1) - 1], w)).astype(np.uint64)
+                s, w = np.concatenate(([state], s)), np.concatenate((np.array([word - 1], dtype=np.uint64), w))
             starts.append(s)
-            seeds.append(_mixed(np.uint64(r.key) + np.uint64(k + 1) * _M1 + w * _STEP))
-        if not active:
-            return
-        edges, owner = lattice.walk(np.concatenate(starts), np.concatenate(seeds))
-        cuts = np.searchsorted(owner, np.cumsum([len(s) for s in starts])).tolist()
-        lo = base = 0
-        for r, s, hi in zip(active, starts, cuts):
-            bound, head, head_words, so_far, state, word = r.todo
-            tail = edges[lo:hi]
-            tail_words = owner[lo:hi] - base + word - (state >= 0)
-            lo, base = hi, base + len(s)
-            path, words = (np.concatenate((head, tail)), np.concatenate((head_words, tail_words))) if len(head) else (tail, tail_words)
-            log_p = lattice.log_p[tail]
-            before = so_far + np.cumsum(log_p) - log_p
-            r.scores.append((so_far + float(log_p.sum()), bound))
-            r.paths.append((path, words))
-            if len(tail):
-                # Siblings further on are of ever smaller weight: those that cannot be among the best are left out.
-                m = min(len(tail), 256)
-                while True:
-                    phi = before[:m] + lattice.log_rest(tail[:m])
-                    u = _uniform(np.uint64(r.key) + np.uint64(k + 101) * _M2 + np.arange(len(head), len(head) + m, dtype=np.uint64) * _STEP)
-                    g = _bounded(phi, u, bound)
-                    best = np.argpartition(-g, samples)[:samples] if m > samples else np.arange(m)
-                    if m == len(tail) or (m > samples and before[m] + MOST_GUMBEL < g[best].min()):
-                        break
-                    m = min(len(tail), 4 * m)
-                for j in best.tolist():
-                    if g[j] > -np.inf:
-                        heapq.heappush(r.queue, (-float(g[j]), k, len(head) + j, (int(tail[j]),), float(before[j])))
+            places.append(w)
+        sizes = np.array([len(s) for s in starts])
+        keys = np.repeat(np.array([r.key for r in active], dtype=np.uint64), sizes)
+        seeds = _mixed(keys + np.uint64(k + 1) * _M1 + np.concatenate(places) * _STEP)
+        edges, n = lattice.walk(np.concatenate(starts), seeds)
+        at = np.append(np.cumsum(n) - n, len(edges))
+        lo = np.append(np.cumsum(sizes) - sizes, sizes.sum())
+        if len(edges):
+            log_p = np.add.reduceat(lattice.log_p[edges], at[:-1])  # of the words' segmentations
+            upto = np.cumsum(log_p)
+            began = (upto - log_p)[np.minimum(lo[:-1], len(log_p) - 1)]
+            before = np.repeat(np.array([r.todo[2] for r in active]) - began, sizes) + upto - log_p
+            rest = np.log(-np.expm1(np.minimum(log_p, -1e-16)))
+            rest[log_p == 0] = -np.inf  # a word with one segmentation
+            g = _bounded(before + rest, _uniform(seeds + _M2), np.repeat(np.array([r.todo[0] for r in active]), sizes))
+        for i, r in enumerate(active):
+            bound, head, so_far, state, word = r.todo
+            a, b = int(lo[i]), int(lo[i + 1])
+            e = int(at[a])
+            r.paths.append(np.concatenate((head, edges[e : at[b]])))
+            r.scores.append((float(before[b - 1] + log_p[b - 1]) if b > a else so_far, bound))
+            own = g[a:b] if b > a else np.empty(0)
+            best = np.argpartition(-own, samples)[:samples] if len(own) > samples else np.arange(len(own))
+            for j in best.tolist():
+                if own[j] > -np.inf:
+                    first = len(head) - e
+                    heapq.heappush(r.queue, (-float(own[j]), k, first + int(at[a + j]), first + int(at[a + j + 1]), (), float(before[a + j]), word + j - (state >= 0)))
             r.todo = None
         if k + 1 < samples:
             for r in active:
@@ -325,22 +323,33 @@ def search(lattice: Lattice, rows: list[_Row], samples: int) -> None:
 
 
 def _expand(lattice: Lattice, r: _Row, k: int) -> None:
-    """Takes the best set off the queue: another edge at its state, what is left of the set goes back."""
-    minus, of, j, taken, before = heapq.heappop(r.queue)
-    path, words = r.paths[of]
-    state = int(lattice.state[path[j]])
+    """Takes the best set off the queue and draws an edge of it to go on from; what is left of the set goes back."""
+    minus, of, lo, hi, taken, before, word = heapq.heappop(r.queue)
+    path = r.paths[of]
+    key = np.uint64(r.key)
+    if not taken:  # a word: the piece at which its segmentation changes
+        own = path[lo:hi]
+        log_p = lattice.log_p[own]
+        each = before + np.cumsum(log_p) - log_p
+        phi = each + lattice.log_rest(own)
+        share = np.cumsum(np.exp(phi - phi.max()))
+        u = _uniform(key + np.uint64(2 * k + 5001) * _M1 + np.arange(len(own) + 1, dtype=np.uint64) * _STEP)
+        j = min(int(np.searchsorted(share, u[-1] * share[-1])), len(own) - 1)
+        for i, g in enumerate(_bounded(phi, u[:-1], -minus).tolist()):
+            if i != j and g > -math.inf:
+                heapq.heappush(r.queue, (-g, of, lo + i, lo + i + 1, (int(own[i]),), float(each[i]), word))
+        lo, taken, before = lo + j, (int(own[j]),), float(each[j])
+    state = int(lattice.state[path[lo]])
     edges = np.array([e for e in range(int(lattice.first[state]), int(lattice.first[state + 1])) if e not in taken])
     p = np.exp(lattice.log_p[edges])
-    u = _uniform(np.uint64(r.key) + np.array([2 * k + 1001, 2 * k + 1002], dtype=np.uint64) * _M1)
+    u = _uniform(key + np.array([2 * k + 1001, 2 * k + 1002], dtype=np.uint64) * _M1)
     pick = min(int(np.searchsorted(np.cumsum(p), u[0] * p.sum())), len(edges) - 1)
     e = int(edges[pick])
     left = float(p.sum() - p[pick])
     if left > 0 and len(edges) > 1:
         g = float(_bounded(np.array([before + math.log(left)]), u[1:], -minus)[0])
-        heapq.heappush(r.queue, (-g, of, j, (*taken, e), before))
-    head = np.append(path[:j], np.int32(e))
-    head_words = np.append(words[:j], words[j])
-    r.todo = (-minus, head, head_words, before + float(lattice.log_p[e]), int(lattice.next[e]), int(words[j]) + 1)
+        heapq.heappush(r.queue, (-g, of, lo, lo + 1, (*taken, e), before, word))
+    r.todo = (-minus, np.append(path[:lo], np.int32(e)), before + float(lattice.log_p[e]), int(lattice.next[e]), word + 1)
 
 
 class Segmenter:
@@ -376,10 +385,10 @@ class Segmenter:
         for key, text in zip(keys, texts):
             u = units(text)
             rows.append(_Row(key % (1 << 64), np.fromiter(map(known.__getitem__, u), dtype=np.int64, count=len(u))))
-        with np.errstate(over="ignore"):
+        with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
             lattice = Lattice(self.vocab, list(known))
             search(lattice, rows, self.samples)
-        paths = [path for r in rows for path, _ in r.paths]
+        paths = [path for r in rows for path in r.paths]
         flat = np.concatenate(paths) if paths else np.empty(0, dtype=np.int64)
         ids, at = self.ids(lattice, flat)
         cuts = at[np.concatenate(([0], np.cumsum([len(x) for x in paths], dtype=np.int64)))].tolist()
