@@ -65,6 +65,7 @@ def gate_report(artifacts: DataFrame, text: str = "text", kind: str = "artifact_
     a, name, desc = structure_parts(t)
     missing = F.concat_ws(", ", F.when(~a, F.lit("YAML frontmatter (---)")), F.when(~name, F.lit("name field")), F.when(~desc, F.lit("description field")))
 
+    # Messages and gate names below are fixed values.
     def gate(i: int, what: str, ok: Column, good: Column, bad: Column, applies: Column) -> Column:
         return F.when(applies, F.struct(F.lit(i).alias("gate"), F.lit(what).alias("constraint_name"), ok.alias("passed"), F.when(ok, good).otherwise(bad).alias("message")))
 

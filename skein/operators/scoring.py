@@ -52,6 +52,7 @@ def regression_verdict(rates: DataFrame, threshold: float = THRESHOLD) -> DataFr
     out = regressions(rates, threshold).agg(F.count("*").alias("n_tools"), bad.alias("_bad"))
     names = F.array_join("_bad", ", ")
     percent = f"{threshold:.0%}"
+    # The messages are fixed values.
     text = F.when(F.size("_bad") == 0, F.concat(F.lit("All "), F.col("n_tools").cast("string"), F.lit(f" tools within {percent} regression threshold"))).otherwise(
         F.concat(F.lit("Regression detected in "), F.size("_bad").cast("string"), F.lit(" tool(s): "), names, F.lit(f" (threshold: {percent})"))
     )
