@@ -1,6 +1,6 @@
 """The flows: mining examples from sessions, and judging evolved tool descriptions, prompt sections and skills.
 
-An optimizer is a callable that returns the evolved table; the default leaves the artifacts as they are.
+What an optimizer made comes in as the evolved table or text; the optimizers themselves are outside.
 """
 
 from __future__ import annotations
