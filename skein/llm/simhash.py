@@ -74,19 +74,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(fingerprint(t, shingle, tables), dtype=np.uint64).astype(np.int64) for t in texts], dtype=object)
+        out = pd.Series([np.array(fingerprint(t, shingle, tables), dtype=np.uint64).astype(np.int64) for t in texts], dtype=object)
+        return out
 
     return rows.select("doc_id", "rid", of("text").alias("all")).select("doc_id", "rid", F.get("all", F.lit(0)).alias("fp"), F.slice("all", 2, tables).alias("more"))
 
 
-OWN, UP, DOWN = 0, 1, 2
-
-
 def _cells(parts: int, segments: int, tables: int):
-    """For each part of each fingerprint its own cell and the cells one step up and down: table, part and place as one number."""
+    """For each part of each fingerprint its own cell (step 0) and the cells one step up and down in segment k (step k and
+    -k, from 1): table, part and place as one number."""
     width = 64 // parts // segments
     around = np.concatenate((np.zeros((1, segments), dtype=np.int64), np.eye(segments, dtype=np.int64), -np.eye(segments, dtype=np.int64)))
-    role = np.repeat(np.array([OWN, UP, DOWN], dtype=np.int8), [1, segments, segments])
+    step = np.concatenate(([0], np.arange(1, segments + 1), -np.arange(1, segments + 1))).astype(np.int8)
     scale = np.array([(width + 3) ** k for k in range(segments)], dtype=np.int64)  # counts -1 to width + 1
     grid = np.arange(tables * parts, dtype=np.int64).reshape(tables, parts)
     grid = ((grid // parts << 1) + grid % parts) << 60
@@ -100,7 +99,7 @@ def _cells(parts: int, segments: int, tables: int):
                 own = ((bits.sum(axis=4, dtype=np.int64) + 1) * scale).sum(axis=3) + grid
                 cell = own[..., None] + (around * scale).sum(axis=1)
                 shape = cell.shape
-                cols = {"cell": cell, "own": own[..., None], "role": role} | {n: fp[:, i, None, None, None] for i, n in enumerate(names)}
+                cols = {"cell": cell, "step": step} | {n: fp[:, i, None, None, None] for i, n in enumerate(names)}
                 yield pd.DataFrame({n: np.broadcast_to(c, shape).ravel() for n, c in cols.items()})
 
     return run
@@ -117,7 +116,7 @@ def link(points: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
     if max_bits > 5 or tables > 2:
         raise ValueError("at most 5 bits and two tables")
     parts, names = (1 if max_bits <= 2 else 2), ["fp", "fp2"][:tables]
-    schema = "cell long, own long, role byte, " + ", ".join(f"{n} long" for n in names)
+    schema = "cell long, step byte, " + ", ".join(f"{n} long" for n in names)
     cells = written(points.select(*names).mapInPandas(_cells(parts, segments, tables), schema), "simhash-cells")
     x, y, bits = cells.alias("x"), cells.alias("y"), 64 // parts
     table, part = F.shiftright("x.cell", 61), F.shiftright("x.cell", 60).bitwiseAND(F.lit(1))
@@ -130,11 +129,8 @@ def link(points: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
         first = (part == 0) & close[0] if parts == 1 else ((part == 0) & close[0]) | ((part == 1) & close[1] & ~close[0])
         here = here | ((table == t) & near & first & ~before)
         before = before | near
-    rx, ry, once = F.col("x.role"), F.col("y.role"), F.col("x.fp") < F.col("y.fp")
-    met = (
-        ((rx == OWN) & (ry == OWN) & once) | ((rx == OWN) & (ry == UP)) | ((rx == UP) & (ry == UP) & once & (F.col("x.own") != F.col("y.own")))
-        | ((rx == UP) & (ry == DOWN) & (F.col("x.cell") * 2 <= F.col("x.own") + F.col("y.own")))
-    )
+    up, other, once = F.col("x.step"), F.col("y.step"), F.col("x.fp") < F.col("y.fp")
+    met = ((up == 0) & (other == 0) & once) | ((up == 0) & (other > 0)) | ((up > 0) & (other > 0) & (up != other) & once) | ((up > 0) & (other < 0) & (up <= -other))
     pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & met & here)
     return pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
 
@@ -157,7 +153,8 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int =
 
     @F.pandas_udf("array<long>")
     def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, words) for t in texts], dtype=object)
+        out = pd.Series([shingle_set(t, words) for t in texts], dtype=object)
+        return out
 
     s = written(rows.where(probe(wanted, "rid")(F.col("rid"))).join(wanted, "rid").select("fp", sets("text").alias("set")), "simhash-sets")
     both = pairs.join(s.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a").join(s.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b")
