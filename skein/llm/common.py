@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,24 @@ def lower_ascii(col: Column) -> Column:
     for k in range(26):
         col = F.replace(col, F.lit(chr(65 + k)), F.lit(chr(97 + k)))
     return col
+
+
+#: Most rows and bytes of text that a Python worker gets at a time; long texts make Spark's 10,000 rows too many.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS and BATCH_BYTES; smaller settings stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        size = int(now) if now and now.lstrip("-").isdigit() else 0
+        if not 0 < size <= most:
+            spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system; workers stay for later stages, which may be the JVM's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.common import crc_mod
+from skein.llm.common import crc_mod, release, small_batches
 
 PROFILE = 300
 #: Least score of a document that keep_identified() keeps; prose scores 0.55 and more, single words 0.4.
@@ -92,6 +92,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     kept, size = [], 0
             if kept:
                 yield _counts(lang, kept)
+        release()
 
 
 def _counts(lang: str, kept: list[np.ndarray]) -> pd.DataFrame:
@@ -140,10 +141,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text", name: str = "_lang") -> DataFrame:
     """docs with one more column, struct<lang_pred string, score double>."""
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
+        out = pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
+        release()
+        return out
 
     return docs.withColumn(name, predict(F.col(text_col).cast("string")))
 

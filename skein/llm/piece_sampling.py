@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import release, small_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Stands for a literal U+2581 of the text, which is encoded by its bytes; a noncharacter.
 LITERAL_MARK = "\U0010ffff"
 SAMPLES = 2
 #: Words that are segmented at a time.
-BATCH_WORDS = 150_000
+BATCH_WORDS = 100_000
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -432,6 +434,8 @@ def _encoder(pieces, samples: int):
                     names=["doc_id", "sample", "n_pieces", "ids", "log_prob", "perturbed", "log_inclusion"],
                 )
                 lo = hi
+                del found, flat, some
+                release()
 
     return run
 
@@ -442,6 +446,7 @@ def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Texts with fewer segmentations have fewer rows, at least one; null text counts as empty, whose one segmentation has
     no pieces. Rows that repeat an id and text have equal samples. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit("pieces"), F.col(id_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_encoder(load_pieces(model), samples), "doc_id long, sample int, n_pieces long, ids array<int>, log_prob double, perturbed double, log_inclusion double")
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import written
+from skein.llm.common import release, small_batches, written
 from skein.llm.components import components
 from skein.llm.exact_dedup import probe, without_rows
 
@@ -70,11 +70,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, tables: int = 1) -> li
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, tables: int = 1) -> DataFrame:
     """One row per input row: doc_id, rid (monotonically_increasing_id() of docs), fp (the 64 bits as a signed long), and
     more, the other tables' fingerprints."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("string").alias("text"))
 
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
         out = pd.Series([np.array(fingerprint(t, shingle, tables), dtype=np.uint64).astype(np.int64) for t in texts], dtype=object)
+        release()
         return out
 
     return rows.select("doc_id", "rid", of("text").alias("all")).select("doc_id", "rid", F.get("all", F.lit(0)).alias("fp"), F.slice("all", 2, tables).alias("more"))
@@ -101,6 +103,7 @@ def _cells(parts: int, segments: int, tables: int):
                 shape = cell.shape
                 cols = {"cell": cell, "step": step} | {n: fp[:, i, None, None, None] for i, n in enumerate(names)}
                 yield pd.DataFrame({n: np.broadcast_to(c, shape).ravel() for n, c in cols.items()})
+        release()
 
     return run
 
@@ -154,6 +157,7 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int =
     @F.pandas_udf("array<long>")
     def sets(texts: pd.Series) -> pd.Series:
         out = pd.Series([shingle_set(t, words) for t in texts], dtype=object)
+        release()
         return out
 
     s = written(rows.where(probe(wanted, "rid")(F.col("rid"))).join(wanted, "rid").select("fp", sets("text").alias("set")), "simhash-sets")
