@@ -32,7 +32,7 @@ from skein.llm.exact_dedup import probe, without_rows
 
 SHINGLE, SEED, MAX_BITS, SEGMENTS = 3, 42, 2, 16
 #: The near-copies stage: texts with one of STAGE_TABLES fingerprints within STAGE_BITS are candidates, verified by the Jaccard similarity of WORDS-word shingles.
-STAGE_BITS, STAGE_TABLES, WORDS, SIMILARITY = 5, 2, 5, 0.8
+STAGE_BITS, STAGE_TABLES, WORDS, SIMILARITY = 5, 1, 5, 0.8
 #: Shingle hashes that are unpacked at a time.
 CHUNK = 1 << 14
 
