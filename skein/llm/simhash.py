@@ -8,12 +8,21 @@ in which a pair meets one counts, so each pair is made once. With 16 segments of
 compared with a probability of about 3e-7.
 
 For more than 2 bits the fingerprint is cut into parts: of two parts one differs in at most half the bits, so up to 5 bits
-take two grids of 32-bit parts. Links over 2 bits can be verified by the similarity of the texts' word shingles.
+take two grids of 32-bit parts.
 
 A second fingerprint from the same shingles, their hashes mixed once more, finds pairs that the first one misses; both grids
 are one join.
 
 Equal fingerprints are one point, so copies are never paired; components run over distinct fingerprints only.
+
+The pipeline's stage drops by the Jaccard similarity of 5-word shingle sets, of which 64 bits say too little: a pair of
+similarity 0.8 differs in about 10 of them. Its points are the distinct sets, its candidates the sets that share a bucket:
+the hash of ROWS minima of the set under as many hash functions, BANDS of them a set. Two sets of similarity s share one with
+probability 1 - (1 - s^ROWS)^BANDS, which is 0.9993 at 0.8. Every link is verified on the sets. So that a large group of near
+copies takes a few pairs a point and not all pairs, points are first compared with a leader of each bucket, in up to LEADERS
+turns: the point that meets most others, then ones by a hash; points of one component are not compared again. At last the
+points of buckets with more than one component are compared wherever two of them share one of their rarest shingles, which
+two sets of the similarity always do (prefix filtering), and sets that share only a common passage do not.
 """
 
 from __future__ import annotations
@@ -23,7 +32,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.llm.common import release, small_batches, written
@@ -31,8 +41,8 @@ from skein.llm.components import components
 from skein.llm.exact_dedup import probe, without_rows
 
 SHINGLE, SEED, MAX_BITS, SEGMENTS = 3, 42, 2, 16
-#: The near-copies stage: texts with one of STAGE_TABLES fingerprints within STAGE_BITS are candidates, verified by the Jaccard similarity of WORDS-word shingles.
-STAGE_BITS, STAGE_TABLES, WORDS, SIMILARITY = 5, 1, 5, 0.8
+#: The near-copies stage: texts are linked from this Jaccard similarity of their WORDS-word shingles; BANDS buckets of ROWS minima give the candidates.
+WORDS, SIMILARITY, BANDS, ROWS, LEADERS = 5, 0.8, 24, 6, 8
 #: Shingle hashes that are unpacked at a time.
 CHUNK = 1 << 14
 
@@ -145,36 +155,114 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in zip(*(w[k:] for k in range(n)))), dtype=np.uint64)).astype(np.int64) if w else np.empty(0, np.int64)
 
 
-def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, text_col: str = "text") -> DataFrame:
-    """pairs of fingerprints whose first texts have a Jaccard similarity of word shingles of at least `similarity`.
+_RNG = np.random.default_rng(SEED)
+_TIMES, _PLUS = _RNG.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def buckets(shingles: np.ndarray) -> np.ndarray:
+    """The BANDS buckets of a shingle set; none of the empty set."""
+    h, least = shingles.astype(np.uint64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    if not len(h):
+        return np.empty(0, np.int64)
+    for k in range(0, len(h), 256):
+        least = np.minimum(least, (_TIMES[:, None] * h[k : k + 256] + _PLUS[:, None]).min(axis=1))
+    band = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        band = _mixed(band ^ row)
+    return band.astype(np.int64)
 
-    Only the texts of paired fingerprints are read again; a filter of fixed size over their row numbers finds them.
-    """
-    pairs = written(pairs, "simhash-pairs")
-    wanted = written(points.join(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), "fp").select("fp", F.col("first.rid").alias("rid")), "simhash-paired")
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("string").alias("text"))
+
+def _shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per input row: doc_id, rid, digest (128 bits) and size of the shingle set, its buckets."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("string").alias("text"))
+
+    @F.pandas_udf("digest binary, size int, buckets array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t) for t in texts]
+        out = pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "size": [len(s) for s in sets], "buckets": pd.Series([buckets(s) for s in sets], dtype=object)})
+        release()
+        return out
+
+    return rows.select("doc_id", "rid", of("text").alias("s")).select("doc_id", "rid", "s.*")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """p, set: the shingle sets of the rows whose numbers are wanted (column p). A filter of fixed size over them finds the rows."""
+    rows = docs.select(F.monotonically_increasing_id().alias("p"), F.col(text_col).cast("string").alias("text"))
 
     @F.pandas_udf("array<long>")
     def sets(texts: pd.Series) -> pd.Series:
-        out = pd.Series([shingle_set(t, words) for t in texts], dtype=object)
+        out = pd.Series([shingle_set(t) for t in texts], dtype=object)
         release()
         return out
 
-    s = written(rows.where(probe(wanted, "rid")(F.col("rid"))).join(wanted, "rid").select("fp", sets("text").alias("set")), "simhash-sets")
-    both = pairs.join(s.select(F.col("fp").alias("a"), F.col("set").alias("sa")), "a").join(s.select(F.col("fp").alias("b"), F.col("set").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    total = F.size("sa") + F.size("sb") - shared
-    return both.where((total == 0) | (shared >= total * F.lit(similarity))).select("a", "b")
+    return rows.where(probe(wanted, "p")(F.col("p"))).join(wanted, "p").select("p", sets("text").alias("set"))
 
 
-def near_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, similarity: float | None = None,
-    tables: int = 1,
-) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of at least `similarity`."""
+    both = pairs.join(sets.select(F.col("p").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("p").alias("b"), F.col("set").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= (F.size("sa") + F.size("sb") - shared) * F.lit(similarity)).select("a", "b")
+
+
+def _rarest(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets (p, set, size, c) -> p, size, c, h, at: of each set the rarest shingles that other sets have too, as many as two sets of
+    the similarity must have one of in common (n - ceil(similarity * n) + 1, those that no other set has counted in), with their places from 1."""
+    every = sets.select("p", "size", "c", F.explode("set").alias("h"))
+    known = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    own = W.partitionBy("p")
+    ranked = every.join(known, "h").withColumns({"place": F.row_number().over(own.orderBy("n", "h")), "k": F.count("*").over(own)})
+    return ranked.where(F.col("size") - F.col("k") + F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - 1e-9) + 1).select("p", "size", "c", "h", (F.col("size") - F.col("k") + F.col("place")).alias("at"))
+
+
+def _similar(points: DataFrame, docs: DataFrame, similarity: float, text_col: str) -> DataFrame:
+    """points (p, size, buckets) -> (node, component) over the verified links of points that share a bucket."""
+    own = points.select("p", "size", F.explode("buckets").alias("bucket"))
+    shared = own.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    live = written(own.join(shared, "bucket"), "near-buckets")
+    central = written(live.groupBy("p").agg(F.sum("n").alias("met")), "near-wanted")
+    live = written(live.join(central, "p").select("bucket", "p", "size", "met"), "near-live")
+    sets = written(_sets(docs, central.select("p"), text_col), "near-sets")
+    tried = docs.sparkSession.createDataFrame([], "a long, b long")
+    found, turn, more = tried.toDF("node", "component"), 0, True
+
+    def fit(x: str, y: str) -> Column:
+        return F.least(x, y) >= F.greatest(x, y) * F.lit(similarity)
+
+    while more:
+        more = turn < LEADERS
+        now = live.join(found.withColumnRenamed("node", "p"), "p", "left").select("bucket", "p", "size", "met", F.coalesce("component", "p").alias("c"))
+        if more:
+            order = F.xxhash64("p", "bucket", F.lit(turn)) if turn else -F.col("met")
+            first = now.groupBy("bucket").agg(F.min(F.struct(order, "p", "size", "c")).alias("lead"))
+            met = now.join(first, "bucket").where((F.col("lead.c") != F.col("c")) & fit("lead.size", "size"))
+            made = met.select(F.least("p", "lead.p").alias("a"), F.greatest("p", "lead.p").alias("b"))
+        else:
+            apart = now.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
+            rest = written(_rarest(sets.join(now.join(apart, "bucket", "left_semi").select("p", "size", "c").distinct(), "p"), similarity), "near-rarest")
+            x, y = rest.alias("x"), rest.alias("y")
+            owed = F.ceil((F.col("x.size") + F.col("y.size")) * F.lit(similarity / (1 + similarity)) - 1e-9)  # shingles in common: the first of them leaves room for the others
+            room = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + 1 >= owed
+            met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.p") < F.col("y.p")) & (F.col("x.c") != F.col("y.c")) & room & fit("x.size", "y.size"))
+            made = met.select(F.col("x.p").alias("a"), F.col("y.p").alias("b"))
+        pairs = written(made.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        links = written(_verified(pairs, sets, similarity), "near-links")
+        tried = tried.union(pairs)
+        if not links.isEmpty():
+            found = components(found.toDF("a", "b").union(links))
+            turn += 1
+        else:
+            turn = LEADERS  # leaders find no more
+    return found
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, tables: int = 1) -> DataFrame:
     """One row per input row: doc_id, rid, fingerprint (hex), component_id, kept.
 
     Texts are linked if their fingerprints are equal or differ in at most max_bits bits (with two tables, either
-    fingerprint); with a similarity given, the latter only if their 5-word shingles are that similar.
+    fingerprint).
 
     component_id is the smallest doc_id reachable over links, null only where all ids are; the row with that id is
     kept, the first one read where rows repeat it. Texts without words (null, empty, white space) have fingerprint 0,
@@ -184,7 +272,7 @@ def near_dedup(
     first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rid", "more")).alias("first")
     points = written(marked.groupBy("fp").agg(first).withColumn("fp2", F.get("first.more", F.lit(0))), "simhash-points")
     pairs = link(points, max_bits, tables=tables)
-    found = components(pairs if similarity is None else verified(pairs, points, docs, similarity=similarity, text_col=text_col))
+    found = components(pairs)
     by_fp = points.join(found, points["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
     leader = by_fp.groupBy("c").agg(F.min("first").alias("lead"))
     named = written(by_fp.join(leader, "c").select("fp", "lead"), "simhash-named")
@@ -193,10 +281,19 @@ def near_dedup(
     )
 
 
-def drop_near_copies(docs: DataFrame, max_bits: int = STAGE_BITS, similarity: float = SIMILARITY, tables: int = STAGE_TABLES) -> DataFrame:
-    """docs without the rows that near_dedup() does not keep; all columns of docs. docs has to be a table or other stable scan.
+def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near copies; all columns of docs. docs has to be a table or other stable scan.
 
-    Rows that the filter of dropped row numbers surely lacks pass as they are; the others alone are joined.
+    Rows are linked if their 5-word shingle sets are equal or have a Jaccard similarity of at least `similarity`. Of those
+    reachable over links the row with the smallest doc_id stays, the first one read where rows repeat it. Rows that the filter
+    of dropped row numbers surely lacks pass as they are; the others alone are joined.
     """
-    gone = written(near_dedup(docs, max_bits=max_bits, similarity=similarity, tables=tables).where(~F.col("kept")).select(F.col("rid").alias("_skein_rid")), "simhash-gone")
+    marked = written(_shingled(docs, id_col, text_col), "near")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rid", "size", "buckets")).alias("first")
+    points = written(marked.groupBy("digest").agg(first).select("digest", "first.*").withColumnRenamed("rid", "p"), "near-points")
+    found = _similar(points, docs, similarity, text_col)
+    by_set = points.join(found, points["p"] == found["node"], "left").select("digest", F.struct("void", "doc_id", "p").alias("own"), F.coalesce("component", "p").alias("c"))
+    leader = by_set.groupBy("c").agg(F.min("own").alias("lead"))
+    named = written(by_set.join(leader, "c").select("digest", F.col("lead.p").alias("lead")), "near-named")
+    gone = written(marked.join(named, "digest").where(F.col("rid") != F.col("lead")).select(F.col("rid").alias("_skein_rid")), "near-gone")
     return without_rows(docs, gone)

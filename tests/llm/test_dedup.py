@@ -172,6 +172,49 @@ def test_stage_verifies_similarity(spark, tmp_path):
     assert len(kept) <= 46  # one changed word of 400 moves few bits
 
 
+def jaccard_components(texts, at=0.8):
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    parent, pairs = list(range(len(sets))), []
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= at * (len(sets[i]) + len(sets[j]) - both):
+                pairs.append((j, i))
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    return pairs, [find(i) for i in range(len(sets))]
+
+
+def test_stage_finds_pairs_at_the_similarity(spark, tmp_path):
+    """Near copies of similarity 0.8 to 0.9, against brute force; a group of copies of copies too."""
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(5000)]
+    texts = [" ".join(rng.choice(words, 300)) for _ in range(60)]
+    for t in texts[:60]:
+        c = t.split()
+        for at in rng.choice(300, int(rng.integers(3, 7)), replace=False):
+            c[at] = "changed"
+        texts.append(" ".join(c))
+    for _ in range(40):
+        c = texts[-1].split() if rng.random() < 0.5 else texts[0].split()
+        for at in rng.choice(300, 4, replace=False):
+            c[at] = str(rng.choice(words))
+        texts.append(" ".join(c))
+    pairs, roots = jaccard_components(texts)
+    assert len([k for k in range(60) if (k, 60 + k) in pairs]) > 40
+    path = str(tmp_path / "t")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.read.parquet(path)).collect()}
+    want = {k for k, r in enumerate(roots) if k == r}
+    assert want <= kept and len(kept - want) <= 1
+
+
 def test_near_edges(edges, empty):
     got = simhash.near_dedup(edges).collect()
     assert len(got) == edges.count()
