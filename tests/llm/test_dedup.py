@@ -215,6 +215,16 @@ def test_stage_finds_pairs_at_the_similarity(spark, tmp_path):
     assert want <= kept and len(kept - want) <= 1
 
 
+def test_stage_keeps_other_texts_of_the_same_fingerprint(spark, tmp_path):
+    """A line repeated many times decides the fingerprint; bodies that differ still stay."""
+    body = [" ".join(f"{x}{k}" for k in range(60)) for x in "ab"]
+    texts = ["buy it now " * 200 + b for b in (*body, body[0] + " ")]
+    assert len({simhash.fingerprint(t)[0] for t in texts}) == 1
+    path = str(tmp_path / "t")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    assert {r.doc_id for r in simhash.drop_near_copies(spark.read.parquet(path)).collect()} == {0, 1}
+
+
 def test_near_edges(edges, empty):
     got = simhash.near_dedup(edges).collect()
     assert len(got) == edges.count()
