@@ -6,10 +6,10 @@ plus log p(word | class). A word that the network has no symbol for gets the sym
 unigram mass of such words, so that the score is a probability over the same tokens as the unigram base.
 
 Training is truncated backpropagation through time: windows of WINDOW tokens, the state carried from one to the next.
-Every training document gives a stretch of SPAN tokens from a hashed place of its text, so training data grow with the
-corpus; they are dealt to shards (one for each SHARD_TOKENS, at most MAX_SHARDS) that train side by side, and the
-shards' parameters are averaged after each round. Output biases start at the unigram distribution. Token counts cover
-all words of all training documents.
+Every training document is trained on whole, in each of ROUNDS rounds (a round of fewer than MIN_TOKENS tokens repeats them,
+up to MAX_EPOCHS times; no size takes less than all tokens in every round); documents are dealt to shards (one for
+each SHARD_TOKENS, at most MAX_SHARDS) that train side by side, and the shards' parameters are averaged after each round.
+Output biases start at the unigram distribution. Token counts cover all words of all training documents.
 
 Scoring runs whole documents: documents of a batch are laid end to end in lanes of about equal length, each with its
 state carried from its first word to its end and reset only at the next document. The DICTIONARY most frequent words
@@ -36,7 +36,7 @@ from skein.llm.common import crc_mod, written
 HIDDEN, CLASSES, CLASS_SIZE = 24, 32, 32
 SYMBOLS = CLASSES * CLASS_SIZE
 END, OTHER, WORDS = 0, 1, SYMBOLS - 2
-WINDOW, SPAN, LANES = 32, 64, 64
+WINDOW, LANES = 32, 64
 SHARD_TOKENS, MAX_SHARDS, ROUNDS, MIN_TOKENS, MAX_EPOCHS = 1_000_000, 256, 2, 600_000, 12
 LEARNING_RATE = 4e-3
 DICTIONARY, WORD_BYTES = 1 << 17, 64
@@ -166,7 +166,7 @@ class Network:
 
 
 class Trainer:
-    """Adam over windows of spans; the state is carried from a span's window to its next."""
+    """Adam over windows of texts; the state is carried from a text's window to its next."""
 
     def __init__(self, net: Network, rate: float = LEARNING_RATE):
         self.net, self.rate, self.t = net, rate, 0
@@ -184,20 +184,20 @@ class Trainer:
             self.v[k] += np.float32(0.001) * (g * g - self.v[k])
             self.net.p[k] -= np.float32(step) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-6))
 
-    def spans(self, rows: list[np.ndarray]) -> int:
-        """One update a window over LANES spans (symbol ids, the first one only an input); returns the tokens trained on."""
-        size = max(map(len, rows))
-        ids = np.zeros((size, len(rows)), dtype=np.int64)
-        valid = np.zeros((size, len(rows)), dtype=bool)
-        for k, r in enumerate(rows):
-            ids[: len(r), k] = r
-            valid[: len(r), k] = True
+    def texts(self, rows: list[np.ndarray]) -> int:
+        """One update a window over LANES texts (symbols, END before and after); returns the tokens trained on. Lanes end with their texts."""
+        rows = sorted(rows, key=len, reverse=True)
         h, n = np.zeros((len(rows), HIDDEN), dtype=np.float32), 0
-        for at in range(0, size - 1, WINDOW):
-            to = min(at + WINDOW, size - 1)
-            d, h, _ = self.net.gradients(ids[at:to], ids[at + 1 : to + 1], valid[at + 1 : to + 1], h)
+        for at in range(0, len(rows[0]) - 1, WINDOW):
+            now = [r[at : at + WINDOW + 1] for r in rows if len(r) > at + 1]
+            ids = np.full((len(now[0]), len(now)), END, dtype=np.int64)
+            valid = np.zeros(ids.shape, dtype=bool)
+            for k, r in enumerate(now):
+                ids[: len(r), k] = r
+                valid[: len(r), k] = True
+            d, h, _ = self.net.gradients(ids[:-1], ids[1:], valid[1:], h[: len(now)])
             self.update(d)
-            n += int(valid[at + 1 : to + 1].sum())
+            n += int(valid[1:].sum())
         return n
 
 
@@ -246,25 +246,20 @@ class Lexicon:
         return np.where(found >= 0, self.symbol[found], OTHER)
 
 
-def _spanning(lexicon: Lexicon):
-    """A stretch of each document from a hashed place: the symbol before it (END at the start) and up to SPAN symbols."""
+def _symbols(lexicon: Lexicon):
+    """The symbols of each whole document, END before and after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans = []
-            for key, t in zip(b.column(0).to_pylist(), b.column(1)):
-                w = tokens(t.as_py())
-                at = key % max(1, len(w) + 2 - SPAN)
-                s = lexicon.symbols(lexicon.look_up([*w[max(0, at - 1) : at + SPAN], *([b""] if at + SPAN > len(w) else [])]))
-                spans.append((np.concatenate(([END], s)) if at == 0 else s).astype(np.int16).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.binary())], names=["key", "span"])
+            out = [np.concatenate(([END], lexicon.symbols(lexicon.look_up(tokens(t.as_py()))), [END])).astype(np.int16).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["key", "symbols"])
 
     return run
 
 
-def _training(start: bytes, turn: int, turns: int, epochs: int):
+def _training(start: bytes, epochs: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [np.frombuffer(s, dtype=np.int16).astype(np.int64) for b in batches for k, s in zip(b["key"], b["span"]) if (k >> 20) % turns == turn]
+        rows = [np.frombuffer(s, dtype=np.int16) for b in batches for s in b["symbols"]]
         if not rows:
             return
         trainer, n = Trainer(Network.unpack(start)), 0
@@ -272,7 +267,7 @@ def _training(start: bytes, turn: int, turns: int, epochs: int):
         lots = [rows[k : k + LANES] for k in range(0, len(rows), LANES)]
         for epoch in range(epochs):
             for k in np.random.default_rng(epoch).permutation(len(lots)).tolist():
-                n += trainer.spans(lots[k])
+                n += trainer.texts(lots[k])
         yield pd.DataFrame({"n": [n], "net": [trainer.net.pack()]})
 
     return run
@@ -281,16 +276,16 @@ def _training(start: bytes, turn: int, turns: int, epochs: int):
 def train(docs: DataFrame, lexicon: Lexicon) -> Network:
     """docs: columns key (long, not negative), text of the training documents."""
     net = Network.start(lexicon.counts)
-    spans = written(docs.select("key", "text").mapInArrow(_spanning(lexicon), "key long, span binary"), "lm-spans")
-    size = spans.agg(F.sum(F.length("span") / 2 - 1)).first()[0] or 0
+    texts = written(docs.select("key", "text").mapInArrow(_symbols(lexicon), "key long, symbols binary"), "lm-symbols")
+    size = int(texts.agg(F.sum(F.length("symbols") / 2 - 1)).first()[0] or 0)
     if not size:
         return net
     epochs = int(min(MAX_EPOCHS, max(1, MIN_TOKENS // size)))
     shards = int(min(MAX_SHARDS, max(1, size // SHARD_TOKENS)))
-    dealt = written(spans.repartition(shards, "key").sortWithinPartitions("key"), "lm-shards") if shards > 1 else spans.coalesce(1)
-    for turn in range(ROUNDS):
+    dealt = written(texts.repartition(shards, "key").sortWithinPartitions("key"), "lm-shards") if shards > 1 else texts.coalesce(1)
+    for _ in range(ROUNDS):
         total, sums = 0, None
-        for r in dealt.mapInPandas(_training(net.pack(), turn, ROUNDS, epochs), "n long, net binary").toLocalIterator():  # a row a shard
+        for r in dealt.mapInPandas(_training(net.pack(), epochs), "n long, net binary").toLocalIterator():  # a row a shard
             flat = np.frombuffer(r.net, dtype=np.float32).astype(np.float64) * r.n
             total, sums = total + r.n, flat if sums is None else sums + flat
         if total:

@@ -6,6 +6,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,6 +227,21 @@ def test_scores(docs, monkeypatch, dictionary):
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_training_reads_whole_texts():
+    """Every token of every text is trained on in each epoch, long texts too."""
+    texts = [" ".join(f"w{k % 9}" for k in range(n)) for n in (0, 1, 31, 32, 33, 700)]
+    counts = Counter(w for t in texts for w in [*t.split(), ""])
+    words = [("", counts.pop("")), *counts.most_common()]
+    total = sum(n for _, n in words)
+    lexicon = recurrent_lm.Lexicon(words, total, len(words))
+    made = recurrent_lm._symbols(lexicon)
+    batch = pa.RecordBatch.from_pydict({"key": list(range(len(texts))), "text": texts})
+    rows = pd.concat([b.to_pandas() for b in made([batch])])
+    assert sum(len(x) // 2 - 1 for x in rows.iloc[:, 1]) == total
+    net = recurrent_lm.Network.start(lexicon.counts)
+    assert [next(recurrent_lm._training(net.pack(), epochs)(iter([rows])))["n"][0] for epochs in (1, 3)] == [total, 3 * total]
+
+
 def test_lm_edges(spark, edges, empty):
     got = recurrent_lm.score_documents(edges).collect()
     assert len(got) == edges.count() and all(math.isfinite(r.score) and r.score <= 1e-6 for r in got)
