@@ -5,20 +5,23 @@ output is class-factored: words sorted by frequency form CLASSES classes of equa
 plus log p(word | class). A word that the network has no symbol for gets the symbol's probability times its share of the
 unigram mass of such words, so that the score is a probability over the same tokens as the unigram base.
 
-Training is truncated backpropagation through time: windows of WINDOW tokens, the state carried from one to the next.
-Every training document is trained on whole, in each of ROUNDS rounds (a round of fewer than MIN_TOKENS tokens repeats them,
-up to MAX_EPOCHS times; no size takes less than all tokens in every round); documents are dealt to shards (one for
-each SHARD_TOKENS, at most MAX_SHARDS) that train side by side, and the shards' parameters are averaged after each round.
-Output biases start at the unigram distribution. Token counts cover all words of all training documents.
-
-Scoring runs whole documents: documents of a batch are laid end to end in lanes of about equal length, each with its
-state carried from its first word to its end and reset only at the next document. The DICTIONARY most frequent words
-(of at most WORD_BYTES bytes: a bounded table) are looked up on the worker; all other words are joined with the counts.
+Documents are laid end to end in LANES lanes and worked off in windows of WINDOW tokens: the state is carried from a
+window to the next through a whole document and reset at the next one's start. Training (truncated backpropagation: one
+update a window) and scoring share these lanes, which take the next document whenever one ends, so a task holds the
+documents in its lanes and no others.
+
+Every token of every training document is trained on, once in a pass; a pass is cut into ROUNDS parts of the documents,
+and shards (one for each SHARD_TOKENS, at most MAX_SHARDS, beyond which they get longer) train side by side and are
+averaged after each part. Corpora of fewer than MIN_TOKENS tokens make several passes. Output biases start at the unigram
+distribution. Token counts cover all words of all training documents.
+
+Texts are read twice: for the counts, and to code them as symbols, which training and scoring read. The DICTIONARY most
+frequent words (of at most WORD_BYTES bytes: a bounded table) are looked up on the worker; all other words are joined
+with the counts.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -27,23 +30,26 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.llm.common import crc_mod, written
 
 HIDDEN, CLASSES, CLASS_SIZE = 24, 32, 32
 SYMBOLS = CLASSES * CLASS_SIZE
 END, OTHER, WORDS = 0, 1, SYMBOLS - 2
-WINDOW, LANES = 32, 64
-SHARD_TOKENS, MAX_SHARDS, ROUNDS, MIN_TOKENS, MAX_EPOCHS = 1_000_000, 256, 2, 600_000, 12
-LEARNING_RATE = 4e-3
+WINDOW, LANES = 16, 256
+SHARD_TOKENS, MAX_SHARDS, ROUNDS, MIN_TOKENS, MAX_EPOCHS = 4_000_000, 4096, 2, 1_200_000, 24
+#: Texts of more tokens come first in a task, the longest before all: no lane is left alone with one at the end.
+LONG = 2048
+LEARNING_RATE = 1e-2
 DICTIONARY, WORD_BYTES = 1 << 17, 64
 #: Words of a task's count table that are held before they are passed on.
 HELD = 300_000
-#: Tokens that are scored at a time.
-BATCH_TOKENS = 1_500_000
+#: Windows that the lanes are filled for at a time.
+AHEAD = 32
 ALPHA = 0.1
 
 
@@ -52,12 +58,17 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
+def _slices(kinds: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the tokens by class, and each class with the first and last place that it takes in it."""
+    ends = np.cumsum(np.bincount(kinds, minlength=CLASSES)).tolist()
+    return np.argsort(kinds.astype(np.uint8), kind="stable"), [(c, lo, hi) for c, (lo, hi) in enumerate(zip([0, *ends], ends)) if hi > lo]
 
 
 class Network:
-    """Parameters: x (input projections of the symbols, gates z, r and candidate n), u, class and word outputs."""
+    """Parameters: x (input projections of the symbols, gates z, r and candidate n), u, class and word outputs.
+
+    A gate is (1 + tanh(a)) / 2 of its input a: the logistic function of twice the input.
+    """
 
     SHAPES = {"x": (SYMBOLS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "ww": (CLASSES, HIDDEN, CLASS_SIZE), "bw": (CLASSES, CLASS_SIZE)}
 
@@ -90,83 +101,174 @@ class Network:
 
     def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The next state, from projected inputs."""
-        g = h @ self.p["u"]
-        zr = _sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-        n = 2.0 * _sigmoid(2.0 * (x[:, 2 * HIDDEN :] + zr[:, HIDDEN:] * g[:, 2 * HIDDEN :])) - 1.0
-        return n + zr[:, :HIDDEN] * (h - n)
+        return self._step(x, h, h @ self.p["u"], np.empty((len(h), 2 * HIDDEN), h.dtype), np.empty_like(h), np.empty_like(h))
+
+    @staticmethod
+    def _step(x: np.ndarray, h: np.ndarray, g: np.ndarray, zr: np.ndarray, n: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """out, from h and its projection g; fills zr (the gates) and n (the candidate)."""
+        np.add(x[:, : 2 * HIDDEN], g[:, : 2 * HIDDEN], out=zr)
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        np.multiply(zr[:, HIDDEN:], g[:, 2 * HIDDEN :], out=n)
+        n += x[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=out)
+        out *= zr[:, :HIDDEN]
+        out += n
+        return out
+
+    def states(self, ids: np.ndarray, h0: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Over ids [time, lane] from h0: the states before and after each step, projections of the states before, gates,
+        candidates. A lane whose input is END begins a document: its state before is 0."""
+        (steps, lanes), kind = ids.shape, self.p["u"].dtype
+        x = self.p["x"].take(ids.ravel(), axis=0).reshape(steps, lanes, 3 * HIDDEN)
+        before, after, n = (np.empty((steps, lanes, HIDDEN), kind) for _ in range(3))
+        g, zr = np.empty((steps, lanes, 3 * HIDDEN), kind), np.empty((steps, lanes, 2 * HIDDEN), kind)
+        starts = ids == END
+        some = starts.any(1).tolist()
+        for t in range(steps):
+            before[t] = after[t - 1] if t else h0
+            if some[t]:
+                before[t][starts[t]] = 0.0
+            self._step(x[t], before[t], np.matmul(before[t], self.p["u"], out=g[t]), zr[t], n[t], after[t])
+        return before, after, g, zr, n
 
     def log_p(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log probability of each target symbol after state h; classes are worked off one by one."""
-        p, n = self.p, len(target)
+        """Natural log probability of each target symbol after state h."""
+        p, n = self.p, np.arange(len(target))
         cls, word = target // CLASS_SIZE, target % CLASS_SIZE
-        logits = h @ p["wc"] + p["bc"]
-        out = logits[np.arange(n), cls].astype(np.float64) - np.log(np.exp(logits).sum(1))
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        ends = np.cumsum(np.bincount(cls, minlength=CLASSES))
-        lo = 0
-        for c, hi in enumerate(ends.tolist()):
-            if hi > lo:
-                at = order[lo:hi]
-                own = h[at] @ p["ww"][c] + p["bw"][c]
-                out[at] += own[np.arange(hi - lo), word[at]] - np.log(np.exp(own).sum(1))
-            lo = hi
+        logits = h @ p["wc"]
+        logits += p["bc"]
+        out = logits[n, cls].astype(np.float64)
+        out -= np.log(np.exp(logits, out=logits).sum(1, dtype=np.float64))
+        order, parts = _slices(cls)
+        h, word, logits = h.take(order, axis=0), word[order], np.empty((len(target), CLASS_SIZE), h.dtype)
+        for c, lo, hi in parts:
+            np.matmul(h[lo:hi], p["ww"][c], out=logits[lo:hi])
+            logits[lo:hi] += p["bw"][c]
+        own = logits[n, word]
+        out[order] += own.astype(np.float64) - np.log(np.exp(logits, out=logits).sum(1, dtype=np.float64))
         return out
 
     def gradients(self, ids: np.ndarray, target: np.ndarray, valid: np.ndarray, h0: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Of the mean loss over a window: ids, target, valid [time, lane]; state before it. Also the state after it, and the loss."""
         p, (steps, lanes) = self.p, ids.shape
-        h, kept = h0, []
-        states = np.empty((steps, lanes, HIDDEN), dtype=np.float32)
-        for t in range(steps):
-            x = p["x"][ids[t]]
-            g = h @ p["u"]
-            zr = _sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            gn = g[:, 2 * HIDDEN :]
-            n = np.tanh(x[:, 2 * HIDDEN :] + r * gn)
-            kept.append((h, z, r, gn, n))
-            h = n + z * (h - n)
-            states[t] = h
-        flat, want, ok = states.reshape(-1, HIDDEN), target.ravel(), valid.ravel()
-        total = max(1, int(ok.sum()))
-        scale = (ok / total).astype(np.float32)
-        cls, word = want // CLASS_SIZE, want % CLASS_SIZE
-        d = {k: np.zeros(s, dtype=np.float32) for k, s in self.SHAPES.items()}
-        e = np.exp(flat @ p["wc"] + p["bc"])
-        soft = e / e.sum(1, keepdims=True)
-        loss = -float((np.log(soft[np.arange(len(want)), cls]) * scale).sum())
-        soft[np.arange(len(want)), cls] -= 1.0
-        soft *= scale[:, None]
-        d["wc"], d["bc"] = flat.T @ soft, soft.sum(0)
-        dh_all = soft @ p["wc"].T
-        for c in np.unique(cls[ok]).tolist():
-            at = np.flatnonzero((cls == c) & ok)
-            e = np.exp(flat[at] @ p["ww"][c] + p["bw"][c])
-            s = e / e.sum(1, keepdims=True)
-            loss -= float((np.log(s[np.arange(len(at)), word[at]]) * scale[at]).sum())
-            s[np.arange(len(at)), word[at]] -= 1.0
-            s *= scale[at][:, None]
-            d["ww"][c], d["bw"][c] = flat[at].T @ s, s.sum(0)
-            dh_all[at] += s @ p["ww"][c].T
+        before, after, g, zr, n = self.states(ids, h0)
+        d, dh_all, loss = self._output_gradients(after.reshape(-1, HIDDEN), target.ravel(), valid.ravel())
         dh_all = dh_all.reshape(steps, lanes, HIDDEN)
-        dh = np.zeros((lanes, HIDDEN), dtype=np.float32)
-        dx = np.empty((steps, lanes, 3 * HIDDEN), dtype=np.float32)
+        z, r = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:]
+        by_z, by_n, by_r = (before - n) * z, 1 - n * n, g[:, :, 2 * HIDDEN :] * r  # each times what the gate's slope leaves
+        by_z *= 2 * (1 - z)
+        by_n *= 1 - z
+        by_r *= 2 * (1 - r)
+        dg, dn, starts = np.empty_like(g), np.empty_like(n), ids == END
+        some = starts.any(1).tolist()
+        back, dh, more = np.ascontiguousarray(p["u"].T), np.zeros((lanes, HIDDEN), g.dtype), np.empty((lanes, HIDDEN), g.dtype)
         for t in range(steps - 1, -1, -1):
-            before, z, r, gn, n = kept[t]
-            dh = dh + dh_all[t]
-            dn = dh * (1.0 - z) * (1.0 - n * n)
-            dz = dh * (before - n) * z * (1.0 - z)
-            dr = dn * gn * r * (1.0 - r)
-            dx[t] = np.concatenate((dz, dr, dn), axis=1)
-            dg = np.concatenate((dz, dr, dn * r), axis=1)
-            d["u"] += before.T @ dg
-            dh = dh * z + dg @ p["u"].T
-        np.add.at(d["x"], ids.ravel(), dx.reshape(-1, 3 * HIDDEN))
-        return d, h, loss
+            dh += dh_all[t]
+            np.multiply(dh, by_z[t], out=dg[t, :, :HIDDEN])
+            np.multiply(dh, by_n[t], out=dn[t])
+            np.multiply(dn[t], by_r[t], out=dg[t, :, HIDDEN : 2 * HIDDEN])
+            np.multiply(dn[t], r[t], out=dg[t, :, 2 * HIDDEN :])
+            dh *= z[t]
+            dh += np.matmul(dg[t], back, out=more)
+            if some[t]:
+                dh[starts[t]] = 0.0
+        flat = dg.reshape(-1, 3 * HIDDEN)
+        d["u"] = before.reshape(-1, HIDDEN).T @ flat
+        dg[:, :, 2 * HIDDEN :] = dn  # from here on the gradients of the inputs
+        seen = ids.ravel()
+        order = np.argsort(seen.astype(np.int16), kind="stable")
+        seen = seen[order]
+        first = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1])))
+        d["x"] = np.zeros_like(p["x"])
+        d["x"][seen[first]] = np.add.reduceat(flat.take(order, axis=0), first, axis=0)
+        return d, after[-1], loss
+
+    def _output_gradients(self, h: np.ndarray, target: np.ndarray, valid: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+        """Gradients of the outputs' parameters and of the states h, and the mean loss of the valid targets."""
+        p, n = self.p, np.arange(len(target))
+        scale = (valid / max(1, int(valid.sum()))).astype(h.dtype)
+        cls, word = target // CLASS_SIZE, target % CLASS_SIZE
+        soft = h @ p["wc"]
+        soft += p["bc"]
+        np.exp(soft, out=soft)
+        soft /= soft.sum(1, keepdims=True)
+        loss = -float((np.log(soft[n, cls]) * scale).sum())
+        soft[n, cls] -= 1.0
+        soft *= scale[:, None]
+        d = {"wc": h.T @ soft, "bc": soft.sum(0), "ww": np.zeros(self.SHAPES["ww"], h.dtype), "bw": np.zeros(self.SHAPES["bw"], h.dtype)}
+        dh = soft @ p["wc"].T
+        order, parts = _slices(cls)
+        h, word, scale, soft = h.take(order, axis=0), word[order], scale[order], np.empty((len(target), CLASS_SIZE), h.dtype)
+        for c, lo, hi in parts:
+            np.matmul(h[lo:hi], p["ww"][c], out=soft[lo:hi])
+            soft[lo:hi] += p["bw"][c]
+        np.exp(soft, out=soft)
+        soft /= soft.sum(1, keepdims=True)
+        loss -= float((np.log(soft[n, word]) * scale).sum())
+        soft[n, word] -= 1.0
+        soft *= scale[:, None]
+        more = np.empty_like(h)
+        for c, lo, hi in parts:
+            np.matmul(h[lo:hi].T, soft[lo:hi], out=d["ww"][c])
+            d["bw"][c] = soft[lo:hi].sum(0)
+            np.matmul(soft[lo:hi], p["ww"][c].T, out=more[lo:hi])
+        dh[order] += more
+        return d, dh, loss
+
+
+class Lanes:
+    """Windows over documents that are laid end to end in lanes; a document is a number and its symbols, END last.
+
+    Iteration gives (kept, ids, target, owner): the lanes of the window before that go on (None at the start), inputs and
+    targets [time, lane], and the number of each target's document, -1 where a lane has come to its end. At a document's
+    start the input is END.
+    """
+
+    def __init__(self, docs: Iterator[tuple[int, np.ndarray]], lanes: int | None = None, window: int | None = None):
+        self.docs, self.most, self.window = iter(docs), lanes or LANES, window or WINDOW
+        self.over = False
+
+    def _next(self) -> tuple[int, np.ndarray] | None:
+        doc = None if self.over else next(self.docs, None)
+        self.over = doc is None
+        return doc
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]]:
+        lanes: list[list[tuple[int, np.ndarray]]] = []  # what each lane has still to give
+        while len(lanes) < self.most and (doc := self._next()):
+            lanes.append([doc])
+        last, span, begun = np.full(len(lanes), END, dtype=np.int64), AHEAD * self.window, False
+        while lanes:
+            symbols, owner = np.full((len(lanes), span), END, dtype=np.int64), np.full((len(lanes), span), -1, dtype=np.int64)
+            for k, own in enumerate(lanes):
+                at = 0
+                while at < span and (own or (doc := self._next())):
+                    who, rest = own.pop() if own else doc
+                    n = min(len(rest), span - at)
+                    symbols[k, at : at + n], owner[k, at : at + n] = rest[:n], who
+                    at += n
+                    if n < len(rest):
+                        own.append((who, rest[n:]))
+            size = (owner >= 0).sum(1)
+            order = np.argsort(-size, kind="stable")[: int((size > 0).sum())]  # lanes that end come last
+            symbols, owner, size, last = symbols[order].T, owner[order].T, size[order], last[order]
+            for lo in range(0, span, self.window):
+                live = int((size > lo).sum())
+                if not live:
+                    break
+                target = symbols[lo : lo + self.window, :live]
+                ids = np.concatenate((last[None, :live], target[:-1]))
+                yield (np.arange(live) if lo else order if begun else None), ids, target, owner[lo : lo + self.window, :live]
+                last, begun = target[-1], True
+            full = int((size == span).sum())
+            lanes, last = [lanes[k] for k in order[:full]], last[:full]
 
 
 class Trainer:
-    """Adam over windows of texts; the state is carried from a text's window to its next."""
+    """Adam over windows of lanes."""
 
     def __init__(self, net: Network, rate: float = LEARNING_RATE):
         self.net, self.rate, self.t = net, rate, 0
@@ -174,30 +276,41 @@ class Trainer:
         self.v = {k: np.zeros(s, dtype=np.float32) for k, s in Network.SHAPES.items()}
 
     def update(self, d: dict[str, np.ndarray]) -> None:
-        norm = math.sqrt(sum(float((g * g).sum()) for g in d.values()))
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in d.values()))
         shrink = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
         self.t += 1
-        step = self.rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        step = np.float32(self.rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for k, g in d.items():
-            g = g * shrink
+            g *= shrink
             self.m[k] += np.float32(0.1) * (g - self.m[k])
             self.v[k] += np.float32(0.001) * (g * g - self.v[k])
-            self.net.p[k] -= np.float32(step) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-6))
-
-    def texts(self, rows: list[np.ndarray]) -> int:
-        """One update a window over LANES texts (symbols, END before and after); returns the tokens trained on. Lanes end with their texts."""
-        rows = sorted(rows, key=len, reverse=True)
-        h, n = np.zeros((len(rows), HIDDEN), dtype=np.float32), 0
-        for at in range(0, len(rows[0]) - 1, WINDOW):
-            now = [r[at : at + WINDOW + 1] for r in rows if len(r) > at + 1]
-            ids = np.full((len(now[0]), len(now)), END, dtype=np.int64)
-            valid = np.zeros(ids.shape, dtype=bool)
-            for k, r in enumerate(now):
-                ids[: len(r), k] = r
-                valid[: len(r), k] = True
-            d, h, _ = self.net.gradients(ids[:-1], ids[1:], valid[1:], h[: len(now)])
+            self.net.p[k] -= step * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-6))
+
+    def texts(self, rows: Iterator[np.ndarray]) -> int:
+        """One update a window over all lanes; rows: symbols, END before and after. Returns the tokens trained on.
+
+        Where few lanes are left, the gradients of several windows make one update, so that a last text weighs no more than others.
+        """
+        least, n = WINDOW * LANES // 2, 0
+        held: dict[str, np.ndarray] = {}
+        size, h = 0, np.zeros((0, HIDDEN), dtype=np.float32)
+        for kept, ids, target, owner in Lanes((0, r[1:]) for r in rows):
+            h = np.zeros((ids.shape[1], HIDDEN), dtype=np.float32) if kept is None else h[kept]
+            valid = owner >= 0
+            d, h, _ = self.net.gradients(ids, target, valid, h)
+            now = int(valid.sum())
+            n += now
+            if size or now < least:
+                for k, g in d.items():
+                    held[k] = held.get(k, 0.0) + g * np.float32(now / least)
+                size += now
+                if size < least:
+                    continue
+                d = {k: g * np.float32(least / size) for k, g in held.items()}
+                held, size = {}, 0
             self.update(d)
-            n += int(valid[1:].sum())
+        if size:
+            self.update(held)
         return n
 
 
@@ -246,46 +359,71 @@ class Lexicon:
         return np.where(found >= 0, self.symbol[found], OTHER)
 
 
+CODED = "symbols binary, n_tokens long, known long, base double, other double, rare array<string>"
+
+
 def _symbols(lexicon: Lexicon):
-    """The symbols of each whole document, END before and after."""
+    """For the last column, a text, of each whole document (CODED, after the other columns): its symbols, END before and
+    after; the tokens; of those in the dictionary how many and their base log10 probability; what the score adds to the
+    network's for words without a symbol; the words that are not in the dictionary."""
+    end = lexicon.words[b""]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [np.concatenate(([END], lexicon.symbols(lexicon.look_up(tokens(t.as_py()))), [END])).astype(np.int16).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["key", "symbols"])
+            out: list[tuple] = []
+            for t in b.column(b.num_columns - 1):
+                w = tokens(t.as_py())
+                found = np.append(lexicon.look_up(w), end)
+                symbols, inside = lexicon.symbols(found), found >= 0
+                other = symbols == OTHER
+                more = float(lexicon.base[found[other & inside]].sum()) - lexicon.log_other * int(other.sum())
+                rare = [w[k] for k in np.flatnonzero(~inside).tolist()]
+                out.append((np.concatenate(([END], symbols)).astype(np.int16).tobytes(), len(found), int(inside.sum()), float(lexicon.base[found[inside]].sum()), more, rare))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
+            cols = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols[:-1], cols[-1].cast(pa.list_(pa.string()))], names=[*b.schema.names[:-1], "symbols", "n_tokens", "known", "base", "other", "rare"])
 
     return run
 
 
 def _training(start: bytes, epochs: int):
+    """One row: the tokens trained on and the network. More than one epoch is only for few tokens, which are held."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [np.frombuffer(s, dtype=np.int16) for b in batches for s in b["symbols"]]
-        if not rows:
-            return
+        rows = (np.frombuffer(s, dtype=np.int16) for b in batches for s in b["symbols"])
         trainer, n = Trainer(Network.unpack(start)), 0
-        rows.sort(key=len)
-        lots = [rows[k : k + LANES] for k in range(0, len(rows), LANES)]
-        for epoch in range(epochs):
-            for k in np.random.default_rng(epoch).permutation(len(lots)).tolist():
-                n += trainer.texts(lots[k])
-        yield pd.DataFrame({"n": [n], "net": [trainer.net.pack()]})
+        if epochs == 1:
+            n = trainer.texts(rows)
+        else:
+            held = list(rows)
+            for _ in range(epochs):
+                n += trainer.texts(held)
+        if n:
+            yield pd.DataFrame({"n": [n], "net": [trainer.net.pack()]})
 
     return run
 
 
-def train(docs: DataFrame, lexicon: Lexicon) -> Network:
-    """docs: columns key (long, not negative), text of the training documents."""
+def _long_first() -> Column:
+    return F.desc(F.greatest(F.length("symbols"), F.lit(2 * LONG)))
+
+
+def train(coded: DataFrame, lexicon: Lexicon) -> Network:
+    """coded: columns key (long: shard, part and order follow from it) and symbols of the training documents, as a table.
+
+    A shard is a partition, its network a row of a table in the shared folder; the driver reads those rows one by one.
+    """
     net = Network.start(lexicon.counts)
-    texts = written(docs.select("key", "text").mapInArrow(_symbols(lexicon), "key long, symbols binary"), "lm-symbols")
-    size = int(texts.agg(F.sum(F.length("symbols") / 2 - 1)).first()[0] or 0)
+    size = int(coded.agg(F.sum(F.length("symbols") / 2 - 1)).first()[0] or 0)
     if not size:
         return net
     epochs = int(min(MAX_EPOCHS, max(1, MIN_TOKENS // size)))
     shards = int(min(MAX_SHARDS, max(1, size // SHARD_TOKENS)))
-    dealt = written(texts.repartition(shards, "key").sortWithinPartitions("key"), "lm-shards") if shards > 1 else texts.coalesce(1)
-    for _ in range(ROUNDS):
+    for part in range(ROUNDS) if epochs == 1 else [None]:
+        own = coded if part is None else coded.where(F.pmod(F.shiftright("key", 32), F.lit(ROUNDS)) == part)
+        dealt = own.select("key", "symbols").repartition(shards, "key").sortWithinPartitions(_long_first(), "key", "symbols").select("symbols")
         total, sums = 0, None
-        for r in dealt.mapInPandas(_training(net.pack(), epochs), "n long, net binary").toLocalIterator():  # a row a shard
+        for r in written(dealt.mapInPandas(_training(net.pack(), epochs), "n long, net binary"), "lm-nets").toLocalIterator():
             flat = np.frombuffer(r.net, dtype=np.float32).astype(np.float64) * r.n
             total, sums = total + r.n, flat if sums is None else sums + flat
         if total:
@@ -293,78 +431,64 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Network:
     return net
 
 
+def _scores(net: Network, docs: Iterator[tuple[int, np.ndarray]], lanes: int | None = None) -> Iterator[tuple[int, float]]:
+    """(number, log10 probability) of documents (symbols, END last), each as soon as it is over."""
+    sums: dict[int, float] = {}
+    h = np.zeros((0, HIDDEN), dtype=np.float32)
+    for kept, ids, target, owner in Lanes(docs, lanes):
+        h = np.zeros((ids.shape[1], HIDDEN), dtype=np.float32) if kept is None else h[kept]
+        states = net.states(ids, h)[1]
+        h, valid = states[-1], owner >= 0
+        log_p = net.log_p(states.reshape(-1, HIDDEN), target.ravel()).reshape(target.shape)
+        log_p[~valid] = 0.0
+        over = (target == END) & valid
+        rest = np.ones(ids.shape[1], dtype=bool)  # lanes in which no document ends are summed at once
+        rest[over.any(0)] = False
+        for who, s in zip(owner[0, rest].tolist(), log_p[:, rest].sum(0).tolist()):
+            sums[who] = sums.get(who, 0.0) + s
+        for k in np.flatnonzero(~rest).tolist():
+            lo = 0
+            for hi in [*(np.flatnonzero(over[:, k]) + 1).tolist(), int(valid[:, k].sum())]:
+                if hi > lo:
+                    who = int(owner[lo, k])
+                    sums[who] = sums.get(who, 0.0) + float(log_p[lo:hi, k].sum())
+                    if over[hi - 1, k]:
+                        yield who, sums.pop(who) / math.log(10)
+                lo = hi
+
+
 def score_symbols(net: Network, rows: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each row of symbols (the last one END), all of a row with one state carried through."""
-    if not rows:
-        return np.empty(0)
-    sizes = np.array([len(r) for r in rows])
-    lanes: list[list[int]] = [[] for _ in range(min(512, len(rows)))]
-    load = [(0, k) for k in range(len(lanes))]
-    for i in np.argsort(-sizes, kind="stable").tolist():
-        n, k = heapq.heappop(load)
-        lanes[k].append(i)
-        heapq.heappush(load, (n + len(rows[i]), k))
-    lanes.sort(key=lambda x: -int(sizes[x].sum()))
-    length = [int(sizes[x].sum()) for x in lanes]
-    steps = length[0]
-    active = np.searchsorted(-np.array(length), -np.arange(steps), side="left")  # lanes longer than t
-    first = np.concatenate(([0], np.cumsum(active)))
-    target = np.empty(int(first[-1]), dtype=np.int16)
-    doc = np.empty(int(first[-1]), dtype=np.int32)
-    for k, own in enumerate(lanes):
-        at = first[: length[k]] + k
-        target[at] = np.concatenate([rows[i] for i in own])
-        doc[at] = np.repeat(own, sizes[own])
-    x, out = net.p["x"], np.zeros(len(rows))
-    h, last = np.zeros((len(lanes), HIDDEN), dtype=np.float32), np.full(len(lanes), END, dtype=np.int64)
-    states, since = [], 0
-    with np.errstate(over="ignore"):
-        for t in range(steps):
-            a, lo = int(active[t]), int(first[t])
-            h, last = h[:a], last[:a]
-            if (new := np.flatnonzero(last == END)).size:  # a document begins
-                h = h.copy()
-                h[new] = 0.0
-            h = net.step(x[last], h)
-            states.append(h)
-            last = target[lo : lo + a].astype(np.int64)
-            if lo + a - since > 60_000 or t + 1 == steps:
-                part = net.log_p(np.concatenate(states), target[since : lo + a].astype(np.int64))
-                out += np.bincount(doc[since : lo + a], weights=part, minlength=len(rows))
-                states, since = [], lo + a
-    return out / math.log(10)
-
-
-def _scoring(lexicon: Lexicon, net_bytes: bytes):
+    out = np.zeros(len(rows))
+    for k, s in _scores(net, enumerate(rows)):
+        out[k] = s
+    return out
+
+
+def _scoring(net_bytes: bytes):
+    """(rid, symbols) to (rid, score); rows come as their documents end."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network.unpack(net_bytes)
-        end = lexicon.words[b""]
-        for b in batches:
-            texts, lo = b.column(1), 0
-            while lo < b.num_rows:
-                hi, size, rows, known, base, rare = lo, 0, [], [], [], []
-                while hi < b.num_rows and size < BATCH_TOKENS:
-                    w = tokens(texts[hi].as_py())
-                    found = np.append(lexicon.look_up(w), end)
-                    symbols, inside = lexicon.symbols(found).astype(np.int16), found >= 0
-                    logs = lexicon.base[found[inside]]
-                    other = (symbols == OTHER) & inside
-                    rows.append(symbols)
-                    known.append(int(inside.sum()))
-                    base.append((float(logs.sum()), float(lexicon.base[found[other]].sum()) - lexicon.log_other * int((symbols == OTHER).sum())))
-                    rare.append([w[k] for k in np.flatnonzero(~inside).tolist()])
-                    size += len(found)
-                    hi += 1
-                scores = score_symbols(net, rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0).slice(lo, hi - lo), pa.array([len(r) for r in rows], pa.int64()), pa.array(known, pa.int64()),
-                        pa.array([x for x, _ in base], pa.float64()), pa.array([s + y for s, (_, y) in zip(scores.tolist(), base)], pa.float64()),
-                        pa.array(rare, pa.list_(pa.binary())).cast(pa.list_(pa.string())),
-                    ],
-                    names=["rid", "n_tokens", "known", "base", "score", "rare"],
-                )
-                lo = hi
+        rids: dict[int, int] = {}
+
+        def docs() -> Iterator[tuple[int, np.ndarray]]:
+            n = 0
+            for b in batches:
+                for rid, s in zip(b.column(0), b.column(1)):
+                    rids[n] = rid.as_py()
+                    yield n, np.frombuffer(s.as_py(), dtype=np.int16)[1:]
+                    n += 1
+
+        def out(rows: list[tuple[int, float]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.float64())], names=["rid", "net"])
+
+        rows: list[tuple[int, float]] = []
+        for k, s in _scores(Network.unpack(net_bytes), docs()):
+            rows.append((rids.pop(k), s))
+            if len(rows) == 10_000:
+                yield out(rows)
+                rows = []
+        yield out(rows)
 
     return run
 
@@ -391,29 +515,28 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     training document base_score and score are 0. Rows that repeat are scored one by one, alike. Other columns are
     ignored. An empty table gives an empty result.
     """
-    held = F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("rid")).withColumn("held_out", held)
-    training = rows.where(~F.col("held_out"))
-    counts = written(count_words(training), "lm-counts")
+    held = F.coalesce(crc_mod(id_col, 10) == 0, F.lit(False))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    counts = written(count_words(rows.where(~F.col("held_out"))), "lm-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     lexicon = Lexicon(frequent(counts), total, distinct)
-    key = F.xxhash64("doc_id", F.lit("span")).bitwiseAND(F.lit((1 << 62) - 1))
-    net = train(training.select(key.alias("key"), "text"), lexicon) if total else Network.start(lexicon.counts)
-    scored = written(rows.select("rid", "text").mapInArrow(_scoring(lexicon, net.pack()), "rid long, n_tokens long, known long, base double, score double, rare array<string>"), "lm-scores")
-
-    floor = lexicon.floor
-    own = F.log10((F.coalesce("n", F.lit(0)) + ALPHA) / floor)
-    rare = scored.select("rid", F.explode("rare").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("times"))
+    schema = T.StructType([*rows.drop("text").schema, *T.StructType.fromDDL(CODED)])
+    coded = written(rows.mapInArrow(_symbols(lexicon), schema), "lm-symbols")
+    learned = coded.where(~F.col("held_out")).select(F.xxhash64("doc_id", "symbols").alias("key"), "symbols")
+    net = train(learned, lexicon) if total else Network.start(lexicon.counts)
+    nets = coded.select("rid", "symbols").sortWithinPartitions(_long_first()).mapInArrow(_scoring(net.pack()), "rid long, net double")
+
+    own = F.log10((F.coalesce("n", F.lit(0)) + ALPHA) / lexicon.floor)
+    rare = coded.select("rid", F.explode("rare").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("times"))
     more = (
         rare.join(counts, "word", "left").groupBy("rid")
         .agg(F.sum(own * F.col("times")).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
     )
-    ids = rows.select("rid", "doc_id", "held_out")
     zero = F.lit(0.0)
     add = F.coalesce("more", zero)
     known = F.coalesce("more_known", F.lit(0)) + F.col("known") - F.lit(0 if total else 1)
-    out = ids.join(scored.drop("rare"), "rid").join(more, "rid", "left")
+    out = coded.drop("rare", "symbols").join(written(nets, "lm-scores"), "rid").join(more, "rid", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + add if total else zero).alias("base_score"), (F.col("score") + add if total else zero).alias("score"),
+        (F.col("base") + add if total else zero).alias("base_score"), (F.col("net") + F.col("other") + add if total else zero).alias("score"),
     )
