@@ -48,6 +48,8 @@ LEARNING_RATE = 1e-2
 DICTIONARY, WORD_BYTES = 1 << 17, 64
 #: Words of a task's count table that are held before they are passed on.
 HELD = 300_000
+#: Tokens of a window in scoring, where windows are only a matter of speed.
+SCORED = 8
 #: Windows that the lanes are filled for at a time.
 AHEAD = 32
 ALPHA = 0.1
@@ -64,6 +66,10 @@ def _slices(kinds: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     return np.argsort(kinds.astype(np.uint8), kind="stable"), [(c, lo, hi) for c, (lo, hi) in enumerate(zip([0, *ends], ends)) if hi > lo]
 
 
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)  # a product is faster than a sum over short rows
+
+
 class Network:
     """Parameters: x (input projections of the symbols, gates z, r and candidate n), u, class and word outputs.
 
@@ -118,21 +124,27 @@ class Network:
         out += n
         return out
 
-    def states(self, ids: np.ndarray, h0: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Over ids [time, lane] from h0: the states before and after each step, projections of the states before, gates,
-        candidates. A lane whose input is END begins a document: its state before is 0."""
-        (steps, lanes), kind = ids.shape, self.p["u"].dtype
-        x = self.p["x"].take(ids.ravel(), axis=0).reshape(steps, lanes, 3 * HIDDEN)
-        before, after, n = (np.empty((steps, lanes, HIDDEN), kind) for _ in range(3))
-        g, zr = np.empty((steps, lanes, 3 * HIDDEN), kind), np.empty((steps, lanes, 2 * HIDDEN), kind)
+    def states(self, ids: np.ndarray, h0: np.ndarray, keep: bool = True) -> tuple[np.ndarray, ...]:
+        """Over ids [time, lane] from h0: the states after each step, and (keep: of all steps, else of the last) the states
+        before, projections of those onto the candidate, gates, candidates. A lane whose input is END begins a document: its
+        state before is 0."""
+        (steps, lanes), kind, x, u = ids.shape, self.p["u"].dtype, self.p["x"], self.p["u"]
+        after, kept = np.empty((steps, lanes, HIDDEN), kind), steps if keep else 1
+        before, gn, n = (np.empty((kept, lanes, HIDDEN), kind) for _ in range(3))
+        zr, xs, g = np.empty((kept, lanes, 2 * HIDDEN), kind), np.empty((lanes, 3 * HIDDEN), kind), np.empty((lanes, 3 * HIDDEN), kind)
         starts = ids == END
         some = starts.any(1).tolist()
         for t in range(steps):
-            before[t] = after[t - 1] if t else h0
+            k = t if keep else 0
+            h = before[k]
+            h[:] = after[t - 1] if t else h0
             if some[t]:
-                before[t][starts[t]] = 0.0
-            self._step(x[t], before[t], np.matmul(before[t], self.p["u"], out=g[t]), zr[t], n[t], after[t])
-        return before, after, g, zr, n
+                h[starts[t]] = 0.0
+            np.take(x, ids[t], axis=0, out=xs, mode="clip")
+            np.matmul(h, u, out=g)
+            gn[k] = g[:, 2 * HIDDEN :]
+            self._step(xs, h, g, zr[k], n[k], after[t])
+        return after, before, gn, zr, n
 
     def log_p(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target symbol after state h."""
@@ -141,30 +153,30 @@ class Network:
         logits = h @ p["wc"]
         logits += p["bc"]
         out = logits[n, cls].astype(np.float64)
-        out -= np.log(np.exp(logits, out=logits).sum(1, dtype=np.float64))
+        out -= np.log(_row_sums(np.exp(logits, out=logits)))
         order, parts = _slices(cls)
         h, word, logits = h.take(order, axis=0), word[order], np.empty((len(target), CLASS_SIZE), h.dtype)
         for c, lo, hi in parts:
             np.matmul(h[lo:hi], p["ww"][c], out=logits[lo:hi])
             logits[lo:hi] += p["bw"][c]
         own = logits[n, word]
-        out[order] += own.astype(np.float64) - np.log(np.exp(logits, out=logits).sum(1, dtype=np.float64))
+        out[order] += own.astype(np.float64) - np.log(_row_sums(np.exp(logits, out=logits)))
         return out
 
     def gradients(self, ids: np.ndarray, target: np.ndarray, valid: np.ndarray, h0: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
         """Of the mean loss over a window: ids, target, valid [time, lane]; state before it. Also the state after it, and the loss."""
         p, (steps, lanes) = self.p, ids.shape
-        before, after, g, zr, n = self.states(ids, h0)
+        after, before, gn, zr, n = self.states(ids, h0)
         d, dh_all, loss = self._output_gradients(after.reshape(-1, HIDDEN), target.ravel(), valid.ravel())
         dh_all = dh_all.reshape(steps, lanes, HIDDEN)
         z, r = zr[:, :, :HIDDEN], zr[:, :, HIDDEN:]
-        by_z, by_n, by_r = (before - n) * z, 1 - n * n, g[:, :, 2 * HIDDEN :] * r  # each times what the gate's slope leaves
+        by_z, by_n, by_r = (before - n) * z, 1 - n * n, gn * r  # each times what the gate's slope leaves
         by_z *= 2 * (1 - z)
         by_n *= 1 - z
         by_r *= 2 * (1 - r)
-        dg, dn, starts = np.empty_like(g), np.empty_like(n), ids == END
+        dg, dn, starts = np.empty((steps, lanes, 3 * HIDDEN), n.dtype), np.empty_like(n), ids == END
         some = starts.any(1).tolist()
-        back, dh, more = np.ascontiguousarray(p["u"].T), np.zeros((lanes, HIDDEN), g.dtype), np.empty((lanes, HIDDEN), g.dtype)
+        back, dh, more = np.ascontiguousarray(p["u"].T), np.zeros((lanes, HIDDEN), n.dtype), np.empty((lanes, HIDDEN), n.dtype)
         for t in range(steps - 1, -1, -1):
             dh += dh_all[t]
             np.multiply(dh, by_z[t], out=dg[t, :, :HIDDEN])
@@ -178,12 +190,16 @@ class Network:
         flat = dg.reshape(-1, 3 * HIDDEN)
         d["u"] = before.reshape(-1, HIDDEN).T @ flat
         dg[:, :, 2 * HIDDEN :] = dn  # from here on the gradients of the inputs
-        seen = ids.ravel()
-        order = np.argsort(seen.astype(np.int16), kind="stable")
-        seen = seen[order]
-        first = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1])))
         d["x"] = np.zeros_like(p["x"])
-        d["x"][seen[first]] = np.add.reduceat(flat.take(order, axis=0), first, axis=0)
+        common = ids.ravel() == OTHER  # about half of all, summed by a product
+        d["x"][OTHER] = common.astype(flat.dtype) @ flat
+        rest = np.flatnonzero(~common)
+        seen = ids.ravel()[rest].astype(np.int16)
+        order = np.argsort(seen, kind="stable")
+        seen = seen[order]
+        first = np.flatnonzero(np.concatenate(([True], seen[1:] != seen[:-1]))) if len(seen) else rest
+        if len(first):
+            d["x"][seen[first]] = np.add.reduceat(flat.take(rest[order], axis=0), first, axis=0)
         return d, after[-1], loss
 
     def _output_gradients(self, h: np.ndarray, target: np.ndarray, valid: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
@@ -194,7 +210,7 @@ class Network:
         soft = h @ p["wc"]
         soft += p["bc"]
         np.exp(soft, out=soft)
-        soft /= soft.sum(1, keepdims=True)
+        soft /= _row_sums(soft)[:, None]
         loss = -float((np.log(soft[n, cls]) * scale).sum())
         soft[n, cls] -= 1.0
         soft *= scale[:, None]
@@ -206,7 +222,7 @@ class Network:
             np.matmul(h[lo:hi], p["ww"][c], out=soft[lo:hi])
             soft[lo:hi] += p["bw"][c]
         np.exp(soft, out=soft)
-        soft /= soft.sum(1, keepdims=True)
+        soft /= _row_sums(soft)[:, None]
         loss -= float((np.log(soft[n, word]) * scale).sum())
         soft[n, word] -= 1.0
         soft *= scale[:, None]
@@ -274,17 +290,28 @@ class Trainer:
         self.net, self.rate, self.t = net, rate, 0
         self.m = {k: np.zeros(s, dtype=np.float32) for k, s in Network.SHAPES.items()}
         self.v = {k: np.zeros(s, dtype=np.float32) for k, s in Network.SHAPES.items()}
+        self.room = {k: np.empty(s, dtype=np.float32) for k, s in Network.SHAPES.items()}
 
     def update(self, d: dict[str, np.ndarray]) -> None:
         norm = math.sqrt(sum(float(np.vdot(g, g)) for g in d.values()))
         shrink = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
         self.t += 1
         step = np.float32(self.rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
-        for k, g in d.items():
+        for k, g in d.items():  # in place: m += 0.1 (g - m), v += 0.001 (g * g - v), p -= step * m / sqrt(v)
+            m, v, room = self.m[k], self.v[k], self.room[k]
             g *= shrink
-            self.m[k] += np.float32(0.1) * (g - self.m[k])
-            self.v[k] += np.float32(0.001) * (g * g - self.v[k])
-            self.net.p[k] -= step * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-6))
+            np.subtract(g, m, out=room)
+            room *= np.float32(0.1)
+            m += room
+            g *= g
+            g -= v
+            g *= np.float32(0.001)
+            v += g
+            np.sqrt(v, out=room)
+            room += np.float32(1e-6)
+            np.divide(m, room, out=room)
+            room *= step
+            self.net.p[k] -= room
 
     def texts(self, rows: Iterator[np.ndarray]) -> int:
         """One update a window over all lanes; rows: symbols, END before and after. Returns the tokens trained on.
@@ -435,9 +462,9 @@ def _scores(net: Network, docs: Iterator[tuple[int, np.ndarray]], lanes: int | N
     """(number, log10 probability) of documents (symbols, END last), each as soon as it is over."""
     sums: dict[int, float] = {}
     h = np.zeros((0, HIDDEN), dtype=np.float32)
-    for kept, ids, target, owner in Lanes(docs, lanes):
+    for kept, ids, target, owner in Lanes(docs, lanes, SCORED):
         h = np.zeros((ids.shape[1], HIDDEN), dtype=np.float32) if kept is None else h[kept]
-        states = net.states(ids, h)[1]
+        states = net.states(ids, h, keep=False)[0]
         h, valid = states[-1], owner >= 0
         log_p = net.log_p(states.reshape(-1, HIDDEN), target.ravel()).reshape(target.shape)
         log_p[~valid] = 0.0
