@@ -2,8 +2,8 @@
 
 A text's segmentations into pieces of a given vocabulary form a lattice. Blanks become the mark U+2581, one more comes
 first, and a character without a piece is a run of byte pieces. No piece holds a mark after another character, so the
-lattice is a chain of units, one a word, and each distinct unit's lattice is built once a batch. A piece's log
-probability follows Zipf's law over its merge rank (a byte-pair model stores ranks, no probabilities), and the backward
+lattice is a chain of units, one a word, and each distinct unit's lattice is built once a batch; units that come back in
+a later batch are kept, up to KEPT of them. A piece's log probability follows Zipf's law over its merge rank (a byte-pair model stores ranks, no probabilities), and the backward
 sums of a unit give exact conditional probabilities of the next piece.
 
 The k segmentations with the largest Gumbel-perturbed log probabilities are found by a best-first (A*) search with no
@@ -20,13 +20,13 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,11 +34,13 @@ from skein.llm.common import release, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Stands for a literal U+2581 of the text, which is encoded by its bytes; a noncharacter.
-LITERAL_MARK = "\U0010ffff"
+#: Stands for a literal U+2581 of the text, which is encoded by its bytes: a lone surrogate, which no text holds.
+LITERAL_MARK = "\ud800"
 SAMPLES = 2
 #: Words that are segmented at a time.
 BATCH_WORDS = 100_000
+#: Units whose lattices a worker keeps, characters of them, and places of the table that tells which units have come before.
+KEPT, KEPT_CHARS, BEFORE = 50_000, 500_000, 1 << 22
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -77,7 +79,7 @@ def units(text: str) -> list[str]:
 
 
 class Vocabulary:
-    """Piece hashes in an open-addressed table, weights, and byte pieces."""
+    """Hashes of pieces and of their beginnings in an open-addressed table, weights, and byte pieces."""
 
     def __init__(self, pieces: list[tuple[str, float]]):
         self.bytes_at = np.zeros(256, dtype=np.int32)
@@ -98,11 +100,15 @@ class Vocabulary:
         self.byte_weight = float(self.weight[0])
         self.slots = np.zeros(1 << _SLOT_BITS, dtype=np.uint64)
         self.ids = np.zeros(1 << _SLOT_BITS, dtype=np.int32)
+        known: dict[int, int] = {}  # of all pieces and their beginnings, which are no pieces: -1
         for p, i, rank in normal:
             self.weight[i] = -math.log(1.0 + rank) - total
             h = 0
             for c in p:
                 h = (h * int(_BASE) + ord(c) + 1) % (1 << 64)
+                known.setdefault(h, -1)
+            known[h] = i
+        for h, i in known.items():
             at = self._slot(h)
             while self.slots[at]:
                 at = (at + 1) % len(self.slots)
@@ -113,11 +119,11 @@ class Vocabulary:
         return ((h * int(_STEP)) % (1 << 64)) >> (64 - _SLOT_BITS)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece ids of hashes, -1 where there is none."""
+        """Piece ids of hashes, -1 for what only begins a piece, -2 for others."""
         at = (h * _STEP >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
         got = self.slots[at]
         hit = got == h
-        out = np.where(hit, self.ids[at], np.int32(-1))
+        out = np.where(hit, self.ids[at], np.int32(-2))
         open_ = np.flatnonzero(~hit & (got != 0))
         while len(open_):
             at[open_] = (at[open_] + 1) % len(self.slots)
@@ -129,23 +135,47 @@ class Vocabulary:
 
 
 class Lattice:
-    """The lattices of distinct units: states are the characters' places, ordered by their distance to the unit's end.
+    """The lattices of distinct units: states are the characters' places, of the units added together ordered by their
+    distance to the unit's end.
 
     Edges of a state lie together, longest first: piece id (below 0: -1 less the code point whose bytes it stands for),
     next state (-1: the end), log probability given the state, and its running sum of probabilities (in single precision:
-    draws tell probabilities of 2**-24 apart).
+    draws tell probabilities of 2**-24 apart). cut() takes off the units that were added last.
     """
 
-    def __init__(self, vocab: Vocabulary, names: list[str]):
+    #: Arrays by unit, state (first: of one more) and edge.
+    ARRAYS = {"root": (0, np.int32), "first": (1, np.int64), "piece": (2, np.int32), "next": (2, np.int32), "state": (2, np.int32), "log_p": (2, np.float64), "up_to": (2, np.float32)}
+
+    def __init__(self, vocab: Vocabulary, names: list[str] = ()):
+        self.vocab, self.sizes = vocab, (0, 0, 0)
+        for name, (_, kind) in self.ARRAYS.items():
+            setattr(self, name, np.zeros(1, dtype=kind))
+        if names:
+            self.add(names)
+
+    def cut(self, sizes: tuple[int, int, int]) -> None:
+        """Back to the units, states and edges that self.sizes were."""
+        self.sizes = sizes
+
+    def _grow(self, sizes: tuple[int, int, int]) -> None:
+        for name, (by, _) in self.ARRAYS.items():
+            old, need = getattr(self, name), sizes[by] + 1
+            if need > len(old):
+                new = np.zeros(need + need // 4, dtype=old.dtype)
+                new[: self.sizes[by] + 1] = old[: self.sizes[by] + 1]
+                setattr(self, name, new)
+
+    def add(self, names: list[str]) -> None:
+        """Units that are not there yet; they are numbered on."""
+        vocab = self.vocab
         sizes = np.fromiter(map(len, names), dtype=np.int64, count=len(names))
-        codes = np.frombuffer("".join(names).encode("utf-32-le"), dtype=np.uint32)
+        codes = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         ends = np.cumsum(sizes)
         n = len(codes)
         rem = (np.repeat(ends, sizes) - np.arange(n)).astype(np.int32)
         by_rem = np.argsort(rem.astype(np.uint16) if n and rem.max() < 1 << 16 else rem, kind="stable")
         state = np.empty(n, dtype=np.int32)
         state[by_rem] = np.arange(n, dtype=np.int32)
-        self.root = state[ends - sizes]
         # Pieces by length: places where a piece of that many characters starts.
         found: list[tuple[np.ndarray, int, np.ndarray]] = []
         h, live, symbols = np.zeros(n, dtype=np.uint64), np.arange(n, dtype=np.int32), codes.astype(np.uint64) + np.uint64(1)
@@ -164,55 +194,63 @@ class Lattice:
                 h[live] = own
             ids = vocab.find(own)
             if length == 1:
-                ids[codes[live] == ord(LITERAL_MARK)] = -1
+                ids[codes[live] == ord(LITERAL_MARK)] = -2
                 found.append((live, 1, ids))
                 degree += 1
             else:
                 at = np.flatnonzero(ids >= 0)
                 found.append((live[at], length, ids[at]))
                 degree[found[-1][0]] += 1
-        self.first = np.zeros(n + 1, dtype=np.int64)
-        np.cumsum(degree[by_rem], out=self.first[1:])
-        edges = int(self.first[-1])
-        self.piece, self.next, w = np.empty(edges, dtype=np.int32), np.empty(edges, dtype=np.int32), np.empty(edges)
-        fill = self.first[:-1].copy()
+            live = live[ids > -2]  # places where no longer piece begins are done with
+        units, states, edges = self.sizes
+        first = np.zeros(n + 1, dtype=np.int64)
+        np.cumsum(degree[by_rem], out=first[1:])
+        new = int(first[-1])
+        self._grow((units + len(names), states + n, edges + new))
+        self.root[units : units + len(names)] = state[ends - sizes] + states
+        self.first[states : states + n + 1] = first + edges
+        piece, next_, w = self.piece[edges : edges + new], np.empty(new, dtype=np.int32), np.empty(new)
+        fill = first[:-1].copy()
         for places, length, ids in reversed(found):
             s = state[places]
             e = fill[s]
             fill[s] += 1
-            self.piece[e] = ids
-            self.next[e] = np.where(rem[places] == length, -1, state[np.minimum(places + length, n - 1)])
+            piece[e] = ids
+            next_[e] = np.where(rem[places] == length, -1, state[np.minimum(places + length, n - 1)])
             w[e] = vocab.weight[ids]
             if length == 1 and (raw := np.flatnonzero(ids < 0)).size:
                 c = codes[places[raw]]
                 c = np.where(c == ord(LITERAL_MARK), ord(MARK), c)
                 width = 1 + (c > 0x7F).astype(np.int64) + (c > 0x7FF) + (c > 0xFFFF)
-                self.piece[e[raw]] = -1 - c.astype(np.int32)
+                piece[e[raw]] = -1 - c.astype(np.int32)
                 w[e[raw]] = vocab.byte_weight * width
         del found, h, symbols, fill
         degree = degree[by_rem]
         back = np.zeros(n + 1)  # the last one, reached by -1, is the end
-        p = np.empty(edges)
+        p = np.empty(new)
         steps = np.bincount(rem, minlength=1).cumsum() if n else np.zeros(1, dtype=np.int64)
         for a, b in zip(steps[:-1], steps[1:]):
             if a == b:
                 continue
-            lo, hi = self.first[a], self.first[b]
-            starts, sizes_ = self.first[a:b] - lo, degree[a:b]
-            x = w[lo:hi] + back[self.next[lo:hi]]
+            lo, hi = first[a], first[b]
+            starts, sizes_ = first[a:b] - lo, degree[a:b]
+            x = w[lo:hi] + back[next_[lo:hi]]
             top = np.maximum.reduceat(x, starts)
             share = np.exp(x - np.repeat(top, sizes_))
             total = np.add.reduceat(share, starts)
             back[a:b] = top + np.log(total)
             p[lo:hi] = share / np.repeat(total, sizes_)
             w[lo:hi] = x - np.repeat(back[a:b], sizes_)
-        self.state = np.repeat(np.arange(n, dtype=np.int32), degree)
-        self.log_p = np.minimum(w, 0.0, out=w)
+        self.next[edges : edges + new] = np.where(next_ >= 0, next_ + states, -1)
+        self.state[edges : edges + new] = np.repeat(np.arange(states, states + n, dtype=np.int32), degree)
+        np.minimum(w, 0.0, out=self.log_p[edges : edges + new])
         run = np.cumsum(p, out=p)
-        run -= np.repeat(np.concatenate(([0.0], run))[self.first[:-1]], degree)
-        self.up_to = run.astype(np.float32)
-        if edges:
-            self.up_to[self.first[1:] - 1] = 2.0  # the last edge takes what rounding leaves
+        run -= np.repeat(np.concatenate(([0.0], run))[first[:-1]], degree)
+        up_to = self.up_to[edges : edges + new]
+        up_to[:] = run
+        if new:
+            up_to[first[1:] - 1] = 2.0  # the last edge takes what rounding leaves
+        self.sizes = (units + len(names), states + n, edges + new)
 
     def log_rest(self, e: np.ndarray) -> np.ndarray:
         """Log probability of an edge's siblings together, -inf if it has none."""
@@ -357,8 +395,10 @@ def _expand(lattice: Lattice, r: _Row, k: int) -> None:
 class Segmenter:
     """Sampled segmentations of batches of texts."""
 
-    def __init__(self, pieces: list[tuple[str, float]], samples: int = SAMPLES):
-        self.vocab, self.samples = Vocabulary(pieces), samples
+    def __init__(self, pieces: list[tuple[str, float]] | Vocabulary, samples: int = SAMPLES):
+        self.vocab, self.samples = pieces if isinstance(pieces, Vocabulary) else Vocabulary(pieces), samples
+        self.lattice, self.known, self.before = Lattice(self.vocab), {}, np.zeros(BEFORE, dtype=bool)
+        self.kept = self.lattice.sizes
 
     def ids(self, lattice: Lattice, path: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of the edges, bytes spelled out, and where each edge's ids begin (and the last one's end)."""
@@ -380,15 +420,36 @@ class Segmenter:
             out[at[raw[m]] + k] = self.vocab.bytes_at[byte]
         return out, at
 
+    def _numbered(self, words: list[str]) -> np.ndarray:
+        """The number of each word's unit; lattices of units that are new here are added, those that are not to be kept last."""
+        out = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+        new = np.flatnonzero(out < 0).tolist()
+        fresh = list(dict.fromkeys(map(words.__getitem__, new)))
+        at = np.fromiter(map(hash, fresh), dtype=np.int64, count=len(fresh)) & (BEFORE - 1)
+        back = self.before[at]
+        self.before[at] = True
+        room = min(KEPT - len(self.known), int(np.searchsorted(np.cumsum([len(u) * b for u, b in zip(fresh, back.tolist())]), KEPT_CHARS - self.lattice.sizes[1])))
+        stay = list(compress(fresh, back.tolist()))[: max(0, room)]
+        self.known.update(zip(stay, range(len(self.known), len(self.known) + len(stay))))
+        if stay:
+            self.lattice.add(stay)
+        self.kept = self.lattice.sizes
+        go = [u for u in fresh if u not in self.known] if stay else fresh
+        if go:
+            self.lattice.add(go)
+        number = dict(zip(go, range(len(self.known), len(self.known) + len(go))))
+        number.update((u, self.known[u]) for u in stay)
+        out[new] = [number[words[k]] for k in new]
+        return out
+
     def sample(self, keys: list[int], texts: list[str]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to `samples` (ids, log_prob, perturbed, log_inclusion), best first."""
-        known: dict[str, int] = defaultdict(count().__next__)
-        rows = []
-        for key, text in zip(keys, texts):
-            u = units(text)
-            rows.append(_Row(key % (1 << 64), np.fromiter(map(known.__getitem__, u), dtype=np.int64, count=len(u))))
+        words = [units(text) for text in texts]
+        ends = np.cumsum([len(u) for u in words], dtype=np.int64).tolist()
         with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-            lattice = Lattice(self.vocab, list(known))
+            numbers, lattice = self._numbered(list(chain.from_iterable(words))), self.lattice
+            rows = [_Row(key % (1 << 64), numbers[a:b]) for key, a, b in zip(keys, [0, *ends], ends)]
+            del words
             search(lattice, rows, self.samples)
         paths = [path for r in rows for path in r.paths]
         flat = np.concatenate(paths) if paths else np.empty(0, dtype=np.int64)
@@ -404,12 +465,14 @@ class Segmenter:
                 got.append((ids[cuts[k] : cuts[k + 1]], log_p, g, inclusion))
                 k += 1
             out.append(got)
+        lattice.cut(self.kept)
         return out
 
 
-def _encoder(pieces, samples: int):
+def _encoder(vocab: Vocabulary, samples: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(pieces, samples)
+        segmenter = Segmenter(vocab, samples)
+        raw = pa.array(segmenter.vocab.raw, pa.binary())
         for b in batches:
             ids, keys, texts = b.column(0), b.column(1).to_pylist(), b.column(2)
             lo = 0
@@ -423,32 +486,40 @@ def _encoder(pieces, samples: int):
                 row = [k for k, got in enumerate(found) for _ in got]
                 flat = [x for got in found for x in got]
                 sizes = np.fromiter((len(x[0]) for x in flat), dtype=np.int64, count=len(flat))
+                pieces_of = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate([x[0] for x in flat]) if flat else np.empty(0, np.int32), pa.int32()))
+                same = pc.equal(joined(raw, pieces_of), pa.array([b" " + some[k].encode() if some[k] else b"" for k in row], pa.binary()))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, hi - lo).take(pa.array(row, pa.int64())),
                         pa.array([k for got in found for k in range(1, len(got) + 1)], pa.int32()),
-                        pa.array(sizes),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate([x[0] for x in flat]) if flat else np.empty(0, np.int32), pa.int32())),
-                        *(pa.array([x[k] for x in flat], pa.float64()) for k in (1, 2, 3)),
+                        pa.array(sizes), pieces_of, *(pa.array([x[k] for x in flat], pa.float64()) for k in (1, 2, 3)), same,
                     ],
-                    names=["doc_id", "sample", "n_pieces", "ids", "log_prob", "perturbed", "log_inclusion"],
+                    names=["doc_id", "sample", "n_pieces", "ids", "log_prob", "perturbed", "log_inclusion", "round_trip"],
                 )
                 lo = hi
-                del found, flat, some
+                del found, flat, some, pieces_of, same
                 release()
 
     return run
 
 
 def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, samples: int = SAMPLES) -> DataFrame:
-    """doc_id, sample (1 is the best), n_pieces, ids, log_prob, perturbed, log_inclusion: up to `samples` rows per input row.
+    """doc_id, sample (1 is the best), n_pieces, ids, log_prob, perturbed, log_inclusion, round_trip: up to `samples` rows per
+    input row. round_trip: whether the pieces decode to the text again.
 
     Texts with fewer segmentations have fewer rows, at least one; null text counts as empty, whose one segmentation has
     no pieces. Rows that repeat an id and text have equal samples. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit("pieces"), F.col(id_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encoder(load_pieces(model), samples), "doc_id long, sample int, n_pieces long, ids array<int>, log_prob double, perturbed double, log_inclusion double")
+    return rows.mapInArrow(_encoder(Vocabulary(load_pieces(model)), samples), "doc_id long, sample int, n_pieces long, ids array<int>, log_prob double, perturbed double, log_inclusion double, round_trip boolean")
+
+
+def joined(raw: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """The bytes that lists of piece ids stand for: a text's, with one blank more at its start if it is not empty."""
+    start, end = ids.offsets[0].as_py(), ids.offsets[-1].as_py()
+    parts = pa.ListArray.from_arrays(pc.subtract(ids.offsets, start), raw.take(ids.values.slice(start, end - start)))
+    return pc.binary_join(parts, b"")
 
 
 def decoded(raw: list[bytes], ids) -> str:
