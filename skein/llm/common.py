@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where tables go if spark.checkpoint.dir is unset, which is an error outside local mode.
 DEFAULT_SHARED = "/tmp/checkpoints/skein"
 
 #: The white space of the contracts: blank, and tab to carriage return.
@@ -16,10 +20,12 @@ SPACES = "\\x20\\x09-\\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a default where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; in local mode a default where that is unset (tests)."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         path = DEFAULT_SHARED
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(path)
@@ -36,7 +42,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._skein_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that written() has made and that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._skein_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Plans whose rows come in the same order whenever they are read.
+_SCANS = {"LogicalRelation", "Relation", "Project", "Filter", "Union", "LocalRelation", "Range", "SubqueryAlias", "View"}
+
+
+def stable(docs: DataFrame, name: str = "rows") -> DataFrame:
+    """docs if it is a scan (with deterministic projections, filters and unions), whose rows monotonically_increasing_id()
+    numbers alike each time; else docs written as a table."""
+
+    def scan(plan) -> bool:
+        children = plan.children()
+        kind = plan.getClass().getSimpleName()
+        fixed = kind in _SCANS or (kind == "LogicalRDD" and "ParallelCollectionRDD" in plan.rdd().toDebugString())
+        return fixed and plan.deterministic() and all(scan(children.apply(k)) for k in range(children.size()))
+
+    return docs if scan(docs._jdf.queryExecution().analyzed()) else written(docs, name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,13 +96,27 @@ def lower_ascii(col: Column) -> Column:
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to BATCH_ROWS and BATCH_BYTES; smaller settings stay."""
+@contextmanager
+def small_batches(spark: SparkSession, keep: bool = False) -> Iterator[None]:
+    """Arrow batches of at most BATCH_ROWS and BATCH_BYTES for the jobs that run inside; smaller settings stay.
+
+    keep: the session keeps them, for results that are computed when the caller asks for them.
+    """
+    before = {}
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key, None)
         size = int(now) if now and now.lstrip("-").isdigit() else 0
         if not 0 < size <= most:
+            before[key] = now
             spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        for key, now in ({} if keep else before).items():
+            if now is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, now)
 
 
 def release() -> None:

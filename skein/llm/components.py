@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import written
+from skein.llm.common import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,4 +37,5 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == last or not seen[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         last = seen
-        edges = written(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        before, edges = edges, written(_small_star(_large_star(edges).distinct()).distinct(), "edges")
+        discard(before)

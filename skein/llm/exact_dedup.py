@@ -1,14 +1,19 @@
 """Exact deduplication over a log-structured merge index [native].
 
-Each input task is a memtable: it flushes one run, a Parquet file of (digest, doc_id, rid) sorted by digest, with a
-Bloom filter and value range in the file's footer. Compaction merges all runs to one sorted level that keeps, for each
-digest, the smallest identifier and the count. A bitmap of the digests that occur more than once (fixed size, so it
-can be sent to every task; when it fills up it only lets more rows through) picks the rows that may be hits. Only
-those rows' texts are shuffled, joined with the text of the row that stays, and compared byte for byte. A hit whose
-bytes differ (a digest collision) is grouped by its own text instead.
+Digests are taken in MEMTABLES portions of the input, one after the other. A portion is a memtable: it is flushed as one
+run, a table of (digest, first, n) in files sorted by digest, with Parquet's Bloom filters and value ranges in their
+footers; `first` is the smallest identifier, n the rows. Each run has a filter too, a bitmap that is sent to the tasks:
+before a portion is flushed its digests are probed against the filters of the runs before, and those that may have been
+there are marked. Compaction merges, in order of digest, only what is marked and what its filter finds in the other runs;
+all else is in one run only and passes as it is.
+
+The digests that occur more than once give the hits. Only hits' texts are read again; they are shuffled, joined with the
+text of the row that stays, and compared byte for byte. A hit whose bytes differ (a digest collision) is grouped by its
+own text instead.
 
 Only DataFrame functions run; a hot digest is one row a task after map-side combining, and the verification join is
-one that adaptive execution can split.
+one that adaptive execution can split. Filters have two bits a key in FILTER_SHARE bits a key, up to 2**FILTER_BITS in
+all: beyond that they let more rows through, and results stay the same.
 """
 
 from __future__ import annotations
@@ -19,10 +24,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import fresh_path, text_or_empty, written
+from skein.llm.common import discard, fresh_path, stable, text_or_empty, written
 
-#: log2 of the bits of the duplicate filter: 2**23 bits are 131,072 longs, 1 MB.
-FILTER_BITS = 23
+#: Portions that are flushed as runs.
+MEMTABLES = 4
+#: Bits of a filter for each key, and log2 of the least and most bits in all (2**28 bits are 32 MB).
+FILTER_SHARE, FILTER_LEAST, FILTER_BITS = 16, 18, 28
 
 
 def normalised(col: Column) -> Column:
@@ -32,15 +39,15 @@ def normalised(col: Column) -> Column:
     return F.regexp_replace(col, " {2,}", " ")
 
 
-def _bits(key: Column, seed: int) -> Column:
-    return F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+def _bits(key: Column, seed: int, log2: int) -> Column:
+    return F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit((1 << log2) - 1))
 
 
-def build_filter(keys: DataFrame, key: str) -> DataFrame:
-    """One row, one array column `filter` of 2**FILTER_BITS / 64 longs with a bit for each key."""
-    words = (1 << FILTER_BITS) // 64
+def build_filter(keys: DataFrame, key: str, log2: int) -> DataFrame:
+    """One row, one array column `filter` of 2**log2 / 64 longs with two bits for each key."""
+    words = (1 << log2) // 64
     used = (
-        keys.select(_bits(F.col(key), 7).alias("_b"))
+        keys.select(F.explode(F.array(*[_bits(F.col(key), seed, log2) for seed in (7, 8)])).alias("_b"))
         .select(F.shiftright("_b", 6).alias("_w"), F.expr("shiftleft(1L, cast(_b & 63 as int))").alias("_v"))
         .groupBy("_w").agg(F.bit_or("_v").alias("_v"))
     )
@@ -54,14 +61,21 @@ def build_filter(keys: DataFrame, key: str) -> DataFrame:
 
 
 def probe(keys: DataFrame, key: str) -> Callable[[Column], Column]:
-    """A test of columns against the filter of keys: false only for what is surely not among them."""
+    """A test of columns against a filter of keys, sized by their number: false only for what is surely not among them."""
+    n = keys.count()
+    if not n:
+        return lambda col: F.lit(False)
+    log2 = min(FILTER_BITS, max(FILTER_LEAST, (FILTER_SHARE * n - 1).bit_length()))
     view = f"skein_filter_{uuid.uuid4().hex}"
-    written(build_filter(keys, key), "filter").createOrReplaceTempView(view)
+    written(build_filter(keys, key, log2).coalesce(1), "filter").createOrReplaceTempView(view)
 
     def test(col: Column) -> Column:
-        bit = _bits(col, 7)
-        word = F.get(F.expr(f"(SELECT filter FROM {view})"), F.shiftright(bit, 6).cast("int"))
-        return F.getbit(word, bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+        def has(seed: int) -> Column:
+            bit = _bits(col, seed, log2)
+            word = F.get(F.expr(f"(SELECT filter FROM {view})"), F.shiftright(bit, 6).cast("int"))
+            return F.getbit(word, bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+        return has(7) & has(8)
 
     return test
 
@@ -69,81 +83,99 @@ def probe(keys: DataFrame, key: str) -> Callable[[Column], Column]:
 class MergeIndex:
     """Runs of sorted digests under one folder of the shared store.
 
-    flush() may be called again and again, compact() at any time; lookup() joins new digests with the compacted level.
+    flush() adds a run, compact() merges all runs to one (it may be called at any time, and runs be flushed after it), and
+    lookup() finds digests: a run's filter is probed before the run is read.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         self.path = path or fresh_path(spark, "lsm")
-        self.runs: list[str] = []
-        self.level: DataFrame | None = None
-
-    def flush(self, entries: DataFrame) -> DataFrame:
-        """Writes entries (digest binary, doc_id, rid) as sorted runs, one a task; returns them as they lie on disk."""
-        path = f"{self.path}/level0/run-{len(self.runs):05d}"
-        entries = entries.select("digest", "doc_id", "rid")
-        (
-            entries.sortWithinPartitions("digest").write
-            .option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "100000")
-            .parquet(path)
-        )
-        self.runs.append(path)
-        return self.spark.read.schema(entries.schema).parquet(path)
+        self.runs: list[DataFrame] = []
+        self.filters: list[Callable[[Column], Column]] = []  # of the first runs; made when first asked for
+        self.made = self.expected = 0
+
+    def _tests(self) -> list[Callable[[Column], Column]]:
+        self.filters += [probe(run, "digest") for run in self.runs[len(self.filters) :]]
+        return self.filters
+
+    def _write(self, rows: DataFrame) -> DataFrame:
+        path = f"{self.path}/run-{self.made:05d}"
+        self.made += 1
+        files = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        out = rows.select("digest", "first", "n", "seen").sortWithinPartitions("digest").write
+        if (n := self.expected // files) > 0:
+            out = out.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", str(n))
+        out.parquet(path)
+        return self.spark.read.schema(rows.select("digest", "first", "n", "seen").schema).parquet(path)
+
+    def flush(self, entries: DataFrame, expected: int = 0) -> None:
+        """Flushes entries (digest binary, doc_id, rid) as one run; a digest is one row of it. expected: about how many."""
+        self.expected = expected
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rid")).alias("first")
+        rows = entries.groupBy("digest").agg(first, F.count("*").alias("n"))
+        seen = F.lit(False)
+        for test in self._tests():
+            seen = seen | test(F.col("digest"))
+        self.runs.append(self._write(rows.withColumn("seen", seen)))
 
     def compact(self) -> DataFrame:
-        """Merges all runs: digest, first (nulls last, doc_id, rid of the row that stays), n."""
-        rows = self.spark.read.parquet(*self.runs)
-        merged = rows.groupBy("digest").agg(
-            F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rid")).alias("first"), F.count("*").alias("n")
-        )
-        path = f"{self.path}/level1-{len(self.runs):05d}"
-        merged.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
-        self.level = self.spark.read.schema(merged.schema).parquet(path)
-        return self.level
+        """Merges all runs to one: digest, first, n."""
+        if len(self.runs) > 1:
+            rows = self.runs[0]
+            for run in self.runs[1:]:
+                rows = rows.union(run)
+            again = probe(rows.where("seen"), "digest")(F.col("digest"))
+            merged = rows.where(again).groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n")).withColumn("seen", F.lit(False))
+            self.runs, self.filters = [self._write(rows.where(~again).withColumn("seen", F.lit(False)).union(merged))], []
+        return self.runs[0].select("digest", "first", "n")
 
     def lookup(self, digests: DataFrame) -> DataFrame:
-        """The given rows (digest and any others) whose digest is in the compacted level, with first and n."""
-        assert self.level is not None, "compact() comes first"
-        return digests.join(self.level, "digest")
+        """The given rows (digest and any others) whose digest is in the index, with first and n of each run that has it."""
+        found = None
+        for run, test in zip(self.runs, self._tests()):
+            own = digests.where(test(F.col("digest"))).join(run.select("digest", "first", "n"), "digest")
+            found = own if found is None else found.union(own)
+        assert found is not None, "flush() comes first"
+        return found
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtables: int = MEMTABLES) -> DataFrame:
     """One row per input row: rid, doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty. The row with the smallest id of a group stays; a null id comes last, and of rows that
     repeat an id the first one read stays, so exactly one row of a group has kept = true. keep_id is null only where
     all ids of a group are. Other columns of docs are ignored, whatever their names. An empty table gives an empty
-    result. rid numbers the input rows: it is monotonically_increasing_id() of docs, equal in every scan of it.
+    result. rid numbers the input rows: it is monotonically_increasing_id() of docs, of stable(docs) where docs is no scan.
     """
     spark = docs.sparkSession
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), normalised(text_or_empty(text_col)).alias("norm"), F.monotonically_increasing_id().alias("rid")
-    )
-    digested = rows.select("doc_id", "rid", "norm", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("digest"))
+    docs = stable(docs)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), normalised(text_or_empty(text_col)).alias("norm"))
+    digest = F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("digest")
+    entries = written(rows.select("doc_id", "rid", digest), "dedup-entries")
+    expected = entries.count() // memtables
     index = MergeIndex(spark)
-    entries = index.flush(digested)
-    level = index.compact()
-    groups = level.where("n > 1").select("digest", F.col("first.rid").alias("keep_rid"))
-
-    in_hits, in_keepers = probe(groups, "digest"), probe(groups, "keep_rid")
-    hits = digested.where(in_hits(F.col("digest"))).select("digest", "rid", "norm")
-    keepers = (
-        rows.where(in_keepers(F.col("rid"))).select(F.col("rid").alias("keep_rid"), F.col("norm").alias("keep_norm"))
-        .join(groups, "keep_rid")
-    )
-    wrong = (
-        hits.join(keepers.select("digest", "keep_norm"), "digest").where(F.col("norm") != F.col("keep_norm"))
-        .select("rid", F.col("norm").alias("own"))
-    )
-    verified = written(entries.join(written(wrong, "dedup-collisions"), "rid", "left"), "dedup-verified")
+    for k in range(memtables):
+        portion = entries if memtables == 1 else entries.where(F.pmod(F.shiftright("rid", 33), F.lit(memtables)) == k)
+        index.flush(portion, expected)
+    groups = written(index.compact().where("n > 1").select("digest", F.col("first.rid").alias("keep_rid")), "dedup-groups")
+
+    # Rows that the filter of repeated digests lacks are surely alone; all that follows is about the others.
+    again = probe(groups, "digest")(F.col("digest"))
+    alone, members = entries.where(~again), written(entries.where(again), "dedup-members")
+    hits = written(rows.where(probe(members, "rid")(F.col("rid"))).select("rid", digest, "norm"), "dedup-hits")
+    keepers = hits.join(groups.withColumnRenamed("keep_rid", "rid"), ["digest", "rid"]).select("digest", F.col("norm").alias("keep_norm"))
+    wrong = written(hits.join(keepers, "digest").where(F.col("norm") != F.col("keep_norm")).select("rid", F.col("norm").alias("own")), "dedup-collisions")
+    discard(hits)
+    verified = members.withColumn("own", F.lit(None).cast("string")) if wrong.isEmpty() else written(members.join(wrong, "rid", "left"), "dedup-verified")
     final = verified.groupBy("digest", "own").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rid")).alias("first"), F.count("*").alias("group_size")
     )
     v, g = verified.alias("v"), final.alias("g")
-    return v.join(g, (F.col("v.digest") == F.col("g.digest")) & F.col("v.own").eqNullSafe(F.col("g.own"))).select(
-        "v.rid", "v.doc_id", F.col("g.first.doc_id").alias("keep_id"), "g.group_size",
-        (F.col("v.rid") == F.col("g.first.rid")).alias("kept"), F.lower(F.hex("v.digest")).alias("text_sha256"),
+    repeated = v.join(g, (F.col("v.digest") == F.col("g.digest")) & F.col("v.own").eqNullSafe(F.col("g.own"))).select(
+        "v.rid", "v.doc_id", F.col("g.first.doc_id").alias("keep_id"), "g.group_size", (F.col("v.rid") == F.col("g.first.rid")).alias("kept"), "v.digest"
     )
+    single = alone.select("rid", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
+    return repeated.union(single).select("rid", "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -154,9 +186,10 @@ def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_dedup() does not keep; all columns of docs. docs has to be a table or other stable scan.
+    """docs without the rows that exact_dedup() does not keep; all columns of docs. docs is written first if it is no scan.
 
     Rows that the filter of dropped row numbers surely lacks pass as they are; the others alone are joined.
     """
+    docs = stable(docs)
     gone = written(exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("rid").alias("_skein_rid")), "dedup-gone")
     return without_rows(docs, gone)

@@ -141,7 +141,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text", name: str = "_lang") -> DataFrame:
     """docs with one more column, struct<lang_pred string, score double>."""
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession, keep=True):
+        pass
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.llm.common import crc_mod, written
+from skein.llm.common import crc_mod, small_batches, written
 
 HIDDEN, CLASSES, CLASS_SIZE = 24, 32, 32
 SYMBOLS = CLASSES * CLASS_SIZE
@@ -548,7 +548,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     lexicon = Lexicon(frequent(counts), total, distinct)
     schema = T.StructType([*rows.drop("text").schema, *T.StructType.fromDDL(CODED)])
-    coded = written(rows.mapInArrow(_symbols(lexicon), schema), "lm-symbols")
+    with small_batches(docs.sparkSession):
+        coded = written(rows.mapInArrow(_symbols(lexicon), schema), "lm-symbols")
     learned = coded.where(~F.col("held_out")).select(F.xxhash64("doc_id", "symbols").alias("key"), "symbols")
     net = train(learned, lexicon) if total else Network.start(lexicon.counts)
     nets = coded.select("rid", "symbols").sortWithinPartitions(_long_first()).mapInArrow(_scoring(net.pack()), "rid long, net double")
