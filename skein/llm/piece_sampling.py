@@ -473,6 +473,7 @@ def _encoder(vocab: Vocabulary, samples: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(vocab, samples)
         raw = pa.array(segmenter.vocab.raw, pa.binary())
+        last: tuple = (None, None)
         for b in batches:
             ids, keys, texts = b.column(0), b.column(1).to_pylist(), b.column(2)
             lo = 0
@@ -480,6 +481,9 @@ def _encoder(vocab: Vocabulary, samples: int):
                 hi, size, some = lo, 0, []
                 while hi < b.num_rows and size < BATCH_WORDS:
                     some.append(texts[hi].as_py() or "")
+                    now = (keys[hi], some[-1])
+                    copy = copy + 1 if now == last else 0
+                    keys[hi], last = keys[hi] + copy * int(_STEP), now
                     size += len(some[-1]) // 6 + 1
                     hi += 1
                 found = segmenter.sample(keys[lo:hi], some)
@@ -508,9 +512,12 @@ def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     input row. round_trip: whether the pieces decode to the text again.
 
     Texts with fewer segmentations have fewer rows, at least one; null text counts as empty, whose one segmentation has
-    no pieces. Rows that repeat an id and text have equal samples. Other columns are ignored.
+    no pieces. A row that repeats the id and text of the one directly before it (as mixing puts a document's copies) has samples
+    of its own, as its place among them is part of the key; rows that repeat elsewhere have equal samples. Other columns are
+    ignored.
     """
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession, keep=True):
+        pass
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit("pieces"), F.col(id_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_encoder(Vocabulary(load_pieces(model)), samples), "doc_id long, sample int, n_pieces long, ids array<int>, log_prob double, perturbed double, log_inclusion double, round_trip boolean")
 

@@ -36,13 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.common import release, small_batches, written
+from skein.llm.common import discard, release, small_batches, stable, written
 from skein.llm.components import components
 from skein.llm.exact_dedup import probe, without_rows
 
 SHINGLE, SEED, MAX_BITS, SEGMENTS = 3, 42, 2, 16
 #: The near-copies stage: texts are linked from this Jaccard similarity of their WORDS-word shingles; BANDS buckets of ROWS minima give the candidates.
 WORDS, SIMILARITY, BANDS, ROWS, LEADERS = 5, 0.8, 24, 6, 8
+#: Share of a turn's pairs that have to be links for leaders to get another turn; whatever they leave is compared in the end.
+FEW = 0.05
 #: Shingle hashes that are unpacked at a time.
 CHUNK = 1 << 14
 
@@ -80,7 +82,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, tables: int = 1) -> li
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, tables: int = 1) -> DataFrame:
     """One row per input row: doc_id, rid (monotonically_increasing_id() of docs), fp (the 64 bits as a signed long), and
     more, the other tables' fingerprints."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("string").alias("text"))
 
     @F.pandas_udf("array<long>")
@@ -174,7 +175,6 @@ def buckets(shingles: np.ndarray) -> np.ndarray:
 
 def _shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per input row: doc_id, rid, digest (128 bits) and size of the shingle set, its buckets."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("string").alias("text"))
 
     @F.pandas_udf("digest binary, size int, buckets array<long>")
@@ -223,9 +223,11 @@ def _similar(points: DataFrame, docs: DataFrame, similarity: float, text_col: st
     shared = own.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     live = written(own.join(shared, "bucket"), "near-buckets")
     central = written(live.groupBy("p").agg(F.sum("n").alias("met")), "near-wanted")
-    live = written(live.join(central, "p").select("bucket", "p", "size", "met"), "near-live")
-    sets = written(_sets(docs, central.select("p"), text_col), "near-sets")
-    tried = docs.sparkSession.createDataFrame([], "a long, b long")
+    shared, live = live, written(live.join(central, "p").select("bucket", "p", "size", "met"), "near-live")
+    discard(shared)
+    with small_batches(docs.sparkSession):
+        sets = written(_sets(docs, central.select("p"), text_col), "near-sets")
+    tried, scrap = docs.sparkSession.createDataFrame([], "a long, b long"), []
     found, turn, more = tried.toDF("node", "component"), 0, True
 
     def fit(x: str, y: str) -> Column:
@@ -249,12 +251,12 @@ def _similar(points: DataFrame, docs: DataFrame, similarity: float, text_col: st
             made = met.select(F.col("x.p").alias("a"), F.col("y.p").alias("b"))
         pairs = written(made.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
         links = written(_verified(pairs, sets, similarity), "near-links")
-        tried = tried.union(pairs)
-        if not links.isEmpty():
+        tried, scrap = tried.union(pairs), [*scrap, pairs, links]
+        made = links.count()
+        if made:
             found = components(found.toDF("a", "b").union(links))
-            turn += 1
-        else:
-            turn = LEADERS  # leaders find no more
+        turn = turn + 1 if made > FEW * pairs.count() else LEADERS  # else the comparison of all that are left is cheaper
+    discard(live, central, sets, *scrap)
     return found
 
 
@@ -268,7 +270,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept, the first one read where rows repeat it. Texts without words (null, empty, white space) have fingerprint 0,
     which is linked like any other. Other columns are ignored. An empty table gives an empty result.
     """
-    marked = written(fingerprints(docs, id_col, text_col, shingle, tables), "simhash")
+    with small_batches(docs.sparkSession):
+        marked = written(fingerprints(docs, id_col, text_col, shingle, tables), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rid", "more")).alias("first")
     points = written(marked.groupBy("fp").agg(first).withColumn("fp2", F.get("first.more", F.lit(0))), "simhash-points")
     pairs = link(points, max_bits, tables=tables)
@@ -282,13 +285,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near copies; all columns of docs. docs has to be a table or other stable scan.
+    """docs without near copies; all columns of docs. docs is written first if it is no scan.
 
     Rows are linked if their 5-word shingle sets are equal or have a Jaccard similarity of at least `similarity`. Of those
     reachable over links the row with the smallest doc_id stays, the first one read where rows repeat it. Rows that the filter
     of dropped row numbers surely lacks pass as they are; the others alone are joined.
     """
-    marked = written(_shingled(docs, id_col, text_col), "near")
+    docs = stable(docs)
+    with small_batches(docs.sparkSession):
+        marked = written(_shingled(docs, id_col, text_col), "near")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rid", "size", "buckets")).alias("first")
     points = written(marked.groupBy("digest").agg(first).select("digest", "first.*").withColumnRenamed("rid", "p"), "near-points")
     found = _similar(points, docs, similarity, text_col)
@@ -296,4 +301,5 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: st
     leader = by_set.groupBy("c").agg(F.min("own").alias("lead"))
     named = written(by_set.join(leader, "c").select("digest", F.col("lead.p").alias("lead")), "near-named")
     gone = written(marked.join(named, "digest").where(F.col("rid") != F.col("lead")).select(F.col("rid").alias("_skein_rid")), "near-gone")
+    discard(marked, points, named)
     return without_rows(docs, gone)
