@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 SAMPLES = 64
 #: Words whose draws a worker keeps: 3 x SAMPLES floats each, 46 MB at most.
 KEPT = 60_000
-#: Rows of a bucket of neighbouring ids, and the most buckets.
-BUCKET_ROWS, MAX_BUCKETS = 4000, 4096
+#: Rows of a bucket of neighbouring ids, and the most buckets (beyond which they get larger; a bucket is streamed, not held).
+BUCKET_ROWS, MAX_BUCKETS = 4000, 32768
+#: Ids that are drawn for each bucket, from which the buckets' ends are taken.
+SPREAD = 16
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,33 +129,42 @@ def _dealt(bounds: np.ndarray):
     bucket's last one, which is the next bucket's first (or the very first one), comes along as a guest."""
     at = {int(b): k for k, b in enumerate(bounds)}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
-            for s in range(0, len(b), 1000):
+            for s in range(0, b.num_rows, 1000):
                 out: list[tuple] = []
-                for doc_id, text in zip(b["doc_id"][s : s + 1000], b["text"][s : s + 1000]):
-                    z = pack((text or "").encode("utf-8", "replace"))
-                    none = pd.isna(doc_id)
-                    i = None if none else int(doc_id)
-                    out.append((0 if none else int(np.searchsorted(bounds, i)), False, i, z))
-                    if not none and i in at:
+                for i, text in zip(b.column(0).slice(s, 1000).to_pylist(), b.column(1).slice(s, 1000)):
+                    z = pack((text.as_py() or "").encode("utf-8", "replace"))
+                    out.append((0 if i is None else int(np.searchsorted(bounds, i)), False, i, z))
+                    if i is not None and i in at:
                         out.append(((at[i] + 1) % len(bounds), True, i, z))
-                    elif none and not len(bounds):
+                    elif i is None and not len(bounds):
                         out.append((0, True, i, z))
-                yield pd.DataFrame(out, columns=["bucket", "guest", "doc_id", "z"]).astype({"doc_id": "Int64"})
+                yield _batch(out, DEALT)
 
     return run
 
 
+DEALT = {"bucket": pa.int32(), "guest": pa.bool_(), "doc_id": pa.int64(), "z": pa.binary()}
+COMPARED = {
+    "doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(), "edited_fingerprint": pa.string(), "near_edited": pa.float64(),
+    "near_next": pa.float64(),
+}
+
+
+def _batch(rows: list[tuple], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(fields.values())], names=list(fields))
+
+
 def _compared(samples: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, unpack = Sampler(samples), zstandard.ZstdDecompressor().decompress
         last = None
         for b in batches:
             out: list[tuple] = []
-            for bucket, guest, doc_id, z in zip(b["bucket"], b["guest"], b["doc_id"], b["z"]):
-                text = unpack(z).decode("utf-8")
+            for bucket, guest, doc_id, z in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3)):
+                text = unpack(z.as_py()).decode("utf-8")
                 sig = sampler.signature(text)
                 if last is not None and last[0] == bucket:
                     _, i, before, own = last
@@ -160,7 +172,7 @@ def _compared(samples: int):
                     other = sampler.signature(new)
                     out.append((i, len(before), hashlib.sha256(new.encode("utf-8")).hexdigest(), hexed(own), hexed(other), likeness(own, other), likeness(own, sig)))
                 last = None if guest else (bucket, doc_id, text, sig)
-            yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+            yield _batch(out, COMPARED)
 
     return run
 
@@ -172,17 +184,22 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Null ids come last, rows that repeat an id in order of their packed texts. Null text counts as empty. Other columns
     are ignored. An empty table gives an empty result.
 
-    Ids are cut into buckets at existing ids (approximate quantiles), so that each bucket's first document is known
-    without sorting; texts are packed and shuffled once, each bucket is streamed in order.
+    Ids are cut into buckets at existing ids (quantiles of a sample), so that each bucket's first document is known
+    without sorting; texts are packed and shuffled once, buckets are dealt evenly to the tasks, each is streamed in order.
+    Rows cross into Python as Arrow columns: ids keep all their bits beside nulls.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     n, most = rows.agg(F.count("doc_id"), F.max("doc_id")).first()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = min(MAX_BUCKETS, n // BUCKET_ROWS + 1)
-    cuts = rows.agg(F.percentile_approx("doc_id", [(k + 1) / parts for k in range(parts)], 10 * parts)).first()[0] or []
-    bounds = np.array(sorted({*cuts, most}), dtype=np.int64) if n else np.array([], dtype=np.int64)
-    dealt = rows.mapInPandas(_dealt(bounds), "bucket int, guest boolean, doc_id long, z binary")
-    ordered = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "z")
-    return ordered.mapInPandas(
+    parts = -(-parts // tasks) * tasks if parts > tasks else parts  # as many for each task
+    # SPREAD ids a bucket, drawn by a hash; every SPREAD-th of them in order ends a bucket, the largest id the last one.
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // (SPREAD * parts)))) == 0).select("doc_id").distinct() if parts > 1 else None
+    ids = sorted(r.doc_id for r in drawn.where("doc_id IS NOT NULL").toLocalIterator()) if drawn else []
+    bounds = np.array(sorted({*ids[SPREAD - 1 :: SPREAD], most}), dtype=np.int64) if n else np.array([], dtype=np.int64)
+    dealt = rows.mapInArrow(_dealt(bounds), "bucket int, guest boolean, doc_id long, z binary")
+    ordered = dealt.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket", "guest", F.desc_nulls_last("doc_id"), "z")
+    return ordered.mapInArrow(
         _compared(samples), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
