@@ -133,12 +133,12 @@ def filter_urls(pages: DataFrame, rules=None, id_col: str = "page_id", url_col:
     rows = rows.withColumns({"host": F.coalesce(host, F.lit("")), "path": F.coalesce(path, F.lit(""))})
     rule, verdict = judge_by_rules(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "by_rule": verdict, "test": F.pmod(F.xxhash64("_url"), F.lit(5)) == 0, "grams": gram_codes(F.col("_url"))})
+    rows = written(rows.drop("_url"), "url-rows")  # pages are read once
     model = train(rows.where("by_rule IS NOT NULL AND NOT test").select("grams", (F.col("by_rule") == "allow").alias("ok")))
-    scores = (
-        rows.select("rid", F.explode("grams").alias("code")).groupBy("rid")
-        .agg((F.sum(_at(model, "ratio", "code").cast("double")) / F.count("*")).alias("llr"))
-    )
-    scored = written(rows.drop("grams", "_url").join(scores, "rid"), "url-scores")
+    # Symbols are summed where they are read, so a row a page is shuffled; exploded rows hold no strings, however long.
+    llr = F.sum(_at(model, "ratio", "code").cast("double")) / F.count("*")
+    scores = rows.select("rid", F.explode("grams").alias("code")).groupBy("rid").agg(llr.alias("llr"))
+    scored = written(rows.drop("grams").join(scores, "rid"), "url-scores")
     cut = f"skein_url_{uuid.uuid4().hex}"
     written(calibrate(scored.where("by_rule IS NOT NULL AND test").select("llr", (F.col("by_rule") == "allow").alias("ok"))), "url-cut").createOrReplaceTempView(cut)
     return scored.withColumn("threshold", F.expr(f"(SELECT threshold FROM {cut})")).select(
