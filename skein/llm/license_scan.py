@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.common import text_or_empty
+from skein.llm.common import stable, text_or_empty
+from skein.llm.license_texts import TEXTS
 
 #: Base phrases: fixed values of the contract.
 BASE = [
@@ -23,8 +24,9 @@ BASE = [
     ("cc-by-nc", "cc by nc"),
 ]
 
-#: Templates of the method: public wordings of licenses and of the lines that name them.
+#: Templates of the method: license texts, the sentences that they begin with, and lines that name them.
 TEMPLATES = [
+    *TEXTS,
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "licensed under the apache license version 2 0"),
@@ -78,7 +80,7 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]], base:
 def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, text_col: str = "text", base: list[tuple[str, str]] | None = None) -> DataFrame:
     """The spans found: rid, tid, label, base, first_word, last_word (inclusive), coverage.
 
-    rid is monotonically_increasing_id() of docs. Base phrases give one span for each place where they stand whole.
+    rid is monotonically_increasing_id() of docs, which has to be a scan (common.stable). Base phrases give one span for each place where they stand whole.
     """
     base = BASE if base is None else base
     table = template_table(docs.sparkSession, [*base, *(TEMPLATES if templates is None else templates)], len(base))
@@ -107,8 +109,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     n_base counts all places of base phrases, first_word and last_word are their smallest and largest start (null if
     none). base_labels and labels are distinct, sorted and comma-joined, empty if none. score is the largest coverage
-    of a span. Null text counts as empty; rows that repeat an id are judged one by one; other columns are ignored.
+    of a span. Null text counts as empty; rows that repeat an id are judged one by one; other columns are ignored. An empty
+    table gives an empty result.
     """
+    docs = stable(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.size(words(text_or_empty(text_col))).cast("long").alias("n_words"))
     only = F.col("base")
     per = spans(docs, text_col=text_col).groupBy("rid").agg(
