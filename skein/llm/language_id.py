@@ -101,12 +101,13 @@ def _counts(lang: str, kept: list[np.ndarray]) -> pd.DataFrame:
 
 
 class Profiles:
-    """Ranks of the languages' n-grams: codes sorted, one column of ranks a language, PROFILE where it lacks one."""
+    """Ranks of the languages' n-grams: codes sorted, one column of ranks a language, 2 * PROFILE where it lacks one, which is
+    out of place by more than counts wherever it stands."""
 
     def __init__(self, ranks: dict[str, list[int]]):
         self.langs = sorted(ranks)
         self.codes = np.unique(np.array([c for v in ranks.values() for c in v], dtype=np.uint64))
-        self.ranks = np.full((len(self.codes), len(self.langs)), PROFILE, dtype=np.int64)
+        self.ranks = np.full((len(self.codes), len(self.langs)), 2 * PROFILE, dtype=np.int64)
         for k, lang in enumerate(self.langs):
             self.ranks[np.searchsorted(self.codes, np.array(ranks[lang], dtype=np.uint64)), k] = np.arange(len(ranks[lang]))
 
