@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from skein.llm import exact_dedup, simhash
-from skein.llm.common import written
+from skein.llm.common import stable, written
 from skein.llm.components import components
 
 
@@ -65,6 +65,33 @@ def test_index_takes_several_runs(spark):
     assert index.lookup(spark.sql("SELECT unhex(md5('7')) AS digest UNION ALL SELECT unhex(md5('99'))")).count() == 1
 
 
+def test_index_lookup_and_compaction_again(spark):
+    """Runs flushed after a compaction are found and merged too."""
+    index = exact_dedup.MergeIndex(spark)
+    rows = lambda lo, hi: spark.range(lo, hi).selectExpr("unhex(md5(cast(id AS string))) AS digest", "id AS doc_id", "id AS rid")
+    index.flush(rows(0, 20))
+    index.flush(rows(10, 30))
+    index.compact()
+    index.flush(rows(25, 40), expected=15)
+    found = index.lookup(rows(5, 60)).groupBy("doc_id").agg({"n": "sum"}).collect()
+    assert {r[0]: r[1] for r in found} == {i: (10 <= i < 20) + (25 <= i < 30) + 1 for i in range(5, 40)}
+    assert {r["first"].doc_id: r.n for r in index.compact().collect()} == {i: (10 <= i < 20) + (25 <= i < 30) + 1 for i in range(40)}
+    assert len(index.runs) == 1
+
+
+@pytest.mark.parametrize("memtables", [1, 3])
+def test_portions_give_the_same_groups(docs, memtables):
+    want = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs.repartition(5), memtables=memtables).collect()} == want
+
+
+def test_rows_of_a_shuffled_input_are_written_first(spark, docs):
+    assert stable(docs.where("doc_id > 3").select("doc_id", "text")) is not None and not hasattr(stable(docs), "_skein_path")
+    for other in (docs.orderBy("text"), docs.repartition(3), docs.where("rand() > 2"), docs.limit(5)):
+        assert hasattr(stable(other), "_skein_path")
+    assert exact_dedup.drop_copies(docs.orderBy("text")).count() == exact_dedup.drop_copies(docs).count()
+
+
 def test_filter_has_no_false_negatives(spark):
     from pyspark.sql import functions as F
 

@@ -108,6 +108,43 @@ def test_letters_and_grams():
     assert len(language_id.letters("12 !")) == 1 and len(language_id.letters("𝐀𐐀")) == 4
 
 
+def brute_grams(text):
+    """n-grams of letters within words, word ends marked, as the numbers that ties go by."""
+    words, word = [], ""
+    for c in text or "":
+        if c.isalpha():
+            word += c.lower() if len(c.lower()) == 1 else c
+        elif word:
+            words, word = [*words, word], ""
+    x = [language_id.EDGE]
+    for w in [*words, *([word] if word else [])]:
+        x += [*map(ord, w), language_id.EDGE]
+    out = [c for c in x if c != language_id.EDGE]
+    out += [(a << 21) + b for a, b in zip(x, x[1:])]
+    return out + [(((a << 21) + b) << 21) + c & (1 << 64) - 1 for a, b, c in zip(x, x[1:], x[2:]) if b != language_id.EDGE]
+
+
+def brute_profile(counts):
+    return [g for g, _ in sorted(counts.items(), key=lambda kv: (-kv[1], kv[0]))[: language_id.PROFILE]]
+
+
+def test_language_matches_brute_force(docs):
+    """Profiles by plain counting, and the out-of-place distance gram by gram."""
+    rows = docs.collect()
+    counts: dict[str, Counter] = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.text is not None and r.lang is not None:
+            counts.setdefault(r.lang, Counter()).update(brute_grams(r.text))
+    places = {lang: {g: k for k, g in enumerate(brute_profile(c))} for lang, c in counts.items()}
+    got = {r.doc_id: r for r in language_id.identify(docs).collect()}
+    for r in rows[::3]:
+        own = brute_profile(Counter(brute_grams(r.text)))
+        far = {lang: sum(min(abs(k - p[g]), language_id.PROFILE) if g in p else language_id.PROFILE for k, g in enumerate(own)) for lang, p in places.items()}
+        best = min(sorted(far), key=far.get) if own else "und"
+        assert got[r.doc_id].lang_pred == best
+        assert got[r.doc_id].score == pytest.approx(1 - far[best] / (language_id.PROFILE * len(own)) if own else 0.0)
+
+
 def test_bounded_sample_learns_the_same(docs):
     whole, some = language_id.learn(docs), language_id.learn(docs, max_docs=20)
     assert whole.langs == some.langs and len(some.codes) > 100
@@ -169,6 +206,19 @@ def test_fingerprint_edges(spark, edges, empty):
     assert {r.fingerprint for r in fingerprints.fingerprint(edges).collect()} == {r.fingerprint for r in got}
 
 
+def test_large_ids_beside_nulls(spark):
+    """All rows come back with the ids they had, also above 2**53 and beside a null in one partition."""
+    ids = [2**53 + 1, 2**53 + 3, None, 3, -(2**60) - 1]
+    rows = spark.createDataFrame([(i, f"text of {i}", "en") for i in ids], "doc_id long, text string, lang string").coalesce(1)
+    got = fingerprints.compare_with_next(rows).collect()
+    assert Counter(r.doc_id for r in got) == Counter(ids)
+    want = {i: f"text of {i}" for i in ids}
+    order = sorted((i for i in ids if i is not None), reverse=True) + [None]
+    for i, after in zip(order, [*order[1:], order[0]]):
+        new = fingerprints.edited(want[i], want[after])
+        assert next(r.edited_sha256 for r in got if r.doc_id == i) == hashlib.sha256(new.encode()).hexdigest()
+
+
 # ---- language model
 
 
@@ -227,6 +277,43 @@ def test_scores(docs, monkeypatch, dictionary):
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_trained_score_is_the_networks(docs, monkeypatch):
+    """The score of a document, symbol by symbol with the trained network, words without a symbol by their unigram share."""
+    kept, train = {}, recurrent_lm.train
+    monkeypatch.setattr(recurrent_lm, "train", lambda coded, lexicon: kept.setdefault("net", train(coded, kept.setdefault("lexicon", lexicon))))
+    rows = docs.collect()
+    got = {r.doc_id: r for r in recurrent_lm.score_documents(docs).collect()}
+    net, lexicon = kept["net"], kept["lexicon"]
+    counts = Counter(w for r in rows if zlib.crc32(str(r.doc_id).encode()) % 10 for w in [*(r.text or "").encode().lower().split(), b""])
+    base = lambda w: math.log10((counts[w] + 0.1) / lexicon.floor)
+    symbol = {w: int(lexicon.symbol[k]) for w, k in lexicon.words.items() if lexicon.symbol[k] != recurrent_lm.OTHER}
+    inside = sum(10 ** base(w) for w in symbol)
+    for r in sorted(rows, key=lambda r: len(r.text or ""))[:: len(rows) // 6]:
+        h, x, total = np.zeros((1, recurrent_lm.HIDDEN), np.float32), recurrent_lm.END, 0.0
+        for w in [*(r.text or "").encode().lower().split(), b""]:
+            h = net.step(net.p["x"][[x]], h)
+            x = symbol.get(w, recurrent_lm.OTHER)
+            total += net.log_p(h, np.array([x]))[0] / math.log(10) + (base(w) - math.log10(1 - inside) if x == recurrent_lm.OTHER else 0.0)
+        assert got[r.doc_id].score == pytest.approx(total, rel=1e-4, abs=2e-3)
+    assert sum(r.score - r.base_score for r in got.values() if r.held_out) / sum(r.n_tokens for r in got.values() if r.held_out) > 0.02
+
+
+def test_lanes_give_every_token_once():
+    rng = np.random.default_rng(2)
+    rows = [np.append(rng.integers(1, 9, n), 0) for n in (0, 700, 1, 2, 33, 5, 0, 64, 63, 1300)]
+    for lanes, window in ((1, 4), (3, 16), (64, 8)):
+        out, last = {k: [] for k in range(len(rows))}, None
+        for kept, ids, target, owner in recurrent_lm.Lanes(enumerate(rows), lanes, window):
+            before = np.zeros(ids.shape[1], dtype=int) if kept is None else last[kept]
+            assert (ids[0] == before).all() and (ids[1:] == target[:-1]).all()
+            for t, own in zip(target.T.tolist(), owner.T.tolist()):
+                for s, k in zip(t, own):
+                    if k >= 0:
+                        out[k].append(s)
+            last = target[-1]
+        assert all(out[k] == r.tolist() for k, r in enumerate(rows))
+
+
 def test_training_reads_whole_texts():
     """Every token of every text is trained on in each epoch, long texts too."""
     texts = [" ".join(f"w{k % 9}" for k in range(n)) for n in (0, 1, 31, 32, 33, 700)]
@@ -318,10 +405,30 @@ def test_piece_edges(edges, empty, pieces):
     assert {(r.doc_id, r.decoded) for r in got} == set(texts)
     assert piece_sampling.encode_samples(empty).count() == 0
     s = piece_sampling.Segmenter(pieces, 2)
-    for t in ("", " ", "  a  ", "▁x ▁▁", "a\t\n b", "日本 語 😀", " lead", "x" * 3000):
+    for t in ("", " ", "  a  ", "▁x ▁▁", "a\t\n b", "日本 語 😀", " lead", "x" * 3000, "a\U0010ffffb", "\U0010ffff ▁\U0010ffff▁"):
         assert all(piece_sampling.decoded(s.vocab.raw, x[0]) == t for x in s.sample([5], [t])[0])
 
 
+def test_kept_lattices_change_no_sample(pieces, docs):
+    """Units that a worker keeps from earlier batches have the same samples as new ones."""
+    texts = [r.text or "" for r in docs.collect()][:60]
+    kept, fresh = piece_sampling.Segmenter(pieces, 2), [piece_sampling.Segmenter(pieces, 2) for _ in range(3)]
+    for lot in range(3):
+        part = texts[lot * 20 : lot * 20 + 40]
+        a, b = kept.sample(list(range(len(part))), part), fresh[lot].sample(list(range(len(part))), part)
+        assert all((x[0] == y[0]).all() and x[1:] == pytest.approx(y[1:]) for r, q in zip(a, b) for x, y in zip(r, q))
+    assert len(kept.known) > 100 and not fresh[0].known
+
+
+def test_round_trip_flag_and_copies(spark):
+    text = "a row of words that has many segmentations, one more than once"
+    rows = spark.createDataFrame([(1, text), (1, text), (2, "\U0010ffff▁ x"), (3, None)], "doc_id long, text string").coalesce(1)
+    got = piece_sampling.encode_samples(rows).collect()
+    assert all(r.round_trip for r in got)
+    firsts = [tuple(r.ids) for r in got if r.doc_id == 1 and r.sample == 1]
+    assert len(firsts) == 2 and firsts[0] != firsts[1]  # copies that follow each other have samples of their own
+
+
 # ---- pipeline
 
 

@@ -1,5 +1,6 @@
 """URL filter, license scan and sharding."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -42,13 +43,59 @@ def test_urls(spark, sf):
     assert sum(own) / len(own) > 0.9  # the models agree with the rules they learned from
 
 
-def test_url_model_is_a_distribution(spark):
-    """Both models sum to 1 over the next symbol, in seen and unseen contexts."""
-    import math
+def brute_grams(url):
+    low = (url or "").translate(LOWER)
+    codes = [url_filter.ALPHABET.find("0" if c.isascii() and c.isdigit() else c if c in "abcdefghijklmnopqrstuvwxyz/.-" else "_") + 1 for c in low]
+    return [0] * (url_filter.ORDER - 1) + codes + [0]
 
-    rows = spark.createDataFrame([("http://a.com/b", True), ("http://c.net/es/", False)], "url string, ok boolean")
-    arrays = spark.sql(f"SELECT ratio FROM {url_filter.train(rows.select(url_filter.gram_codes(rows.url).alias('grams'), 'ok'))}").first()[0]
-    assert len(arrays) == url_filter.SYMBOLS**url_filter.ORDER and all(map(math.isfinite, arrays[::997]))
+
+def witten_bell(urls):
+    """(context, symbol) -> probability, from counts of all contexts up to ORDER - 1 symbols."""
+    counts: dict[tuple, Counter] = {}
+    for u in urls:
+        x = brute_grams(u)
+        for at in range(url_filter.ORDER - 1, len(x)):
+            for n in range(url_filter.ORDER):
+                counts.setdefault(tuple(x[at - n : at]), Counter())[x[at]] += 1
+
+    def p(context, symbol):
+        shorter = p(context[1:], symbol) if context else 1 / url_filter.SYMBOLS
+        own = counts.get(context)
+        return (own[symbol] + len(own) * shorter) / (sum(own.values()) + len(own)) if own else shorter
+
+    return p
+
+
+def test_url_model_matches_brute_force(spark):
+    """The ratio of two models that each sum to 1 over the next symbol, in seen and unseen contexts."""
+    good, bad = ["http://a.com/b", "http://Abc.com/en/page1?x=y", "https://a.com/b"], ["http://c.net/es/", "ftp://c9.net/fr/é"]
+    rows = spark.createDataFrame([(u, True) for u in good] + [(u, False) for u in bad], "url string, ok boolean")
+    ratio = spark.sql(f"SELECT ratio FROM {url_filter.train(rows.select(url_filter.gram_codes(rows.url).alias('grams'), 'ok'))}").first()[0]
+    assert len(ratio) == url_filter.SYMBOLS**url_filter.ORDER
+    a, r = witten_bell(good), witten_bell(bad)
+    contexts = {tuple(x[k : k + 3]) for u in good + bad for x in [brute_grams(u)] for k in range(len(x) - 3)} | {(9, 9, 9), (0, 0, 31), (1, 27, 2)}
+    for c in contexts:
+        assert sum(a(c, s) for s in range(32)) == pytest.approx(1) and sum(r(c, s) for s in range(32)) == pytest.approx(1)
+        for s in range(32):
+            assert ratio[((c[0] * 32 + c[1]) * 32 + c[2]) * 32 + s] == pytest.approx(math.log(a(c, s)) - math.log(r(c, s)), abs=1e-5)
+
+
+def test_url_scores_and_threshold_match_brute_force(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    hashed = pages.selectExpr("page_id", "url", "pmod(xxhash64(url), 5) = 0 AS test").collect()
+    ruled = [(r, rule_of(*split_url(r.url))[1]) for r in hashed]
+    a, b = (witten_bell([r.url for r, v in ruled if v == what and not r.test]) for what in ("allow", "block"))
+
+    def llr(url):
+        x = brute_grams(url)
+        return sum(math.log(a(tuple(x[k - 3 : k]), x[k])) - math.log(b(tuple(x[k - 3 : k]), x[k])) for k in range(3, len(x))) / (len(x) - 3)
+
+    got = {r.page_id: r for r in url_filter.filter_urls(pages).collect()}
+    assert all(got[r.page_id].llr == pytest.approx(llr(r.url), abs=1e-5) for r in hashed[:80])
+    scored = [(math.floor(got[r.page_id].llr * url_filter.BIN), v) for r, v in ruled if v and r.test]
+    gain = {k: sum(x >= k and v == "allow" for x, v in scored) / max(1, sum(v == "allow" for _, v in scored)) - sum(x >= k and v == "block" for x, v in scored) / max(1, sum(v == "block" for _, v in scored)) for k, _ in scored}
+    best = max(gain, key=lambda k: (round(gain[k], 12), -abs(k), k))
+    assert {r.threshold for r in got.values()} == {best / url_filter.BIN}
 
 
 def test_url_edges(spark):
@@ -56,6 +103,9 @@ def test_url_edges(spark):
     assert none.count() == 0
     same = url_filter.filter_urls(spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, None)], "page_id long, url string")).collect()
     assert [(r.verdict, r.llr, r.threshold) for r in same] == [("allow", 0.0, 0.0)] * 3
+    clash = ["rid", "host", "path", "rule", "grams", "test", "by_rule", "llr", "threshold", "code", "verdict"]
+    odd = spark.createDataFrame([(1, "http://a.com/", *clash), (None, "", *clash)], "page_id long, url string, " + ", ".join(f"{c} string" for c in clash))
+    assert {(r.page_id, r.host, r.rule) for r in url_filter.filter_urls(odd).collect()} == {(1, "a.com", "com/"), (None, "", None)}
     assert url_filter.filter_urls(spark.createDataFrame([(1, "http://" + "x" * 50_000, "c")], "page_id long, url string, host string")).count() == 1
 
 
@@ -83,7 +133,24 @@ def test_licenses(spark, docs):
     assert got[10**6 + 6].labels == "mit" and got[10**6 + 6].base_labels == "" and 0.6 <= got[10**6 + 6].score < 1
 
 
-def test_license_edges(edges, empty):
+FULL = [
+    ("mit", license_scan.TEXTS[0][1]), ("bsd", "intro words here " + license_scan.TEXTS[2][1].upper() + " and more after"), ("gpl", license_scan.TEXTS[4][1].replace("program", "package")),
+    ("zlib", " ".join(w for k, w in enumerate(license_scan.TEXTS[6][1].split()) if k % 17)), ("", "permission is granted to all who ask for the software as is without fee"), ("", license_scan.TEXTS[0][1][:120]),
+]
+
+
+def test_whole_and_altered_license_texts(spark):
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(FULL)], "doc_id long, text string")).collect()}
+    for k, (label, _) in enumerate(FULL):
+        labels = set(filter(None, got[k].labels.split(",")))
+        assert (label in labels) if label else not labels - {"mit"}, (k, labels)
+    assert got[0].score == 1.0 and 0.6 <= got[3].score < 1.0
+
+
+def test_license_edges(spark, edges, empty):
+    texts = sorted(((r.doc_id, r.text) for r in edges.collect()), key=str)
+    got = sorted(((r.doc_id, (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in license_scan.scan_licenses(edges).collect()), key=str)
+    assert sorted(((i, brute_scan(t)) for i, t in texts), key=str) == got
     assert license_scan.scan_licenses(edges).count() == edges.count() and license_scan.scan_licenses(empty).count() == 0
 
 
