@@ -23,9 +23,14 @@ def size_ok(text: Column, kind: Column) -> Column:
     return F.length(text) <= size_limit(kind)
 
 
+def grown_by(size: Column, baseline: Column) -> Column:
+    """Growth of a size as a share of the baseline's."""
+    return (size - baseline).cast("double") / F.greatest(F.lit(1), baseline)
+
+
 def growth(text: Column, baseline: Column) -> Column:
     """Growth in characters as a share of the baseline's."""
-    return (F.length(text) - F.length(baseline)).cast("double") / F.greatest(F.lit(1), F.length(baseline))
+    return grown_by(F.length(text), F.length(baseline))
 
 
 def growth_ok(text: Column, baseline: Column, most: float = MAX_GROWTH) -> Column:
@@ -52,17 +57,27 @@ def _percent(x: Column) -> Column:
     return F.format_string("%+.1f%%", x * 100)
 
 
+def facts(text: Column) -> Column:
+    """struct<chars, blank, front, name, described>: all that the gates ask of a text (null: empty). Join these, not texts."""
+    t = F.coalesce(text, F.lit(""))
+    front, name, described = structure_parts(t)
+    return F.struct(F.length(t).alias("chars"), (~non_empty(t)).alias("blank"), front.alias("front"), name.alias("name"), described.alias("described"))
+
+
 def gate_report(artifacts: DataFrame, text: str = "text", kind: str = "artifact_type", baseline: str = "baseline_text", most: float = MAX_GROWTH) -> DataFrame:
     """A row for each artifact and gate that applies: all columns of artifacts, gate (order), constraint_name, passed, message.
 
-    Growth applies where there is a non-empty baseline, structure to skills. A null text counts as empty.
+    text: a text or its facts(); baseline: a text or its length. Growth applies where there is a non-empty baseline,
+    structure to skills. A null text counts as empty.
     """
-    t, k, b = F.coalesce(F.col(text), F.lit("")), F.col(kind), F.col(baseline)
-    n, limit = F.length(t), size_limit(k)
+    types = dict(artifacts.dtypes)
+    fact = F.col(text) if types[text].startswith("struct") else facts(F.col(text))
+    base = F.length(baseline) if types[baseline] == "string" else F.col(baseline)
+    k, n, limit = F.col(kind), fact["chars"], size_limit(F.col(kind))
     counted = F.concat(n.cast("string"), F.lit("/"), limit.cast("string"), F.lit(" chars"))
     over = F.concat(F.lit(" ("), (n - limit).cast("string"), F.lit(" over)"))
     allowed = F.lit(f" (max {most:+.1%})")
-    a, name, desc = structure_parts(t)
+    a, name, desc = fact["front"], fact["name"], fact["described"]
     missing = F.concat_ws(", ", F.when(~a, F.lit("YAML frontmatter (---)")), F.when(~name, F.lit("name field")), F.when(~desc, F.lit("description field")))
 
     # Messages and gate names below are fixed values.
@@ -70,11 +85,11 @@ def gate_report(artifacts: DataFrame, text: str = "text", kind: str = "artifact_
         return F.when(applies, F.struct(F.lit(i).alias("gate"), F.lit(what).alias("constraint_name"), ok.alias("passed"), F.when(ok, good).otherwise(bad).alias("message")))
 
     yes = F.lit(True)
-    grown = growth(t, b)
+    grown = grown_by(n, base)
     gates = F.array_compact(F.array(
-        gate(1, "size_limit", size_ok(t, k), F.concat(F.lit("Size OK: "), counted), F.concat(F.lit("Size exceeded: "), counted, over), yes),
-        gate(2, "growth_limit", growth_ok(t, b, most), F.concat(F.lit("Growth OK: "), _percent(grown), allowed), F.concat(F.lit("Growth exceeded: "), _percent(grown), allowed), F.length(b) > 0),
-        gate(3, "non_empty", non_empty(t), F.lit("Artifact is non-empty"), F.lit("Artifact is empty"), yes),
+        gate(1, "size_limit", n <= limit, F.concat(F.lit("Size OK: "), counted), F.concat(F.lit("Size exceeded: "), counted, over), yes),
+        gate(2, "growth_limit", grown <= F.lit(most), F.concat(F.lit("Growth OK: "), _percent(grown), allowed), F.concat(F.lit("Growth exceeded: "), _percent(grown), allowed), base > 0),
+        gate(3, "non_empty", ~fact["blank"], F.lit("Artifact is non-empty"), F.lit("Artifact is empty"), yes),
         gate(4, "skill_structure", a & name & desc, F.lit("Skill has valid frontmatter (name + description)"), F.concat(F.lit("Skill missing: "), missing), k == "skill"),
     ))
     return artifacts.select("*", F.inline(gates))

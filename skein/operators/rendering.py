@@ -53,6 +53,23 @@ def reassemble_skill(frontmatter: Column, body: Column) -> Column:
     return F.concat(F.lit("---\n"), frontmatter, F.lit("\n---\n\n"), body, F.lit("\n"))
 
 
-def metrics_row(report: DataFrame, path: str, failed: bool = False) -> None:
-    """Writes a one-row report as JSON, under FAILED in the path's name where a gate did not pass."""
-    report.coalesce(1).write.mode("overwrite").json(f"{path}-FAILED" if failed else path)
+def run_folder(folder: str, stamp: str, failed: bool = False) -> str:
+    """Where a run's results go: under its stamp, or FAILED and the stamp."""
+    return f"{folder}/{'FAILED_' if failed else ''}{stamp}"
+
+
+def save_run(folder: str, stamp: str, metrics: DataFrame, evolved: DataFrame | None = None, changes: DataFrame | None = None, failed: bool = False) -> str:
+    """Writes a run's one-row metrics, the evolved texts (name, description or text) as one JSON array and the diffs (name, diff)
+    as text, and returns the folder. A failed run has metrics only, with failed status and without passed gates.
+
+    What was there is replaced. Evolved texts and diffs are a prompt's or a tool list's: some dozens of rows.
+    """
+    out = run_folder(folder, stamp, failed)
+    status = metrics.withColumns({"timestamp": F.lit(stamp), "status": F.lit("FAILED" if failed else "OK"), "constraints_passed": F.lit(not failed)})
+    status.coalesce(1).write.mode("overwrite").json(f"{out}/metrics")
+    if evolved is not None and not failed:
+        rows = F.sort_array(F.collect_list(F.struct(*evolved.columns)))
+        evolved.agg(F.to_json(rows, {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(f"{out}/evolved")
+    if changes is not None and not failed:
+        changes.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "diff"))), lambda x: x["diff"]), "\n").alias("value")).coalesce(1).write.mode("overwrite").text(f"{out}/diff")
+    return out

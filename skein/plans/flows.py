@@ -55,9 +55,36 @@ def mined_splits(examples: DataFrame, key: str, seed: str = "42") -> DataFrame:
     return split_members(examples, key, seed)
 
 
+def paired(baseline: DataFrame, evolved: DataFrame, key: str, text: str) -> DataFrame:
+    """key, original, evolved of what both sides have."""
+    return baseline.select(key, F.col(text).alias("original")).join(evolved.select(key, F.col(text).alias("evolved")), key)
+
+
+def active_examples(examples: DataFrame, section_id: str | None) -> DataFrame:
+    """The examples of the section that is worked on; all without one."""
+    return examples if section_id is None else examples.where(F.col("section_id") == section_id)
+
+
+def each_candidate(candidates: DataFrame, examples: DataFrame) -> DataFrame:
+    """Each example with each candidate (a baseline and what evolved from it: a few rows)."""
+    return examples.join(candidates)
+
+
+def answer(rows: DataFrame, model: Model, context: str, message: str) -> DataFrame:
+    """rows with the model's output to a message, given a context (a skill, or a prompt's sections)."""
+    return ask(rows, model, "respond", {"context": context, "message": message}, ["output"]).drop("failed")
+
+
+def answer_sections(sections: DataFrame, examples: DataFrame, model: Model) -> DataFrame:
+    """examples with skill (their section's text), context (that and the other sections) and output."""
+    context = frozen_context(sections).withColumnRenamed("active", "section_id")
+    shown = context.join(sections, "section_id").select("section_id", F.concat_ws("\n\n", F.col("text"), F.nullif("context", F.lit(""))).alias("context"), F.col("text").alias("skill"))
+    return answer(examples.join(shown, "section_id"), model, "context", "user_message")
+
+
 def predict_tools(examples: DataFrame, tools: DataFrame, model: Model) -> DataFrame:
     """examples with selected_tool, given the list of a candidate's tools (one row, so it is sent to all tasks)."""
-    shown = F.broadcast(render_tools(tools).select("summaries"))
+    shown = render_tools(tools).select("summaries")
     asked = ask(examples.join(shown), model, "select", {"message": "task_description", "tools": "summaries"}, ["selected"])
     return asked.withColumnRenamed("selected", "selected_tool").drop("summaries", "failed")
 
@@ -66,7 +93,7 @@ def judge_tools(baseline: DataFrame, evolved: DataFrame, holdout: DataFrame, mod
     """baseline, evolved: ord, tool, description; holdout: task_description, correct_tool. Tables: gates, claims,
     accuracy (baseline and evolved), rates, verdict."""
     model = model or OfflineModel()
-    both = baseline.select("tool", F.col("description").alias("original")).join(evolved.select("tool", F.col("description").alias("evolved")), "tool")
+    both = paired(baseline, evolved, "tool", "description")
     gates = gate_report(evolved.select("tool", F.col("description").alias("text"), F.lit("tool_description").alias("artifact_type")).join(both.select("tool", F.col("original").alias("baseline_text")), "tool", "left"))
     before, after = predict_tools(holdout, baseline, model), predict_tools(holdout, evolved, model)
     rates = compare_rates(group_accuracy(before), group_accuracy(after))
@@ -78,13 +105,11 @@ def judge_sections(baseline: DataFrame, evolved: DataFrame, holdout: DataFrame,
     """baseline, evolved: ord, section_id, text; holdout: section_id, user_message, expected_behavior. Each example runs
     with its own section active: the section's text and the others as context both reach the answer."""
     model = model or OfflineModel()
-    both = baseline.select("section_id", F.col("text").alias("original")).join(evolved.select("section_id", F.col("text").alias("evolved")), "section_id")
+    both = paired(baseline, evolved, "section_id", "text")
     gates = gate_report(both.select("section_id", F.col("evolved").alias("text"), F.lit("section").alias("artifact_type"), F.col("original").alias("baseline_text"))).where("constraint_name IN ('growth_limit', 'non_empty')")
 
     def mean(sections: DataFrame, which: str) -> DataFrame:
-        context = frozen_context(sections).withColumnRenamed("active", "section_id")
-        shown = context.join(sections, "section_id").select("section_id", F.concat_ws("\n\n", F.col("text"), F.nullif("context", F.lit(""))).alias("context"), F.col("text").alias("skill"))
-        answered = ask(holdout.join(F.broadcast(shown), "section_id"), model, "respond", {"context": "context", "message": "user_message"}, ["output"]).drop("failed")
+        answered = answer_sections(sections, holdout, model)
         return mean_score(metric(answered, model, "expected_behavior", "output", False, "user_message")).withColumn("which", F.lit(which))
 
     return {"gates": gates, "passed": all_passed(gates, "section_id"), "roles": check_role(both, model), "scores": mean(baseline, "baseline").unionByName(mean(evolved, "evolved"))}
@@ -97,9 +122,7 @@ def judge_skill(skill: DataFrame, evolved_body: str, holdout: DataFrame, model:
     texts = skill.select("name", F.col("raw").alias("baseline_text"), reassemble_skill(F.col("frontmatter"), F.lit(evolved_body)).alias("text"), F.lit("skill").alias("artifact_type"))
     gates = gate_report(texts)
 
-    def mean(col: str, which: str) -> DataFrame:
-        shown = F.broadcast(texts.select(F.col(col).alias("context")))  # one row
-        answered = ask(holdout.join(shown), model, "respond", {"context": "context", "message": "task_input"}, ["output"]).drop("failed")
-        return mean_score(metric(answered, model, "expected_behavior", "output", True)).withColumn("which", F.lit(which))
-
-    return {"gates": gates, "passed": all_passed(gates, "name"), "scores": mean("baseline_text", "baseline").unionByName(mean("text", "evolved"))}
+    shown = texts.select(F.inline(F.array(*[F.struct(F.lit(w).alias("which"), F.col(c).alias("context")) for w, c in (("baseline", "baseline_text"), ("evolved", "text"))])))
+    scored = metric(answer(each_candidate(shown, holdout), model, "context", "task_input"), model, "expected_behavior", "output", True)
+    means = [mean_score(scored.where(F.col("which") == w)).withColumn("which", F.lit(w)) for w in ("baseline", "evolved")]
+    return {"gates": gates, "passed": all_passed(gates, "name"), "scores": means[0].unionByName(means[1])}

@@ -11,9 +11,10 @@ import hashlib
 import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skein.functions.jsonx import extract_array, extract_object
 from skein.functions.text import composite, is_blank, length_penalty, parse_bool, parse_score, shortened, token_overlap, validated
@@ -54,6 +55,22 @@ class OfflineModel:
     def role(self, r: dict) -> dict:
         return {"verdict": str(self._share(r["original"], r["evolved"]) >= 0.3), "explanation": "offline"}
 
+    def test_cases(self, r: dict) -> dict:
+        return {"cases": "Cases: " + json.dumps([{"task_input": f"{r['type']} {i}: {r['artifact'][:20]}", "expected_behavior": f"does {i}"} for i in range(int(r["n"]))])}
+
+    def similar(self, r: dict) -> dict:
+        names = [x[2:].split(": ", 1)[0] for x in r["tools"].split("\n") if x.startswith("- ")]
+        return {"pairs": json.dumps([{"tools": [a.upper(), b], "overlap": f"{a} or {b}"} for a, b in zip(names[::2], names[1::2])])}
+
+    def tool_tasks(self, r: dict) -> dict:
+        return {"tasks": json.dumps([{"task_description": f"{r['level']} {i} for {r['name']}", "correct_params": {"i": i}} for i in range(int(r["n"]))])}
+
+    def confuser_tasks(self, r: dict) -> dict:
+        return {"tasks": json.dumps([{"task_description": f"{r['overlap']} {i}", "correct_tool": (r["a"], r["b"], "no tool")[i % 3], "reason": f"case {i}"} for i in range(int(r["n"]))])}
+
+    def scenarios(self, r: dict) -> dict:
+        return {"scenarios": json.dumps([{"user_message": f"{r['section']} {i}", "expected_behavior": r["text"][:20], "difficulty": "easy" if i % 2 else None} for i in range(int(r["n"]))])}
+
     def generate(self, r: dict) -> dict:
         key = hashlib.md5(r["about"].encode()).hexdigest()[:6]
         return {"items": json.dumps([{"task_input": f"{r['name']} {key} {i}", "expected_behavior": f"uses {r['name']}", "difficulty": r.get("level", "medium")} for i in range(int(r["n"]))])}
@@ -64,24 +81,23 @@ def ask(rows: DataFrame, model: Model, task: str, inputs: dict[str, str], output
 
     inputs: names of the request's fields, and the columns that fill them.
     """
-    fields = [f"{f.name} {f.dataType.simpleString()}" if f.name.isidentifier() else f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(o, T.StringType()) for o in outputs), T.StructField("failed", T.BooleanType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, len(b), batch):
-                part = b.iloc[k : k + batch].copy()
-                sent = [{"task": task} | {name: "" if pd.isna(v) else str(v) for name, v in zip(inputs, vals)} for vals in zip(*(part[c] for c in inputs.values()))]
+            for k in range(0, b.num_rows, batch):
+                part = b.slice(k, batch)  # other columns pass as they are
+                cols = [part.column(part.schema.get_field_index(c)).to_pylist() for c in inputs.values()]
+                sent = [{"task": task} | {name: "" if v is None or v != v else str(v) for name, v in zip(inputs, vals)} for vals in zip(*cols)]
                 try:
                     got = model(sent)
                 except Exception as e:  # a call that fails is an error of its rows, not of the job
                     got = [e] * len(sent)
                 bad = [isinstance(g, Exception) for g in got]
-                for name in outputs:
-                    part[name] = [None if f else g.get(name) for f, g in zip(bad, got)]
-                part["failed"] = bad
-                yield part
+                answers = [pa.array([None if f else g.get(name) for f, g in zip(bad, got)], pa.string()) for name in outputs]
+                yield pa.RecordBatch.from_arrays([*part.columns, *answers, pa.array(bad, pa.bool_())], names=schema.fieldNames())
 
-    return rows.mapInPandas(run, ", ".join([*fields, *(f"{o} string" for o in outputs), "failed boolean"]))
+    return rows.mapInArrow(run, schema)
 
 
 def score_relevance(candidates: DataFrame, model: Model, skill_text: str) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.functions.jsonx import extract_array, extract_object
 from skein.operators import candidates, gates, pairing, rendering, scoring, splits
-from skein.plans import flows, judge
+from skein.plans import flows, generate, judge
+from skein.shared import fresh_path
+from skein.sources import datasets, sessions, skills, source_code
 from skein.sources.sessions import parse_history
 from skein.sources.skills import parse_skill
 
@@ -84,9 +86,50 @@ def w2_pair_concat(spark, sf_dir):
     FROM conversations WHERE role = 'user' AND length(text) >= 10 AND NOT regexp_matches(text, {SECRET_SQL})
 """)
 def s1_history(spark, sf_dir):
+    return parse_history(_history_lines(spark, sf_dir))
+
+
+def _history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = _table(spark, sf_dir, "conversations").where("role = 'user'")
-    line = F.to_json(F.struct(F.col("text").alias("display"), F.col("turn").alias("timestamp"), F.col("conv_id").cast("string").alias("sessionId")))
-    return parse_history(user.select(line.alias("value")))
+    return user.select(F.to_json(F.struct(F.col("text").alias("display"), F.col("turn").alias("timestamp"), F.col("conv_id").cast("string").alias("sessionId"))).alias("value"))
+
+
+def _whole_files(spark: SparkSession, sf_dir: str, line, value) -> DataFrame:
+    """conv_id, value: a file's text for each conversation, of its turns' lines in order."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"])
+    return _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(value(lines).alias("value"))
+
+
+def _event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.to_json(F.struct(F.concat("role", F.lit(".message")).alias("type"), F.struct(F.col("text").alias("content")).alias("data")))
+    return _whole_files(spark, sf_dir, line, lambda lines: F.array_join(lines, "\nnot JSON\n")).select(F.col("conv_id").cast("string").alias("session_id"), "value")
+
+
+def _session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.to_json(F.struct("role", F.col("text").alias("content")))
+    value = lambda lines: F.concat(F.lit('{"messages": ['), F.array_join(lines, ", "), F.lit("]}"))
+    files = _whole_files(spark, sf_dir, line, value)
+    return files.select(F.concat(F.lit("file:/logs/"), F.col("conv_id").cast("string"), F.lit(".json")).alias("file"), F.timestamp_seconds("conv_id").alias("mtime"), "value")
+
+
+@query(f"""
+    WITH {_SEGMENTS_SQL}
+    a AS (SELECT conv_id, seg, string_agg(text, chr(10) ORDER BY turn) AS t FROM s WHERE role = 'assistant' AND length(text) > 0 GROUP BY conv_id, seg)
+    SELECT 'events' AS source, u.text AS task_input, a.t AS assistant_response, CASE WHEN u.conv_id % 2 = 0 THEN '/home/' || u.conv_id ELSE '' END AS project, u.conv_id::VARCHAR AS session_id
+    FROM u JOIN a ON u.conv_id = a.conv_id AND u.seg = a.seg
+    WHERE length(u.text) > 0 AND NOT regexp_matches(u.text, {SECRET_SQL}) AND NOT regexp_matches(a.t, {SECRET_SQL})
+""")
+def s2_events(spark, sf_dir):
+    """S2 and S3: event files of the conversations, every other one with a workspace file."""
+    ids = _table(spark, sf_dir, "conversations").select("conv_id").distinct().where("conv_id % 2 = 0")
+    spaces = ids.select(F.col("conv_id").cast("string").alias("session_id"), F.concat(F.lit("id: 1\ncwd:  /home/"), F.col("conv_id").cast("string"), F.lit(" \ncwd: /no\n")).alias("value"))
+    found = sessions.parse_events(_event_files(spark, sf_dir), sessions.parse_workspaces(spaces))
+    return sessions.as_messages(found).select("source", "task_input", "assistant_response", "project", "session_id")
+
+
+@query(f"WITH {_W1_SQL} SELECT 'sessions' AS source, task_input, assistant_response, conv_id::VARCHAR AS session_id FROM w1")
+def s4_sessions(spark, sf_dir):
+    return sessions.as_messages(sessions.parse_sessions(_session_files(spark, sf_dir))).select("source", "task_input", "assistant_response", "session_id")
 
 
 @query("""
@@ -178,7 +221,7 @@ def f10_nonblank(spark, sf_dir):
 
 @query("SELECT doc_id, source FROM documents WHERE source = 'src3'")
 def f11_section_filter(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").where(F.col("source") == "src3").select("doc_id", "source")
+    return flows.active_examples(_table(spark, sf_dir, "documents").select("doc_id", "source").withColumn("section_id", F.col("source")), "src3").select("doc_id", "source")
 
 
 _RAW_SQL = """CASE doc_id % 9 WHEN 0 THEN CAST(quality AS STRING) WHEN 1 THEN ' 0.25 ' WHEN 2 THEN 'n/a' WHEN 3 THEN '-1' WHEN 4 THEN '1.5'
@@ -215,14 +258,14 @@ def f15_length_penalty(spark, sf_dir):
 @query(f"""
     WITH p AS (
         SELECT doc_id, list_distinct({_tokens_sql('lower(b.text)')}) AS want, list_distinct({_tokens_sql('lower(d.text)')}) AS got, d.text
-        FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40
+        FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
     )
     SELECT doc_id, CASE WHEN length({_strip_sql('text')}) = 0 THEN 0e0 WHEN len(want) = 0 THEN 0.5e0
         ELSE least(1e0, greatest(0e0, 0.3e0 + 0.7e0 * (len(list_intersect(want, got))::DOUBLE / len(want)))) END AS score FROM p
 """)
 def f16_token_overlap(spark, sf_dir):
     d, b = _table(spark, sf_dir, "documents").alias("d"), _table(spark, sf_dir, "benchmark").alias("b")
-    return d.join(b, F.col("d.doc_id") % 40 == F.col("b.item_id")).select("doc_id", T.token_overlap(F.col("b.text"), F.col("d.text")).alias("score"))
+    return d.join(b, F.col("d.doc_id") % _table(spark, sf_dir, "benchmark").count() == F.col("b.item_id")).select("doc_id", T.token_overlap(F.col("b.text"), F.col("d.text")).alias("score"))
 
 
 #: Predictions: an event's type as the right tool, the user's next event's type as the chosen one.
@@ -268,9 +311,10 @@ def f18_size_gate(spark, sf_dir):
 
 
 def _with_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's facts and the next one's length as its baseline: no text is joined."""
     d = _table(spark, sf_dir, "documents").select("doc_id", "text", F.expr(_TYPE_SQL).alias("artifact_type"))
-    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("baseline_text"))
-    return d.join(b, "doc_id", "left")
+    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.length("text").alias("baseline_text"))
+    return d.select("doc_id", gates.facts(F.col("text")).alias("text"), "artifact_type").join(b, "doc_id", "left")
 
 
 _BASELINE_SQL = f"a AS (SELECT d.doc_id, d.text, b.text AS base, {_TYPE_SQL.replace('doc_id', 'd.doc_id')} AS kind, {_LIMIT_SQL.replace('doc_id', 'd.doc_id')} AS most FROM documents d LEFT JOIN documents b ON b.doc_id = d.doc_id + 1)"
@@ -278,7 +322,7 @@ _BASELINE_SQL = f"a AS (SELECT d.doc_id, d.text, b.text AS base, {_TYPE_SQL.repl
 
 @query(f"WITH {_BASELINE_SQL} SELECT doc_id, (length(text) - length(base))::DOUBLE / greatest(1, length(base)) <= 0.2e0 AS passed FROM a")
 def f19_growth_gate(spark, sf_dir):
-    return _with_baseline(spark, sf_dir).select("doc_id", gates.growth_ok(F.col("text"), F.col("baseline_text")).alias("passed"))
+    return _with_baseline(spark, sf_dir).select("doc_id", (gates.grown_by(F.col("text.chars"), F.col("baseline_text")) <= gates.MAX_GROWTH).alias("passed"))
 
 
 @query(f"SELECT doc_id, length({_strip_sql('text')}) > 0 AS passed FROM documents")
@@ -349,9 +393,9 @@ def j1_rate_compare(spark, sf_dir):
 
 @query(f"WITH {_BASELINE_SQL} SELECT doc_id, text = base AS same FROM a WHERE base IS NOT NULL")
 def j2_original_evolved(spark, sf_dir):
-    d = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("base"))
-    return d.join(b, "doc_id").select("doc_id", (F.col("text") == F.col("base")).alias("same"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))  # digests are joined, not texts
+    both = flows.paired(d.select((F.col("doc_id") - 1).alias("doc_id"), "digest"), d, "doc_id", "digest")
+    return both.select("doc_id", (F.col("original") == F.col("evolved")).alias("same"))
 
 
 @query(f"SELECT conv_id, turn FROM conversations WHERE role = 'user' AND NOT {_relevant_sql('text')}")
@@ -391,13 +435,13 @@ def j8_enrich(spark, sf_dir):
 
 @query("SELECT d.doc_id, coalesce(b.text, '') AS project FROM documents d LEFT JOIN benchmark b ON b.item_id = d.doc_id")
 def j9_session_workspace(spark, sf_dir):
-    d, b = _table(spark, sf_dir, "documents").select("doc_id"), _table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
-    return d.join(b, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("project"))
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("session_id"))
+    return sessions.with_projects(d, _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("session_id"), F.col("text").alias("project"))).select("doc_id", "project")
 
 
 @query("SELECT l.doc_id, c.which, c.which = 'evolved' AND l.quality = 1 AS hit FROM labels l CROSS JOIN (VALUES ('baseline'), ('evolved')) c(which)")
 def j10_candidates_by_examples(spark, sf_dir):
-    each = _table(spark, sf_dir, "labels").select("doc_id", "quality", F.explode(F.array(F.lit("baseline"), F.lit("evolved"))).alias("which"))
+    each = flows.each_candidate(spark.sql("SELECT * FROM VALUES ('baseline'), ('evolved') AS t(which)"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return each.select("doc_id", "which", ((F.col("which") == "evolved") & (F.col("quality") == 1)).alias("hit"))
 
 
@@ -446,12 +490,12 @@ def a9_error_rate(spark, sf_dir):
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = spark.sql("SELECT * FROM VALUES ('default_agent_identity', 0), ('memory_guidance', 1), ('skills_guidance', 2), ('unknown', 3) AS t(section_id, ord)")
     each = _table(spark, sf_dir, "documents").select("source").distinct()
-    family = each.select(F.concat(F.lit("platform_hints."), "source").alias("section_id"), (F.regexp_extract("source", "\\d+", 0).cast("int") + 10).alias("ord")).where("ord < 19")
+    family = each.select(F.concat(F.lit("platform_hints."), "source").alias("section_id"), (F.regexp_extract("source", "\\d+", 0).cast("int") + 10).alias("ord"))
     return some.unionByName(family)
 
 
 @query("""
-    WITH f AS (SELECT DISTINCT source, regexp_extract(source, '\\d+')::INT AS i FROM documents), m AS (SELECT source, i, row_number() OVER (ORDER BY i) - 1 AS k, count(*) OVER () AS n FROM f WHERE i < 9)
+    WITH f AS (SELECT DISTINCT source, regexp_extract(source, '\\d+')::INT AS i FROM documents), m AS (SELECT source, i, row_number() OVER (ORDER BY i) - 1 AS k, count(*) OVER () AS n FROM f)
     SELECT 'platform_hints.' || source AS section_id, i + 10 AS ord, (20 // n + (k < 20 % n)::INT)::BIGINT AS target FROM m
     UNION ALL SELECT * FROM (VALUES ('default_agent_identity', 0, 20::BIGINT), ('memory_guidance', 1, 15), ('skills_guidance', 2, 15))
 """)
@@ -474,9 +518,10 @@ def o3_candidate_cap(spark, sf_dir):
     return candidates.cap_candidates(user, T.is_relevant(F.col("text"), SKILL_NAME, SKILL_TEXT), "key", 200).select("key", F.col("ord").cast("long").alias("ord"))
 
 
-@query("SELECT doc_id FROM documents ORDER BY doc_id DESC LIMIT 50")
+@query("SELECT doc_id::VARCHAR AS session_id FROM documents ORDER BY doc_id DESC LIMIT 50")
 def o2_limit(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id").orderBy(F.desc("doc_id")).limit(50)
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("session_id"))
+    return sessions.limited(rows, 50, F.desc("doc_id")).select("session_id")
 
 
 @query("SELECT i AS n, greatest(1, i // 2) AS train, greatest(1, i // 4) AS val FROM range(200) t(i)")
@@ -502,24 +547,25 @@ def u1_union_splits(spark, sf_dir):
     return splits.union_splits(rows.where("quality = 1 AND toxic = 0"), rows.where("quality = 0"), rows.where("quality = 1 AND toxic = 1")).select("doc_id", "split")
 
 
-@query("""
-    SELECT 'conversations' AS source, text AS task_input, NULL AS project FROM conversations WHERE role = 'user'
-    UNION ALL SELECT 'benchmark', text, 'b' FROM benchmark
+@query(f"""
+    WITH {_W1_SQL}
+    SELECT 'history' AS source, text AS task_input, CAST(NULL AS VARCHAR) AS assistant_response, conv_id::VARCHAR AS session_id
+    FROM conversations WHERE role = 'user' AND length(text) >= 10 AND NOT regexp_matches(text, {SECRET_SQL})
+    UNION ALL SELECT 'sessions', task_input, assistant_response, conv_id::VARCHAR FROM w1
 """)
 def u2_union_sources(spark, sf_dir):
-    a = _table(spark, sf_dir, "conversations").where("role = 'user'").select(F.lit("conversations").alias("source"), F.col("text").alias("task_input"))
-    b = _table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("source"), F.col("text").alias("task_input"), F.lit("b").alias("project"))
-    return a.unionByName(b, allowMissingColumns=True)
+    readers = {"sessions": lambda: sessions.parse_sessions(_session_files(spark, sf_dir)), "history": lambda: parse_history(_history_lines(spark, sf_dir)), "events": lambda: sessions.no_messages(spark)}
+    return sessions.combined(spark, readers, ["history", "unknown", "sessions"]).select("source", "task_input", "assistant_response", "session_id")
 
 
 @query(f"""
     SELECT doc_id, len(list_intersect(list_distinct({_tokens_sql('lower(d.text)')}), list_distinct({_tokens_sql('lower(b.text)')})))::INT AS shared
-    FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40
+    FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)
 """)
 def u3_token_intersection(spark, sf_dir):
     d, b = _table(spark, sf_dir, "documents").alias("d"), _table(spark, sf_dir, "benchmark").alias("b")
     shared = F.size(F.array_intersect(T.tokens(F.lower(F.col("d.text"))), T.tokens(F.lower(F.col("b.text")))))
-    return d.join(b, F.col("d.doc_id") % 40 == F.col("b.item_id")).select("doc_id", shared.alias("shared"))
+    return d.join(b, F.col("d.doc_id") % _table(spark, sf_dir, "benchmark").count() == F.col("b.item_id")).select("doc_id", shared.alias("shared"))
 
 
 @query(f"""
@@ -536,23 +582,288 @@ def e1_mining_flow(spark, sf_dir):
     return names.join(members.groupBy("split").agg(F.count("*").alias("n")), "split", "left").select("split", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query()
+_RANK_SQL = f"""
+    {_W1_SQL},
+    u AS (SELECT conv_id * 1000000 + turn AS key, task_input, {_relevant_sql('task_input')} AS hit FROM w1 WHERE length(task_input) > 0),
+    h AS (SELECT key, task_input, row_number() OVER (ORDER BY key) - 1 AS ord FROM u WHERE hit QUALIFY ord < 150),
+    n AS (SELECT count(*) AS n FROM h),
+    o AS (SELECT key, task_input, row_number() OVER (ORDER BY {_HASH_SQL.format('key')}, key) - 1 AS r FROM u WHERE NOT hit QUALIFY r < 100),
+    c AS (SELECT key, task_input, ord FROM h UNION ALL SELECT key, task_input, r + n AS ord FROM o, n WHERE n < 50 AND r + n < 150)
+"""
+
+
+@query(f"""
+    WITH {_RANK_SQL.replace(' u AS (SELECT conv_id * 1000000', ' v AS (SELECT conv_id * 1000000').replace('FROM u WHERE', 'FROM v WHERE')}
+    SELECT substr(task_input, 1, 2000) AS task_input, {_strip_sql("('Answers: ' || substr(task_input, 1, 80))")} AS expected_behavior, 'medium' AS difficulty, 'general' AS category, 'sessions' AS source, key, ord
+    FROM c WHERE len(list_intersect(list_distinct({_tokens_sql('lower(substr(task_input, 1, 1000))')}), [{', '.join(f"'{w}'" for w in sorted(set(SKILL_TEXT[:800].lower().split())))}])) > 0
+    ORDER BY ord LIMIT 50
+""")
 def l1_relevance_offline(spark, sf_dir):
     """Mining with the offline model: its answers are no measure of quality."""
     pairs = pairing.pair_first_response(_table(spark, sf_dir, "conversations")).withColumn("source", F.lit("sessions"))
     keyed = pairs.withColumn("key", F.col("conv_id") * 1_000_000 + F.col("turn"))
-    return flows.mine(keyed, SKILL_NAME, SKILL_TEXT, "key")
+    return flows.mine(keyed, SKILL_NAME, SKILL_TEXT, "key").withColumn("ord", F.col("ord").cast("long"))
 
 
-@query()
+@query("SELECT doc_id, CASE WHEN quality = toxic THEN 1e0 ELSE 0e0 END AS correctness, CASE WHEN quality = toxic THEN 1e0 ELSE 0e0 END AS composite FROM labels")
 def l8_rubric_offline(spark, sf_dir):
     """Rubric scores of the offline model."""
     rows = _table(spark, sf_dir, "labels").select("doc_id", F.lit("task").alias("task"), F.col("quality").cast("string").alias("expected"), F.col("toxic").cast("string").alias("output"), F.lit("skill").alias("skill"))
     return judge.score_rubric(rows, judge.OfflineModel(), "task", "expected", "output", "skill").select("doc_id", "correctness", "composite")
 
 
-@query()
+@query("""
+    WITH l AS (SELECT item_id, string_split(text, chr(10)) AS x FROM benchmark WHERE length(text) > 0), n AS (SELECT *, least(3, len(x)) AS k, greatest(1, len(x) - 2) AS first FROM l)
+    SELECT item_id AS name, '--- original/' || item_id || chr(10) || '+++ evolved/' || item_id || chr(10) || '@@ -' || first || CASE WHEN k > 1 THEN ',' || k ELSE '' END
+        || ' +' || first || ',' || (k + 1) || ' @@' || chr(10) || ' ' || array_to_string(x[first:], chr(10) || ' ') || chr(10) || '+more' AS diff
+    FROM n
+""")
 def k5_diffs(spark, sf_dir):
     """Unified diffs of benchmark items and the same with a line added."""
     a = _table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "name")
     return rendering.diffs(a, a.withColumn("text", F.concat("text", F.lit("\nmore"))))
+
+
+# ---- what a model writes, with the offline model
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as tools: ord, tool, description."""
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("tool"), F.col("text").alias("description"))
+
+
+@query("SELECT item_id, 'skill ' || i || ': ' || substr(text, 1, 20) AS task_input, 'does ' || i AS expected_behavior, 'medium' AS difficulty, 'general' AS category, 'synthetic' AS source FROM benchmark, range(20) r(i) WHERE i < 3 + item_id % 4")
+def l2_test_cases(spark, sf_dir):
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", "text", F.lit("skill").alias("artifact_type"), (3 + F.col("item_id") % 4).cast("string").alias("n"))
+    return generate.test_cases(rows, judge.OfflineModel())
+
+
+_ORDER_SQL = "o AS (SELECT item_id, 'item' || item_id AS tool, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark), p AS (SELECT a.tool AS a, b.tool AS b FROM o a JOIN o b ON b.k = a.k + 1 WHERE a.k % 2 = 0)"
+
+
+@query(f"WITH {_ORDER_SQL} SELECT upper(a) AS tool_a, b AS tool_b, a || ' or ' || b AS overlap FROM p")
+def l3_similar_tools(spark, sf_dir):
+    return generate.similar_tools(_items(spark, sf_dir), judge.OfflineModel()).select(F.col("tools")[0].alias("tool_a"), F.col("tools")[1].alias("tool_b"), "overlap")
+
+
+_PLAN_SQL = "t AS (SELECT 'item' || item_id AS tool, l.level, i FROM benchmark, (VALUES ('easy', 2), ('medium', 3), ('hard', 1)) l(level, n), range(3) r(i) WHERE i < l.n)"
+
+
+@query(f"WITH {_PLAN_SQL} SELECT level || ' ' || i || ' for ' || tool AS task_description, tool AS correct_tool, '{{\"i\":' || i || '}}' AS correct_params, level AS difficulty, 'synthetic' AS source FROM t")
+def l4_tool_tasks(spark, sf_dir):
+    return generate.tool_tasks(_items(spark, sf_dir), judge.OfflineModel()).select("task_description", "correct_tool", "correct_params", "difficulty", "source")
+
+
+_CONFUSED_SQL = f"""
+    {_ORDER_SQL}, x AS (SELECT a || ' or ' || b || ' ' || i AS task_description, CASE i % 3 WHEN 0 THEN a ELSE b END AS correct_tool, CASE i % 3 WHEN 0 THEN b ELSE a END AS confuser, 'case ' || i AS reason FROM p, range(7) r(i) WHERE i % 3 < 2)
+"""
+
+
+@query(f"WITH {_CONFUSED_SQL} SELECT *, 'hard' AS difficulty FROM x")
+def l5_confuser_tasks(spark, sf_dir):
+    tools, model = _items(spark, sf_dir), judge.OfflineModel()
+    got = generate.confuser_tasks(generate.similar_tools(tools, model), tools, model)
+    return got.select("task_description", "correct_tool", F.col("confuser_tools")[0].alias("confuser"), "reason", "difficulty")
+
+
+@query("SELECT 'medium ' || i || ' for item' || item_id AS task_description, 'item' || item_id AS correct_tool FROM benchmark, range(3) r(i) WHERE item_id % 4 < 3")
+def l6_supplement(spark, sf_dir):
+    """Every fourth item has three examples, the others one or none."""
+    tools = _items(spark, sf_dir)
+    three = tools.where("ord % 4 = 3").select(F.explode(F.array_repeat("tool", 3)).alias("correct_tool"))
+    return generate.supplement(three.union(tools.where("ord % 4 = 1").select("tool")), tools, judge.OfflineModel()).select("task_description", "correct_tool")
+
+
+@query(r"""
+    WITH f AS (SELECT DISTINCT source, regexp_extract(source, '\d+')::INT AS i FROM documents), m AS (SELECT source, row_number() OVER (ORDER BY i) - 1 AS k, count(*) OVER () AS n FROM f),
+    q AS (
+        SELECT 'platform_hints.' || source AS section_id, 20 // n + (k < 20 % n)::INT AS target FROM m
+        UNION ALL SELECT * FROM (VALUES ('default_agent_identity', 20), ('memory_guidance', 15), ('skills_guidance', 15))
+    )
+    SELECT section_id, section_id || ' ' || i AS user_message, 'text of ' || substr(section_id, 1, 12) AS expected_behavior, CASE WHEN i % 2 = 1 THEN 'easy' ELSE 'medium' END AS difficulty FROM q, range(20) r(i) WHERE i < target
+""")
+def l7_section_scenarios(spark, sf_dir):
+    sections = _sections(spark, sf_dir).withColumn("text", F.concat(F.lit("text of "), "section_id"))
+    return generate.section_scenarios(sections, judge.OfflineModel()).select("section_id", "user_message", "expected_behavior", "difficulty")
+
+
+@query(f"""
+    WITH {_CONFUSED_SQL}, {_PLAN_SQL}, n AS (SELECT (SELECT count(*) FROM x) + (SELECT count(*) FROM t) AS n)
+    SELECT s.split, CASE s.split WHEN 'train' THEN greatest(1, n // 2) WHEN 'val' THEN greatest(1, n // 4) ELSE n - greatest(1, n // 2) - greatest(1, n // 4) END AS examples FROM n, (VALUES ('train'), ('val'), ('holdout')) s(split)
+""")
+def e2_tool_dataset(spark, sf_dir):
+    """The whole flow, counted by split; all items are covered, so that nothing is supplemented."""
+    return generate.tool_dataset(_items(spark, sf_dir), judge.OfflineModel()).groupBy("split").agg(F.count("*").alias("examples"))
+
+
+@query("SELECT item_id, item_id % 2 = 0 AS factual_ok, item_id % 3 > 0 AS role_ok FROM benchmark")
+def l9_claims(spark, sf_dir):
+    """Odd items claim something new; every third one is another text."""
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("original"), F.when(F.col("item_id") % 2 == 1, F.concat("text", F.lit(" zzclaim"))).otherwise(F.col("text")).alias("evolved"))
+    claims = judge.check_claims(rows, judge.OfflineModel()).select("item_id", "factual_ok")
+    other = rows.withColumn("evolved", F.when(F.col("item_id") % 3 == 0, "zz").otherwise(F.col("evolved")))
+    return claims.join(judge.check_role(other, judge.OfflineModel()).select("item_id", "role_ok"), "item_id")
+
+
+_SHOWN_SQL = "(VALUES (0, 'alpha', 'the of'), (1, 'beta', 'and to in'), (2, 'gamma', 'zz')) c(ord, tool, description)"
+
+
+@query(f"""
+    WITH m AS (SELECT item_id, list_distinct({_tokens_sql('lower(text)')}) AS want FROM benchmark),
+    s AS (SELECT item_id, tool, len(list_intersect(want, string_split(tool || ' ' || description, ' ')))::DOUBLE / len(want) AS share FROM m, {_SHOWN_SQL})
+    SELECT item_id, arg_max(tool, (share, tool)) AS selected_tool FROM s GROUP BY item_id
+""")
+def l10_tool_selector(spark, sf_dir):
+    tools = spark.sql(f"SELECT * FROM VALUES {_SHOWN_SQL.split('VALUES ')[1].split(') c(')[0]} AS c(ord, tool, description)")
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("task_description"))
+    return flows.predict_tools(rows, tools, judge.OfflineModel()).select("item_id", "selected_tool")
+
+
+@query(f"SELECT item_id, {_strip_sql("substr(CASE item_id % 2 WHEN 0 THEN 'be kind' || chr(10) || chr(10) || '[b]: be short' ELSE 'be short' || chr(10) || chr(10) || '[a]: be kind' END, 1, 200) || ' ' || text")} AS output FROM benchmark")
+def l11_section_responder(spark, sf_dir):
+    sections = spark.sql("SELECT * FROM VALUES (0, 'a', 'be kind'), (1, 'b', 'be short') AS s(ord, section_id, text)")
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 2 == 0, "a").otherwise("b").alias("section_id"), F.col("text").alias("user_message"))
+    return flows.answer_sections(sections, rows, judge.OfflineModel()).select("item_id", "output")
+
+
+@query(f"SELECT item_id, which, {_strip_sql("substr(context, 1, 200) || ' ' || text")} AS output FROM benchmark, (VALUES ('baseline', 'do this'), ('evolved', 'do that')) c(which, context)")
+def l12_skill_executor(spark, sf_dir):
+    shown = spark.sql("SELECT * FROM VALUES ('baseline', 'do this'), ('evolved', 'do that') AS c(which, context)")
+    rows = flows.each_candidate(shown, _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("task_input")))
+    return flows.answer(rows, judge.OfflineModel(), "context", "task_input").select("item_id", "which", "output")
+
+
+@query("""
+    SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 0e0 WHEN quality = toxic THEN 1e0 ELSE 0.3e0 END AS quick, CASE WHEN doc_id % 5 = 0 THEN 0e0 WHEN quality = toxic THEN 1e0 ELSE 0e0 END AS judged FROM labels
+""")
+def l13_metric(spark, sf_dir):
+    rows = _table(spark, sf_dir, "labels").select("doc_id", F.lit("task").alias("task_input"), F.col("quality").cast("string").alias("expected"), F.when(F.col("doc_id") % 5 == 0, "  ").otherwise(F.col("toxic").cast("string")).alias("output"), F.lit("s").alias("skill"))
+    quick, judged = (judge.metric(rows, judge.OfflineModel(), "expected", "output", q).select("doc_id", F.col("score").alias(n)) for q, n in ((True, "quick"), (False, "judged")))
+    return quick.join(judged, "doc_id")
+
+
+# ---- files, skills, sources
+
+
+@query("SELECT event_id, '[' || props || ']' AS found FROM events")
+def f8b_json_array_strict(spark, sf_dir):
+    said = F.concat(F.lit("The list: ["), F.col("props"), F.lit("] as asked"))
+    return _table(spark, sf_dir, "events").select("event_id", extract_array(said, strict=True).alias("found"))
+
+
+def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("task_input"), F.coalesce("source", F.lit("none")).alias("expected_behavior"), F.lit(None).cast("string").alias("difficulty"), F.col("lang").alias("category"), F.lit("golden").alias("source"))
+
+
+@query(f"""
+    WITH {_SPLIT_SQL.format('documents', 'doc_id')}
+    SELECT d.doc_id::VARCHAR AS task_input, coalesce(source, 'none') AS expected_behavior, 'medium' AS difficulty, coalesce(lang, 'general') AS category, 'golden' AS source, split FROM documents d JOIN m ON m.doc_id = d.doc_id
+""")
+def k1_dataset_round_trip(spark, sf_dir):
+    """K1 and S6: examples with their split, written as JSON lines and read again."""
+    members = splits.split_members(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select(F.col("doc_id").cast("string").alias("task_input"), "split")
+    folder = fresh_path(spark, "dataset")
+    datasets.save_dataset(_examples(spark, sf_dir).join(members, "task_input"), folder)
+    return datasets.load_dataset(spark, folder)
+
+
+@query("""
+    WITH n AS (SELECT count(*) AS n FROM documents)
+    SELECT s.split, CASE s.split WHEN 'train' THEN greatest(1, n // 2) WHEN 'val' THEN greatest(1, n // 4) ELSE n - greatest(1, n // 2) - greatest(1, n // 4) END AS examples FROM n, (VALUES ('train'), ('val'), ('holdout')) s(split)
+""")
+def s7_golden(spark, sf_dir):
+    """One golden file, split when it is read."""
+    path = f"{fresh_path(spark, 'golden')}.jsonl"
+    _examples(spark, sf_dir).write.json(path)
+    return datasets.load_golden(spark, path).groupBy("split").agg(F.count("*").alias("examples"))
+
+
+def _skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.concat(F.lit("---\nname: the "), F.col("item_id").cast("string"), F.lit("\ndescription: d\n---\n\n"), F.col("text"))
+    rows = _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("file:/skills/s"), F.col("item_id").cast("string"), F.lit("/SKILL.md")).alias("path"), parse_skill(raw).alias("s"))
+    return rows.select("path", "s.*")
+
+
+@query("""
+    SELECT 'folder' AS way, 'file:/skills/s7/SKILL.md' AS path, 'the 7' AS name UNION ALL SELECT 'name', min('file:/skills/s' || item_id || '/SKILL.md'), arg_min('the ' || item_id, 'file:/skills/s' || item_id || '/SKILL.md')
+    FROM benchmark WHERE starts_with('the ' || item_id, 'the 1')
+""")
+def s9_find_skill(spark, sf_dir):
+    """By its folder, else by a name that begins as asked: the first path."""
+    every = _skills(spark, sf_dir)
+    found = [skills.find_skill(every, name).select(F.lit(way).alias("way"), "path", "name") for way, name in (("folder", "s7"), ("name", "the 1"))]
+    return found[0].unionByName(found[1])
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0")
+def s11_tool_files(spark, sf_dir):
+    source = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, "\nregistry.register(X)\n").otherwise("\nregistry.register\n"))
+    return source_code.registering(_table(spark, sf_dir, "documents").select("doc_id", source.alias("source"))).select("doc_id")
+
+
+def _literal(c: str):
+    """A text as a Python literal: its JSON string."""
+    return F.regexp_replace(F.to_json(F.struct(F.col(c).alias("x"))), "(?s)^\\{\"x\":(.*)\\}\\z", "$1")
+
+
+def _tool_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit('    "name": "item'), F.col("item_id").cast("string"), F.lit('",\n'))
+    more = F.lit(',\n    "parameters": {"properties": {"q": {"type": "integer", "description": "a " "query"}}, "required": ["q"]},\n}\nregistry.register(ONE_SCHEMA)\n')
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("path"), F.concat(F.lit("# tool {\nONE_SCHEMA = {\n"), name, F.lit('    "description": '), _literal("text"), more).alias("source"))
+
+
+@query("SELECT item_id::VARCHAR AS path, 'item' || item_id AS name, text AS description, 'q' AS param, 'integer' AS kind, true AS required, 'a query' AS about, 'ONE_SCHEMA' AS var FROM benchmark")
+def s12_tool_schemas(spark, sf_dir):
+    got = source_code.extract_tools(_tool_sources(spark, sf_dir))
+    p = F.col("params")[0]
+    return got.select(F.col("file_path").alias("path"), "name", "description", p["name"].alias("param"), p["type"].alias("kind"), p["required"].alias("required"), p["description"].alias("about"), F.col("schema_var_name").alias("var"))
+
+
+@query("SELECT item_id::VARCHAR AS path, 'item' || item_id AS name, reverse(text) AS description FROM benchmark")
+def k2_tool_write_back(spark, sf_dir):
+    """K2 and F25: descriptions replaced in their sources, and read again."""
+    files = _tool_sources(spark, sf_dir).join(_table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("path"), F.reverse("text").alias("new")), "path")
+    after = files.select("path", source_code.with_tool_description(F.col("source"), F.concat(F.lit("item"), "path"), F.col("new")).alias("source"))
+    return source_code.extract_tools(after).select(F.col("file_path").alias("path"), "name", "description")
+
+
+def _prompt_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.concat(F.lit('"""Doc."""\nMEMORY_GUIDANCE = '), _literal("text"), F.lit('\nOTHER = "no"\nPLATFORM_HINTS = {\n    "chat": "Be "\n        "short.",\n}\n'))
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("path"), source.alias("source"))
+
+
+@query("""
+    SELECT item_id::VARCHAR AS path, 'memory_guidance' AS section_id, text, length(text) AS chars, 2 AS line FROM benchmark
+    UNION ALL SELECT item_id::VARCHAR, 'platform_hints.chat', 'Be short.', 9, 5 FROM benchmark
+""")
+def s13_sections(spark, sf_dir):
+    got = source_code.extract_sections(_prompt_sources(spark, sf_dir))
+    return got.select(F.col("source_path").alias("path"), "section_id", "text", F.col("char_count").alias("chars"), F.col("line_range.start").cast("int").alias("line"))
+
+
+@query("""
+    SELECT item_id::VARCHAR AS path, 'memory_guidance' AS section_id, text FROM benchmark UNION ALL SELECT item_id::VARCHAR, 'platform_hints.chat', reverse(text) FROM benchmark
+""")
+def k3_section_write_back(spark, sf_dir):
+    files = _prompt_sources(spark, sf_dir).join(_table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("path"), F.reverse("text").alias("new")), "path")
+    after = files.select("path", source_code.with_section(F.col("source"), F.lit("platform_hints.chat"), F.col("new")).alias("source"))
+    return source_code.extract_sections(after).select(F.col("source_path").alias("path"), "section_id", "text")
+
+
+@query("""
+    SELECT 'metrics' AS what, 'run1 OK true ' || count(*) AS value FROM labels UNION ALL SELECT 'failed', 'FAILED_run1 FAILED false ' || count(*) FROM labels
+    UNION ALL SELECT 'evolved', count(*) || ' ' || sum(length(text)) FROM benchmark
+""")
+def k4_saved_run(spark, sf_dir):
+    """A run's files, read again: metrics of a run that passed and of one that failed, and the evolved texts."""
+    folder = fresh_path(spark, "run")
+    metrics = scoring.mean_score(_table(spark, sf_dir, "labels").select(F.col("quality").cast("double").alias("score")))
+    evolved = _table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.col("text").alias("description"))
+    good, bad = rendering.save_run(folder, "run1", metrics, evolved), rendering.save_run(folder, "run1", metrics, evolved, failed=True)
+    said = F.concat_ws(" ", F.element_at(F.split(F.lit(""), ","), 1), "status", F.col("constraints_passed").cast("string"), F.col("n").cast("string"))
+    rows = [
+        spark.read.json(f"{path}/metrics").select(F.lit(what).alias("what"), F.concat(F.lit(path.rsplit("/", 1)[1]), said).alias("value")) for what, path in (("metrics", good), ("failed", bad))
+    ]
+    back = F.from_json("value", "array<struct<name:string,description:string>>")
+    texts = spark.read.text(f"{good}/evolved", wholetext=True).select(F.inline(back)).agg(F.count("*").alias("n"), F.sum(F.length("description")).alias("chars"))
+    return rows[0].union(rows[1]).union(texts.select(F.lit("evolved").alias("what"), F.concat_ws(" ", F.col("n").cast("string"), F.col("chars").cast("string")).alias("value")))

@@ -69,8 +69,13 @@ def read_workspaces(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{folder}/*/workspace.yaml"
     if missing(spark, path):
         return spark.createDataFrame([], "session_id string, project string")
-    files = spark.read.text(path, wholetext=True)
-    return files.select(_parent(F.col("_metadata.file_path")).alias("session_id"), F.trim(F.regexp_extract("value", "(?m)^cwd:([^\\n]*)$", 1)).alias("project"))
+    files = spark.read.text(path, wholetext=True).select(_parent(F.col("_metadata.file_path")).alias("session_id"), "value")
+    return parse_workspaces(files)
+
+
+def parse_workspaces(files: DataFrame) -> DataFrame:
+    """session_id, project of workspace files (session_id, value)."""
+    return files.select("session_id", F.trim(F.regexp_extract("value", "(?m)^cwd:([^\\n]*)$", 1)).alias("project"))
 
 
 def _parent(path: Column) -> Column:
@@ -86,15 +91,30 @@ def read_events(spark: SparkSession, folder: str, limit: int = 0) -> DataFrame:
     path = f"{folder}/*/events.jsonl"
     if missing(spark, path):
         return no_messages(spark)
-    lines = spark.read.text(path, wholetext=True).select(_parent(F.col("_metadata.file_path")).alias("session_id"), F.posexplode(F.split("value", "\\r?\\n")).alias("turn", "line"))
+    files = spark.read.text(path, wholetext=True).select(_parent(F.col("_metadata.file_path")).alias("session_id"), "value")
+    return limited(parse_events(files, read_workspaces(spark, folder)), limit, "session_id", "turn")
+
+
+def parse_events(files: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """Messages of event files (session_id, value) with the sessions' projects, and each one's place in its file (turn)."""
+    lines = files.select("session_id", F.posexplode(F.split("value", "\\r?\\n")).alias("turn", "line"))
     raw = F.col("line")
     kind = _field(raw, "$.type")
     turns = lines.where(_is_object(raw)).select(
         "session_id", "turn", F.when(kind == "user.message", "user").when(kind == "assistant.message", "assistant").alias("role"), F.coalesce(_field(raw, "$.data.content"), F.lit("")).alias("text")
     ).where("role IS NOT NULL")
     pairs = pair_all_responses(turns, "session_id")
-    out = pairs.join(read_workspaces(spark, folder), "session_id", "left").select(F.lit("events").alias("source"), "*").withColumn("project", F.coalesce("project", F.lit("")))
-    return as_messages(out.orderBy("session_id", "turn").limit(limit) if limit else out)
+    return with_projects(pairs, workspaces).select(F.lit("events").alias("source"), "*")
+
+
+def with_projects(sessions: DataFrame, workspaces: DataFrame) -> DataFrame:
+    """sessions with their workspace's project, `` where there is none."""
+    return sessions.join(workspaces, "session_id", "left").withColumn("project", F.coalesce("project", F.lit("")))
+
+
+def limited(messages: DataFrame, limit: int, *order: str | Column) -> DataFrame:
+    """Messages (schemas.MESSAGE), the first `limit` in order (0: all)."""
+    return as_messages(messages.orderBy(*order).limit(limit) if limit else messages)
 
 
 def read_sessions(spark: SparkSession, folder: str, limit: int = 0) -> DataFrame:
@@ -106,10 +126,16 @@ def read_sessions(spark: SparkSession, folder: str, limit: int = 0) -> DataFrame
     path = f"{folder}/*.json"
     if missing(spark, path):
         return no_messages(spark)
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
+    return limited(parse_sessions(files), limit, F.desc("mtime"), "file", "turn")
+
+
+def parse_sessions(files: DataFrame) -> DataFrame:
+    """Messages of session files (file: a path, mtime, value), with file, mtime and each one's place (turn)."""
     raw = F.col("value")
-    files = spark.read.text(path, wholetext=True).where(_is_object(raw)).select(
-        F.coalesce(_field(raw, "$.session_id"), F.url_decode(F.regexp_extract("_metadata.file_path", "([^/]*)\\.json$", 1))).alias("session_id"),
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), F.try_variant_get(F.try_parse_json(raw), "$.messages", "array<variant>").alias("messages"),
+    files = files.where(_is_object(raw)).select(
+        F.coalesce(_field(raw, "$.session_id"), F.url_decode(F.regexp_extract("file", "([^/]*)\\.json$", 1))).alias("session_id"),
+        "file", "mtime", F.try_variant_get(F.try_parse_json(raw), "$.messages", "array<variant>").alias("messages"),
     )
     each = files.select("session_id", "file", "mtime", F.posexplode("messages").alias("turn", "m"))
 
@@ -119,8 +145,7 @@ def read_sessions(spark: SparkSession, folder: str, limit: int = 0) -> DataFrame
 
     turns = each.select("file", "turn", text("role").alias("role"), F.coalesce(text("content"), F.lit("")).alias("text"))
     pairs = pair_first_response(turns, "file").join(files.select("file", "session_id", "mtime"), "file")
-    out = pairs.select(F.lit("sessions").alias("source"), "*")
-    return as_messages(out.orderBy(F.desc("mtime"), "file", "turn").limit(limit) if limit else out)
+    return pairs.select(F.lit("sessions").alias("source"), "*")
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {"history": read_history, "events": read_events, "sessions": read_sessions}
@@ -128,8 +153,13 @@ READERS: dict[str, Callable[..., DataFrame]] = {"history": read_history, "events
 
 def read_sources(spark: SparkSession, paths: dict[str, str], sources: list[str]) -> DataFrame:
     """Messages of the named sources together; unknown names, and names without a path, are left out."""
+    return combined(spark, {name: lambda name=name: READERS[name](spark, path) for name, path in paths.items() if name in READERS}, sources)
+
+
+def combined(spark: SparkSession, readers: dict[str, Callable[[], DataFrame]], sources: list[str]) -> DataFrame:
+    """Messages of the named readers together, in the names' order; names without a reader are left out."""
     out = no_messages(spark)
     for name in sources:
-        if name in READERS and name in paths:
-            out = out.unionByName(READERS[name](spark, paths[name]))
+        if name in readers:
+            out = out.unionByName(as_messages(readers[name]()))
     return out

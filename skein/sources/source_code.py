@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import quoted, wrapped
@@ -35,7 +35,12 @@ def tool_files(spark: SparkSession, folder: str) -> DataFrame:
     if missing(spark, f"{folder}/*.py"):
         return spark.createDataFrame([], "path string, source string")
     files = spark.read.text(f"{folder}/*.py", wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("source"))
-    return files.where(F.col("source").contains(REGISTERS)).orderBy("path")
+    return registering(files).orderBy("path")
+
+
+def registering(files: DataFrame) -> DataFrame:
+    """The files (path, source) that register a tool."""
+    return files.where(F.col("source").contains(REGISTERS))
 
 
 def _assigned(tree: ast.Module) -> Iterator[tuple[str, ast.expr]]:
@@ -127,8 +132,13 @@ def tools_of(path: str, source: str) -> list[dict]:
 
 
 def sections_of(path: str, source: str) -> list[dict]:
-    """Prompt sections of a source text in order of line: the named string constants, and each text of the family's dict."""
-    tree, out = ast.parse(source), []
+    """Prompt sections of a source text in order of line: the named string constants, and each text of the family's dict;
+    none if it is not Python."""
+    out: list[dict] = []
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError):
+        return out
 
     def add(section: str, text: str, node: ast.AST) -> None:
         out.append({"section_id": section, "text": text, "char_count": len(text), "line_range": {"start": node.lineno, "end": node.end_lineno}, "source_path": path})
@@ -215,3 +225,21 @@ def write_section(source: str, section_id: str, text: str) -> str:
                 if isinstance(key, ast.Constant) and f"{SECTION_FAMILY.lower()}.{key.value}" == section_id:
                     return _replaced(source, own, text, "paren_concat")
     raise KeyError(section_id)
+
+
+def _edited(edit):
+    @F.pandas_udf("string")
+    def run(sources: pd.Series, names: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([edit(s, n, t) for s, n, t in zip(sources, names, texts)], dtype=object)
+
+    return run
+
+
+def with_tool_description(source: Column, tool: Column, text: Column) -> Column:
+    """write_tool_description() over columns; a tool that is not there stops the job."""
+    return _edited(write_tool_description)(source, tool, text)
+
+
+def with_section(source: Column, section_id: Column, text: Column) -> Column:
+    """write_section() over columns; a section that is not there stops the job."""
+    return _edited(write_section)(source, section_id, text)

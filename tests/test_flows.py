@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein import queries
-from skein.plans import flows, judge
+from skein.operators import rendering
+from skein.plans import flows, generate, judge
 from skein.streaming.events import pair_stream
 
 
@@ -91,7 +92,7 @@ def test_generation_and_metric(spark):
 
 
 def test_queries_have_sql():
-    assert set(queries.ORACLE) <= set(queries.QUERIES) and len(queries.QUERIES) - len(queries.ORACLE) == 3
+    assert set(queries.ORACLE) == set(queries.QUERIES)
 
 
 def test_stream(spark, tmp_path):
@@ -113,3 +114,77 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         run()
     assert {tuple(r) for r in spark.read.parquet(out).collect()} == {(1, 0, "q1", "a\nb"), (2, 2, "y", "z")}
+
+
+def test_keys_cross_a_call_unchanged(spark):
+    """Long keys beside a null keep all their bits."""
+    keys = [2**53 + 1, 2**53 + 3, None, 7]
+    rows = spark.createDataFrame([(k, "m", 1.5, [k or 0]) for k in keys], "key long, message string, x double, list array<long>").coalesce(1)
+    got = judge.ask(rows, lambda requests: [{"out": r["message"]} for r in requests], "t", {"message": "message"}, ["out"]).collect()
+    assert sorted((r.key or 0, r.out, r.list[0], r.failed) for r in got) == sorted((k or 0, "m", k or 0, False) for k in keys)
+
+
+TOOLS = [(0, "Read", "reads a file"), (1, "write ", "writes a file"), (2, "READ", "the second of its name"), (3, "run", "runs a command")]
+
+
+class Writer:
+    """Answers by tool: some fail, some hold no array, some name tools that do not exist."""
+
+    def __call__(self, requests):
+        return [getattr(self, r["task"])(r) for r in requests]
+
+    def similar(self, r):
+        return {"pairs": json.dumps([{"tools": ["read", "WRITE"], "overlap": "files"}, {"tools": ["read"]}, {"tools": ["read", "gone"]}, {"tools": ["run", "run"]}, 5])}
+
+    def tool_tasks(self, r):
+        if r["name"] == "run" and r["level"] == "hard":
+            return RuntimeError("down")
+        if r["name"] == "run":
+            return {"tasks": "no array"}
+        return {"tasks": json.dumps([{"task_description": f"{r['name']} {r['level']}", "confuser_tools": ["run"], "correct_params": {"a": [1]}}, {"correct_tool": "x"}, {"task_description": "  "}][: int(r["n"])])}
+
+    def confuser_tasks(self, r):
+        return {"tasks": json.dumps([{"task_description": "which", "correct_tool": " read ", "reason": "why"}, {"task_description": "other", "correct_tool": "Write"}, {"task_description": "none", "correct_tool": "zz"}])}
+
+
+def test_tool_dataset(spark):
+    tools = spark.createDataFrame(TOOLS, "ord int, tool string, description string")
+    pairs = generate.similar_tools(tools, Writer())
+    assert [(r.tools, r.overlap) for r in pairs.collect()] == [(["read", "WRITE"], "files"), (["read"], ""), (["read", "gone"], ""), (["run", "run"], "")]
+    own = generate.tool_tasks(tools, Writer()).collect()
+    assert {(r.correct_tool, r.difficulty) for r in own} == {(t, d) for t in ("Read", "write ") for d in ("easy", "medium", "hard")}
+    assert len(own) == 3 * (2 + 3 + 1) and {r.correct_params for r in own} == {'{"a":[1]}', "{}"} and {tuple(r.confuser_tools) for r in own} == {("run",), ()}
+    hard = generate.confuser_tasks(pairs, tools, Writer()).collect()
+    assert sorted((r.correct_tool, r.confuser_tools[0], r.reason) for r in hard) == [("Read", "run", ""), ("Read", "run", "why")][1:] + [("Read", "write ", "why"), ("write ", "Read", ""), ("write ", "run", "")]
+    few = generate.supplement(generate.tool_tasks(tools, Writer()), tools, Writer()).collect()
+    assert {r.correct_tool for r in few} == {"READ"} and all(r.confuser_tools == [] and r.difficulty == "medium" for r in few)
+    every = generate.tool_dataset(tools, Writer()).collect()
+    assert {r.split for r in every} == {"train", "val", "holdout"} and all(r.task_description.strip() for r in every)
+
+
+def test_scenarios_and_cases(spark):
+    sections = spark.createDataFrame([("memory_guidance", 0, "remember"), ("odd", 1, "none"), ("platform_hints.a", 2, "x")], "section_id string, ord int, text string")
+    got = generate.section_scenarios(sections, judge.OfflineModel()).collect()
+    assert {k: sum(r.section_id == k for r in got) for k in ("memory_guidance", "odd", "platform_hints.a")} == {"memory_guidance": 15, "odd": 0, "platform_hints.a": 20}
+    assert {r.difficulty for r in got} == {"easy", "medium"}
+    blank = lambda requests: [{"scenarios": '[{"user_message": " "}, {"user_message": "m"}]'} for _ in requests]
+    assert {(r.user_message, r.expected_behavior, r.difficulty) for r in generate.section_scenarios(sections, blank).collect()} == {("m", "", "medium")}
+    one = spark.createDataFrame([("text", "skill", "3")], "text string, artifact_type string, n string")
+    assert [r.task_input for r in generate.test_cases(one, judge.OfflineModel()).collect()] == ["skill 0: text", "skill 1: text", "skill 2: text"]
+    some = lambda requests: [{"cases": '[{"task_input": "t", "expected_behavior": "e", "category": "c"}, {"task_input": "t"}, {"expected_behavior": "e"}]'} for _ in requests]
+    assert [tuple(r) for r in generate.test_cases(one, some).collect()] == [("t", "e", "medium", "c", "synthetic")]
+    for bad in (lambda requests: [{"cases": "nothing"} for _ in requests], lambda requests: [ValueError("down") for _ in requests]):
+        with pytest.raises(Exception, match="JSON array|failed"):
+            generate.test_cases(one, bad).collect()
+
+
+def test_saved_runs(spark, tmp_path):
+    metrics, evolved = spark.createDataFrame([(1, 0.5)], "n int, mean double"), spark.createDataFrame([("b", "B"), ("a", "A\n1")], "name string, text string")
+    changes = spark.createDataFrame([("b", "+B"), ("a", "+A")], "name string, diff string")
+    good = rendering.save_run(str(tmp_path), "20260101_000000", metrics, evolved, changes)
+    bad = rendering.save_run(str(tmp_path), "20260101_000000", metrics, evolved, changes, failed=True)
+    assert bad.endswith("/FAILED_20260101_000000") and not (tmp_path / "FAILED_20260101_000000" / "evolved").exists()
+    text = next((tmp_path / "20260101_000000" / "evolved").glob("part-*")).read_text()
+    assert json.loads(text) == [{"name": "a", "text": "A\n1"}, {"name": "b", "text": "B"}] and "\n" in text.strip()
+    assert next((tmp_path / "20260101_000000" / "diff").glob("part-*")).read_text().splitlines() == ["+A", "+B"]
+    assert spark.read.json(f"{good}/metrics").first().status == "OK" and not spark.read.json(f"{bad}/metrics").first().constraints_passed

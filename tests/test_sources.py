@@ -176,6 +176,8 @@ def test_sections(spark):
     assert [(s["section_id"], s["text"]) for s in source_code.sections_of("p.py", after)] == [(r.section_id, f"new é {r.section_id} " * 9) for r in got]
     with pytest.raises(KeyError):
         source_code.write_section(PROMPT, "platform_hints.none", "x")
+    odd = spark.createDataFrame([("a.py", "not python ("), ("b.py", PROMPT), ("c.py", "")], "path string, source string")
+    assert source_code.extract_sections(odd).count() == 4  # a file that is no Python has no sections and stops nothing
 
 
 def test_settings(monkeypatch, tmp_path):
