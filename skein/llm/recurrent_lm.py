@@ -23,13 +23,12 @@ with the counts.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,8 +45,8 @@ SHARD_TOKENS, MAX_SHARDS, ROUNDS, MIN_TOKENS, MAX_EPOCHS = 4_000_000, 4096, 2, 1
 LONG = 2048
 LEARNING_RATE = 1e-2
 DICTIONARY, WORD_BYTES = 1 << 17, 64
-#: Words of a task's count table that are held before they are passed on.
-HELD = 300_000
+#: Rows of a task's word counts that are held before they are combined, or passed on if that leaves over half of them.
+HELD = 1_000_000
 #: Tokens of a window in scoring, where windows are only a matter of speed.
 SCORED = 8
 #: Windows that the lanes are filled for at a time.
@@ -55,9 +54,13 @@ AHEAD = 32
 ALPHA = 0.1
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words with A-Z lower-cased; the end is not among them."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after the other, A-Z lower-cased (null: none), and where each text's begin and the last one's
+    end. The end token is not among them."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, ends = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    whole = pc.not_equal(flat, "")  # blanks at a text's ends leave empty pieces
+    return flat.filter(whole), np.concatenate(([0], np.cumsum(whole.to_numpy(zero_copy_only=False))))[ends]
 
 
 def _slices(kinds: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -342,20 +345,23 @@ class Trainer:
 
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter = Counter()
+    held: list[pa.Table] = []
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+    def combined() -> pa.Table:
+        out = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return out.select(["word", "n_sum"]).rename_columns(["word", "n"])
 
     for b in batches:
-        for t in b.column(0):
-            held.update(tokens(t.as_py()))
-            held[b""] += 1
-            if len(held) > HELD:
-                yield out()
-                held.clear()
+        found = pc.value_counts(words_of(b.column(0))[0])
+        held.append(pa.table({"word": found.field(0), "n": found.field(1)}))
+        held.append(pa.table({"word": pa.array([""]), "n": pa.array([b.num_rows], pa.int64())}))
+        if sum(t.num_rows for t in held) > HELD:
+            held = [combined()]
+            if held[0].num_rows > HELD // 2:
+                yield from held[0].to_batches()
+                held = []
     if held:
-        yield out()
+        yield from combined().to_batches()
 
 
 class Lexicon:
@@ -365,13 +371,14 @@ class Lexicon:
         """words: most frequent first, without the end (whose word is empty), which comes as an entry too."""
         self.total, self.distinct = total, distinct
         self.floor = total + ALPHA * (distinct + 1)
-        self.words = {w.encode(): k for k, (w, _) in enumerate(words)}
+        self.table = pa.array([w for w, _ in words], pa.string())
         n = np.array([c for _, c in words], dtype=np.float64)
         self.base = np.log10((n + ALPHA) / self.floor)
         self.symbol = np.full(len(words), OTHER, dtype=np.int16)
         ranked = [k for k, (w, _) in enumerate(words) if w][:WORDS]
         self.symbol[ranked] = np.arange(2, 2 + len(ranked))
-        self.symbol[self.words[b""]] = END
+        self.end = next(k for k, (w, _) in enumerate(words) if not w)
+        self.symbol[self.end] = END
         self.counts = np.zeros(SYMBOLS)
         np.add.at(self.counts, self.symbol, n)
         self.counts[OTHER] = max(0.0, total - self.counts.sum() + self.counts[OTHER])
@@ -379,8 +386,13 @@ class Lexicon:
         #: log10 of the base's mass of words without a symbol, the unknown type included.
         self.log_other = math.log10(max(1e-12, 1.0 - float((10.0 ** self.base[inside]).sum())))
 
-    def look_up(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.words.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+    @property
+    def words(self) -> dict[bytes, int]:
+        return {w.encode(): k for k, w in enumerate(self.table.to_pylist())}
+
+    def look_up(self, words: pa.Array) -> np.ndarray:
+        """Places in the dictionary, -1 for words that are not there."""
+        return pc.fill_null(pc.index_in(words, value_set=self.table), -1).to_numpy()
 
     def symbols(self, found: np.ndarray) -> np.ndarray:
         return np.where(found >= 0, self.symbol[found], OTHER)
@@ -393,22 +405,28 @@ def _symbols(lexicon: Lexicon):
     """For the last column, a text, of each whole document (CODED, after the other columns): its symbols, END before and
     after; the tokens; of those in the dictionary how many and their base log10 probability; what the score adds to the
     network's for words without a symbol; the words that are not in the dictionary."""
-    end = lexicon.words[b""]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for t in b.column(b.num_columns - 1):
-                w = tokens(t.as_py())
-                found = np.append(lexicon.look_up(w), end)
-                symbols, inside = lexicon.symbols(found), found >= 0
-                other = symbols == OTHER
-                more = float(lexicon.base[found[other & inside]].sum()) - lexicon.log_other * int(other.sum())
-                rare = [w[k] for k in np.flatnonzero(~inside).tolist()]
-                out.append((np.concatenate(([END], symbols)).astype(np.int16).tobytes(), len(found), int(inside.sum()), float(lexicon.base[found[inside]].sum()), more, rare))
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()))
-            cols = [pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols[:-1], cols[-1].cast(pa.list_(pa.string()))], names=[*b.schema.names[:-1], "symbols", "n_tokens", "known", "base", "other", "rare"])
+            if not b.num_rows:
+                continue
+            words, at = words_of(b.column(b.num_columns - 1))
+            sizes, row, found = np.diff(at), np.arange(b.num_rows), lexicon.look_up(words)
+            tokens = np.full(len(found) + len(row), lexicon.end, dtype=np.int32)  # each text's words, then the end
+            tokens[np.arange(len(found)) + np.repeat(row, sizes)] = found
+            first = at[:-1] + row
+            symbols, inside = lexicon.symbols(tokens), tokens >= 0
+            other, base = symbols == OTHER, np.where(inside, lexicon.base[tokens], 0.0)
+            more = np.add.reduceat(np.where(other, base, 0.0), first) - lexicon.log_other * np.add.reduceat(other.astype(np.int64), first)
+            coded = np.full(len(tokens) + len(row), END, dtype=np.int16)
+            coded[np.arange(len(tokens)) + np.repeat(row + 1, sizes + 1)] = symbols
+            places = pa.py_buffer((np.append(first + row, len(coded)) * 2).astype(np.int32))
+            missing = found < 0
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(missing)))[at].astype(np.int32)), words.filter(pa.array(missing)))
+            cols = [
+                pa.Array.from_buffers(pa.binary(), len(row), [None, places, pa.py_buffer(coded)]), pa.array(sizes + 1, pa.int64()), pa.array(np.add.reduceat(inside.astype(np.int64), first)),
+                pa.array(np.add.reduceat(base, first)), pa.array(more), rare,
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], "symbols", "n_tokens", "known", "base", "other", "rare"])
 
     return run
 
