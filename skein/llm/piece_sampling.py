@@ -21,7 +21,7 @@ import heapq
 import math
 import re
 from collections.abc import Iterator
-from itertools import chain, compress, repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -38,7 +38,9 @@ MARK = "▁"
 LITERAL_MARK = "\ud800"
 SAMPLES = 2
 #: Words that are segmented at a time.
-BATCH_WORDS = 100_000
+BATCH_WORDS = 50_000
+#: Batches after which freed memory goes back to the system; it has to be cleared anew when it is taken again.
+RELEASE = 16
 #: Units whose lattices a worker keeps, characters of them, and places of the table that tells which units have come before.
 KEPT, KEPT_CHARS, BEFORE = 50_000, 500_000, 1 << 22
 
@@ -176,43 +178,36 @@ class Lattice:
         by_rem = np.argsort(rem.astype(np.uint16) if n and rem.max() < 1 << 16 else rem, kind="stable")
         state = np.empty(n, dtype=np.int32)
         state[by_rem] = np.arange(n, dtype=np.int32)
-        # Pieces by length: places where a piece of that many characters starts.
-        found: list[tuple[np.ndarray, int, np.ndarray]] = []
-        h, live, symbols = np.zeros(n, dtype=np.uint64), np.arange(n, dtype=np.int32), codes.astype(np.uint64) + np.uint64(1)
-        degree = np.zeros(n, dtype=np.int32)
+        # Pieces by length, in order of state: states and places where a piece of that many characters starts.
+        found: list[tuple[np.ndarray, np.ndarray, int, np.ndarray]] = []
+        symbols, degree = codes.astype(np.uint64) + np.uint64(1), np.zeros(n, dtype=np.int32)
+        place, at, left, h = by_rem.astype(np.int32), np.arange(n, dtype=np.int32), rem[by_rem], np.zeros(n, dtype=np.uint64)
         for length in range(1, vocab.longest + 1):
-            live = live[rem[live] >= length]
-            if not len(live):
+            if not len(place):
                 break
-            if 4 * len(live) > n:  # most places: hashes of all in one sweep
-                m = n - length + 1
-                np.multiply(h[:m], _BASE, out=h[:m])
-                h[:m] += symbols[length - 1 :]
-                own = h[live]
-            else:
-                own = h[live] * _BASE + symbols[live + (length - 1)]
-                h[live] = own
-            ids = vocab.find(own)
+            h = h * _BASE
+            h += symbols[place + (length - 1)]
+            ids = vocab.find(h)
             if length == 1:
-                ids[codes[live] == ord(LITERAL_MARK)] = -2
-                found.append((live, 1, ids))
+                ids[codes[place] == ord(LITERAL_MARK)] = -2
+                found.append((at, place, 1, ids))
                 degree += 1
             else:
-                at = np.flatnonzero(ids >= 0)
-                found.append((live[at], length, ids[at]))
+                hit = np.flatnonzero(ids >= 0)
+                found.append((at[hit], place[hit], length, ids[hit]))
                 degree[found[-1][0]] += 1
-            live = live[ids > -2]  # places where no longer piece begins are done with
+            go = np.flatnonzero((ids > -2) & (left > length))  # where a longer piece may begin
+            place, at, left, h = place[go], at[go], left[go], h[go]
         units, states, edges = self.sizes
         first = np.zeros(n + 1, dtype=np.int64)
-        np.cumsum(degree[by_rem], out=first[1:])
+        np.cumsum(degree, out=first[1:])
         new = int(first[-1])
         self._grow((units + len(names), states + n, edges + new))
         self.root[units : units + len(names)] = state[ends - sizes] + states
         self.first[states : states + n + 1] = first + edges
         piece, next_, w = self.piece[edges : edges + new], np.empty(new, dtype=np.int32), np.empty(new)
         fill = first[:-1].copy()
-        for places, length, ids in reversed(found):
-            s = state[places]
+        for s, places, length, ids in reversed(found):
             e = fill[s]
             fill[s] += 1
             piece[e] = ids
@@ -225,7 +220,6 @@ class Lattice:
                 piece[e[raw]] = -1 - c.astype(np.int32)
                 w[e[raw]] = vocab.byte_weight * width
         del found, h, symbols, fill
-        degree = degree[by_rem]
         back = np.zeros(n + 1)  # the last one, reached by -1, is the end
         p = np.empty(new)
         steps = np.bincount(rem, minlength=1).cumsum() if n else np.zeros(1, dtype=np.int64)
@@ -420,36 +414,53 @@ class Segmenter:
             out[at[raw[m]] + k] = self.vocab.bytes_at[byte]
         return out, at
 
-    def _numbered(self, words: list[str]) -> np.ndarray:
-        """The number of each word's unit; lattices of units that are new here are added, those that are not to be kept last."""
-        out = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int32, count=len(words))
-        new = np.flatnonzero(out < 0).tolist()
-        fresh = list(dict.fromkeys(map(words.__getitem__, new)))
+    @staticmethod
+    def _indexed(texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
+        """Of each text its units as places in a list of the distinct ones, which stand there without their first mark.
+
+        Texts whose words lie between single blanks are split and told apart by Arrow, others one by one.
+        """
+        plain = [bool(t) and "  " not in t and t[0] != " " and t[-1] != " " and MARK not in t for t in texts]
+        parts = pc.split_pattern(pa.array(list(compress(texts, plain)), pa.string()), " ")
+        found = parts.flatten().dictionary_encode()
+        at, ends = found.indices.to_numpy(), (parts.offsets.to_numpy() - parts.offsets[0].as_py()).tolist()
+        names, rows = found.dictionary.to_pylist(), iter([at[a:b] for a, b in zip(ends, ends[1:])])
+        if all(plain):
+            return list(rows), names
+        place = dict(zip(names, range(len(names))))
+        out = [next(rows) if p else np.array([place.setdefault(u[1:], len(place)) for u in units(t)], dtype=np.int32) for t, p in zip(texts, plain)]
+        return out, list(place)
+
+    def _numbered(self, names: list[str]) -> np.ndarray:
+        """Numbers of distinct units; lattices of units that are new here are added, those that are not to be kept last."""
+        out = np.fromiter(map(self.known.get, names, repeat(-1)), dtype=np.int32, count=len(names))
+        new = np.flatnonzero(out < 0)
+        fresh = [names[k] for k in new.tolist()]
         at = np.fromiter(map(hash, fresh), dtype=np.int64, count=len(fresh)) & (BEFORE - 1)
         back = self.before[at]
         self.before[at] = True
-        room = min(KEPT - len(self.known), int(np.searchsorted(np.cumsum([len(u) * b for u, b in zip(fresh, back.tolist())]), KEPT_CHARS - self.lattice.sizes[1])))
-        stay = list(compress(fresh, back.tolist()))[: max(0, room)]
-        self.known.update(zip(stay, range(len(self.known), len(self.known) + len(stay))))
+        sizes = np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh)) + 1
+        room = min(KEPT - len(self.known), int(np.searchsorted(np.cumsum(sizes[back]), KEPT_CHARS - self.lattice.sizes[1], side="right")))
+        stays = back.copy()
+        stays[np.flatnonzero(back)[max(0, room) :]] = False
+        stay, go, k = list(compress(fresh, stays.tolist())), list(compress(fresh, (~stays).tolist())), len(self.known)
+        self.known.update(zip(stay, range(k, k + len(stay))))
+        out[new[stays]] = np.arange(k, k + len(stay))
+        out[new[~stays]] = np.arange(k + len(stay), k + len(fresh))
         if stay:
-            self.lattice.add(stay)
+            self.lattice.add([MARK + u for u in stay])
         self.kept = self.lattice.sizes
-        go = [u for u in fresh if u not in self.known] if stay else fresh
         if go:
-            self.lattice.add(go)
-        number = dict(zip(go, range(len(self.known), len(self.known) + len(go))))
-        number.update((u, self.known[u]) for u in stay)
-        out[new] = [number[words[k]] for k in new]
+            self.lattice.add([MARK + u for u in go])
         return out
 
     def sample(self, keys: list[int], texts: list[str]) -> list[list[tuple[np.ndarray, float, float, float]]]:
         """For each text up to `samples` (ids, log_prob, perturbed, log_inclusion), best first."""
-        words = [units(text) for text in texts]
-        ends = np.cumsum([len(u) for u in words], dtype=np.int64).tolist()
         with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-            numbers, lattice = self._numbered(list(chain.from_iterable(words))), self.lattice
-            rows = [_Row(key % (1 << 64), numbers[a:b]) for key, a, b in zip(keys, [0, *ends], ends)]
-            del words
+            places, names = self._indexed(texts)
+            numbers, lattice = self._numbered(names), self.lattice
+            rows = [_Row(key % (1 << 64), numbers[at].astype(np.int64)) for key, at in zip(keys, places)]
+            del places, names
             search(lattice, rows, self.samples)
         paths = [path for r in rows for path in r.paths]
         flat = np.concatenate(paths) if paths else np.empty(0, dtype=np.int64)
@@ -473,7 +484,7 @@ def _encoder(vocab: Vocabulary, samples: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(vocab, samples)
         raw = pa.array(segmenter.vocab.raw, pa.binary())
-        last: tuple = (None, None)
+        last, made = (None, None), 0
         for b in batches:
             ids, keys, texts = b.column(0), b.column(1).to_pylist(), b.column(2)
             lo = 0
@@ -502,7 +513,10 @@ def _encoder(vocab: Vocabulary, samples: int):
                 )
                 lo = hi
                 del found, flat, some, pieces_of, same
-                release()
+                made += 1
+                if made % RELEASE == 0:
+                    release()
+        release()
 
     return run
 
