@@ -111,12 +111,14 @@ def train(labelled: DataFrame) -> str:
 
 
 def calibrate(scored: DataFrame) -> DataFrame:
-    """One row, `threshold`: from rows (llr, ok) the cut of the largest true less false acceptance rate; 0 where a class is empty."""
+    """One row, `threshold`: from rows (llr, ok) the cut of the largest true less false acceptance rate (of ties
+    the one nearest 0, then the higher); 0 where a class is empty."""
     bins = scored.select(F.least(F.greatest(F.floor(F.col("llr") * BIN), F.lit(-BINS)), F.lit(BINS)).alias("bin"), "ok")
     counts = bins.groupBy("bin").agg(F.sum(F.col("ok").cast("long")).alias("a"), F.sum((~F.col("ok")).cast("long")).alias("r"))
     down, all_ = W.orderBy(F.desc("bin")), W.partitionBy()  # at most 2 * BINS + 1 rows
     rates = counts.select("bin", F.sum("a").over(down).alias("ta"), F.sum("r").over(down).alias("tr"), F.sum("a").over(all_).alias("na"), F.sum("r").over(all_).alias("nr"))
-    gain = F.col("ta") / F.col("na") - F.col("tr") / F.col("nr")
+    ta, tr, na, nr = (F.col(c).cast("decimal(18,0)") for c in ("ta", "tr", "na", "nr"))
+    gain = ta * nr - tr * na  # the difference of the rates times na and nr, exact, so that ties are ties
     best = rates.where("na > 0 AND nr > 0").agg(F.max(F.struct(gain.alias("gain"), (-F.abs("bin")).alias("near"), "bin")).alias("best"))
     return best.select(F.coalesce(F.col("best.bin") / F.lit(float(BIN)), F.lit(0.0)).alias("threshold"))
 
