@@ -10,46 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.shared import fresh_path
+from skein.shared import discard, stable, unused, written
+
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "SPACES", "crc_mod", "discard", "documents", "lower_ascii", "release", "small_batches", "stable", "text_or_empty", "unused", "written"]
 
 #: The white space of the contracts: blank, and tab to carriage return.
 SPACES = "\\x20\\x09-\\x0D"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._skein_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes the files of tables that written() has made and that nothing reads any more."""
-    for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._skein_path)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-#: Plans whose rows come in the same order whenever they are read.
-_SCANS = {"LogicalRelation", "Relation", "Project", "Filter", "Union", "LocalRelation", "Range", "SubqueryAlias", "View"}
-
-
-def stable(docs: DataFrame, name: str = "rows") -> DataFrame:
-    """docs if it is a scan (with deterministic projections, filters and unions), whose rows monotonically_increasing_id()
-    numbers alike each time; else docs written as a table."""
-
-    def scan(plan) -> bool:
-        children = plan.children()
-        kind = plan.getClass().getSimpleName()
-        fixed = kind in _SCANS or (kind == "LogicalRDD" and "ParallelCollectionRDD" in plan.rdd().toDebugString())
-        return fixed and plan.deterministic() and all(scan(children.apply(k)) for k in range(children.size()))
-
-    return docs if scan(docs._jdf.queryExecution().analyzed()) else written(docs, name)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import exact_dedup, fingerprints, language_id, license_scan, mixing, piece_sampling, recurrent_lm, sharding, simhash, url_filter
+from skein.llm import exact_dedup, fingerprints, html_text, importance, language_id, license_scan, mixing, piece_sampling, recurrent_lm, sharding, simhash, url_filter, whitening
 from skein.llm.common import documents
 
 
@@ -53,6 +53,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), shards=40)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_sampling": op8_piece_sampling,
     "op9_fingerprint": op9_fingerprint,
     "op10_sharding": op10_sharding,
+    "op11_whitening": op11_whitening,
+    "op12_importance": op12_importance,
+    "op13_html_text": op13_html_text,
 }
 
 ORACLE: dict[str, str] = {
