@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.shared import discard, stable, unused, written
+from skein.shared import discard, fresh_path, stable, unused, written
 
-__all__ = ["BATCH_BYTES", "BATCH_ROWS", "SPACES", "crc_mod", "discard", "documents", "lower_ascii", "release", "small_batches", "stable", "text_or_empty", "unused", "written"]
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "SPACES", "crc_mod", "discard", "documents", "fresh_path", "lower_ascii", "release", "small_batches", "stable", "text_or_empty", "unused", "written"]
 
 #: The white space of the contracts: blank, and tab to carriage return.
 SPACES = "\\x20\\x09-\\x0D"
