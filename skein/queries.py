@@ -127,6 +127,59 @@ def s2_events(spark, sf_dir):
     return sessions.as_messages(found).select("source", "task_input", "assistant_response", "project", "session_id")
 
 
+#: Events that end their file, or should not, by conv_id % 7: where, the line before the turn's own, and the turn's own event in its place.
+_BROKEN = {
+    1: (3, "[1, 2]", None), 2: (2, None, "'data': 'text'"), 3: (3, None, "'data': {'content': ['x']}"), 4: (2, None, "'data': {'content': {'k': 1}}"),
+    5: (4, "null", None), 6: (4, "broken JSON", "'data': {'content': 0}"),
+}
+
+
+def _broken_event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as event files, with the events of _BROKEN in them."""
+    kind, case = F.concat("role", F.lit(".message")), F.col("conv_id") % 7
+    line = F.to_json(F.struct(kind.alias("type"), F.struct(F.col("text").alias("content")).alias("data")))
+    for n, (turn, before, data) in _BROKEN.items():
+        own = F.concat(F.lit('{"type": "'), kind, F.lit('", ' + data.replace("'", '"') + "}")) if data else line
+        line = F.when((case == n) & (F.col("turn") == turn), F.concat_ws("\n", F.lit(before), own)).otherwise(line)
+    return _whole_files(spark, sf_dir, line, lambda lines: F.array_join(lines, "\n")).select(F.col("conv_id").cast("string").alias("session_id"), "value")
+
+
+@query(f"""
+    WITH e AS (
+        SELECT conv_id, turn, role, conv_id % 7 AS case_no,
+            CASE WHEN conv_id % 7 = 3 AND turn = 3 THEN 'list' WHEN conv_id % 7 = 4 AND turn = 2 THEN 'other' WHEN conv_id % 7 = 6 AND turn = 4 OR length(text) = 0 THEN 'empty' ELSE 'text' END AS kind,
+            CASE WHEN conv_id % 7 IN (3, 6) AND turn = conv_id % 7 - (conv_id % 7 = 6)::INT * 2 OR conv_id % 7 = 4 AND turn = 2 THEN '' ELSE text END AS text
+        FROM conversations WHERE role IN ('user', 'assistant')
+    ), s AS (
+        SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS seg FROM e
+    ), f AS (
+        SELECT conv_id, CASE WHEN conv_id % 7 = 1 THEN 2 * turn - 1 WHEN conv_id % 7 = 5 THEN 2 * turn - 1 ELSE 2 * turn + (role = 'user')::INT END AS place
+        FROM conversations WHERE conv_id % 7 = 1 AND turn = 3 OR conv_id % 7 = 5 AND turn = 4 OR conv_id % 7 = 2 AND turn = 2 AND role IN ('user', 'assistant')
+    ), g AS (
+        SELECT conv_id, seg, min(turn) FILTER (role = 'user') AS turn, arg_min(kind, turn) FILTER (role = 'user') AS ukind, arg_min(text, turn) FILTER (role = 'user') AS task_input,
+            list({{'turn': turn, 'kind': kind, 'text': text}} ORDER BY turn) FILTER (role = 'assistant' AND kind <> 'empty') AS a
+        FROM s WHERE seg > 0 GROUP BY conv_id, seg
+    ), h AS (
+        SELECT *, 2 * lead(turn) OVER (PARTITION BY conv_id ORDER BY seg) AS save FROM g
+    ), k AS (
+        SELECT *, ukind <> 'text' OR (NOT regexp_matches(task_input, {SECRET_SQL}) AND a[1].kind <> 'text') AS unsaved FROM h WHERE ukind <> 'empty' AND len(a) > 0
+    ), cuts AS (
+        SELECT conv_id, min(place) AS cut FROM (
+            SELECT conv_id, place FROM f
+            UNION ALL SELECT conv_id, 2 * list_filter(a[2:], lambda x: x.kind <> 'text' OR a[1].kind = 'other')[1].turn FROM k
+            UNION ALL SELECT conv_id, save FROM k WHERE unsaved
+        ) GROUP BY conv_id
+    )
+    SELECT k.conv_id::VARCHAR AS session_id, k.task_input, array_to_string(list_transform(a, lambda x: x.text), chr(10)) AS assistant_response
+    FROM k LEFT JOIN cuts ON k.conv_id = cuts.conv_id
+    WHERE NOT unsaved AND (cut IS NULL OR save < cut) AND NOT regexp_matches(task_input, {SECRET_SQL}) AND NOT regexp_matches(array_to_string(list_transform(a, lambda x: x.text), chr(10)), {SECRET_SQL})
+""")
+def s2_event_failures(spark, sf_dir):
+    """S2: a file ends at its first event that cannot be used and keeps the messages before it."""
+    found = sessions.parse_events(_broken_event_files(spark, sf_dir), spark.createDataFrame([], "session_id string, project string"))
+    return found.select("session_id", "task_input", "assistant_response")
+
+
 @query(f"WITH {_W1_SQL} SELECT 'sessions' AS source, task_input, assistant_response, conv_id::VARCHAR AS session_id FROM w1")
 def s4_sessions(spark, sf_dir):
     return sessions.as_messages(sessions.parse_sessions(_session_files(spark, sf_dir))).select("source", "task_input", "assistant_response", "session_id")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import contains_secret, is_blank, long_enough
-from skein.operators.pairing import pair_all_responses, pair_first_response
+from skein.operators.pairing import pair_first_response, segments
 from skein.schemas import MESSAGE
 
 
@@ -85,8 +85,9 @@ def _parent(path: Column) -> Column:
 def read_events(spark: SparkSession, folder: str, limit: int = 0) -> DataFrame:
     """Messages of event streams, one events.jsonl a session folder, with all of the assistant's answers.
 
-    Malformed lines are skipped; the project comes from the session's workspace. Order in the file is kept, messages come
-    by session and place. limit cuts the whole (0: all).
+    Lines that are no JSON are skipped; a file ends at its first event that cannot be used, and keeps the messages before it
+    (see parse_events). The project comes from the session's workspace. Order in the file is kept, messages come by session
+    and place. limit cuts the whole (0: all).
     """
     path = f"{folder}/*/events.jsonl"
     if missing(spark, path):
@@ -95,16 +96,64 @@ def read_events(spark: SparkSession, folder: str, limit: int = 0) -> DataFrame:
     return limited(parse_events(files, read_workspaces(spark, folder)), limit, "session_id", "turn")
 
 
+def _content_kind(raw: Column) -> Column:
+    """What an event's content is: empty (missing, null, false, 0, an empty text, list or object), text, list or other."""
+    value = F.try_parse_json(raw)
+    kind = F.schema_of_variant(F.variant_get(value, "$.data.content", "variant"))
+    as_text, as_number = F.try_variant_get(value, "$.data.content", "string"), F.try_variant_get(value, "$.data.content", "double")
+    empty = kind.isNull() | (kind == "VOID") | ((kind == "STRING") & (as_text == "")) | ((kind != "STRING") & (as_text.isin("false", "[]", "{}") | (as_number == 0)))
+    return F.when(F.coalesce(empty, F.lit(False)), "empty").when(kind == "STRING", "text").when(kind.startswith("ARRAY"), "list").otherwise("other")
+
+
 def parse_events(files: DataFrame, workspaces: DataFrame) -> DataFrame:
-    """Messages of event files (session_id, value) with the sessions' projects, and each one's place in its file (turn)."""
-    lines = files.select("session_id", F.posexplode(F.split("value", "\\r?\\n")).alias("turn", "line"))
+    """Messages of event files (session_id, value) with the sessions' projects, and each one's place in its file (turn).
+
+    A message is saved where the next user event stands, or at the file's end. The first of the following ends its file, and
+    the message that is open then is not saved:
+
+    * a line that is JSON but no object;
+    * a user or assistant event whose data is no object (a user event saves the message before it first);
+    * to a message that is not empty, an answer that is no text after another one, or any answer after one that is neither text nor list;
+    * the saving of an answered message that is no text, or whose first answer is no text while the message holds no secret.
+
+    Empty contents are as good as none. Lines that are no JSON are skipped, and so are events of other types.
+    """
+    lines = files.select("session_id", F.posexplode(F.split("value", "\\r\\n?|\\n")).alias("turn", "line"))
     raw = F.col("line")
-    kind = _field(raw, "$.type")
-    turns = lines.where(_is_object(raw)).select(
-        "session_id", "turn", F.when(kind == "user.message", "user").when(kind == "assistant.message", "assistant").alias("role"), F.coalesce(_field(raw, "$.data.content"), F.lit("")).alias("text")
+    kind, data = _field(raw, "$.type"), F.schema_of_variant(F.variant_get(F.try_parse_json(raw), "$.data", "variant"))
+    role = F.when(~_is_object(raw), "broken").when(kind == "user.message", "user").when(kind == "assistant.message", "assistant")
+    turns = lines.where(~is_blank(raw) & F.try_parse_json(raw).isNotNull()).select(
+        "session_id", "turn", role.alias("role"), F.coalesce(~data.startswith("OBJECT"), F.lit(False)).alias("unusable"),
+        _content_kind(raw).alias("kind"), F.coalesce(_field(raw, "$.data.content"), F.lit("")).alias("text"),
     ).where("role IS NOT NULL")
-    pairs = pair_all_responses(turns, "session_id")
-    return with_projects(pairs, workspaces).select(F.lit("events").alias("source"), "*")
+    return with_projects(_saved_pairs(turns), workspaces).select(F.lit("events").alias("source"), "*")
+
+
+def _saved_pairs(turns: DataFrame) -> DataFrame:
+    """session_id, turn, task_input, assistant_response of the messages that are saved before their file ends.
+
+    Places are twice the turn, so that a user event saves (2 turn) before it fails (2 turn + 1). The smallest failing place of
+    each file is joined back as its cut; files without one are not shuffled for it beyond their pairs.
+    """
+    user = F.col("role") == "user"
+    here = segments(turns, "session_id")
+    failed = (F.col("role") == "broken") | F.col("unusable")
+    at_once = here.where(failed).select("session_id", (2 * F.col("turn") + user.cast("int")).alias("place"))
+    # A user event also ends the segment before its own.
+    each = here.where("role <> 'broken'").select("*", F.explode(F.when(user, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("back"))
+    own = F.col("back") == 0
+    said = F.when(own & (F.col("role") == "assistant") & (F.col("kind") != "empty"), F.struct("turn", "kind", "text"))
+    parts = each.groupBy("session_id", (F.col("seg") - F.col("back")).alias("seg")).agg(
+        F.max(F.when(own & user, F.struct("turn", "kind", "text"))).alias("q"), F.sort_array(F.collect_list(said)).alias("a"), F.min(F.when(~own, F.col("turn"))).alias("next"),
+    ).where("q IS NOT NULL AND q.kind <> 'empty' AND size(a) > 0")
+    first, save, secret = F.get("a", F.lit(0)), 2 * F.col("next"), contains_secret(F.col("q.text"))
+    late = F.filter(F.slice("a", 2, F.size("a")), lambda x: (x["kind"] != "text") | (first["kind"] == "other"))
+    unsaved = (F.col("q.kind") != "text") | (~secret & (first["kind"] != "text"))
+    later = parts.select("session_id", F.least(2 * F.get(late, F.lit(0))["turn"], F.when(unsaved, save)).alias("place")).where("place IS NOT NULL")
+    cut = at_once.unionByName(later).groupBy("session_id").agg(F.min("place").alias("cut"))
+    pairs = parts.where(~unsaved).select("session_id", F.col("q.turn").alias("turn"), F.col("q.text").alias("task_input"), F.array_join(F.transform("a", lambda x: x["text"]), "\n").alias("assistant_response"), save.alias("save"))
+    kept = pairs.where(~contains_secret(F.col("task_input")) & ~contains_secret(F.col("assistant_response"))).join(cut, "session_id", "left")
+    return kept.where("cut IS NULL OR save < cut").drop("save", "cut")
 
 
 def with_projects(sessions: DataFrame, workspaces: DataFrame) -> DataFrame:

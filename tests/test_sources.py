@@ -2,12 +2,17 @@
 
 import json
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from skein.functions.text import SECRETS
 from skein.sources import datasets, sessions, settings, skills, source_code
 
+SECRET = re.compile("|".join(SECRETS), re.I)
+
 
 def test_history(spark, tmp_path):
     lines = [
@@ -39,6 +44,56 @@ def test_events(spark, tmp_path):
     assert sessions.read_events(spark, str(tmp_path / "none")).count() == 0
 
 
+def brute_events(lines):
+    """The pairs of one file, read line by line; anything that goes wrong ends it."""
+    pairs, asked, said = [], None, None
+
+    def save():
+        if asked and said:
+            if not SECRET.search(asked) and not SECRET.search(said):
+                pairs.append((asked, said))
+
+    try:
+        for line in lines:
+            try:
+                event = json.loads(line)
+            except ValueError:
+                continue
+            kind, data = event.get("type", ""), event.get("data", {})
+            if kind == "user.message":
+                save()
+                asked, said = data.get("content", ""), None
+            elif kind == "assistant.message":
+                content = data.get("content", "")
+                if content and asked:
+                    if said:
+                        said += "\n" + content
+                    else:
+                        said = content
+        save()
+    except Exception:
+        pass
+    return pairs
+
+
+def test_events_end_at_the_first_failure(spark):
+    """All files of up to four events out of these, against brute force."""
+    rng = random.Random(3)
+    contents = ['"text"', '"more text"', '"secret=1"', '""', "null", "0", "false", "[]", "{}", '["x"]', '{"k": 1}', "7", "true", None]
+    events = [json.dumps({"type": "other", "data": 3}), "[1, 2]", "null", '"x"', "{bad", "", "5"]
+    for role in ("user", "assistant"):
+        events += [f'{{"type": "{role}.message", "data": {{"content": {c}}}}}' if c is not None else f'{{"type": "{role}.message", "data": {{}}}}' for c in contents]
+        events += [f'{{"type": "{role}.message"}}'] + [f'{{"type": "{role}.message", "data": {d}}}' for d in ("null", '"t"', "[1]")]
+    plain = [f'{{"type": "{r}.message", "data": {{"content": "{r} {k}"}}}}' for r in ("user", "assistant") for k in range(3)]
+    files = [(str(k), [rng.choice(plain if rng.random() < 0.6 else events) for _ in range(rng.randrange(9))]) for k in range(1500)]
+    table = spark.createDataFrame([(k, rng.choice(("\n", "\r\n")).join(x)) for k, x in files], "session_id string, value string")
+    got = {}
+    for r in sessions.parse_events(table, spark.createDataFrame([], "session_id string, project string")).orderBy("session_id", "turn").collect():
+        got.setdefault(r.session_id, []).append((r.task_input, r.assistant_response))
+    want = {k: brute_events(x) for k, x in files}
+    assert got == {k: x for k, x in want.items() if x} and len(got) > 200
+
+
 def test_session_files(spark, tmp_path):
     def put(name, data, when):
         (tmp_path / name).write_text(data if isinstance(data, str) else json.dumps(data))
