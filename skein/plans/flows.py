@@ -5,16 +5,20 @@ What an optimizer made comes in as the evolved table or text; the optimizers the
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import has_value, is_relevant
 from skein.operators.candidates import cap_candidates
 from skein.operators.gates import all_passed, gate_report
+from skein.operators.ordering import with_ordinals
 from skein.operators.rendering import frozen_context, reassemble_skill, render_tools
 from skein.operators.scoring import compare_rates, group_accuracy, mean_score, overall_accuracy, regression_verdict
 from skein.operators.splits import split_members
 from skein.plans.judge import Model, OfflineModel, ask, check_claims, check_role, metric, score_relevance
+from skein.shared import discard, written
 
 #: Fixed value: fewer examples than this are not split.
 MIN_DATASET = 3
@@ -26,26 +30,37 @@ def candidates_of(messages: DataFrame, skill_name: str, skill_text: str, key: st
     return cap_candidates(whole, is_relevant(F.col("task_input"), skill_name, skill_text), key, most)
 
 
-def mine(messages: DataFrame, skill_name: str, skill_text: str, key: str, model: Model | None = None, most: int = 50, chunk: int = 50) -> DataFrame:
-    """Examples (task_input, expected_behavior, difficulty, category, source, key, ord), at most `most`.
+def next_chunk(asked: int, accepted: int, most: int) -> int:
+    """How many candidates to ask about next: as many as should yield what is missing at the rate so far, at least what is
+    missing, and never more than have been asked about or are missing. So in all fewer than twice as many are asked about as
+    one at a time would take."""
+    need = most - accepted
+    hoped = -(-need * asked // accepted) if accepted else asked
+    return max(need, min(hoped, asked))
+
+
+def mine(messages: DataFrame, skill_name: str, skill_text: str, key: str, model: Model | None = None, most: int = 50, chunk: int | None = None) -> DataFrame:
+    """Examples (task_input, expected_behavior, difficulty, category, source, key, ord), at most `most`, the first accepted in
+    order.
 
-    Candidates are scored a chunk of ranks at a time, until enough are accepted: later ones are not asked about.
+    Candidates are scored a chunk of ranks at a time (next_chunk, or a fixed size) until enough are accepted; later ones are not
+    asked about. Each chunk is written once and only its numbers of rows come to the driver; of the last one the rows are kept
+    whose place among its accepted ones is within what was missing.
     """
-    spark = messages.sparkSession
-    ranked = candidates_of(messages, skill_name, skill_text, key, most).cache()  # at most 3 * most rows
-    taken: list = []
-    schema = None
-    for lo in range(0, 3 * most, chunk):
-        part = ranked.where((F.col("ord") >= lo) & (F.col("ord") < lo + chunk))
+    ranked = written(candidates_of(messages, skill_name, skill_text, key, most), "candidates")
+    n, asked, accepted, parts = ranked.count(), 0, 0, []
+    while not parts or (accepted < most and asked < n):
+        end = asked + (chunk or next_chunk(asked, accepted, most))
+        part = ranked.where((F.col("ord") >= asked) & (F.col("ord") < end))
         scored = score_relevance(part, model or OfflineModel(), skill_text).where("example IS NOT NULL")
-        got = scored.select("example.*", "source", key, "ord")
-        schema = got.schema
-        rows = got.orderBy("ord").limit(most - len(taken)).collect()
-        taken += rows
-        if len(taken) >= most or not part.limit(1).count():
-            break
-    ranked.unpersist()
-    return spark.createDataFrame(taken, schema)
+        got = written(scored.select("example.*", "source", key, "ord"), "accepted")
+        more = got.count()
+        if accepted + more > most:
+            got = with_ordinals(got, "ord", name="_place", first=1).where(F.col("_place") <= most - accepted).drop("_place")
+        parts.append(got)
+        asked, accepted = end, accepted + more
+    discard(ranked)
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def mined_splits(examples: DataFrame, key: str, seed: str = "42") -> DataFrame:

@@ -1,8 +1,8 @@
 """Calls of a language model as one batch operator, with an offline stand-in.
 
 A model is a picklable callable from a list of requests (dict of strings) to a list of answers of the same length (dict of
-strings, or an Exception for a failed one). ask() runs it by Arrow batches and returns answers as columns; wrap expensive
-models so that they keep their answers by a hash of the request, as a task that is run again asks again.
+strings, or an Exception for a failed one). ask() runs it by Arrow batches and returns answers as columns. As equal rows and a
+task that is run again ask again, expensive models belong in answers.Stored, which keeps their answers by request.
 """
 
 from __future__ import annotations
@@ -79,8 +79,16 @@ class OfflineModel:
 def ask(rows: DataFrame, model: Model, task: str, inputs: dict[str, str], outputs: list[str], batch: int = 64) -> DataFrame:
     """rows with a string column for each output (null where the call failed) and failed.
 
-    inputs: names of the request's fields, and the columns that fill them.
+    inputs: names of the request's fields, and the columns that fill them. A model that keeps its answers (answers.Stored) is
+    asked at once, and only what it has no answer to.
     """
+    if hasattr(model, "ask_stored"):
+        return model.ask_stored(rows, task, inputs, outputs, batch)
+    return ask_each(rows, model, task, inputs, outputs, batch)
+
+
+def ask_each(rows: DataFrame, model: Model, task: str, inputs: dict[str, str], outputs: list[str], batch: int = 64) -> DataFrame:
+    """ask() with a call for every row, whenever the result is computed."""
     schema = T.StructType([*rows.schema.fields, *(T.StructField(o, T.StringType()) for o in outputs), T.StructField("failed", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.functions.jsonx import extract_array, extract_object
 from skein.operators import candidates, gates, pairing, rendering, scoring, splits
-from skein.plans import flows, generate, judge
+from skein.plans import answers, flows, generate, judge
 from skein.shared import fresh_path
 from skein.sources import datasets, sessions, skills, source_code
 from skein.sources.sessions import parse_history
@@ -665,6 +665,21 @@ def l8_rubric_offline(spark, sf_dir):
     return judge.score_rubric(rows, judge.OfflineModel(), "task", "expected", "output", "skill").select("doc_id", "correctness", "composite")
 
 
+@query("""
+    SELECT doc_id, CASE WHEN quality = toxic THEN 1e0 ELSE 0e0 END AS correctness, CASE WHEN quality = toxic THEN 1e0 ELSE 0e0 END AS composite,
+        (SELECT count(*) FROM (SELECT DISTINCT quality, toxic FROM labels)) AS n_answers
+    FROM labels
+""")
+def l8_stored_answers(spark, sf_dir):
+    """Rubric scores of all rows in two runs over one folder of answers: a call for each distinct request, and none in the second run."""
+    rows = _table(spark, sf_dir, "labels").select("doc_id", F.lit("task").alias("task"), F.col("quality").cast("string").alias("expected"), F.col("toxic").cast("string").alias("output"), F.lit("skill").alias("skill"))
+    model = answers.Stored(judge.OfflineModel(), fresh_path(spark, "answers"), "offline")
+    for _ in range(2):
+        scored = judge.score_rubric(rows, model, "task", "expected", "output", "skill")
+    n = model.answers(spark, "rubric").agg(F.count("*").alias("n_answers"))
+    return scored.select("doc_id", "correctness", "composite").join(F.broadcast(n))  # one row
+
+
 @query("""
     WITH l AS (SELECT item_id, string_split(text, chr(10)) AS x FROM benchmark WHERE length(text) > 0), n AS (SELECT *, least(3, len(x)) AS k, greatest(1, len(x) - 2) AS first FROM l)
     SELECT item_id AS name, '--- original/' || item_id || chr(10) || '+++ evolved/' || item_id || chr(10) || '@@ -' || first || CASE WHEN k > 1 THEN ',' || k ELSE '' END

@@ -1,13 +1,15 @@
 """Whole flows with the offline model, the judge's columns, the registered queries, and the stream."""
 
 import json
+import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from skein import queries
 from skein.operators import rendering
-from skein.plans import flows, generate, judge
+from skein.plans import answers, flows, generate, judge
 from skein.streaming.events import pair_stream
 
 
@@ -47,6 +49,67 @@ def test_mining_stops_early(spark):
         flows.mined_splits(got.limit(2), "key")
 
 
+class Counting:
+    """A model that leaves a file for each request it gets."""
+
+    def __init__(self, folder, inner):
+        self.folder, self.inner = str(folder), inner
+
+    def __call__(self, requests):
+        for r in requests:
+            Path(self.folder, uuid.uuid4().hex).write_text(json.dumps(r))
+        return self.inner(requests)
+
+    def asked(self):
+        return [json.loads(p.read_text()) for p in Path(self.folder).iterdir()]
+
+
+@pytest.mark.parametrize("skip", [0, 1, 3, 9])
+def test_mining_asks_about_few(spark, tmp_path, skip):
+    """The same examples as asking one at a time, with fewer than twice the calls; `skip` of each ten candidates are refused."""
+    texts = [f"{'skip' if k % 10 < skip else 'take'} deploy {k}" for k in range(60)]
+    model = Counting(tmp_path, relevance_model)
+    got = flows.mine(_messages(spark, *texts), "deploy", "", "key", model, most=20).orderBy("ord").collect()
+    accepted = [k for k, t in enumerate(texts) if t.startswith("take")]
+    assert [r.key for r in got] == accepted[:20]
+    one_by_one = accepted[19] + 1 if len(accepted) >= 20 else 60
+    assert len(got) == min(20, len(accepted)) and one_by_one <= len(model.asked()) < 2 * one_by_one
+    assert flows.mine(_messages(spark), "deploy", "", "key", model, most=20).count() == 0
+
+
+def test_chunks_are_bounded():
+    for most in (1, 7, 50):
+        for asked in range(200):
+            for accepted in range(min(asked, most - 1) + 1):
+                n = flows.next_chunk(asked, accepted, most)
+                assert most - accepted <= n <= max(most - accepted, asked)
+
+
+def test_stored_answers(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    model = Counting(tmp_path / "calls", lambda rs: [RuntimeError("down") if r["message"] == "bad" and r["extra"] == "" else {"out": r["message"] + "!", "more": None} for r in rs])
+    stored = answers.Stored(model, str(tmp_path / "kept"), "m1")
+    rows = spark.createDataFrame([(k, m, 1.5 if k % 2 else None, "x", "y") for k, m in enumerate(["a", "b", "a", "bad", "b", "a", None, "", "bad"])], "key long, message string, extra double, _digest string, digest string").repartition(3)
+
+    def run(df=rows, store=stored):
+        got = judge.ask(df, store, "t", {"message": "message", "extra": "extra"}, ["out", "more"])
+        assert got.columns == [*df.columns, "out", "more", "failed"]
+        return {r.key: (r.out, r.failed) for r in got.collect()}
+
+    want = {0: ("a!", False), 1: ("b!", False), 2: ("a!", False), 3: ("bad!", False), 4: ("b!", False), 5: ("a!", False), 6: ("!", False), 7: ("!", False), 8: (None, True)}
+    assert run() == want
+    assert sorted((r["message"], r["extra"]) for r in model.asked()) == [("", ""), ("", "1.5"), ("a", ""), ("a", "1.5"), ("b", ""), ("b", "1.5"), ("bad", ""), ("bad", "1.5")]
+    assert run() == want and len(model.asked()) == 9  # the failed one alone again
+    fresh = answers.Stored(lambda rs: [ValueError("no call") for _ in rs], str(tmp_path / "kept"), "m1")
+    assert run(rows.where("key <> 8"), fresh) == {k: v for k, v in want.items() if k != 8}
+    assert run(store=answers.Stored(model, str(tmp_path / "kept"), "m2")) == want and len(model.asked()) == 17
+    (tmp_path / "kept" / "task=t" / "batch=open").mkdir()  # of a job that did not end
+    before = stored.answers(spark, "t").count()
+    stored.compact(spark, "t")
+    assert stored.answers(spark, "t").count() == before == 14 and len(list((tmp_path / "kept" / "task=t").iterdir())) == 1
+    assert run(rows.limit(0)) == {}
+
+
 def test_judged_tools(spark):
     tools = spark.createDataFrame([(0, "search", "find words in files"), (1, "deploy", "ship the service")], "ord int, tool string, description string")
     worse = tools.withColumn("description", F.when(F.col("tool") == "deploy", "x" * 600).otherwise(F.col("description")))
