@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import discard, fresh_path, stable, text_or_empty, written
+from skein.llm.common import discard, fresh_path, stable, text_or_empty, unused, written
 
 #: Portions that are flushed as runs.
 MEMTABLES = 4
@@ -179,17 +179,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose number (monotonically_increasing_id() of docs) is in gone's column _skein_rid."""
-    maybe = probe(gone, "_skein_rid")(F.col("_skein_rid"))
-    numbered = docs.withColumn("_skein_rid", F.monotonically_increasing_id())
-    return numbered.where(~maybe).unionByName(numbered.where(maybe).join(gone, "_skein_rid", "left_anti")).drop("_skein_rid")
+    """docs, a stable scan, without the rows whose number (monotonically_increasing_id() of docs) is in gone's only column.
+
+    Nulls in docs, repeated rows and columns of whatever name stay as they are; an empty gone takes nothing away.
+    """
+    (rid,) = unused(docs, "_skein_rid")
+    gone = gone.toDF(rid)
+    maybe = probe(gone, rid)(F.col(rid))
+    numbered = docs.withColumn(rid, F.monotonically_increasing_id())
+    return numbered.where(~maybe).unionByName(numbered.where(maybe).join(gone, rid, "left_anti")).drop(rid)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that exact_dedup() does not keep; all columns of docs. docs is written first if it is no scan.
 
-    Rows that the filter of dropped row numbers surely lacks pass as they are; the others alone are joined.
+    Nulls, ties, repeated rows and an empty table are treated as exact_dedup() says. Rows that the filter of dropped row
+    numbers surely lacks pass as they are; the others alone are joined.
     """
     docs = stable(docs)
-    gone = written(exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("rid").alias("_skein_rid")), "dedup-gone")
-    return without_rows(docs, gone)
+    return without_rows(docs, written(exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select("rid"), "dedup-gone"))

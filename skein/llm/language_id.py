@@ -5,7 +5,7 @@ frequency. A document's distance to a language is the sum over its profile of ho
 the language's profile, at most PROFILE for one that is not there. The nearest language is predicted.
 
 Profiles are learned from at most MAX_DOCS labelled documents a language (a documented bound: by a hash of the id, all
-of them where there are fewer); prediction reads every text whole.
+of them where there are fewer) and of MAX_LANGS languages; prediction reads every text whole.
 """
 
 from __future__ import annotations
@@ -18,13 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.common import crc_mod, release, small_batches
+from skein.llm.common import crc_mod, release, unused
 
 PROFILE = 300
 #: Least score of a document that keep_identified() keeps; prose scores 0.55 and more, single words 0.4.
 MIN_SCORE = 0.3
-#: Expected number of documents of a language that its profile is learned from, where there are more.
-MAX_DOCS = 4000
+#: Expected number of documents of a language that its profile is learned from, where there are more; most languages that are
+#: learned (of more labels, those with the most documents), so that profiles fit in memory.
+MAX_DOCS, MAX_LANGS = 4000, 1000
 EDGE = 0x1FFFFF
 _fold: np.ndarray | None = None
 
@@ -124,26 +125,27 @@ class Profiles:
         return self.langs[best], 1.0 - float(out[best]) / (PROFILE * len(own))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS) -> Profiles:
-    """Profiles from the labelled training rows: id's crc32 mod 5 not 0 (so an id is needed), text and lang not null."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_langs: int = MAX_LANGS) -> Profiles:
+    """Profiles from the labelled training rows: id's crc32 mod 5 not 0 (so an id is needed), text and lang not null.
+
+    Only the max_langs labels with the most rows are learned (ties by name): their shares are broadcast, and PROFILE ranks of
+    each come to the driver.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where((crc_mod("id", 5) != 0) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    share: Column = F.lit(0.0)
-    for lang, n in rows.groupBy("lang").count().toLocalIterator():  # a row per language
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, max_docs / n))).otherwise(share)
+    shares = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang", F.least(F.lit(1.0), max_docs / F.col("n")).alias("share"))
     u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    counts = rows.where(u < share).select("lang", "text").mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    chosen = rows.withColumn("u", u).join(F.broadcast(shares), "lang").where("u < share")
+    counts = chosen.select("lang", "text").mapInPandas(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     top = counts.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("r") <= PROFILE)
     ranks: dict[str, dict[int, int]] = {}
-    for r in top.select("lang", "code", "r").collect():  # PROFILE rows a language
+    for r in top.select("lang", "code", "r").collect():  # PROFILE rows each of at most max_langs
         ranks.setdefault(r.lang, {})[r.r] = r.code
     return Profiles({k: [v[i] for i in sorted(v)] for k, v in ranks.items()})
 
 
 def predicted(docs: DataFrame, profiles: Profiles, text_col: str = "text", name: str = "_lang") -> DataFrame:
     """docs with one more column, struct<lang_pred string, score double>."""
-    with small_batches(docs.sparkSession, keep=True):
-        pass
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
@@ -158,7 +160,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per input row: doc_id, held_out, lang_pred, score (1 less the mean distance as a share of the largest).
 
     `und` with score 0 for texts that are null or have no letter, and for all where no language could be learned. A
-    null id is not held out and not learned from. Rows that repeat are predicted alike; other columns are ignored.
+    null id is not held out and not learned from. Rows that repeat are predicted alike; equally near languages go by name; other
+    columns are ignored. An empty table gives an empty result.
     """
     profiles = learn(docs, id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -166,6 +169,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without the rows whose language cannot be told: no letters, or a score below min_score. All columns of docs."""
-    found = predicted(docs, learn(docs), name="_skein_lang")
-    return found.where((F.col("_skein_lang.lang_pred") != "und") & (F.col("_skein_lang.score") >= min_score)).drop("_skein_lang")
+    """docs without the rows whose language cannot be told: no letters (a null text among them), or a score below min_score.
+
+    All columns of docs, whatever their names; repeated rows stay or go together, and an empty table stays empty.
+    """
+    (lang,) = unused(docs, "_skein_lang")
+    found = predicted(docs, learn(docs), name=lang)
+    return found.where((F.col(f"{lang}.lang_pred") != "und") & (F.col(f"{lang}.score") >= min_score)).drop(lang)

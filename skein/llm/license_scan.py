@@ -4,8 +4,10 @@ The rolling word 3-gram hashes of every text are joined with the positions of th
 fixed table, so it is broadcast). Each hit votes for a diagonal, its word position less the template position. A
 template found whole puts all its 3-grams on one diagonal. Text with words added or missing spreads over neighbouring
 diagonals: those are merged when they lie within SLACK of each other, and the merged span is a license when it covers
-at least COVER of the template's 3-grams and is at most STRETCH times its length. Joined words are compared as words,
-so a hash collision is no hit.
+at least COVER of the template's 3-grams and is at most STRETCH times its length. Where a chain of neighbours covers enough
+but is too long (a beginning that stands there several times, say), the same is asked of each part of it that is a run of
+diagonals, single ones included, and of parts that overlap the best one is found. Joined words are compared as words, so a
+hash collision is no hit.
 """
 
 from __future__ import annotations
@@ -96,14 +98,38 @@ def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, text_
 
     own = W.partitionBy("rid", "tid").orderBy("diag")
     far = (F.col("diag") - F.lag("diag").over(own) > SLACK) | (F.col("first") - F.lag("last").over(own) > F.col("n_grams") + SLACK)
-    merged = (
-        votes.where("NOT base").withColumn("new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("chain", F.sum("new").over(own))
-        .groupBy(*key, "chain").agg(F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
-    )
-    found = merged.where((F.col("n") >= F.ceil(F.col("n_grams") * COVER)) & (F.col("last") - F.col("first") + GRAM <= (F.col("n_grams") + GRAM - 1) * STRETCH))
+    chained = votes.where("NOT base").withColumn("new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("chain", F.sum("new").over(own))
+    merged = chained.groupBy(*key, "chain").agg(F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("n"), F.min("first").alias("first"), F.max("last").alias("last"))
+    merged = merged.where(F.col("n") >= F.ceil(F.col("n_grams") * COVER))
+    found = merged.where(_short()).unionByName(_parts(chained, merged.where(~_short()), key))
     return whole.unionByName(found.select(*key[:4], F.col("first").alias("first_word"), (F.col("last") + GRAM - 1).alias("last_word"), (F.col("n") / F.col("n_grams")).alias("coverage")))
 
 
+def _short() -> Column:
+    return F.col("last") - F.col("first") + GRAM <= (F.col("n_grams") + GRAM - 1) * STRETCH
+
+
+def _parts(chained: DataFrame, long: DataFrame, key: list[str]) -> DataFrame:
+    """key, chain, n, first, last of the licenses inside chains that are too long: runs of the chain's diagonals that cover enough
+    and are short enough, without those that overlap a better one (of more coverage, then fewer words, then earlier).
+
+    A diagonal's 3-grams lie within the template's length of it, so the diagonals of a short run are no farther apart than STRETCH
+    and once more that length; each diagonal begins a window of that width, and the runs are its beginnings.
+    """
+    inside = chained.join(long.select("rid", "tid", "chain"), ["rid", "tid", "chain"], "left_semi")
+    width = (F.col("n_grams") + GRAM) * (STRETCH + 1)
+    a, b = inside.select("rid", "tid", "chain", F.col("diag").alias("from")).alias("a"), inside.alias("b")
+    same = (F.col("a.rid") == F.col("b.rid")) & (F.col("a.tid") == F.col("b.tid")) & (F.col("a.chain") == F.col("b.chain"))
+    pairs = a.join(b, same & F.col("b.diag").between(F.col("from"), F.col("from") + width)).select("from", "b.*")
+    upto = W.partitionBy("rid", "tid", "chain", "from").orderBy("diag").rowsBetween(W.unboundedPreceding, 0)
+    runs = pairs.select(
+        *key, "chain", F.size(F.array_distinct(F.flatten(F.collect_list("seen").over(upto)))).alias("n"), F.min("first").over(upto).alias("first"), F.max("last").over(upto).alias("last"),
+    ).where((F.col("n") >= F.ceil(F.col("n_grams") * COVER)) & _short()).distinct()
+    better = F.struct(-F.col("y.n"), F.col("y.last") - F.col("y.first"), F.col("y.first")) < F.struct(-F.col("x.n"), F.col("x.last") - F.col("x.first"), F.col("x.first"))
+    overlap = (F.col("x.rid") == F.col("y.rid")) & (F.col("x.tid") == F.col("y.tid")) & (F.col("x.first") < F.col("y.last") + GRAM) & (F.col("y.first") < F.col("x.last") + GRAM)
+    return runs.alias("x").join(runs.alias("y"), overlap & better, "left_anti")
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 

@@ -28,9 +28,11 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.common import release, small_batches
+from skein.llm.common import discard, release, stable, unused, written
+from skein.llm.exact_dedup import probe
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -484,7 +486,7 @@ def _encoder(vocab: Vocabulary, samples: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(vocab, samples)
         raw = pa.array(segmenter.vocab.raw, pa.binary())
-        last, made = (None, None), 0
+        made = 0
         for b in batches:
             ids, keys, texts = b.column(0), b.column(1).to_pylist(), b.column(2)
             lo = 0
@@ -492,9 +494,6 @@ def _encoder(vocab: Vocabulary, samples: int):
                 hi, size, some = lo, 0, []
                 while hi < b.num_rows and size < BATCH_WORDS:
                     some.append(texts[hi].as_py() or "")
-                    now = (keys[hi], some[-1])
-                    copy = copy + 1 if now == last else 0
-                    keys[hi], last = keys[hi] + copy * int(_STEP), now
                     size += len(some[-1]) // 6 + 1
                     hi += 1
                 found = segmenter.sample(keys[lo:hi], some)
@@ -521,18 +520,46 @@ def _encoder(vocab: Vocabulary, samples: int):
     return run
 
 
+def with_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with one more column last: 0, or 0, 1, 2... over the rows of one id and text, which are alike, so it is no matter
+    which has which number.
+
+    Ids that repeat are found without texts. Only their rows are numbered, inside the parts of the scan and by the counts of the
+    parts before, so that a row that is there a billion times is numbered in as many tasks as read it; and only they are joined
+    with their numbers.
+    """
+    docs = stable(docs, "encoded")
+    rid, copy = unused(docs, "_rid", "_copy")
+    rows = docs.withColumn(rid, F.monotonically_increasing_id())
+    ids = written(docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64(F.lit("id"), "id").alias("h")), "repeated-ids")
+    if ids.isEmpty():
+        discard(ids)
+        return docs.withColumn(copy, F.lit(0).cast("long"))
+    own = F.xxhash64(F.lit("id"), F.col(id_col))
+    maybe = probe(ids, "h")(own)
+    some = written(rows.where(maybe).select(F.col(rid).alias("r"), F.sha2(F.to_json(F.struct(F.col(id_col).cast("string"), F.col(text_col).cast("string"))).cast("binary"), 256).alias("same")), "repeated-rows")
+    some = some.withColumn("part", F.shiftright("r", 33))
+    counts = some.groupBy("same", "part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("base", F.sum("n").over(W.partitionBy("same").orderBy("part")) - F.col("n")).drop("n")
+    place = F.row_number().over(W.partitionBy("same", "part").orderBy("r")) - 1
+    numbers = some.withColumn("place", place).join(before, ["same", "part"]).select(F.col("r").alias(rid), (F.col("place") + F.col("base")).cast("long").alias(copy))
+    alone = rows.where(~maybe).withColumn(copy, F.lit(0).cast("long"))
+    return alone.unionByName(rows.where(maybe).join(numbers, rid)).drop(rid)
+
+
 def encode_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, samples: int = SAMPLES) -> DataFrame:
     """doc_id, sample (1 is the best), n_pieces, ids, log_prob, perturbed, log_inclusion, round_trip: up to `samples` rows per
     input row. round_trip: whether the pieces decode to the text again.
 
     Texts with fewer segmentations have fewer rows, at least one; null text counts as empty, whose one segmentation has
-    no pieces. A row that repeats the id and text of the one directly before it (as mixing puts a document's copies) has samples
-    of its own, as its place among them is part of the key; rows that repeat elsewhere have equal samples. Other columns are
-    ignored.
+    no pieces. The row's key is its id (a null one too) and, where rows repeat an id and text, the row's number among them: each
+    has samples of its own, the same whatever the order of rows. Segmentations of equal score come in order of their pieces'
+    places in the search. Other columns are ignored. An empty table gives an empty result. docs is written first if it is no scan.
     """
-    with small_batches(docs.sparkSession, keep=True):
-        pass
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit("pieces"), F.col(id_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
+    copies = with_copies(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "doc_id", "text")
+    key = F.xxhash64(F.lit("pieces"), F.col("doc_id").cast("string"))
+    key = F.when(F.col("_copy") == 0, key).otherwise(F.xxhash64(F.lit("pieces"), F.col("doc_id").cast("string"), F.col("_copy")))
+    rows = copies.select("doc_id", key.alias("key"), "text")
     return rows.mapInArrow(_encoder(Vocabulary(load_pieces(model)), samples), "doc_id long, sample int, n_pieces long, ids array<int>, log_prob double, perturbed double, log_inclusion double, round_trip boolean")
 
 

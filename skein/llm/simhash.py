@@ -288,8 +288,9 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: st
     """docs without near copies; all columns of docs. docs is written first if it is no scan.
 
     Rows are linked if their 5-word shingle sets are equal or have a Jaccard similarity of at least `similarity`. Of those
-    reachable over links the row with the smallest doc_id stays, the first one read where rows repeat it. Rows that the filter
-    of dropped row numbers surely lacks pass as they are; the others alone are joined.
+    reachable over links the row with the smallest doc_id stays, the first one read where rows repeat it, a null id last. Texts
+    without words (null ones too) are equal to each other. An empty table stays empty. Rows that the filter of dropped row
+    numbers surely lacks pass as they are; the others alone are joined.
     """
     docs = stable(docs)
     with small_batches(docs.sparkSession):
@@ -300,6 +301,6 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: st
     by_set = points.join(found, points["p"] == found["node"], "left").select("digest", F.struct("void", "doc_id", "p").alias("own"), F.coalesce("component", "p").alias("c"))
     leader = by_set.groupBy("c").agg(F.min("own").alias("lead"))
     named = written(by_set.join(leader, "c").select("digest", F.col("lead.p").alias("lead")), "near-named")
-    gone = written(marked.join(named, "digest").where(F.col("rid") != F.col("lead")).select(F.col("rid").alias("_skein_rid")), "near-gone")
+    gone = written(marked.join(named, "digest").where(F.col("rid") != F.col("lead")).select("rid"), "near-gone")
     discard(marked, points, named)
     return without_rows(docs, gone)

@@ -20,7 +20,7 @@ EDGES = [
     (5, "word", "fr", "b", 4), (None, "no id here", "en", "a", 10), (None, None, None, None, None), (6, "é ß 日本 😀 ▁ \u212a İ", "en", "b", 18), (7, "x" * 20_000, "en", "a", 20_000),
     (8, "long words " * 5_000, "en", "c", 55_000), (-9, "Hello  there\nworld", "en", "b", 18), (10, "123 456 !!", None, "c", 10), (2**62, "big id", "en", "b", 6), (11, "same text", "en", "a", 9), (12, "same\u00a0text", "en", "a", 9),
 ]
-CLASHES = ["rid", "digest", "fp", "rank", "kept", "bucket", "key", "size", "source_size", "label", "w", "h", "_skein_rid2", "score", "lead", "word", "n", "part", "norm", "first"]
+CLASHES = ["rid", "digest", "fp", "rank", "kept", "bucket", "key", "size", "source_size", "label", "w", "h", "_skein_rid2", "_skein_rid", "_skein_lang", "_rid", "_copy", "score", "lead", "word", "n", "part", "norm", "first"]
 
 
 @pytest.fixture(scope="session")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -425,8 +426,36 @@ def test_round_trip_flag_and_copies(spark):
     rows = spark.createDataFrame([(1, text), (1, text), (2, "\U0010ffff▁ x"), (3, None)], "doc_id long, text string").coalesce(1)
     got = piece_sampling.encode_samples(rows).collect()
     assert all(r.round_trip for r in got)
-    firsts = [tuple(r.ids) for r in got if r.doc_id == 1 and r.sample == 1]
-    assert len(firsts) == 2 and firsts[0] != firsts[1]  # copies that follow each other have samples of their own
+    firsts = [(tuple(r.ids), r.perturbed) for r in got if r.doc_id == 1 and r.sample == 1]
+    assert len(firsts) == 2 and firsts[0] != firsts[1]  # copies have samples of their own
+
+
+def test_copies_have_the_same_samples_in_any_order(spark, tmp_path):
+    rows = [(i, f"text of document {i} with some words to cut up") for i in range(6)]
+    rows += [rows[1]] * 4 + [rows[2]] + [(3, "another text of the same id")] + [(None, "no id")] * 3 + [(None, None)] * 2
+    found = []
+    for k in range(3):
+        random.Random(k).shuffle(rows)
+        spark.createDataFrame(rows, "doc_id long, text string").repartition(k + 1).write.parquet(path := str(tmp_path / str(k)))
+        got = piece_sampling.encode_samples(spark.read.parquet(path)).collect()
+        found.append(sorted((r.doc_id or -1, r.sample, tuple(r.ids), round(r.log_prob, 9), round(r.perturbed, 9)) for r in got))
+        ones = {r.perturbed for r in got if r.doc_id == 1 and r.sample == 1}
+        assert len(ones) == 5
+    assert found[0] == found[1] == found[2]
+
+
+def test_session_settings_stay(spark, docs):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+    piece_sampling.encode_samples(docs.limit(5)).count()
+    language_id.identify(docs).count()
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_language_labels_are_bounded(spark):
+    rows = spark.createDataFrame([(k, "der die das und ein" if k % 2 else "the and of a to", ("de" if k % 2 else "en") if k < 60 else f"odd{k}") for k in range(90)], "doc_id long, text string, lang string")
+    assert language_id.learn(rows, max_langs=2).langs == ["de", "en"]
+    assert len(language_id.learn(rows).langs) > 10
 
 
 # ---- pipeline
@@ -449,4 +478,4 @@ def test_pipeline(spark, docs, edges, empty, sf, tmp_path):
 
 
 def test_queries_are_registered():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{k}" for k in range(1, 11)] and set(queries.ORACLE) <= set(queries.QUERIES)
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{k}" for k in range(1, 14)] and set(queries.ORACLE) <= set(queries.QUERIES)

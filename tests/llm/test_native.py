@@ -1,6 +1,7 @@
 """URL filter, license scan and sharding."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -182,3 +183,65 @@ def test_shard_files(spark, docs, tmp_path, shards):
     sharding.write_shards(docs, str(tmp_path / "out"), shards)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and all(r.shard == brute_jump(r.doc_id, shards) for r in back.select("doc_id", "shard").collect())
+
+
+def brute_licenses(text):
+    """labels and score: every run of neighbouring diagonals of every template is tried."""
+
+    def grams_of(t):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))
+        return [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+
+    grams, labels, score = grams_of(text), set(), 0.0
+    for k, (label, template) in enumerate([*license_scan.BASE, *license_scan.TEMPLATES]):
+        own, votes = grams_of(template), {}
+        for pos, g in enumerate(grams):
+            for tpos, t in enumerate(own):
+                if g == t:
+                    votes.setdefault(pos - tpos, []).append((tpos, pos))
+        diags = sorted(votes)
+        for i in range(len(diags)):
+            for j in range(i, len(diags)):
+                if k < len(license_scan.BASE):
+                    covers = i == j and len({t for t, _ in votes[diags[i]]}) == len(own)
+                    n = len(own)
+                else:
+                    if j > i:
+                        last, first = max(p for _, p in votes[diags[j - 1]]), min(p for _, p in votes[diags[j]])
+                        if diags[j] - diags[j - 1] > license_scan.SLACK or first - last > len(own) + license_scan.SLACK:
+                            break
+                    run = [x for d in diags[i : j + 1] for x in votes[d]]
+                    n, at = len({t for t, _ in run}), [p for _, p in run]
+                    covers = n >= math.ceil(len(own) * license_scan.COVER) and max(at) - min(at) + 3 <= (len(own) + 2) * license_scan.STRETCH
+                if covers:
+                    labels.add(label)
+                    score = max(score, n / len(own))
+    return ",".join(sorted(labels)), score
+
+
+def test_license_labels_match_brute_force(spark):
+    """Templates whole, with stutters before, inside and after them, back to back, nested, with words added and lost."""
+    rng = random.Random(11)
+    short = [t for _, t in license_scan.TEMPLATES if len(t.split()) < 40]
+    texts = [
+        "this is free and this is free and this is free and unencumbered software released into the public domain",
+        "permission to use copy " * 5 + "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "under the terms of the gnu " * 3 + dict(license_scan.TEMPLATES)["lgpl"] + " published by the free software foundation" * 4,
+    ]
+    for _ in range(150):
+        parts = []
+        for t in rng.choices(short, k=rng.randrange(1, 4)):
+            w = t.split()
+            for _ in range(rng.randrange(4)):
+                at, how, size = rng.randrange(len(w)), rng.randrange(4), rng.randrange(1, 6)
+                w = [w[: at + size] + w[at:], w[:at] + ["other"] * rng.randrange(1, 4) + w[at:], w[:at] + w[at + size :], w[: size + 3] * rng.randrange(1, 4) + w][how]
+            parts += [" ".join(w), *(["between these words"] * rng.randrange(2))]
+        texts.append(" ".join(parts))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.scan_licenses(rows).collect()}
+    want = {k: brute_licenses(t) for k, t in enumerate(texts)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert {k: round(v[1], 9) for k, v in got.items()} == {k: round(v[1], 9) for k, v in want.items()}
+    assert "unlicense" in got[0][0] and got[0][1] == 1 and "isc" in got[1][0] and got[1][1] == 1
+    spans = license_scan.spans(spark.createDataFrame([(0, " and ".join([texts[0]] * 3))], "doc_id long, text string")).where("label = 'unlicense' AND coverage = 1")
+    assert spans.count() == 3 and {r.last_word - r.first_word for r in spans.collect()} == {10}
