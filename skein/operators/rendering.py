@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.sources.commits import publishing
+
 
 def _joined(order: str, text: str, sep: str) -> Column:
     """The texts of a group in order, joined. A group here is a prompt's parts: some dozens of rows."""
@@ -62,14 +64,16 @@ def save_run(folder: str, stamp: str, metrics: DataFrame, evolved: DataFrame | N
     """Writes a run's one-row metrics, the evolved texts (name, description or text) as one JSON array and the diffs (name, diff)
     as text, and returns the folder. A failed run has metrics only, with failed status and without passed gates.
 
-    What was there is replaced. Evolved texts and diffs are a prompt's or a tool list's: some dozens of rows.
+    The folder appears with all of its files, or not at all if a task fails; one that was there is replaced as a whole. Evolved
+    texts and diffs are a prompt's or a tool list's: some dozens of rows.
     """
     out = run_folder(folder, stamp, failed)
-    status = metrics.withColumns({"timestamp": F.lit(stamp), "status": F.lit("FAILED" if failed else "OK"), "constraints_passed": F.lit(not failed)})
-    status.coalesce(1).write.mode("overwrite").json(f"{out}/metrics")
-    if evolved is not None and not failed:
-        rows = F.sort_array(F.collect_list(F.struct(*evolved.columns)))
-        evolved.agg(F.to_json(rows, {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(f"{out}/evolved")
-    if changes is not None and not failed:
-        changes.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "diff"))), lambda x: x["diff"]), "\n").alias("value")).coalesce(1).write.mode("overwrite").text(f"{out}/diff")
+    with publishing(metrics.sparkSession, out) as path:
+        status = metrics.withColumns({"timestamp": F.lit(stamp), "status": F.lit("FAILED" if failed else "OK"), "constraints_passed": F.lit(not failed)})
+        status.coalesce(1).write.json(f"{path}/metrics")
+        if evolved is not None and not failed:
+            rows = F.sort_array(F.collect_list(F.struct(*evolved.columns)))
+            evolved.agg(F.to_json(rows, {"pretty": "true"}).alias("value")).coalesce(1).write.text(f"{path}/evolved")
+        if changes is not None and not failed:
+            changes.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("name", "diff"))), lambda x: x["diff"]), "\n").alias("value")).coalesce(1).write.text(f"{path}/diff")
     return out

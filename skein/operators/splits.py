@@ -35,10 +35,14 @@ def split_sizes(n: Column, train: float = TRAIN, val: float = VAL) -> tuple[Colu
 
 def split_members(df: DataFrame, key: str, seed: str = "42", train: float = TRAIN, val: float = VAL) -> DataFrame:
     """df with a column split: train, val or holdout, by rank in the shuffled order."""
-    total = df.agg(F.count("*").alias("_total"))
-    ranked = hash_rank(df, key, seed, "_rank").join(F.broadcast(total))  # one row
+    return split_by_rank(hash_rank(df, key, seed, "_rank"), "_rank", df.agg(F.count("*").alias("_total")), train, val)
+
+
+def split_by_rank(ranked: DataFrame, rank: str, total: DataFrame, train: float = TRAIN, val: float = VAL) -> DataFrame:
+    """ranked with a column split in the place of its 0-based rank; total: one row _total, the number of rows."""
     a, b = split_sizes(F.col("_total"), train, val)
-    return ranked.withColumn("split", F.when(F.col("_rank") < a, "train").when(F.col("_rank") < a + b, "val").otherwise("holdout")).drop("_rank", "_total")
+    split = F.when(F.col(rank) < a, "train").when(F.col(rank) < a + b, "val").otherwise("holdout")
+    return ranked.join(F.broadcast(total)).withColumn("split", split).drop(rank, "_total")  # total is one row
 
 
 def union_splits(train: DataFrame, val: DataFrame, holdout: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -635,6 +636,18 @@ def e1_mining_flow(spark, sf_dir):
     return names.join(members.groupBy("split").agg(F.count("*").alias("n")), "split", "left").select("split", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+@query(f"""
+    WITH {_W1_SQL}, c AS (SELECT conv_id * 1000000 + turn AS key FROM w1 WHERE {_relevant_sql('task_input')}),
+    {_SPLIT_SQL.format('c', 'key')}
+    SELECT key, split FROM m
+""")
+def e1_mining_members(spark, sf_dir):
+    """The mining flow, with the split of each message."""
+    pairs = pairing.pair_first_response(_table(spark, sf_dir, "conversations")).withColumn("source", F.lit("sessions"))
+    kept = pairs.where(T.has_value(F.col("task_input"), F.col("source"))).where(T.is_relevant(F.col("task_input"), SKILL_NAME, SKILL_TEXT))
+    return splits.split_members(kept.withColumn("key", F.col("conv_id") * 1_000_000 + F.col("turn")).select("key"), "key")
+
+
 _RANK_SQL = f"""
     {_W1_SQL},
     u AS (SELECT conv_id * 1000000 + turn AS key, task_input, {_relevant_sql('task_input')} AS hit FROM w1 WHERE length(task_input) > 0),
@@ -835,6 +848,26 @@ def k1_dataset_round_trip(spark, sf_dir):
     return datasets.load_dataset(spark, folder)
 
 
+@query(f"""
+    WITH {_SPLIT_SQL.format('documents', 'doc_id')}
+    SELECT d.doc_id::VARCHAR AS task_input, coalesce(source, 'none') AS expected_behavior, 'medium' AS difficulty, coalesce(lang, 'general') AS category, 'golden' AS source, split FROM documents d JOIN m ON m.doc_id = d.doc_id
+""")
+def k1_failed_save(spark, sf_dir):
+    """K1: a dataset is saved, replaced, and the same once more by a save in which a task fails: the second version is what is read."""
+    folder, rows = fresh_path(spark, "dataset"), _table(spark, sf_dir, "documents").select("doc_id")
+    members = splits.split_members(rows, "doc_id").select(F.col("doc_id").cast("string").alias("task_input"), "split")
+    whole = _examples(spark, sf_dir).join(members, "task_input")
+    datasets.save_dataset(whole.withColumn("difficulty", F.lit("hard")), folder)
+    datasets.save_dataset(whole, folder)
+    broken = whole.withColumn("category", F.when(F.col("task_input") == "0", F.raise_error(F.lit("a task fails")).cast("string")).otherwise("lost"))
+    try:
+        datasets.save_dataset(broken, folder)
+    except PySparkException as e:
+        if "a task fails" not in str(e):
+            raise
+    return datasets.load_dataset(spark, folder)
+
+
 @query("""
     WITH n AS (SELECT count(*) AS n FROM documents)
     SELECT s.split, CASE s.split WHEN 'train' THEN greatest(1, n // 2) WHEN 'val' THEN greatest(1, n // 4) ELSE n - greatest(1, n // 2) - greatest(1, n // 4) END AS examples FROM n, (VALUES ('train'), ('val'), ('holdout')) s(split)
@@ -846,6 +879,19 @@ def s7_golden(spark, sf_dir):
     return datasets.load_golden(spark, path).groupBy("split").agg(F.count("*").alias("examples"))
 
 
+@query(f"""
+    WITH e AS (
+        SELECT doc_id, to_json({{'task_input': doc_id::VARCHAR, 'expected_behavior': coalesce(source, 'none'), 'difficulty': 'medium', 'category': coalesce(lang, 'general'), 'source': 'golden'}})::VARCHAR AS content FROM documents
+    ), {_SPLIT_SQL.format('e', 'content')}
+    SELECT doc_id::VARCHAR AS task_input, split FROM e JOIN m ON e.content = m.content
+""")
+def s7_golden_members(spark, sf_dir):
+    """One golden file, split when it is read: which example lies in which split."""
+    path = f"{fresh_path(spark, 'golden')}.jsonl"
+    _examples(spark, sf_dir).write.json(path)
+    return datasets.load_golden(spark, path).select("task_input", "split")
+
+
 def _skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(F.lit("---\nname: the "), F.col("item_id").cast("string"), F.lit("\ndescription: d\n---\n\n"), F.col("text"))
     rows = _table(spark, sf_dir, "benchmark").select(F.concat(F.lit("file:/skills/s"), F.col("item_id").cast("string"), F.lit("/SKILL.md")).alias("path"), parse_skill(raw).alias("s"))

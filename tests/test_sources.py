@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions.text import SECRETS
-from skein.sources import datasets, sessions, settings, skills, source_code
+from skein.sources import commits, datasets, sessions, settings, skills, source_code
 
 SECRET = re.compile("|".join(SECRETS), re.I)
 
@@ -115,7 +115,7 @@ def test_datasets(spark, tmp_path):
     rows = spark.createDataFrame([("t1", "e", "easy", "c", "s", "train"), ("t2", "e", None, None, None, "train")], "task_input string, expected_behavior string, difficulty string, category string, source string, split string")
     out = str(tmp_path / "d")
     datasets.save_dataset(rows, out)
-    assert sorted(os.listdir(out)) == ["split=holdout", "split=train", "split=val"]
+    assert [x for x in sorted(os.listdir(commits.current(spark, out))) if "=" in x] == ["split=holdout", "split=train", "split=val"]
     back = {r.task_input: (r.difficulty, r.category, r.source, r.split) for r in datasets.load_dataset(spark, out).collect()}
     assert back == {"t1": ("easy", "c", "s", "train"), "t2": ("medium", "general", "synthetic", "train")}
     (tmp_path / "g.jsonl").write_text("\n".join(json.dumps({"task_input": f"t{i}", "expected_behavior": "e", "extra": 1}) for i in range(10)) + "\n\n")
@@ -244,3 +244,64 @@ def test_settings(monkeypatch, tmp_path):
     s = settings.load_settings(api_base="http://x")
     assert (s.eval_model, s.judge_model, s.service) == ("env", "env", {"api_base": "http://x"})
     assert settings.load_settings(model="cli").optimizer_model == "cli"
+
+
+def _example(spark, *names, split="train"):
+    return spark.createDataFrame([(n, "e", split) for n in names], "task_input string, expected_behavior string, split string").withColumns({c: F.lit("x") for c in ("difficulty", "category", "source")})
+
+
+def test_datasets_are_replaced_as_a_whole(spark, tmp_path):
+    folder, read = str(tmp_path / "set"), lambda: sorted((r.task_input, r.split) for r in datasets.load_dataset(spark, folder).collect())
+    assert read() == []
+    for version in range(4):
+        datasets.save_dataset(_example(spark, f"a{version}", f"b{version}").unionByName(_example(spark, f"c{version}", split="val")), folder)
+        assert read() == [(f"a{version}", "train"), (f"b{version}", "train"), (f"c{version}", "val")]
+    open_reader, before = datasets.load_dataset(spark, folder), sorted(os.listdir(folder))
+    assert len([x for x in before if x.startswith("version-")]) == commits.KEPT and all(os.path.isdir(f"{commits.current(spark, folder)}/split={x}") for x in datasets.SPLITS)
+    broken = _example(spark, *map(str, range(20))).repartition(4).withColumn("category", F.when(F.col("task_input") == "7", F.raise_error(F.lit("boom")).cast("string")).otherwise("x"))
+    with pytest.raises(Exception, match="boom"):
+        datasets.save_dataset(broken, folder)
+    assert read()[0] == ("a3", "train") and sorted(os.listdir(folder)) == before
+    datasets.save_dataset(_example(spark, "new"), folder)
+    assert read() == [("new", "train")] and open_reader.count() == 3  # the version that a reader has open stays
+    (tmp_path / "set" / "version-of a writer that died").mkdir()
+    assert read() == [("new", "train")]
+
+
+def test_two_writers_commit_one_after_the_other(spark, tmp_path):
+    folder = str(tmp_path / "set")
+    with commits.replacing(spark, folder) as one:
+        _example(spark, "slow").drop("split").write.json(f"{one}/split=train")
+        datasets.save_dataset(_example(spark, "fast"), folder)
+        assert [r.task_input for r in datasets.load_dataset(spark, folder).collect()] == ["fast"]
+    assert [r.task_input for r in datasets.load_dataset(spark, folder).collect()] == ["slow"]
+    (tmp_path / "set" / "_commits" / f"{3:020d}.json").write_text(json.dumps({"version": "version-x"}))
+    log = commits._log
+    try:  # a writer that has looked at the log just before another one committed
+        seen = [log(spark, folder)[:2]]
+        commits._log = lambda *a: seen.pop() if seen else log(*a)
+        commits._switch(spark, folder, "version-y")
+    finally:
+        commits._log = log
+    assert log(spark, folder)[-1] == f"{4:020d}.json" and commits.current(spark, folder).endswith("version-y")
+
+
+def test_published_folders(spark, tmp_path):
+    folder = str(tmp_path / "run")
+    for text in ("one", "two"):
+        with commits.publishing(spark, folder) as path:
+            spark.createDataFrame([(text,)], "value string").write.text(f"{path}/t")
+            assert not os.path.exists(f"{folder}/t") or spark.read.text(f"{folder}/t").first().value == "one"
+        assert spark.read.text(f"{folder}/t").first().value == text
+    with pytest.raises(ValueError), commits.publishing(spark, folder):
+        raise ValueError("no")
+    assert spark.read.text(f"{folder}/t").first().value == "two" and os.listdir(tmp_path) == ["run"]
+
+
+def test_golden_splits_do_not_depend_on_files(spark, tmp_path):
+    rows = _example(spark, *[str(k % 30) for k in range(60)]).drop("split")
+    found = []
+    for k, parts in enumerate((1, 5)):
+        rows.repartition(parts).write.json(str(tmp_path / str(k) / "golden.jsonl"))
+        found.append(sorted((r.task_input, r.split) for r in datasets.load_golden(spark, str(tmp_path / str(k))).collect()))
+    assert found[0] == found[1] and [sum(s == x for _, s in found[0]) for x in datasets.SPLITS] == [30, 15, 15]
