@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.functions.jsonx import extract_array, extract_object
 from skein.operators import candidates, gates, pairing, rendering, scoring, splits
+from skein.operators.ordering import with_ordinals
 from skein.plans import answers, flows, generate, judge
 from skein.shared import fresh_path
 from skein.sources import datasets, sessions, skills, source_code
@@ -186,6 +187,75 @@ def s4_sessions(spark, sf_dir):
     return sessions.as_messages(sessions.parse_sessions(_session_files(spark, sf_dir))).select("source", "task_input", "assistant_response", "session_id")
 
 
+def _written_files(files: DataFrame, key: str, name: str) -> str:
+    """A folder with a folder <key>=<value> for each row, which holds its column value as one file."""
+    path = fresh_path(files.sparkSession, name)
+    files.select(key, "value").write.partitionBy(key).option("lineSep", "\n").text(path)
+    return path
+
+
+@query(f"""
+    SELECT 'history' AS source, text AS task_input, '' AS project, conv_id::VARCHAR AS session_id, turn AS timestamp
+    FROM conversations WHERE role = 'user' AND length(text) >= 10 AND NOT regexp_matches(text, {SECRET_SQL})
+""")
+def s1_read_history(spark, sf_dir):
+    """S1 from a file."""
+    path = fresh_path(spark, "history")
+    _history_lines(spark, sf_dir).write.text(path)
+    return sessions.read_history(spark, path).select("source", "task_input", "project", "session_id", "timestamp")
+
+
+_EVENTS_SQL = f"""
+    {_SEGMENTS_SQL}
+    a AS (SELECT conv_id, seg, string_agg(text, chr(10) ORDER BY turn) AS t FROM s WHERE role = 'assistant' AND length(text) > 0 GROUP BY conv_id, seg),
+    w2 AS (
+        SELECT 'session_id=' || u.conv_id AS session_id, u.turn, u.text AS task_input, a.t AS assistant_response FROM u JOIN a ON u.conv_id = a.conv_id AND u.seg = a.seg
+        WHERE length(u.text) > 0 AND NOT regexp_matches(u.text, {SECRET_SQL}) AND NOT regexp_matches(a.t, {SECRET_SQL})
+    )
+"""
+
+
+@query(f"WITH {_EVENTS_SQL} SELECT session_id, task_input, assistant_response FROM w2")
+def s2_read_events(spark, sf_dir):
+    """S2 from files, a folder for each session."""
+    folder = _written_files(_event_files(spark, sf_dir), "session_id", "events")
+    return sessions.read_events(spark, folder, name="part-*").select("session_id", "task_input", "assistant_response")
+
+
+@query(f"WITH {_EVENTS_SQL} SELECT session_id, task_input, assistant_response FROM w2 ORDER BY session_id, turn LIMIT 40")
+def s2_read_limited(spark, sf_dir):
+    """S2 from files with a limit: the first sessions' files are read until there are enough messages."""
+    folder = _written_files(_event_files(spark, sf_dir), "session_id", "events")
+    return sessions.read_events(spark, folder, limit=40, name="part-*").select("session_id", "task_input", "assistant_response")
+
+
+@query(f"WITH {_W1_SQL} SELECT 'sessions' AS source, task_input, assistant_response, conv_id::VARCHAR AS session_id FROM w1")
+def s4_read_sessions(spark, sf_dir):
+    """S4 from files."""
+    files = _session_files(spark, sf_dir).select(F.regexp_extract("file", "([0-9]+).json", 1).alias("conv"), "value")
+    whole = files.withColumn("value", F.concat(F.lit('{"session_id": "'), "conv", F.lit('", '), F.substr("value", F.lit(2))))
+    return sessions.read_sessions(spark, _written_files(whole, "conv", "sessions"), name="*/part-*").select("source", "task_input", "assistant_response", "session_id")
+
+
+@query(f"WITH {_W1_SQL} SELECT conv_id::VARCHAR AS session_id, task_input, row_number() OVER (ORDER BY conv_id DESC, turn) - 1 AS ord FROM w1")
+def o1_sessions_by_time(spark, sf_dir):
+    """O1: messages of session files, the newest file's first, with their place in that order."""
+    found = with_ordinals(sessions.parse_sessions(_session_files(spark, sf_dir)), "-mtime", "file", "turn")
+    return found.select("session_id", "task_input", "ord")
+
+
+@query("SELECT source, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS ord FROM documents GROUP BY source")
+def o1_source_counts(spark, sf_dir):
+    """O1: sources by name, with their place."""
+    return with_ordinals(scoring.source_counts(_table(spark, sf_dir, "documents")), "source")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY source NULLS LAST, n_chars DESC NULLS LAST, doc_id) - 1 AS ord FROM documents")
+def o1_documents(spark, sf_dir):
+    """O1: a gapless order of all rows by three keys, of which one is the same for a third of them."""
+    return with_ordinals(_table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", "-n_chars", "doc_id").select("doc_id", "ord")
+
+
 @query("""
     SELECT item_id, trim(text) AS name, 'about ' || item_id AS description, 'Body ' || item_id AS body FROM benchmark
 """)

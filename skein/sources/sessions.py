@@ -1,19 +1,24 @@
 """Session logs as tables of messages (schemas.MESSAGE): history lines, event streams, session files.
 
 Logs are read by Spark's readers only, so they may lie in any store that Spark reaches. Order inside a file matters for
-pairing and Spark numbers no lines, so event and session files are read whole and exploded with their line's position.
+pairing and Spark numbers no lines, so event and session files are read whole and exploded with their line's position. With a
+limit, files are listed first and read in order, some at a time, until there are enough messages; the rest are never opened.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import contains_secret, is_blank, long_enough
+from skein.operators.ordering import with_ordinals
 from skein.operators.pairing import pair_first_response, segments
 from skein.schemas import MESSAGE
+from skein.shared import written
 
 
 def missing(spark: SparkSession, path: str) -> bool:
@@ -42,11 +47,49 @@ def _is_object(raw: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(raw)).startswith("OBJECT"), F.lit(False))
 
 
+#: Most files that are read at a time under a limit: their names pass through the driver.
+MOST_FILES = 10_000
+
+
+def listed(spark: SparkSession, pattern: str) -> DataFrame:
+    """file (a URI), mtime of the files at a pattern. They are listed, not opened."""
+    files = spark.read.format("binaryFile").load(pattern)
+    return files.select(F.col("path").alias("file"), F.col("modificationTime").alias("mtime"))
+
+
+def whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, mtime, value of files or patterns, each file's text in one row."""
+    texts = spark.read.text(paths, wholetext=True)
+    return texts.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
+
+
+def read_until(spark: SparkSession, pattern: str, parse: Callable[[DataFrame], DataFrame], limit: int, *order: str, first: int | None = None) -> DataFrame:
+    """Messages (parse of whole_files) of the files at a pattern, file by file in the order of `order` (columns of listed(), `-`
+    before those that fall), from as many files as hold `limit` messages or a few more.
+
+    `first` files (one for each core unless given) are read, then as many as should hold what is missing by the messages a
+    file so far, at most twice as many as before. Each lot is read once and written, and only counts and a lot's file names
+    come to the driver.
+    """
+    files = with_ordinals(listed(spark, pattern), *order)
+    n, done, found, parts = files.count(), 0, 0, []
+    size = first or spark.sparkContext.defaultParallelism
+    while not parts or (found < limit and done < n):
+        lot = files.where((F.col("ord") >= done) & (F.col("ord") < done + size))
+        paths = [re.sub(r"([\\[\]{}*?])", r"\\\1", r.file) for r in lot.select("file").collect()]
+        parts.append(written(parse(whole_files(spark, paths)), "messages"))
+        done, found = done + size, found + parts[-1].count()
+        hoped = -(-(limit - found) * done // found) if found else 2 * done
+        size = max(1, min(hoped, 2 * done, MOST_FILES))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def read_history(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     """Messages of a JSON-lines history: display, timestamp, project, sessionId.
 
     Blank and malformed lines, texts under 10 characters and texts with secrets are skipped; missing fields are `` or 0.
-    limit counts what is left (0: all). A missing file gives no messages.
+    limit counts what is left (0: all); each task stops reading its part of the file when it has so many. A missing file gives
+    no messages.
     """
     if missing(spark, path):
         return no_messages(spark)
@@ -68,9 +111,12 @@ def read_workspaces(spark: SparkSession, folder: str) -> DataFrame:
     """session_id, project: what follows `cwd:` in the first such line of each session's workspace.yaml, `` if there is none."""
     path = f"{folder}/*/workspace.yaml"
     if missing(spark, path):
-        return spark.createDataFrame([], "session_id string, project string")
-    files = spark.read.text(path, wholetext=True).select(_parent(F.col("_metadata.file_path")).alias("session_id"), "value")
-    return parse_workspaces(files)
+        return no_projects(spark)
+    return parse_workspaces(_by_folder(whole_files(spark, [path])))
+
+
+def _by_folder(files: DataFrame) -> DataFrame:
+    return files.select(_parent(F.col("file")).alias("session_id"), "value")
 
 
 def parse_workspaces(files: DataFrame) -> DataFrame:
@@ -82,18 +128,25 @@ def _parent(path: Column) -> Column:
     return F.url_decode(F.regexp_extract(path, "([^/]*)/[^/]*$", 1))
 
 
-def read_events(spark: SparkSession, folder: str, limit: int = 0) -> DataFrame:
-    """Messages of event streams, one events.jsonl a session folder, with all of the assistant's answers.
+def read_events(spark: SparkSession, folder: str, limit: int = 0, name: str = "events.jsonl") -> DataFrame:
+    """Messages of event streams, one file of that name a session folder, with all of the assistant's answers.
 
     Lines that are no JSON are skipped; a file ends at its first event that cannot be used, and keeps the messages before it
     (see parse_events). The project comes from the session's workspace. Order in the file is kept, messages come by session
-    and place. limit cuts the whole (0: all).
+    and place. limit (0: all) cuts the whole; files are read in order until there are so many messages.
     """
-    path = f"{folder}/*/events.jsonl"
+    path = f"{folder}/*/{name}"
     if missing(spark, path):
         return no_messages(spark)
-    files = spark.read.text(path, wholetext=True).select(_parent(F.col("_metadata.file_path")).alias("session_id"), "value")
-    return limited(parse_events(files, read_workspaces(spark, folder)), limit, "session_id", "turn")
+    spaces = read_workspaces(spark, folder)
+    if not limit:
+        return as_messages(parse_events(_by_folder(whole_files(spark, [path])), spaces))
+    some = read_until(spark, path, lambda files: parse_events(_by_folder(files), no_projects(spark)).drop("project"), limit, "file")
+    return limited(with_projects(some.orderBy("session_id", "turn").limit(limit), spaces), limit, "session_id", "turn")
+
+
+def no_projects(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "session_id string, project string")
 
 
 def _content_kind(raw: Column) -> Column:
@@ -166,17 +219,18 @@ def limited(messages: DataFrame, limit: int, *order: str | Column) -> DataFrame:
     return as_messages(messages.orderBy(*order).limit(limit) if limit else messages)
 
 
-def read_sessions(spark: SparkSession, folder: str, limit: int = 0) -> DataFrame:
+def read_sessions(spark: SparkSession, folder: str, limit: int = 0, name: str = "*.json") -> DataFrame:
     """Messages of session files (session_id, messages), newest file first, each with the assistant's first answer.
 
     Malformed files and those without messages are skipped; a missing session_id is the file's name. A content that is no
-    string counts as empty. limit cuts the whole in order (0: all).
+    string counts as empty. limit (0: all) cuts the whole in order; files are read newest first until there are so many messages.
     """
-    path = f"{folder}/*.json"
+    path = f"{folder}/{name}"
     if missing(spark, path):
         return no_messages(spark)
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
-    return limited(parse_sessions(files), limit, F.desc("mtime"), "file", "turn")
+    if not limit:
+        return as_messages(parse_sessions(whole_files(spark, [path])))
+    return limited(read_until(spark, path, parse_sessions, limit, "-mtime", "file"), limit, F.desc("mtime"), "file", "turn")
 
 
 def parse_sessions(files: DataFrame) -> DataFrame:

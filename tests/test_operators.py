@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.operators import candidates, gates, pairing, rendering, scoring, splits
+from skein.operators.ordering import with_ordinals
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -110,3 +111,17 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], TURNS)
     assert pairing.pair_first_response(empty).count() == 0 and pairing.pair_all_responses(empty).count() == 0
     assert scoring.regression_verdict(scoring.compare_rates(spark.createDataFrame([], "tool string, rate double"), spark.createDataFrame([], "tool string, rate double"))).first().passed
+
+
+def test_ordinals(spark):
+    """Gapless, by the keys, whatever the ranges; rows of one key keep the input's order and are dealt to all ranges."""
+    rows = [(k % 5 if k % 7 else None, "x" if k % 3 else "y", k) for k in range(500)]
+    df = spark.createDataFrame(rows, "a int, b string, k int").repartition(3)
+    for parts in (1, 4, 40):
+        got = with_ordinals(df, "-a", "b", "k", name="place", first=1, parts=parts).collect()
+        want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1], r[2]))
+        assert [tuple(r[:3]) for r in sorted(got, key=lambda r: r.place)] == want and sorted(r.place for r in got) == list(range(1, 501))
+    one = with_ordinals(spark.range(10_000).select(F.lit(1).alias("same"), "id", F.lit("_tie").alias("_tie"), F.lit("_at").alias("_at")), "same", parts=8)
+    assert one.columns == ["same", "id", "_tie", "_at", "ord"] and all(r.id == r.ord for r in one.collect())
+    sizes = [r["count"] for r in one.select(F.floor(F.col("ord") / 1250).alias("eighth")).groupBy("eighth").count().collect()]
+    assert sizes == [1250] * 8 and with_ordinals(df.limit(0), "a").count() == 0

@@ -305,3 +305,32 @@ def test_golden_splits_do_not_depend_on_files(spark, tmp_path):
         rows.repartition(parts).write.json(str(tmp_path / str(k) / "golden.jsonl"))
         found.append(sorted((r.task_input, r.split) for r in datasets.load_golden(spark, str(tmp_path / str(k))).collect()))
     assert found[0] == found[1] and [sum(s == x for _, s in found[0]) for x in datasets.SPLITS] == [30, 15, 15]
+
+
+def test_limits_stop_reading(spark, tmp_path, monkeypatch):
+    """Of 60 files in order, those are opened that hold the messages asked for, and not many more."""
+    turn = lambda k, i: [{"role": "user", "content": f"question {k} number {i}"}, {"role": "assistant", "content": f"answer {k}"}]
+    for k in range(60):
+        (tmp_path / "s").mkdir(exist_ok=True)
+        (tmp_path / "s" / f"a[{k}] *{{x}}.json").write_text(json.dumps({"messages": [m for i in range(k % 3) for m in turn(k, i)]}) if k % 10 else "{bad")
+        os.utime(tmp_path / "s" / f"a[{k}] *{{x}}.json", (1000 + k // 2, 1000 + k // 2))
+        _events(tmp_path / "e" / f"s {k:02d}", *[{"type": f"{m['role']}.message", "data": {"content": m["content"]}} for i in range(k % 3) for m in turn(k, i)])
+    opened, plain = [], sessions.whole_files
+
+    def counting(session, paths):
+        out = plain(session, paths)
+        if "workspace" not in paths[0]:
+            opened.append(len(paths))
+        return out
+
+    every = {name: read(spark, str(tmp_path / name[0])).count() for name, read in (("sessions", sessions.read_sessions), ("events", sessions.read_events))}
+    monkeypatch.setattr(sessions, "whole_files", counting)
+    for name, read, order in (("s", sessions.read_sessions, list(range(59, -1, -1))), ("e", sessions.read_events, [k for k in range(60) if k % 3])):  # Spark lists no empty files
+        order.sort(key=lambda k: (-(k // 2), f"a[{k}]")) if name == "s" else None
+        want = [f"question {k} number {i}" for k in order for i in range(k % 3) if k % 10 or name == "e"]
+        for limit in (1, 3, 7, 20, 500):
+            opened.clear()
+            assert [r.task_input for r in read(spark, str(tmp_path / name), limit=limit).collect()] == want[:limit]
+            need = next((n for n in range(1, 61) if len([q for q in want if int(q.split()[1]) in order[:n]]) >= limit), len(order))
+            assert need <= sum(opened) <= max(spark.sparkContext.defaultParallelism, 3 * need)
+    assert every["events"] == len([q for k in range(60) for q in range(k % 3)])
