@@ -22,16 +22,35 @@ def render_tools(tools: DataFrame, *by: str) -> DataFrame:
     return tools.withColumn("_line", line).groupBy(*by).agg(_joined("ord", "_line", "\n").alias("summaries"), _joined("ord", "tool", ", ").alias("names"))
 
 
-def frozen_context(sections: DataFrame, *by: str) -> DataFrame:
-    """For each section as the active one: by, active, context with all others as `[id]: text`, blank line between, in order.
+def prompt_spans(sections: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """(by, _prompt) and (by, active, _first, _size): each prompt once, all sections as `[id]: text` with a blank line between, and
+    where each one stands in it with the blank line that goes when it is cut out (first counts from 1).
 
-    The sections of a prompt are gathered once (by prompt: some dozens) and each one's context is cut out of the list.
+    The sections of a prompt are gathered once (by prompt: some dozens); what is shuffled grows with the sections' text.
     """
     line = F.concat(F.lit("["), F.col("section_id"), F.lit("]: "), F.col("text"))
     parts = sections.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("ord", "section_id", line.alias("line")))).alias("_all"))
-    each = parts.select(*by, F.explode("_all").alias("_active"), "_all")
-    rest = F.filter("_all", lambda x: x["section_id"] != F.col("_active.section_id"))
-    return each.select(*by, F.col("_active.section_id").alias("active"), F.array_join(F.transform(rest, lambda x: x["line"]), "\n\n").alias("context"))
+    prompts = parts.select(*by, F.array_join(F.transform("_all", lambda x: x["line"]), "\n\n").alias("_prompt"))
+    sizes = F.transform("_all", lambda x: F.struct(x["section_id"].alias("id"), (F.length(x["line"]) + 2).alias("size")))
+    before = lambda k: F.aggregate(F.slice(F.col("_sizes"), F.lit(1), k), F.lit(0), lambda sum_, x: sum_ + x["size"])
+    each = parts.select(*by, sizes.alias("_sizes")).select(*by, F.posexplode(F.transform("_sizes", lambda x, k: F.struct(x["id"].alias("active"), (before(k) + 1).alias("_first"), x["size"].alias("_size")))))
+    return prompts, each.select(*by, "col.*")
+
+
+def without_span(prompt: Column, first: Column, size: Column) -> Column:
+    """A prompt with a span cut out: for a section of prompt_spans(), its frozen context."""
+    rest = F.concat(F.substr(prompt, F.lit(1), first - 1), F.substr(prompt, first + size))
+    return F.when(first + size > F.length(prompt) + 1, F.substr(prompt, F.lit(1), F.greatest(first - 3, F.lit(0)))).otherwise(rest)
+
+
+def frozen_context(sections: DataFrame, *by: str) -> DataFrame:
+    """For each section as the active one: by, active, context with all others as `[id]: text`, blank line between, in order.
+
+    A section's context is cut out of the prompt where it is needed (prompt_spans): contexts are made after the last shuffle.
+    """
+    prompts, spans = prompt_spans(sections, *by)
+    both = spans.join(prompts, list(by)) if by else spans.join(F.broadcast(prompts))  # one prompt
+    return both.select(*by, "active", without_span(F.col("_prompt"), F.col("_first"), F.col("_size")).alias("context"))
 
 
 def unified_diff(original: str | None, evolved: str | None, name: str) -> str:

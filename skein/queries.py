@@ -665,6 +665,41 @@ def sp1_split_members(spark, sf_dir):
     return splits.split_members(_table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
+@query("""
+    WITH RECURSIVE g AS (
+        SELECT CASE WHEN text IS NULL THEN '' ELSE sha256(text) END AS key, count(*) AS size FROM documents GROUP BY 1
+    ), o AS (
+        SELECT *, row_number() OVER (ORDER BY size DESC, md5(key || '42'), key) - 1 AS place FROM g
+    ), c AS (
+        SELECT size, count(*) AS m, row_number() OVER (ORDER BY size DESC) AS k, min(place) AS at FROM o GROUP BY size
+    ), n AS (
+        SELECT sum(size * m)::BIGINT AS n FROM c
+    ), t AS (
+        SELECT greatest(1, n // 2) AS a, greatest(1, n // 4) AS b, n FROM n
+    ), s AS (
+        SELECT 0::BIGINT AS k, 0::BIGINT AS ta, 0::BIGINT AS tb, 0::BIGINT AS tc, a AS la, b AS lb, n - a - b AS lc FROM t
+        UNION ALL
+        SELECT k, ta, tb, tc, la - size * (ta - fa), lb - size * (tb - fb), lc - size * (tc - fc) FROM (
+            SELECT *, fa + (e1 = 'a')::INT + (e2 = 'a')::INT AS ta, fb + (e1 = 'b')::INT + (e2 = 'b')::INT AS tb, fc + (e1 = 'c')::INT + (e2 = 'c')::INT AS tc FROM (
+                SELECT *, CASE WHEN m - fa - fb - fc < 2 THEN '' WHEN la - size * (e1 = 'a')::INT >= greatest(lb - size * (e1 = 'b')::INT, lc - size * (e1 = 'c')::INT) THEN 'a' WHEN lb - size * (e1 = 'b')::INT >= lc - size * (e1 = 'c')::INT THEN 'b' ELSE 'c' END AS e2 FROM (
+                    SELECT *, CASE WHEN m - fa - fb - fc < 1 THEN '' WHEN la >= greatest(lb, lc) THEN 'a' WHEN lb >= lc THEN 'b' ELSE 'c' END AS e1 FROM (
+                        SELECT k, size, m, fa, fb, fc, la - size * fa AS la, lb - size * fb AS lb, lc - size * fc AS lc FROM (
+                            SELECT c.k, size, m, la, lb, lc, coalesce(m * greatest(la, 0) // nullif(r, 0), 0) AS fa, coalesce(m * greatest(lb, 0) // nullif(r, 0), 0) AS fb, coalesce(m * greatest(lc, 0) // nullif(r, 0), 0) AS fc
+                            FROM (SELECT *, greatest(la, 0) + greatest(lb, 0) + greatest(lc, 0) AS r FROM s) s JOIN c ON c.k = s.k + 1
+                        )
+                    )
+                )
+            )
+        )
+    )
+    SELECT d.doc_id, CASE WHEN o.place - c.at < s.ta THEN 'train' WHEN o.place - c.at < s.ta + s.tb THEN 'val' ELSE 'holdout' END AS split
+    FROM documents d JOIN o ON o.key = CASE WHEN d.text IS NULL THEN '' ELSE sha256(d.text) END JOIN c ON c.size = o.size JOIN s ON s.k = c.k
+""")
+def sp1_split_groups(spark, sf_dir):
+    """SP1 on groups: documents of equal text lie in one split."""
+    return splits.split_groups(_table(spark, sf_dir, "documents"), F.col("text")).select("doc_id", "split")
+
+
 @query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'train' WHEN quality = 0 THEN 'val' ELSE 'holdout' END AS split FROM labels")
 def u1_union_splits(spark, sf_dir):
     rows = _table(spark, sf_dir, "labels")

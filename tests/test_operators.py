@@ -1,5 +1,8 @@
 """Relational operators on small tables."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +128,37 @@ def test_ordinals(spark):
     assert one.columns == ["same", "id", "_tie", "_at", "ord"] and all(r.id == r.ord for r in one.collect())
     sizes = [r["count"] for r in one.select(F.floor(F.col("ord") / 1250).alias("eighth")).groupBy("eighth").count().collect()]
     assert sizes == [1250] * 8 and with_ordinals(df.limit(0), "a").count() == 0
+
+
+def test_planned_classes():
+    rng = random.Random(2)
+    for _ in range(400):
+        sizes = Counter(rng.choice((1, 1, 1, 2, 3, 8, 40)) for _ in range(rng.randrange(1, 60)))
+        total = sum(s * n for s, n in sizes.items())
+        targets = [max(1, total // 2), max(1, total // 4)]
+        targets.append(total - sum(targets))
+        takes = splits.planned_classes(list(sizes.items()), targets)
+        order = sorted(sizes, reverse=True)
+        assert [sum(t) for t in takes] == [sizes[s] for s in order]
+        got = [sum(s * t[k] for s, t in zip(order, takes)) for k in range(3)]
+        assert all(g - t <= max(order) for g, t in zip(got, targets))
+        if sizes[1] >= sum(s for s in order if s > 1) * 3 + 3:  # enough single rows to close all gaps
+            assert got == targets
+
+
+def test_groups_stay_together(spark):
+    texts = ["hot"] * 40 + [None] * 5 + [f"pair {k // 2}" for k in range(20)] + [f"one {k}" for k in range(60)]
+    rows = spark.createDataFrame([(k, t, "x", "y") for k, t in enumerate(texts)], "id int, text string, _key string, split_ string").repartition(5)
+    got = splits.split_groups(rows, F.col("text"))
+    assert got.columns == [*rows.columns, "split"]
+    found = got.collect()
+    assert Counter(r.split for r in found) == {"train": 62, "val": 31, "holdout": 32} and len({(r.text, r.split) for r in found}) == len(set(texts))
+    assert {(r.id, r.split) for r in splits.split_groups(rows.orderBy("text"), F.col("text")).collect()} == {(r.id, r.split) for r in found}
+    assert splits.split_groups(rows.limit(0), F.col("text")).count() == 0 and splits.split_groups(rows.limit(1), F.col("text")).first().split == "train"
+
+
+def test_spans_cut_contexts(spark):
+    rows = [(p, k, f"s{k}", "😀 text " * (k % 3)) for p in range(4) for k in range(p)]
+    s = spark.createDataFrame(rows, "p int, ord int, section_id string, text string")
+    want = {(p, i): "\n\n".join(f"[{j}]: {u}" for q, _, j, u in rows if q == p and j != i) for p, _, i, _ in rows}
+    assert {(r.p, r.active): r.context for r in rendering.frozen_context(s, "p").collect()} == want
