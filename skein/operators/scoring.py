@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skein.functions.text import exact_match, strip
+from skein.shared import unused
 
 #: The drop in a rate that still passes, and the examples that a tool needs.
 THRESHOLD, MIN_EXAMPLES = 0.02, 3
@@ -69,6 +73,53 @@ def regression_verdict(rates: DataFrame, threshold: float = THRESHOLD) -> DataFr
     return out.select((F.size("_bad") == 0).alias("passed"), "n_tools", F.array_join("_bad", ",").alias("regressed_tools"), text.alias("message"))
 
 
+#: Resamples, the share of them between the ends of an interval, and the values of a 32-bit number from which on a Poisson(1)
+#: weight is 1, 2, 3... (its distribution function in steps of 2**-32).
+REPLICATES, LEVEL = 200, 0.95
+_STEPS = [int(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) * 2**32) for n in range(10)]
+
+
+def resample_weights(df: DataFrame, key: str, replicates: int = REPLICATES, seed: str = "42") -> DataFrame:
+    """df's rows, each `replicates` times, with columns replicate (from 0) and weight: how often the row is in that resample.
+
+    Weights are Poisson(1) by a hash of key, seed and replicate, as of a bootstrap of very many rows: no row has to know of any
+    other, and a row has the same weights wherever it is read. A null key counts as empty.
+    """
+    group, digest, part = unused(df, "_group", "_digest", "_part")
+    each = df.withColumn(group, F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 4) - 1))))
+    text = F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}:"), F.col(group).cast("string"))
+    four = each.withColumn(digest, F.md5(text.cast("binary"))).withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(3))))
+    value = F.conv(F.substr(digest, F.col(part) * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    weight = functools.reduce(Column.__add__, [(value >= F.lit(t)).cast("int") for t in _STEPS])
+    out = four.withColumns({"replicate": F.col(group) * 4 + F.col(part), "weight": weight}).drop(group, digest, part)
+    return out.where(F.col("replicate") < replicates)
+
+
+def rate_intervals(paired: DataFrame, key: str, correct: str = "correct_tool", baseline: str = "baseline_tool", evolved: str = "evolved_tool", replicates: int = REPLICATES, level: float = LEVEL, seed: str = "42") -> DataFrame:
+    """tool, n, delta, low, high: the drop in each tool's rate from baseline to evolved answers to the same examples, and the
+    interval that `level` of its paired bootstrap resamples lie in (interpolated quantiles, rounded to 10 places).
+
+    Both answers of an example have its weight, so what they share cancels out. Rows meet as sums of weights by tool and
+    replicate, combined before they are shuffled. A tool without rows in a resample has no difference there.
+    """
+    hit = lambda c: exact_match(F.col(correct), F.col(c)).cast("long")
+    rows = paired.select(F.col(key).alias("key"), F.col(correct).alias("tool"), (hit(baseline) - hit(evolved)).alias("lost"))
+    drawn = resample_weights(rows, "key", replicates, seed).groupBy("tool", "replicate").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("lost")).alias("lost")).where("n > 0")
+    tail = (1 - level) / 2
+    ends = drawn.groupBy("tool").agg(F.percentile(F.col("lost") / F.col("n"), F.array(F.lit(tail), F.lit(1 - tail))).alias("ends"))
+    point = rows.groupBy("tool").agg(F.count("*").alias("n"), F.round(F.avg("lost"), 10).alias("delta"))
+    a, b = point.alias("a"), ends.alias("b")
+    bound = lambda k: F.round(F.get("b.ends", F.lit(k)), 10)
+    return a.join(b, F.col("a.tool").eqNullSafe(F.col("b.tool")), "left").select("a.tool", "a.n", "a.delta", bound(0).alias("low"), bound(1).alias("high"))
+
+
+def regression_report(intervals: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """intervals (rate_intervals) with regressed, the gate's verdict on the difference itself, and certain: whether the whole
+    interval is on the verdict's side of the threshold."""
+    bad = F.col("delta") > F.lit(threshold)
+    return intervals.withColumns({"regressed": bad, "certain": F.when(bad, F.col("low") > F.lit(threshold)).otherwise(F.col("high") <= F.lit(threshold))})
+
+
 def coverage(tools: DataFrame, examples: DataFrame, least: int = MIN_EXAMPLES) -> DataFrame:
     """ord, tool, n of the tools with fewer than `least` examples, none included, in the list's order."""
     n = examples.groupBy(F.col("correct_tool").alias("tool")).agg(F.count("*").alias("n"))

@@ -606,6 +606,29 @@ def a8_regression(spark, sf_dir):
     return scoring.regression_verdict(_rates(spark, sf_dir)).select("passed", "n_tools", "regressed_tools")
 
 
+@query(f"""
+    WITH {_PREDICTIONS_SQL}, h AS (
+        SELECT event_id, correct_tool AS tool, ({_MATCH_SQL})::BIGINT - CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 10 = 1 THEN 0 ELSE ({_MATCH_SQL})::BIGINT END AS lost FROM p
+    ), w AS (
+        SELECT tool, lost, g * 4 + k AS replicate, ('0x' || substr(md5(event_id || ':42:' || g), k * 8 + 1, 8))::BIGINT AS v FROM h, range(50) r(g), range(4) q(k)
+    ), x AS (
+        SELECT tool, replicate, lost, {' + '.join(f'(v >= {t})::INT' for t in scoring._STEPS)} AS weight FROM w
+    ), d AS (
+        SELECT tool, replicate, sum(weight * lost) / sum(weight)::DOUBLE AS delta FROM x GROUP BY ALL HAVING sum(weight) > 0
+    ), i AS (
+        SELECT tool, round(quantile_cont(delta, 0.025e0), 10) AS low, round(quantile_cont(delta, 0.975e0), 10) AS high FROM d GROUP BY tool
+    ), o AS (
+        SELECT tool, count(*) AS n, round(avg(lost), 10) AS delta FROM h GROUP BY tool
+    )
+    SELECT o.tool, n, delta, low, high, delta > 0.02e0 AS regressed, CASE WHEN delta > 0.02e0 THEN low > 0.02e0 ELSE high <= 0.02e0 END AS certain FROM o JOIN i ON o.tool = i.tool
+""")
+def a8_intervals(spark, sf_dir):
+    """A1 and A8 with intervals: paired bootstrap of each tool's drop in rate."""
+    evolved = F.when(F.col("event_id") % 3 == 0, F.col("correct_tool")).when(F.col("event_id") % 10 == 1, F.lit("none")).otherwise(F.col("selected_tool"))
+    paired = _predictions(spark, sf_dir).withColumn("evolved_tool", evolved).withColumnRenamed("selected_tool", "baseline_tool")
+    return scoring.regression_report(scoring.rate_intervals(paired, "event_id"))
+
+
 @query("SELECT count(*) FILTER (WHERE toxic = 1) AS errors, (count(*) FILTER (WHERE toxic = 1))::DOUBLE / 1000 AS rate FROM labels")
 def a9_error_rate(spark, sf_dir):
     return scoring.error_rate(_table(spark, sf_dir, "labels").select((F.col("toxic") == 1).alias("failed")), F.lit(1000))

@@ -1,11 +1,15 @@
 """Relational operators on small tables."""
 
+import hashlib
+import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skein.functions.text import exact_match
 from skein.operators import candidates, gates, pairing, rendering, scoring, splits
 from skein.operators.ordering import with_ordinals
 
@@ -162,3 +166,42 @@ def test_spans_cut_contexts(spark):
     s = spark.createDataFrame(rows, "p int, ord int, section_id string, text string")
     want = {(p, i): "\n\n".join(f"[{j}]: {u}" for q, _, j, u in rows if q == p and j != i) for p, _, i, _ in rows}
     assert {(r.p, r.active): r.context for r in rendering.frozen_context(s, "p").collect()} == want
+
+
+def brute_weights(key, replicates, seed="42"):
+    """Poisson(1) by the inverse of its distribution function."""
+    out = []
+    for r in range(replicates):
+        u, k, p = int(hashlib.md5(f"{key}:{seed}:{r // 4}".encode()).hexdigest()[r % 4 * 8 :][:8], 16) / 2**32, 0, math.exp(-1)
+        total = p
+        while u >= total and k < 10:
+            k += 1
+            p /= k
+            total += p
+        out.append(k)
+    return out
+
+
+def test_rate_intervals_match_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.choice(["a", "b", "a", None]), rng.choice(["a", "b"]), rng.choice(["a", "b", None])) for k in range(300)] + [(300, "rare", "rare", "x")]
+    paired = spark.createDataFrame(rows, "id long, correct_tool string, baseline_tool string, evolved_tool string").repartition(5)
+    got = {r.tool: r for r in scoring.regression_report(scoring.rate_intervals(paired, "id", replicates=50)).collect()}
+    norm = lambda x: (x or "").strip().lower()
+    hit = {k: (norm(c) == norm(b)) - (norm(c) == norm(e)) for k, c, b, e in rows}
+    exact = {r.k: r.lost for r in paired.select(F.col("id").alias("k"), (exact_match(F.col("correct_tool"), F.col("baseline_tool")).cast("long") - exact_match(F.col("correct_tool"), F.col("evolved_tool")).cast("long")).alias("lost")).collect()}
+    assert exact == hit
+    weights = {k: brute_weights(k, 50) for k, *_ in rows}
+    for tool in {c for _, c, *_ in rows}:
+        own = [k for k, c, *_ in rows if c == tool]
+        deltas = []
+        for r in range(50):
+            n = sum(weights[k][r] for k in own)
+            if n:
+                deltas.append(sum(weights[k][r] * hit[k] for k in own) / n)
+        low, high = np.quantile(deltas, [0.025, 0.975])
+        r = got[tool]
+        assert (r.n, r.delta, r.low, r.high) == (len(own), pytest.approx(sum(hit[k] for k in own) / len(own)), pytest.approx(low), pytest.approx(high))
+        assert r.regressed == (r.delta > 0.02) and r.certain == ((r.low > 0.02) if r.regressed else (r.high <= 0.02))
+    every = [w for k in range(4000) for w in brute_weights(k, 4)]
+    assert abs(sum(every) / len(every) - 1) < 0.03 and scoring.rate_intervals(paired.limit(0), "id").count() == 0
