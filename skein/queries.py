@@ -22,6 +22,7 @@ from skein.shared import fresh_path
 from skein.sources import datasets, sessions, skills, source_code
 from skein.sources.sessions import parse_history
 from skein.sources.skills import parse_skill
+from skein.streaming.pairs import pair_events, state_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -83,6 +84,35 @@ def w2_pair_concat(spark, sf_dir):
     return pairing.pair_all_responses(_table(spark, sf_dir, "conversations"))
 
 
+def _replayed(spark: SparkSession, sf_dir: str, every: bool) -> DataFrame:
+    """The conversations as a stream: written in lots of three turns, a minute a turn, and read as they were written."""
+    turns = _table(spark, sf_dir, "conversations").withColumn("ts", F.timestamp_seconds(86_400 + F.col("turn") * 60))  # Spark takes the time 0 for late
+    folder, out = fresh_path(spark, "turns"), fresh_path(spark, "pairs")
+    last = turns.agg(F.max("turn")).first()[0] or 0
+    for lo in range(0, last + 1, 3):
+        turns.where(F.col("turn").between(lo, lo + 2)).write.mode("append").parquet(folder)
+    for day in (1, 2):  # later turns of another conversation, by which all others are over
+        spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(day).cast("long").alias("turn"), F.lit("system").alias("role"), F.lit("").alias("text"), F.timestamp_seconds(F.lit((last + 1) * 60 + (day + 1) * 86_400)).alias("ts")).select(
+            *[F.col(f.name).cast(f.dataType) for f in turns.schema]).write.mode("append").parquet(folder)
+    stream = pair_events(spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 64).parquet(folder), every=every)
+    with state_store(spark):
+        run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query(f"WITH {_W1_SQL} SELECT * FROM w1")
+def w1_replayed_stream(spark, sf_dir):
+    """W1 by event time."""
+    return _replayed(spark, sf_dir, every=False)
+
+
+@query(ORACLE["w2_pair_concat"])
+def w2_replayed_stream(spark, sf_dir):
+    """W2 by event time."""
+    return _replayed(spark, sf_dir, every=True)
+
+
 @query(f"""
     SELECT 'history' AS source, text AS task_input, CAST(NULL AS VARCHAR) AS assistant_response, '' AS project, conv_id::VARCHAR AS session_id, turn AS timestamp
     FROM conversations WHERE role = 'user' AND length(text) >= 10 AND NOT regexp_matches(text, {SECRET_SQL})

@@ -1,5 +1,6 @@
 """Whole flows with the offline model, the judge's columns, the registered queries, and the stream."""
 
+import datetime
 import json
 import uuid
 from pathlib import Path
@@ -11,6 +12,7 @@ from skein import queries
 from skein.operators import rendering
 from skein.plans import answers, flows, generate, judge
 from skein.streaming.events import pair_stream
+from skein.streaming.pairs import pair_events, state_store
 
 
 def relevance_model(requests):
@@ -251,3 +253,34 @@ def test_saved_runs(spark, tmp_path):
     assert json.loads(text) == [{"name": "a", "text": "A\n1"}, {"name": "b", "text": "B"}] and "\n" in text.strip()
     assert next((tmp_path / "20260101_000000" / "diff").glob("part-*")).read_text().splitlines() == ["+A", "+B"]
     assert spark.read.json(f"{good}/metrics").first().status == "OK" and not spark.read.json(f"{bad}/metrics").first().constraints_passed
+
+
+def test_pairs_by_event_time(spark, tmp_path):
+    """Rows in disorder, rows that are too late, silence in event time, a conversation that goes on after it, a restart."""
+    schema = "conv_id long, turn long, role string, text string, ts timestamp"
+    at = lambda minutes: datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=minutes)
+    user, said = (lambda c, t, x, m: (c, t, "user", x, at(m))), (lambda c, t, x, m: (c, t, "assistant", x, at(m)))
+    lots = [
+        [said(1, 2, "b", 2), user(1, 0, "first question", 0), said(1, 1, "a", 1), user(2, 0, "password=hunter2", 0), said(2, 1, "no", 1)],
+        [user(1, 5, "second question", 5), said(1, 4, "d", 4), said(1, 3, None, 3), user(3, 0, "never answered", 6)],
+        [said(1, 6, "e", 6), user(4, 0, "far ahead in time", 300)],
+        [user(1, 9, "too late a question", 20), said(4, 1, "yes", 301)],
+        [user(1, 20, "after the silence", 310), said(1, 21, "f", 311), user(4, 2, "x", 312)],
+        [(9, 0, "system", "", at(5000))], [(9, 1, "system", "", at(9000))],
+    ]
+    got = {}
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    for every in (True, False):
+        source, out, state = (str(tmp_path / f"{x}{every}") for x in ("in", "out", "state"))
+        for k, lot in enumerate(lots):
+            spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(source)
+            if not every and k + 1 < len(lots):
+                continue  # one query for all lots; for W2 one for each lot, from the state that the one before has left
+            stream = pair_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), every=every)
+            with state_store(spark):
+                run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+            assert run.awaitTermination(120)
+        got[every] = sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(out).collect())
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+    assert got[True] == [(1, 0, "first question", "a\nb\nd"), (1, 5, "second question", "e"), (1, 20, "after the silence", "f"), (4, 0, "far ahead in time", "yes")]
+    assert got[False] == [(1, 0, "first question", "a"), (1, 5, "second question", "e"), (1, 20, "after the silence", "f"), (3, 0, "never answered", ""), (4, 0, "far ahead in time", "yes")]
