@@ -10,10 +10,10 @@ window to the next through a whole document and reset at the next one's start. T
 update a window) and scoring share these lanes, which take the next document whenever one ends, so a task holds the
 documents in its lanes and no others.
 
-Every token of every training document is trained on, once in a pass; a pass is cut into ROUNDS parts of the documents,
-and shards (one for each SHARD_TOKENS, at most MAX_SHARDS, beyond which they get longer) train side by side and are
-averaged after each part. Corpora of fewer than MIN_TOKENS tokens make several passes. Output biases start at the unigram
-distribution. Token counts cover all words of all training documents.
+Every token of every training document is trained on once, whatever the corpus's size: the documents are cut into ROUNDS
+parts, and in each part shards (one for each SHARD_TOKENS) train side by side and are averaged, a group of FAN at a time
+until one network is left. Output biases start at the unigram distribution. Token counts cover all words of all training
+documents.
 
 Texts are read twice: for the counts, and to code them as symbols, which training and scoring read. The DICTIONARY most
 frequent words (of at most WORD_BYTES bytes: a bounded table) are looked up on the worker; all other words are joined
@@ -40,10 +40,11 @@ HIDDEN, CLASSES, CLASS_SIZE = 24, 32, 32
 SYMBOLS = CLASSES * CLASS_SIZE
 END, OTHER, WORDS = 0, 1, SYMBOLS - 2
 WINDOW, LANES = 16, 256
-SHARD_TOKENS, MAX_SHARDS, ROUNDS, MIN_TOKENS, MAX_EPOCHS = 4_000_000, 4096, 2, 1_200_000, 24
+SHARD_TOKENS, ROUNDS, FAN = 4_000_000, 2, 64
 #: Texts of more tokens come first in a task, the longest before all: no lane is left alone with one at the end.
 LONG = 2048
-LEARNING_RATE = 1e-2
+#: The rate rises over the first WARM_UP updates of a shard, so that few tokens move the network little from the unigram distribution.
+LEARNING_RATE, WARM_UP = 1e-2, 64
 DICTIONARY, WORD_BYTES = 1 << 17, 64
 #: Rows of a task's word counts that are held before they are combined, or passed on if that leaves over half of them.
 HELD = 1_000_000
@@ -299,7 +300,7 @@ class Trainer:
         norm = math.sqrt(sum(float(np.vdot(g, g)) for g in d.values()))
         shrink = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
         self.t += 1
-        step = np.float32(self.rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
+        step = np.float32(self.rate * min(1.0, self.t / WARM_UP) * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
         for k, g in d.items():  # in place: m += 0.1 (g - m), v += 0.001 (g * g - v), p -= step * m / sqrt(v)
             m, v, room = self.m[k], self.v[k], self.room[k]
             g *= shrink
@@ -431,24 +432,34 @@ def _symbols(lexicon: Lexicon):
     return run
 
 
-def _training(start: bytes, epochs: int):
-    """One row: the tokens trained on and the network. More than one epoch is only for few tokens, which are held."""
+def _training(start: bytes):
+    """One row: the tokens trained on and the network."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (np.frombuffer(s, dtype=np.int16) for b in batches for s in b["symbols"])
-        trainer, n = Trainer(Network.unpack(start)), 0
-        if epochs == 1:
-            n = trainer.texts(rows)
-        else:
-            held = list(rows)
-            for _ in range(epochs):
-                n += trainer.texts(held)
+        trainer = Trainer(Network.unpack(start))
+        n = trainer.texts(np.frombuffer(s, dtype=np.int16) for b in batches for s in b["symbols"])
         if n:
             yield pd.DataFrame({"n": [n], "net": [trainer.net.pack()]})
 
     return run
 
 
+def _average(rows: pd.DataFrame) -> pd.DataFrame:
+    """One row of rows n, net: the networks' mean, each as often as it has tokens."""
+    rows = rows.sort_values(["n", "net"])
+    total = int(rows["n"].sum())
+    flat = sum(np.frombuffer(net, dtype=np.float32).astype(np.float64) * (n / total) for n, net in zip(rows["n"], rows["net"]))
+    return pd.DataFrame({"n": [total], "net": [flat.astype(np.float32).tobytes()]})
+
+
+def averaged(nets: DataFrame) -> bytes | None:
+    """The mean of a table of networks (n, net), merged FAN at a time on the executors; the driver sees FAN of them at most."""
+    while (count := nets.count()) > FAN:
+        group = F.pmod(F.xxhash64("n", "net"), F.lit(-(-count // FAN)))
+        nets = written(nets.withColumn("group", group).groupBy("group").applyInPandas(_average, "n long, net binary"), "lm-nets")
+    return bytes(_average(nets.toPandas())["net"][0]) if count else None
+
+
 def _long_first() -> Column:
     return F.desc(F.greatest(F.length("symbols"), F.lit(2 * LONG)))
 
@@ -456,23 +467,16 @@ def _long_first() -> Column:
 def train(coded: DataFrame, lexicon: Lexicon) -> Network:
     """coded: columns key (long: shard, part and order follow from it) and symbols of the training documents, as a table.
 
-    A shard is a partition, its network a row of a table in the shared folder; the driver reads those rows one by one.
+    A shard is a partition, its network a row of a table in the shared folder.
     """
     net = Network.start(lexicon.counts)
     size = int(coded.agg(F.sum(F.length("symbols") / 2 - 1)).first()[0] or 0)
-    if not size:
-        return net
-    epochs = int(min(MAX_EPOCHS, max(1, MIN_TOKENS // size)))
-    shards = int(min(MAX_SHARDS, max(1, size // SHARD_TOKENS)))
-    for part in range(ROUNDS) if epochs == 1 else [None]:
-        own = coded if part is None else coded.where(F.pmod(F.shiftright("key", 32), F.lit(ROUNDS)) == part)
+    shards = max(1, size // SHARD_TOKENS)
+    for part in range(ROUNDS):
+        own = coded.where(F.pmod(F.shiftright("key", 32), F.lit(ROUNDS)) == part)
         dealt = own.select("key", "symbols").repartition(shards, "key").sortWithinPartitions(_long_first(), "key", "symbols").select("symbols")
-        total, sums = 0, None
-        for r in written(dealt.mapInPandas(_training(net.pack(), epochs), "n long, net binary"), "lm-nets").toLocalIterator():
-            flat = np.frombuffer(r.net, dtype=np.float32).astype(np.float64) * r.n
-            total, sums = total + r.n, flat if sums is None else sums + flat
-        if total:
-            net = Network.unpack((sums / total).astype(np.float32).tobytes())
+        mean = averaged(written(dealt.mapInPandas(_training(net.pack()), "n long, net binary"), "lm-nets"))
+        net = Network.unpack(mean) if mean else net
     return net
 
 

@@ -327,7 +327,28 @@ def test_training_reads_whole_texts():
     rows = pd.concat([b.to_pandas() for b in made([batch])])
     assert sum(len(x) // 2 - 1 for x in rows.iloc[:, 1]) == total
     net = recurrent_lm.Network.start(lexicon.counts)
-    assert [next(recurrent_lm._training(net.pack(), epochs)(iter([rows])))["n"][0] for epochs in (1, 3)] == [total, 3 * total]
+    assert next(recurrent_lm._training(net.pack())(iter([rows])))["n"][0] == total
+
+
+def test_training_is_the_same_at_every_size(spark, docs, monkeypatch):
+    """Each token is trained on once, in ROUNDS parts, with few shards and many; networks are averaged in groups like all at once."""
+    seen = []
+    average = recurrent_lm.averaged
+    monkeypatch.setattr(recurrent_lm, "averaged", lambda nets: (seen.append((nets.count(), nets.agg(F.sum("n")).first()[0] or 0)), average(nets))[1])
+    for shard, many in ((4_000_000, 1), (2000, 4)):
+        monkeypatch.setattr(recurrent_lm, "SHARD_TOKENS", shard)
+        seen.clear()
+        got = recurrent_lm.score_documents(docs).agg(F.max("train_tokens").alias("n"), F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+        assert len(seen) == recurrent_lm.ROUNDS and sum(n for _, n in seen) == got.n and min(k for k, _ in seen) >= many
+        assert got.score == got.score
+    rng = np.random.default_rng(1)
+    rows = [(int(n), rng.random(50).astype(np.float32).tobytes()) for n in rng.integers(1, 9, 30)]
+    nets = spark.createDataFrame(rows, "n long, net binary")
+    want = sum(np.frombuffer(b, np.float32).astype(float) * n for n, b in rows) / sum(n for n, _ in rows)
+    for fan in (2, 7, 64):
+        monkeypatch.setattr(recurrent_lm, "FAN", fan)
+        assert np.allclose(np.frombuffer(average(nets), np.float32), want, atol=1e-6)
+    assert average(nets.limit(0)) is None
 
 
 def test_lm_edges(spark, edges, empty):
