@@ -1,11 +1,10 @@
 """Exact deduplication over a log-structured merge index [native].
 
-Digests are taken in MEMTABLES portions of the input, one after the other. A portion is a memtable: it is flushed as one
-run, a table of (digest, first, n) in files sorted by digest, with Parquet's Bloom filters and value ranges in their
-footers; `first` is the smallest identifier, n the rows. Each run has a filter too, a bitmap that is sent to the tasks:
-before a portion is flushed its digests are probed against the filters of the runs before, and those that may have been
-there are marked. Compaction merges, in order of digest, only what is marked and what its filter finds in the other runs;
-all else is in one run only and passes as it is.
+Digests are taken in MEMTABLES portions of the input. A portion is a memtable: it is flushed as one run, a table of
+(digest, first, n) in files sorted by digest; `first` is the smallest identifier, n the rows. All portions of one input are
+flushed by one job, each to files of its own, and so are their filters: bitmaps that are sent to the tasks. Compaction probes
+each run's digests against the filters of the others; those that may be in several runs are merged by a hash aggregate that
+keeps the smallest identifier, all else is in one run only and passes as it is.
 
 The digests that occur more than once give the hits. Only hits' texts are read again; they are shuffled, joined with the
 text of the row that stays, and compared byte for byte. A hit whose bytes differ (a digest collision) is grouped by its
@@ -18,6 +17,7 @@ all: beyond that they let more rows through, and results stay the same.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -43,48 +43,62 @@ def _bits(key: Column, seed: int, log2: int) -> Column:
     return F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit((1 << log2) - 1))
 
 
-def build_filter(keys: DataFrame, key: str, log2: int) -> DataFrame:
-    """One row, one array column `filter` of 2**log2 / 64 longs with two bits for each key."""
+def build_filters(keys: DataFrame, key: str, log2: int, group: str | None = None) -> DataFrame:
+    """A row for each value of group (0 without one) that has keys: run, filter, an array of 2**log2 / 64 longs with two bits for
+    each key."""
     words = (1 << log2) // 64
     used = (
-        keys.select(F.explode(F.array(*[_bits(F.col(key), seed, log2) for seed in (7, 8)])).alias("_b"))
-        .select(F.shiftright("_b", 6).alias("_w"), F.expr("shiftleft(1L, cast(_b & 63 as int))").alias("_v"))
-        .groupBy("_w").agg(F.bit_or("_v").alias("_v"))
+        keys.select((F.col(group) if group else F.lit(0)).alias("_run"), F.explode(F.array(*[_bits(F.col(key), seed, log2) for seed in (7, 8)])).alias("_b"))
+        .select("_run", F.shiftright("_b", 6).alias("_w"), F.expr("shiftleft(1L, cast(_b & 63 as int))").alias("_v"))
+        .groupBy("_run", "_w").agg(F.bit_or("_v").alias("_v"))
     )
-    # Two levels, so that no task gathers more than 512 values at a time.
-    full = (
-        keys.sparkSession.range(words).withColumnRenamed("id", "_w").join(used, "_w", "left")
-        .select(F.shiftright("_w", 9).alias("_hi"), F.struct("_w", F.coalesce("_v", F.lit(0)).alias("_v")).alias("_s"))
-        .groupBy("_hi").agg(F.sort_array(F.collect_list("_s")).getField("_v").alias("_a"))
-    )
-    return full.agg(F.flatten(F.sort_array(F.collect_list(F.struct("_hi", "_a"))).getField("_a")).alias("filter"))
+    # Blocks of 512 words first, so that a task gathers no more than a block's words or a filter's blocks at a time.
+    block = F.map_from_entries(F.collect_list(F.struct(F.col("_w").bitwiseAND(F.lit(511)).cast("int"), "_v")))
+    blocks = used.groupBy("_run", F.shiftright("_w", 9).cast("int").alias("_hi")).agg(block.alias("_m"))
+    size = min(words, 512)
+    zero = F.lit(0).cast("long")
+    dense = blocks.select("_run", "_hi", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at("_m", k), zero)).alias("_a"))
+    whole = dense.groupBy("_run").agg(F.map_from_entries(F.collect_list(F.struct("_hi", "_a"))).alias("_m"))
+    none = F.array_repeat(zero, size)
+    full = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(words // size - 1)), lambda k: F.coalesce(F.try_element_at("_m", k), none)))
+    return whole.select(F.col("_run").alias("run"), full.alias("filter"))
 
 
-def probe(keys: DataFrame, key: str) -> Callable[[Column], Column]:
-    """A test of columns against a filter of keys, sized by their number: false only for what is surely not among them."""
-    n = keys.count()
-    if not n:
-        return lambda col: F.lit(False)
-    log2 = min(FILTER_BITS, max(FILTER_LEAST, (FILTER_SHARE * n - 1).bit_length()))
-    view = f"skein_filter_{uuid.uuid4().hex}"
-    written(build_filter(keys, key, log2).coalesce(1), "filter").createOrReplaceTempView(view)
+def _log2(n: int) -> int:
+    return min(FILTER_BITS, max(FILTER_LEAST, (FILTER_SHARE * n - 1).bit_length()))
 
+
+def _test(view: str, run: int, log2: int) -> Callable[[Column], Column]:
     def test(col: Column) -> Column:
         def has(seed: int) -> Column:
             bit = _bits(col, seed, log2)
-            word = F.get(F.expr(f"(SELECT filter FROM {view})"), F.shiftright(bit, 6).cast("int"))
-            return F.getbit(word, bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+            word = F.get(F.expr(f"(SELECT filter FROM {view} WHERE run = {run})"), F.shiftright(bit, 6).cast("int"))
+            return F.coalesce(F.getbit(word, bit.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
 
         return has(7) & has(8)
 
     return test
 
 
+def probes(keys: DataFrame, key: str, groups: int, n: int, group: str | None = None) -> list[Callable[[Column], Column]]:
+    """For each value of group from 0 on a test of columns against a filter of its keys, sized for n of them: false only for what is
+    surely not among them. One job."""
+    log2, view = _log2(n), f"skein_filter_{uuid.uuid4().hex}"
+    written(build_filters(keys, key, log2, group).coalesce(1), "filter").createOrReplaceTempView(view)
+    return [_test(view, k, log2) for k in range(groups)]
+
+
+def probe(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """probes() for one filter of all keys, counted first."""
+    n = keys.count()
+    return probes(keys, key, 1, n)[0] if n else lambda col: F.lit(False)
+
+
 class MergeIndex:
     """Runs of sorted digests under one folder of the shared store.
 
-    flush() adds a run, compact() merges all runs to one (it may be called at any time, and runs be flushed after it), and
-    lookup() finds digests: a run's filter is probed before the run is read.
+    flush() adds a run, flush_portions() several by one job; compact() merges all runs to one (it may be called at any time, and
+    runs be flushed after it), and lookup() finds digests: a run's filter is probed before the run is read.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
@@ -92,41 +106,47 @@ class MergeIndex:
         self.path = path or fresh_path(spark, "lsm")
         self.runs: list[DataFrame] = []
         self.filters: list[Callable[[Column], Column]] = []  # of the first runs; made when first asked for
-        self.made = self.expected = 0
+        self.made = 0
 
     def _tests(self) -> list[Callable[[Column], Column]]:
         self.filters += [probe(run, "digest") for run in self.runs[len(self.filters) :]]
         return self.filters
 
-    def _write(self, rows: DataFrame) -> DataFrame:
-        path = f"{self.path}/run-{self.made:05d}"
+    def _path(self) -> str:
         self.made += 1
-        files = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        out = rows.select("digest", "first", "n", "seen").sortWithinPartitions("digest").write
-        if (n := self.expected // files) > 0:
-            out = out.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", str(n))
-        out.parquet(path)
-        return self.spark.read.schema(rows.select("digest", "first", "n", "seen").schema).parquet(path)
-
-    def flush(self, entries: DataFrame, expected: int = 0) -> None:
-        """Flushes entries (digest binary, doc_id, rid) as one run; a digest is one row of it. expected: about how many."""
-        self.expected = expected
+        return f"{self.path}/flush-{self.made:05d}"
+
+    def flush(self, entries: DataFrame, expected: int | None = None) -> None:
+        """Flushes entries (digest binary, doc_id, rid) as one run; a digest is one row of it. expected: about how many, for a filter
+        that is made at once."""
+        self.flush_portions(entries, F.lit(0), 1, expected)
+
+    def flush_portions(self, entries: DataFrame, portion: Column, portions: int, expected: int | None = None) -> None:
+        """Flushes entries as a run for each portion (from 0 on) that has any, and if their number is known their filters."""
         first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rid")).alias("first")
-        rows = entries.groupBy("digest").agg(first, F.count("*").alias("n"))
-        seen = F.lit(False)
-        for test in self._tests():
-            seen = seen | test(F.col("digest"))
-        self.runs.append(self._write(rows.withColumn("seen", seen)))
+        rows, path = entries.groupBy(portion.cast("int").alias("run"), "digest").agg(first, F.count("*").alias("n")), self._path()
+        rows.sortWithinPartitions("run", "digest").write.partitionBy("run").parquet(path)
+        places = [self.spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run={k}") for k in range(portions)]
+        filled = [k for k, x in enumerate(places) if x.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(x)]
+        if expected is not None:
+            tests, table = self._tests(), self.spark.read.schema(rows.schema).parquet(path)
+            self.filters = tests + [t for k, t in enumerate(probes(table, "digest", portions, -(-expected // portions), "run")) if k in filled]
+        self.runs += [self.spark.read.schema(rows.drop("run").schema).parquet(f"{path}/run={k}") for k in filled]
 
     def compact(self) -> DataFrame:
-        """Merges all runs to one: digest, first, n."""
+        """Merges all runs to one: digest, first, n; no rows if there are none."""
+        if not self.runs:
+            return self.spark.createDataFrame([], "digest binary, first struct<void: boolean, doc_id: long, rid: long>, n long")
         if len(self.runs) > 1:
-            rows = self.runs[0]
-            for run in self.runs[1:]:
-                rows = rows.union(run)
-            again = probe(rows.where("seen"), "digest")(F.col("digest"))
-            merged = rows.where(again).groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n")).withColumn("seen", F.lit(False))
-            self.runs, self.filters = [self._write(rows.where(~again).withColumn("seen", F.lit(False)).union(merged))], []
+            tests, alone, again = self._tests(), None, None
+            for k, run in enumerate(self.runs):
+                others = functools.reduce(Column.__or__, [test(F.col("digest")) for i, test in enumerate(tests) if i != k])
+                marked = run.withColumn("again", others)
+                alone, again = (marked if x is None else x.union(marked) for x in (alone, again))
+            merged = again.where("again").groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+            whole, path = alone.where("NOT again").drop("again").union(merged), self._path()
+            whole.sortWithinPartitions("digest").write.parquet(path)
+            self.runs, self.filters = [self.spark.read.schema(whole.schema).parquet(path)], []
         return self.runs[0].select("digest", "first", "n")
 
     def lookup(self, digests: DataFrame) -> DataFrame:
@@ -152,11 +172,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("rid"), normalised(text_or_empty(text_col)).alias("norm"))
     digest = F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("digest")
     entries = written(rows.select("doc_id", "rid", digest), "dedup-entries")
-    expected = entries.count() // memtables
     index = MergeIndex(spark)
-    for k in range(memtables):
-        portion = entries if memtables == 1 else entries.where(F.pmod(F.shiftright("rid", 33), F.lit(memtables)) == k)
-        index.flush(portion, expected)
+    index.flush_portions(entries, F.pmod(F.shiftright("rid", 33), F.lit(memtables)), memtables, entries.count())
     groups = written(index.compact().where("n > 1").select("digest", F.col("first.rid").alias("keep_rid")), "dedup-groups")
 
     # Rows that the filter of repeated digests lacks are surely alone; all that follows is about the others.

@@ -122,4 +122,35 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op12_importance": r"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), goal AS (
+            SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), f AS (
+            SELECT rid, unnest(list_concat(w, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS feature FROM docs
+        ), g AS (
+            SELECT unnest(list_concat(w, list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS feature FROM goal
+        ), h AS (
+            SELECT feature, hex(encode(feature)) AS x FROM (SELECT feature FROM f UNION SELECT feature FROM g)
+        ), c AS (
+            -- CRC-32, half a byte at a time; fixed values: the CRCs of the sixteen half bytes.
+            SELECT feature, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda a, b:
+                xor(xor(xor(a, b) >> 4, t[(xor(a, b) & 15) + 1]) >> 4, t[(xor(xor(a, b) >> 4, t[(xor(a, b) & 15) + 1]) & 15) + 1])), 4294967295::BIGINT) % 10000 AS bucket
+            FROM h, (SELECT [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::BIGINT[] AS t)
+        ), n AS (
+            SELECT bucket, count(*) FILTER (WHERE doc) AS s, count(*) FILTER (WHERE NOT doc) AS t FROM (SELECT feature, true AS doc FROM f UNION ALL SELECT feature, false FROM g) JOIN c USING (feature) GROUP BY bucket
+        ), m AS (
+            SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM n
+        ), v AS (
+            SELECT rid, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM f JOIN c USING (feature) JOIN m USING (bucket) GROUP BY rid
+        ), r AS (
+            SELECT d.rid, doc_id, len(w) >= 20 AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5e0) / 4294967296e0)))::BIGINT AS score
+            FROM docs d LEFT JOIN v ON d.rid = v.rid
+        ), o AS (
+            SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY fit) AS fits FROM r
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= fits * 5 // 100 THEN place END AS rank FROM o
+    """,
 }
