@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 A document's key is -ln(u) / quality, with u from a hash of its id: in order of rising keys, documents of higher
-quality tend to come first. A source's target is a share of the words by weight, at most CAP times the source's size
+quality (mean word length, share of letters, variety of words) tend to come first. A source's target is a share of the words by weight, at most CAP times the source's size
 (what is above goes to the other sources by weight). Complete epochs take every document of the source; the rest of
 the target is a budget that documents fill in order of their keys.
 
@@ -23,22 +23,32 @@ WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 BUCKETS = 8192
 
 
-def quality(size: Column, chars: Column) -> Column:
-    """1 for a mean word length of 6 characters (with its blank), less for other lengths; 1 for no words."""
-    return F.when(size > 0, 1.0 / (1.0 + F.abs(chars / size - 6.0) / 2.0)).otherwise(F.lit(1.0))
+def measures(text: Column) -> Column:
+    """A struct of a text's words, distinct words, characters and letters (those of no ASCII count as letters)."""
+    words = F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
+    letters = F.length(F.regexp_replace(text, "[\\x00-@\\[-`{-\\x7F]+", ""))
+    return F.struct(F.size(words).cast("long").alias("size"), F.size(F.array_distinct(words)).alias("distinct"), F.length(text).alias("chars"), letters.alias("letters"))
+
+
+def quality(m: Column) -> Column:
+    """Between 0 and 1, of measures(): how near the mean word is to 6 characters (with its blank), how many of the characters are
+    letters, and how varied the words are for so many (the ratio of logarithms, which length hardly changes). 1 for no words."""
+    near = 1.0 / (1.0 + F.abs(m["chars"] / m["size"] - 6.0) / 2.0)
+    plain = 0.1 + 0.9 * (m["letters"] / m["chars"])
+    varied = F.log(1.0 + m["distinct"]) / F.log(1.0 + m["size"])
+    return F.when(m["size"] > 0, near * plain * varied).otherwise(F.lit(1.0))
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """doc_id, source, size, key of each row."""
-    text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("size"), F.length(text).alias("_n"))
-    return rows.select("doc_id", "source", "size", _key(F.col("doc_id"), F.col("size"), F.col("_n"), seed).alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), measures(text_or_empty(text_col)).alias("_m"))
+    return rows.select("doc_id", "source", "_m.size", _key(F.col("doc_id"), F.col("_m"), seed).alias("key"))
 
 
-def _key(doc_id: Column, size: Column, chars: Column, seed: str) -> Column:
+def _key(doc_id: Column, m: Column, seed: str) -> Column:
     digits = F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(seed)).cast("binary")), 1, 13)
     u = (F.conv(digits, 16, 10).cast("long") + 0.5) / F.lit(float(1 << 52))
-    return -F.log(u) / quality(size, chars)
+    return -F.log(u) / quality(m)
 
 
 def _bucket(key: Column) -> Column:
@@ -114,16 +124,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs.
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs, whatever their names.
 
-    docs is read twice, once for sizes and once for rows; no text is shuffled, as the plan is a row per source.
+    Nulls, ties and repeated rows as in mix(); a text without words is taken as often as its source has whole epochs, and once more
+    where it is selected, at most CAP times. An empty table stays empty. docs is read twice, once for sizes and once for rows; no
+    text is shuffled, as the plan is a row per source.
     """
     p = plan(written(sizes(docs), "mix-sizes")).alias("p")
     names = docs.columns
-    text = text_or_empty("z.text")
-    size = F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    keyed = docs.alias("z").select(F.struct(*[F.col(f"z.`{c}`") for c in names]).alias("row"), F.col("z.source").alias("_s"), F.col("z.doc_id").alias("_i"), size.alias("_n"), F.length(text).alias("_c"))
-    keyed = keyed.withColumn("_k", _key(F.col("_i"), F.col("_n"), F.col("_c"), "mix")).alias("y")
+    keyed = docs.alias("z").select(F.struct(*[F.col(f"z.`{c}`") for c in names]).alias("row"), F.col("z.source").alias("_s"), F.col("z.doc_id").alias("_i"), measures(text_or_empty("z.text")).alias("_m"))
+    keyed = keyed.select("row", "_s", "_i", _key(F.col("_i"), F.col("_m"), "mix").alias("_k")).alias("y")
     times = F.least(F.col("p.epochs") + _selected(F.col("y._k"), F.col("y._i")).cast("long"), F.lit(CAP))  # also for texts without words
     rows = keyed.join(p, F.col("y._s").eqNullSafe(F.col("p.source"))).select("y.row", times.alias("_t")).where("_t > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("_t")))).select("row.*")

@@ -85,11 +85,12 @@ ORACLE: dict[str, str] = {
     "op3_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                   length(coalesce(text, ''))::DOUBLE AS n,
+                   list_unique(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS different,
+                   length(coalesce(text, ''))::DOUBLE AS n, length(regexp_replace(coalesce(text, ''), '[\x00-@\[-`{-\x7F]+', '', 'g'))::DOUBLE AS letters,
                    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || 'mix'), 1, 13))::BIGINT::DOUBLE + 0.5e0) / 4503599627370496e0 AS u
             FROM documents
         ), k AS (
-            SELECT *, -ln(u) / CASE WHEN size > 0 THEN 1e0 / (1e0 + abs(n / size::DOUBLE - 6e0) / 2e0) ELSE 1e0 END AS key FROM d
+            SELECT *, -ln(u) / CASE WHEN size > 0 THEN 1e0 / (1e0 + abs(n / size::DOUBLE - 6e0) / 2e0) * (0.1e0 + 0.9e0 * (letters / n)) * (ln(1e0 + different) / ln(1e0 + size)) ELSE 1e0 END AS key FROM d
         ), s AS (
             SELECT source, sum(size)::BIGINT AS source_size,
                    CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5e0 WHEN 1 THEN 2e0 ELSE 1e0 END AS weight

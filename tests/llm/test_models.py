@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -66,6 +67,23 @@ def test_mixing(docs):
     assert all(times[r.doc_id] * r.size == r.taken for r in got if r.size)
 
 
+def test_quality_matches_brute_force(spark):
+    good = "the garden has a small pump that checks each bed and opens its valve when the soil is dry"
+    texts = [good, " ".join([good] * 20), "spam " * 200, "1234 5678 %%%% ---- " * 10, "x" * 500, "é ß 日本 😀", "a", "", " \t\n", "...", good.upper()]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.q for r in rows.select(mixing.quality(mixing.measures(F.col("t"))).alias("q")).collect()]
+
+    def brute(t):
+        words = [w for w in re.split("[\\x20\\x09-\\x0D]+", t) if w]
+        letters = sum(c.isascii() and c.isalpha() or ord(c) > 127 for c in t)
+        if not words:
+            return 1.0
+        return 1 / (1 + abs(len(t) / len(words) - 6) / 2) * (0.1 + 0.9 * letters / len(t)) * math.log(1 + len(set(words))) / math.log(1 + len(words))
+
+    assert got == pytest.approx([brute(t) for t in texts])
+    assert got[0] > got[1] > got[2] and got[0] > got[3] and got[0] > got[4] and all(0 < q <= 1 for q in got)
+
+
 def test_mixing_prefers_quality(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.when(F.col("id") % 2 == 0, "words of fair length here ok").otherwise("w w w w w w").alias("text"), F.lit("en").alias("lang"), F.lit(1).alias("n_chars"))
     more = rows.unionByName(spark.createDataFrame([(10**6 + k, t, "x " * 40_000, "en", 1) for k, t in enumerate("ab")], "doc_id long, source string, text string, lang string, n_chars int"))
