@@ -273,6 +273,8 @@ def test_pairs_by_event_time(spark, tmp_path):
     for every in (True, False):
         source, out, state = (str(tmp_path / f"{x}{every}") for x in ("in", "out", "state"))
         for k, lot in enumerate(lots):
+            if not every:  # whether a row is late depends on where a query's batches end, which is fixed for W2 only
+                lot = [r for r in lot if r[3] != "too late a question"]
             spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(source)
             if not every and k + 1 < len(lots):
                 continue  # one query for all lots; for W2 one for each lot, from the state that the one before has left
