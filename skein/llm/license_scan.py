@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skein.llm.common import stable, text_or_empty
+from skein.llm.common import stable, text_or_empty, written
 from skein.llm.license_texts import TEXTS
 
 #: Base phrases: fixed values of the contract.
@@ -94,6 +94,7 @@ def spans(docs: DataFrame, templates: list[tuple[str, str]] | None = None, text_
     hits = d.join(t, same).select("d.rid", "t.tid", "t.label", "t.base", "t.n_grams", "t.tpos", "d.pos", (F.col("d.pos") - F.col("t.tpos")).alias("diag"))
     key = ["rid", "tid", "label", "base", "n_grams"]
     votes = hits.groupBy(*key, "diag").agg(F.collect_set("tpos").alias("seen"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    votes = written(votes, "license-votes")  # texts are taken apart once
     whole = votes.where("base AND size(seen) = n_grams").select(*key[:4], F.col("first").alias("first_word"), (F.col("last") + GRAM - 1).alias("last_word"), F.lit(1.0).alias("coverage"))
 
     own = W.partitionBy("rid", "tid").orderBy("diag")
