@@ -10,10 +10,10 @@ window to the next through a whole document and reset at the next one's start. T
 update a window) and scoring share these lanes, which take the next document whenever one ends, so a task holds the
 documents in its lanes and no others.
 
-Every token of every training document is trained on once, whatever the corpus's size: the documents are cut into ROUNDS
-parts, and in each part shards (one for each SHARD_TOKENS) train side by side and are averaged, a group of FAN at a time
-until one network is left. Output biases start at the unigram distribution. Token counts cover all words of all training
-documents.
+Every token of every training document is trained on: the documents are cut into ROUNDS parts, and in each part shards (one
+for each SHARD_TOKENS) train side by side and are averaged, a group of FAN at a time until one network is left. A corpus has
+passes for ENOUGH tokens in all, PASSES at most: one pass is too few updates for a small one. Output biases start at the
+unigram distribution. Token counts cover all words of all training documents.
 
 Texts are read twice: for the counts, and to code them as symbols, which training and scoring read. The DICTIONARY most
 frequent words (of at most WORD_BYTES bytes: a bounded table) are looked up on the worker; all other words are joined
@@ -40,7 +40,7 @@ HIDDEN, CLASSES, CLASS_SIZE = 24, 32, 32
 SYMBOLS = CLASSES * CLASS_SIZE
 END, OTHER, WORDS = 0, 1, SYMBOLS - 2
 WINDOW, LANES = 16, 256
-SHARD_TOKENS, ROUNDS, FAN = 4_000_000, 2, 64
+SHARD_TOKENS, ROUNDS, FAN, ENOUGH, PASSES = 4_000_000, 2, 64, 1_200_000, 24
 #: Texts of more tokens come first in a task, the longest before all: no lane is left alone with one at the end.
 LONG = 2048
 #: The rate rises over the first WARM_UP updates of a shard, so that few tokens move the network little from the unigram distribution.
@@ -432,12 +432,14 @@ def _symbols(lexicon: Lexicon):
     return run
 
 
-def _training(start: bytes):
-    """One row: the tokens trained on and the network."""
+def _training(start: bytes, passes: int = 1):
+    """One row: the tokens trained on in a pass and the network. More than one pass is only for few tokens, which are held."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trainer = Trainer(Network.unpack(start))
-        n = trainer.texts(np.frombuffer(s, dtype=np.int16) for b in batches for s in b["symbols"])
+        rows = (np.frombuffer(s, dtype=np.int16) for b in batches for s in b["symbols"])
+        trainer, held = Trainer(Network.unpack(start)), rows if passes == 1 else list(rows)
+        for _ in range(passes):
+            n = trainer.texts(held)
         if n:
             yield pd.DataFrame({"n": [n], "net": [trainer.net.pack()]})
 
@@ -471,11 +473,11 @@ def train(coded: DataFrame, lexicon: Lexicon) -> Network:
     """
     net = Network.start(lexicon.counts)
     size = int(coded.agg(F.sum(F.length("symbols") / 2 - 1)).first()[0] or 0)
-    shards = max(1, size // SHARD_TOKENS)
+    shards, passes = max(1, size // SHARD_TOKENS), min(PASSES, max(1, ENOUGH // max(1, size)))
     for part in range(ROUNDS):
         own = coded.where(F.pmod(F.shiftright("key", 32), F.lit(ROUNDS)) == part)
         dealt = own.select("key", "symbols").repartition(shards, "key").sortWithinPartitions(_long_first(), "key", "symbols").select("symbols")
-        mean = averaged(written(dealt.mapInPandas(_training(net.pack()), "n long, net binary"), "lm-nets"))
+        mean = averaged(written(dealt.mapInPandas(_training(net.pack(), passes), "n long, net binary"), "lm-nets"))
         net = Network.unpack(mean) if mean else net
     return net
 

@@ -349,7 +349,7 @@ def test_training_reads_whole_texts():
 
 
 def test_training_is_the_same_at_every_size(spark, docs, monkeypatch):
-    """Each token is trained on once, in ROUNDS parts, with few shards and many; networks are averaged in groups like all at once."""
+    """All tokens are in one of ROUNDS parts, with few shards and many; networks are averaged in groups like all at once."""
     seen = []
     average = recurrent_lm.averaged
     monkeypatch.setattr(recurrent_lm, "averaged", lambda nets: (seen.append((nets.count(), nets.agg(F.sum("n")).first()[0] or 0)), average(nets))[1])
