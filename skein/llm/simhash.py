@@ -15,14 +15,16 @@ are one join.
 
 Equal fingerprints are one point, so copies are never paired; components run over distinct fingerprints only.
 
-The pipeline's stage drops by the Jaccard similarity of 5-word shingle sets, of which 64 bits say too little: a pair of
-similarity 0.8 differs in about 10 of them. Its points are the distinct sets, its candidates the sets that share a bucket:
-the hash of ROWS minima of the set under as many hash functions, BANDS of them a set. Two sets of similarity s share one with
-probability 1 - (1 - s^ROWS)^BANDS, which is 0.9993 at 0.8. Every link is verified on the sets. So that a large group of near
-copies takes a few pairs a point and not all pairs, points are first compared with a leader of each bucket, in up to LEADERS
-turns: the point that meets most others, then ones by a hash; points of one component are not compared again. At last the
-points of buckets with more than one component are compared wherever two of them share one of their rarest shingles, which
-two sets of the similarity always do (prefix filtering), and sets that share only a common passage do not.
+The pipeline's stage drops by the Jaccard similarity of 5-word shingle sets. Its points are the distinct sets. They are linked
+as above first: by fingerprints of their 5-word shingles that are equal or within MAX_BITS on the grid, each link verified on
+the sets. A pair of similarity 0.8 differs in about 10 bits, so pairs are left that no grid of a few bits finds; an exact
+comparison follows for them, of sets that share a bucket: the hash of ROWS minima of the set under as many hash functions,
+BANDS of them a set. Two sets of similarity s share one with probability 1 - (1 - s^ROWS)^BANDS, which is 0.9993 at 0.8. So that
+a large group of near copies takes a few pairs a point and not all pairs, points are first compared with a leader of each
+bucket, in up to LEADERS turns: the point that meets most others, then ones by a hash; points that fingerprints or turns have put
+in one component are not compared again. At last the points of buckets with more than one component are compared wherever two of
+them share one of their rarest shingles, which two sets of the similarity always do (prefix filtering), and sets that share only
+a common passage do not.
 """
 
 from __future__ import annotations
@@ -57,17 +59,24 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, tables: int = 1) -> list[int]:
-    """Fingerprints of a whole text: A-Z lower-cased, words between ASCII white space, space-joined shingles with repeats.
-
-    A bit is set if it is set in over half the shingles' XXH64 (in the second fingerprint: their mixed XXH64). Fewer words
-    than a shingle: the whole sequence; none: 0.
-    """
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of a whole text's space-joined shingles with repeats: A-Z lower-cased, words between ASCII white space. Fewer words
+    than a shingle: the whole sequence; none: no hashes."""
     w = (text or "").encode("utf-8", "replace").lower().split()
     if not w:
-        return [0] * tables
+        return np.empty(0, np.uint64)
     n = min(shingle, len(w))
-    h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in zip(*(w[k:] for k in range(n)))), dtype=np.uint64, count=len(w) - n + 1)
+    return np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in zip(*(w[k:] for k in range(n)))), dtype=np.uint64, count=len(w) - n + 1)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, tables: int = 1) -> list[int]:
+    """Fingerprints of a whole text, by its shingle_hashes()."""
+    return majority(shingle_hashes(text, shingle), tables)
+
+
+def majority(h: np.ndarray, tables: int = 1) -> list[int]:
+    """Fingerprints of shingle hashes: a bit is set if it is set in over half of them (in the second fingerprint: of the mixed
+    ones). No hashes: 0."""
     out = []
     for t in range(tables):
         h = _mixed(h) if t else h
@@ -121,7 +130,7 @@ def _cells(parts: int, segments: int, tables: int):
 
 def link(points: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS, tables: int = 1) -> DataFrame:
     """Pairs (a, b), each once, of distinct fingerprints (column fp) that differ in at most max_bits bits, which is at most
-    5; with two tables also those whose other fingerprints (fp2) do.
+    5; with two tables also those whose other fingerprints (fp2) do. To discard() them deletes the cells that they are read from.
 
     A pair is made in the first table and part that differs in at most 2 bits, in the cell between the two points: the own
     cell of equal points, the upper one's own cell, the cell above one and below the other (of two such cells the
@@ -145,15 +154,14 @@ def link(points: DataFrame, max_bits: int = MAX_BITS, segments: int = SEGMENTS,
         before = before | near
     up, other, once = F.col("x.step"), F.col("y.step"), F.col("x.fp") < F.col("y.fp")
     met = ((up == 0) & (other == 0) & once) | ((up == 0) & (other > 0)) | ((up > 0) & (other > 0) & (up != other) & once) | ((up > 0) & (other < 0) & (up <= -other))
-    pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & met & here)
-    return pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
+    pairs = x.join(y, (F.col("x.cell") == F.col("y.cell")) & met & here).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
+    pairs._skein_path = cells._skein_path
+    return pairs
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Distinct hashes of the word shingles (fewer words: the whole sequence), as in fingerprint()."""
-    w = (text or "").encode("utf-8", "replace").lower().split()
-    n = min(words, len(w))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(g), SEED) for g in zip(*(w[k:] for k in range(n)))), dtype=np.uint64)).astype(np.int64) if w else np.empty(0, np.int64)
+    """Distinct shingle_hashes()."""
+    return np.unique(shingle_hashes(text, words)).astype(np.int64)
 
 
 _RNG = np.random.default_rng(SEED)
@@ -174,13 +182,19 @@ def buckets(shingles: np.ndarray) -> np.ndarray:
 
 
 def _shingled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per input row: doc_id, rid, digest (128 bits) and size of the shingle set, its buckets."""
+    """One row per input row: doc_id, rid, digest (128 bits) and size of the shingle set, its buckets, and the fingerprint of the
+    same shingles with repeats (fp)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text_col).cast("string").alias("text"))
 
-    @F.pandas_udf("digest binary, size int, buckets array<long>")
+    @F.pandas_udf("digest binary, size int, buckets array<long>, fp long")
     def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t) for t in texts]
-        out = pd.DataFrame({"digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "size": [len(s) for s in sets], "buckets": pd.Series([buckets(s) for s in sets], dtype=object)})
+        found = []
+        for t in texts:
+            h = shingle_hashes(t, WORDS)
+            s = np.unique(h).astype(np.int64)
+            found.append((xxhash.xxh3_128_digest(s.tobytes()), len(s), buckets(s), np.array(majority(h), dtype=np.uint64).astype(np.int64)[0]))
+        digest, size, own, fp = zip(*found) if found else ((),) * 4
+        out = pd.DataFrame({"digest": digest, "size": size, "buckets": pd.Series(own, dtype=object), "fp": fp})
         release()
         return out
 
@@ -217,21 +231,39 @@ def _rarest(sets: DataFrame, similarity: float) -> DataFrame:
     return ranked.where(F.col("size") - F.col("k") + F.col("place") <= F.col("size") - F.ceil(F.col("size") * F.lit(similarity) - 1e-9) + 1).select("p", "size", "c", "h", (F.col("size") - F.col("k") + F.col("place")).alias("at"))
 
 
+def _fit(x: str, y: str, similarity: float) -> Column:
+    """Whether sets of these sizes can have the similarity."""
+    return F.least(x, y) >= F.greatest(x, y) * F.lit(similarity)
+
+
+def _near_fingerprints(points: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of points (p, size, fp) by the links of their fingerprints, written: the first point of each fingerprint with its
+    others, and with the first ones of those within MAX_BITS, where sizes allow the similarity."""
+    first = written(points.groupBy("fp").agg(F.min(F.struct("p", "size")).alias("first")), "near-first")
+    linked = link(first.select("fp"))
+    x, y = (first.select(F.col("fp").alias(fp), F.col("first").alias(name)) for fp, name in (("a", "x"), ("b", "y")))
+    equal = points.join(first, "fp").select(F.col("first").alias("x"), F.struct("p", "size").alias("y")).where("x.p < y.p")
+    met = equal.union(linked.join(x, "a").join(y, "b").select("x", "y")).where(_fit("x.size", "y.size", similarity))
+    out = written(met.select(F.least("x.p", "y.p").alias("a"), F.greatest("x.p", "y.p").alias("b")), "near-pairs")
+    discard(first, linked)
+    return out
+
+
 def _similar(points: DataFrame, docs: DataFrame, similarity: float, text_col: str) -> DataFrame:
-    """points (p, size, buckets) -> (node, component) over the verified links of points that share a bucket."""
+    """points (p, size, buckets, fp) -> (node, component) over the verified links of points whose fingerprints are linked or that
+    share a bucket."""
+    tried = _near_fingerprints(points.select("p", "size", "fp"), similarity)
     own = points.select("p", "size", F.explode("buckets").alias("bucket"))
     shared = own.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     live = written(own.join(shared, "bucket"), "near-buckets")
-    central = written(live.groupBy("p").agg(F.sum("n").alias("met")), "near-wanted")
+    central = written(live.groupBy("p").agg(F.sum("n").alias("met")), "near-central")
     shared, live = live, written(live.join(central, "p").select("bucket", "p", "size", "met"), "near-live")
     discard(shared)
+    wanted = written(central.select("p").union(tried.select("a")).union(tried.select("b")).distinct(), "near-wanted")
     with small_batches(docs.sparkSession):
-        sets = written(_sets(docs, central.select("p"), text_col), "near-sets")
-    tried, scrap = docs.sparkSession.createDataFrame([], "a long, b long"), []
-    found, turn, more = tried.toDF("node", "component"), 0, True
-
-    def fit(x: str, y: str) -> Column:
-        return F.least(x, y) >= F.greatest(x, y) * F.lit(similarity)
+        sets = written(_sets(docs, wanted, text_col), "near-sets")
+    links = written(_verified(tried, sets, similarity), "near-links")
+    found, turn, more, scrap = components(links), 0, True, [tried, links]
 
     while more:
         more = turn < LEADERS
@@ -239,7 +271,7 @@ def _similar(points: DataFrame, docs: DataFrame, similarity: float, text_col: st
         if more:
             order = F.xxhash64("p", "bucket", F.lit(turn)) if turn else -F.col("met")
             first = now.groupBy("bucket").agg(F.min(F.struct(order, "p", "size", "c")).alias("lead"))
-            met = now.join(first, "bucket").where((F.col("lead.c") != F.col("c")) & fit("lead.size", "size"))
+            met = now.join(first, "bucket").where((F.col("lead.c") != F.col("c")) & _fit("lead.size", "size", similarity))
             made = met.select(F.least("p", "lead.p").alias("a"), F.greatest("p", "lead.p").alias("b"))
         else:
             apart = now.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least < most")
@@ -247,7 +279,7 @@ def _similar(points: DataFrame, docs: DataFrame, similarity: float, text_col: st
             x, y = rest.alias("x"), rest.alias("y")
             owed = F.ceil((F.col("x.size") + F.col("y.size")) * F.lit(similarity / (1 + similarity)) - 1e-9)  # shingles in common: the first of them leaves room for the others
             room = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) + 1 >= owed
-            met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.p") < F.col("y.p")) & (F.col("x.c") != F.col("y.c")) & room & fit("x.size", "y.size"))
+            met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.p") < F.col("y.p")) & (F.col("x.c") != F.col("y.c")) & room & _fit("x.size", "y.size", similarity))
             made = met.select(F.col("x.p").alias("a"), F.col("y.p").alias("b"))
         pairs = written(made.distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
         links = written(_verified(pairs, sets, similarity), "near-links")
@@ -256,7 +288,7 @@ def _similar(points: DataFrame, docs: DataFrame, similarity: float, text_col: st
         if made:
             found = components(found.toDF("a", "b").union(links))
         turn = turn + 1 if made > FEW * pairs.count() else LEADERS  # else the comparison of all that are left is cheaper
-    discard(live, central, sets, *scrap)
+    discard(live, central, wanted, sets, *scrap)
     return found
 
 
@@ -287,7 +319,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near copies; all columns of docs. docs is written first if it is no scan.
 
-    Rows are linked if their 5-word shingle sets are equal or have a Jaccard similarity of at least `similarity`. Of those
+    Rows are linked if their 5-word shingle sets are equal or have a Jaccard similarity of at least `similarity`: by their
+    fingerprints first, then what those miss (see the module). Of those
     reachable over links the row with the smallest doc_id stays, the first one read where rows repeat it, a null id last. Texts
     without words (null ones too) are equal to each other. An empty table stays empty. Rows that the filter of dropped row
     numbers surely lacks pass as they are; the others alone are joined.
@@ -295,7 +328,7 @@ def drop_near_copies(docs: DataFrame, similarity: float = SIMILARITY, id_col: st
     docs = stable(docs)
     with small_batches(docs.sparkSession):
         marked = written(_shingled(docs, id_col, text_col), "near")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rid", "size", "buckets")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "rid", "size", "buckets", "fp")).alias("first")
     points = written(marked.groupBy("digest").agg(first).select("digest", "first.*").withColumnRenamed("rid", "p"), "near-points")
     found = _similar(points, docs, similarity, text_col)
     by_set = points.join(found, points["p"] == found["node"], "left").select("digest", F.struct("void", "doc_id", "p").alias("own"), F.coalesce("component", "p").alias("c"))

@@ -252,6 +252,22 @@ def test_stage_keeps_other_texts_of_the_same_fingerprint(spark, tmp_path):
     assert {r.doc_id for r in simhash.drop_near_copies(spark.read.parquet(path)).collect()} == {0, 1}
 
 
+def test_stage_links_by_fingerprints(spark, tmp_path, monkeypatch):
+    """Without any bucket, near copies within the bits of the method are still found, and links of other bodies still fail."""
+    rng = np.random.default_rng(10)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(5000)], 400)) for _ in range(30)]
+    texts += [t + " end" for t in texts] + ["buy it now " * 200 + " ".join(f"{x}{k}" for k in range(60)) for x in "ab"]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
+    own = simhash._shingled
+    monkeypatch.setattr(simhash, "_shingled", lambda *args: own(*args).selectExpr("doc_id", "rid", "digest", "size", "array_except(buckets, buckets) AS buckets", "fp"))
+    fps = np.array([simhash.fingerprint(t, simhash.WORDS)[0] for t in texts], dtype=np.uint64)
+    near = np.bitwise_count(fps[:30] ^ fps[30:60]) <= simhash.MAX_BITS
+    assert near.sum() > 20 and fps[60] == fps[61]
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.read.parquet(path)).collect()}
+    assert kept == set(range(62)) - {30 + int(k) for k in np.flatnonzero(near)}
+
+
 def test_near_edges(edges, empty):
     got = simhash.near_dedup(edges).collect()
     assert len(got) == edges.count()
