@@ -40,7 +40,7 @@ MARK = "▁"
 LITERAL_MARK = "\ud800"
 SAMPLES = 2
 #: Words that are segmented at a time.
-BATCH_WORDS = 50_000
+BATCH_WORDS = 25_000
 #: Batches after which freed memory goes back to the system; it has to be cleared anew when it is taken again.
 RELEASE = 16
 #: Units whose lattices a worker keeps, characters of them, and places of the table that tells which units have come before.

@@ -518,3 +518,14 @@ def test_pipeline(spark, docs, edges, empty, sf, tmp_path):
 
 def test_queries_are_registered():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{k}" for k in range(1, 14)] and set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+def test_encoding_takes_few_words_at_a_time(monkeypatch):
+    """What a worker holds besides its vocabulary follows the words it segments at a time."""
+
+    seen, own = [], piece_sampling.Segmenter.sample
+    monkeypatch.setattr(piece_sampling.Segmenter, "sample", lambda self, keys, texts: seen.append(sum(len(t.split()) for t in texts)) or own(self, keys, texts))
+    texts = [" ".join(f"w{k % 97}" for k in range(2000))] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(range(40)), pa.array(texts)], names=["doc_id", "key", "text"])
+    made = sum(b.num_rows for b in piece_sampling._encoder(piece_sampling.Vocabulary(piece_sampling.load_pieces()), 2)([batch]))
+    assert made == 80 and sum(seen) == 80_000 and max(seen) <= 50_000
