@@ -1,7 +1,8 @@
 """Session logs as tables of messages (schemas.MESSAGE): history lines, event streams, session files.
 
 Logs are read by Spark's readers only, so they may lie in any store that Spark reaches. Order inside a file matters for
-pairing and Spark numbers no lines, so event and session files are read whole and exploded with their line's position. With a
+pairing and Spark numbers no lines, so event and session files are read whole and exploded with their line's position. Each file
+is opened once: the texts are written as one table, which parsing goes over several times. With a
 limit, files are listed first and read in order, some at a time, until there are enough messages; the rest are never opened.
 """
 
@@ -9,8 +10,10 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from skein.functions.text import contains_secret, is_blank, long_enough
 from skein.operators.ordering import with_ordinals
 from skein.operators.pairing import pair_first_response, segments
 from skein.schemas import MESSAGE
-from skein.shared import written
+from skein.shared import discard, written
 
 
 def missing(spark: SparkSession, path: str) -> bool:
@@ -28,6 +31,32 @@ def missing(spark: SparkSession, path: str) -> bool:
     return found is None or len(found) == 0
 
 
+_LISTERS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def few_listers(spark: SparkSession) -> Iterator[None]:
+    """Files are looked up by a few tasks a core inside, not by a task for each of up to 10,000 files; a smaller setting stays."""
+    before, most = spark.conf.get(_LISTERS), 4 * spark.sparkContext.defaultParallelism
+    spark.conf.set(_LISTERS, str(min(int(before), most)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_LISTERS, before)
+
+
+def if_any(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What read() gives, None if nothing is at its path: the reader finds that out itself, so that a pattern of many folders is
+    gone over once."""
+    try:
+        with few_listers(SparkSession.active()):
+            return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def no_messages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MESSAGE)
 
@@ -71,13 +100,20 @@ def read_until(spark: SparkSession, pattern: str, parse: Callable[[DataFrame], D
     file so far, at most twice as many as before. Each lot is read once and written, and only counts and a lot's file names
     come to the driver.
     """
-    files = with_ordinals(listed(spark, pattern), *order)
+    there = if_any(lambda: listed(spark, pattern))
+    if there is None:
+        return parse(spark.createDataFrame([], "file string, mtime timestamp, value string"))
+    files = with_ordinals(there, *order)
     n, done, found, parts = files.count(), 0, 0, []
     size = first or spark.sparkContext.defaultParallelism
     while not parts or (found < limit and done < n):
         lot = files.where((F.col("ord") >= done) & (F.col("ord") < done + size))
         paths = [re.sub(r"([\\[\]{}*?])", r"\\\1", r.file) for r in lot.select("file").collect()]
-        parts.append(written(parse(whole_files(spark, paths)), "messages"))
+        with few_listers(spark):
+            texts = whole_files(spark, paths)
+        texts = written(texts, "files")
+        parts.append(written(parse(texts), "messages"))
+        discard(texts)
         done, found = done + size, found + parts[-1].count()
         hoped = -(-(limit - found) * done // found) if found else 2 * done
         size = max(1, min(hoped, 2 * done, MOST_FILES))
@@ -109,10 +145,8 @@ def parse_history(lines: DataFrame) -> DataFrame:
 
 def read_workspaces(spark: SparkSession, folder: str) -> DataFrame:
     """session_id, project: what follows `cwd:` in the first such line of each session's workspace.yaml, `` if there is none."""
-    path = f"{folder}/*/workspace.yaml"
-    if missing(spark, path):
-        return no_projects(spark)
-    return parse_workspaces(_by_folder(whole_files(spark, [path])))
+    found = if_any(lambda: whole_files(spark, [f"{folder}/*/workspace.yaml"]))
+    return no_projects(spark) if found is None else parse_workspaces(_by_folder(found))
 
 
 def _by_folder(files: DataFrame) -> DataFrame:
@@ -136,11 +170,10 @@ def read_events(spark: SparkSession, folder: str, limit: int = 0, name: str = "e
     and place. limit (0: all) cuts the whole; files are read in order until there are so many messages.
     """
     path = f"{folder}/*/{name}"
-    if missing(spark, path):
-        return no_messages(spark)
     spaces = read_workspaces(spark, folder)
     if not limit:
-        return as_messages(parse_events(_by_folder(whole_files(spark, [path])), spaces))
+        found = if_any(lambda: whole_files(spark, [path]))
+        return no_messages(spark) if found is None else as_messages(parse_events(_by_folder(written(found, "files")), spaces))
     some = read_until(spark, path, lambda files: parse_events(_by_folder(files), no_projects(spark)).drop("project"), limit, "file")
     return limited(with_projects(some.orderBy("session_id", "turn").limit(limit), spaces), limit, "session_id", "turn")
 
@@ -226,10 +259,9 @@ def read_sessions(spark: SparkSession, folder: str, limit: int = 0, name: str =
     string counts as empty. limit (0: all) cuts the whole in order; files are read newest first until there are so many messages.
     """
     path = f"{folder}/{name}"
-    if missing(spark, path):
-        return no_messages(spark)
     if not limit:
-        return as_messages(parse_sessions(whole_files(spark, [path])))
+        found = if_any(lambda: whole_files(spark, [path]))
+        return no_messages(spark) if found is None else as_messages(parse_sessions(written(found, "files")))
     return limited(read_until(spark, path, parse_sessions, limit, "-mtime", "file"), limit, F.desc("mtime"), "file", "turn")
 
 

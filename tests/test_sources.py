@@ -334,3 +334,20 @@ def test_limits_stop_reading(spark, tmp_path, monkeypatch):
             need = next((n for n in range(1, 61) if len([q for q in want if int(q.split()[1]) in order[:n]]) >= limit), len(order))
             assert need <= sum(opened) <= max(spark.sparkContext.defaultParallelism, 3 * need)
     assert every["events"] == len([q for k in range(60) for q in range(k % 3)])
+
+
+def test_files_are_opened_once(spark, tmp_path):
+    """Parsing goes over the texts several times, over a table of them and not over the files; the session's settings stay."""
+    for k in range(3):
+        (tmp_path / f"s{k}").mkdir()
+        said = [("user", f"a question of number {k}"), ("assistant", f"answer {k}")]
+        (tmp_path / f"s{k}" / "events.jsonl").write_text("\n".join(json.dumps({"type": f"{r}.message", "data": {"content": t}}) for r, t in said + [("user", "the end of it")]))
+        (tmp_path / f"s{k}.json").write_text(json.dumps({"messages": [{"role": r, "content": t} for r, t in said]}))
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    for found in (sessions.read_events(spark, str(tmp_path)), sessions.read_sessions(spark, str(tmp_path))):
+        assert not [f for f in found.inputFiles() if f.endswith((".json", ".jsonl"))]
+        assert {r.assistant_response for r in found.collect()} == {f"answer {k}" for k in range(3)}
+    assert spark.conf.get(key) == before
+    assert sessions.read_events(spark, str(tmp_path), name="none").count() == sessions.read_events(spark, str(tmp_path), limit=2, name="none").count() == 0
+    assert sessions.read_sessions(spark, str(tmp_path / "none"), limit=2).count() == 0
