@@ -20,7 +20,7 @@ from skein.functions.jsonx import extract_array, extract_object
 from skein.operators import candidates, gates, pairing, rendering, scoring, splits
 from skein.operators.ordering import with_ordinals
 from skein.plans import answers, flows, generate, judge
-from skein.shared import fresh_path
+from skein.shared import discard, fresh_path, written
 from skein.sources import datasets, sessions, skills, source_code
 from skein.sources.sessions import parse_history
 from skein.sources.skills import parse_skill
@@ -86,17 +86,43 @@ def w2_pair_concat(spark, sf_dir):
     return pairing.pair_all_responses(_table(spark, sf_dir, "conversations"))
 
 
+#: Rows from which a lot of turns is added to the stream by itself; smaller lots are added with the next ones.
+LOT_ROWS = 50_000
+#: Files that a batch of the stream takes.
+BATCH_FILES = 64
+
+
+def _lot_groups(counts: list[tuple[int, int]], rows: int) -> list[tuple[int, int]]:
+    """First and last of the lots that are added at a time, of (lot, rows) in order: large ones alone, small ones up to that many rows together."""
+    out, n = [], rows
+    for lot, count in counts:
+        if n + count > rows:
+            out.append((lot, lot))
+            n = 0
+        out[-1] = (out[-1][0], lot)
+        n += count
+    return out
+
+
 def _replayed(spark: SparkSession, sf_dir: str, every: bool) -> DataFrame:
-    """The conversations as a stream: written in lots of three turns, a minute a turn, and read as they were written."""
+    """The conversations as a stream: written in lots of three turns, a minute a turn, and read as they were written.
+
+    The turns are put in order of lots once, and lots of few rows share a file: what is read and how many files and batches there
+    are goes by the rows, not by the longest conversation. Files come in order; those of one lot in any. The driver gets a count for each lot.
+    """
     turns = _table(spark, sf_dir, "conversations").withColumn("ts", F.timestamp_seconds(86_400 + F.col("turn") * 60))  # Spark takes the time 0 for late
     folder, out = fresh_path(spark, "turns"), fresh_path(spark, "pairs")
-    last = turns.agg(F.max("turn")).first()[0] or 0
-    for lo in range(0, last + 1, 3):
-        turns.where(F.col("turn").between(lo, lo + 2)).write.mode("append").parquet(folder)
+    lots = written(turns.where("turn >= 0").withColumn("_lot", F.floor(F.col("turn") / 3)).repartitionByRange("_lot", "conv_id"), "lots")
+    counts = [(r["_lot"], r["count"]) for r in lots.groupBy("_lot").count().orderBy("_lot").collect()]
+    last = counts[-1][0] * 3 + 2 if counts else 0
+    for lo, hi in _lot_groups(counts, LOT_ROWS):
+        part = lots.where(F.col("_lot").between(lo, hi)).drop("_lot")
+        (part if lo == hi else part.coalesce(1)).write.mode("append").parquet(folder)
+    discard(lots)
     for day in (1, 2):  # later turns of another conversation, by which all others are over
         spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(day).cast("long").alias("turn"), F.lit("system").alias("role"), F.lit("").alias("text"), F.timestamp_seconds(F.lit((last + 1) * 60 + (day + 1) * 86_400)).alias("ts")).select(
             *[F.col(f.name).cast(f.dataType) for f in turns.schema]).write.mode("append").parquet(folder)
-    stream = pair_events(spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 64).parquet(folder), every=every)
+    stream = pair_events(spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", BATCH_FILES).parquet(folder), every=every)
     with state_store(spark):
         run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -11,14 +11,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from skein.functions.text import contains_secret, has_value, long_enough
 
 OUT = "conv_id long, turn long, task_input string, assistant_response string"
+STATE = "turn long, task string, answers string, newest long, turns array<long>, roles array<string>, texts array<string>, times array<long>"
+PAIR = Row("conv_id", "turn", "task_input", "assistant_response")
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -39,55 +40,55 @@ def state_store(spark: SparkSession) -> Iterator[None]:
 
 
 class Pairer(StatefulProcessor):
-    """State of a conversation: `waiting`, turns that the watermark has not passed; `open`, the last user message taken with its
-    answers so far and the time of the newest turn."""
+    """State of a conversation, as one value: the last user message taken with its answers so far, the time of the newest turn, and
+    by columns the turns that the watermark has not passed. Each call of the state store is a round trip from Python, and most of
+    the time goes into these, so a batch reads and writes a conversation once. It has one timer, which is set again when it has
+    expired and newer turns have come.
+    """
 
     def __init__(self, gap_ms: int, every: bool):
         self.gap_ms, self.every = gap_ms, every
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "turn long", "role string, text string, ms long")
-        self.open = handle.getValueState("open", "turn long, task string, answers string, newest long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        turn, task, answers, newest = self.open.get() if self.open.exists() else (None, None, None, -1)
-        latest = newest
-        for part in rows:
-            for r in part.itertuples():
-                ms = int(r.ts.value // 1_000_000)
-                self.waiting.updateValue((int(r.turn),), (r.role, r.text, ms))
-                latest = max(latest, ms)
-        if latest > newest:
-            if newest >= 0:
-                self.handle.deleteTimer(newest + self.gap_ms)
-            self.handle.registerTimer(latest + self.gap_ms)
-        yield from self._take(key, timerValues.getCurrentWatermarkInMs(), (turn, task, answers, latest), False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._take(key, None, self.open.get(), True)
-        self.waiting.clear()
-        self.open.clear()
-
-    def _take(self, key, upto: int | None, state, last: bool) -> Iterator[pd.DataFrame]:
-        """Takes the waiting turns up to a time (all without one) in order; last: the open message is given out too."""
-        turn, task, answers, newest = state
-        ready = sorted((k[0], v) for k, v in self.waiting.iterator() if upto is None or v[2] <= upto)
+        self.kept = handle.getValueState("kept", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        before = self.kept.get()
+        turn, task, answers, newest, *columns = before or (None, None, None, -1, [], [], [], [])
+        waiting = {at: rest for at, *rest in zip(*columns)}
+        for r in rows:
+            waiting[r.turn] = (r.role, r.text, r.ms)
+            newest = max(newest, r.ms)
+        if before is None:
+            self.handle.registerTimer(newest + self.gap_ms)
+        out, opened = self._take(key, (turn, task, answers), waiting, timerValues.getCurrentWatermarkInMs())
+        columns = [list(c) for c in zip(*((at, *rest) for at, rest in waiting.items()))] or [[], [], [], []]
+        self.kept.update((*opened, newest, *columns))
+        return iter(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        *opened, newest, turns, roles, texts, times = self.kept.get()
+        if newest + self.gap_ms >= timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(newest + self.gap_ms)
+            return iter([])
+        out, (turn, task, answers) = self._take(key, opened, {at: rest for at, *rest in zip(turns, roles, texts, times)}, None)
+        self.kept.clear()
+        return iter(out if turn is None else [*out, PAIR(key[0], turn, task, answers)])
+
+    def _take(self, key, opened, waiting: dict, upto: int | None) -> tuple[list[Row], tuple]:
+        """Takes the waiting turns up to a time (all without one) in order, out of `waiting`: pairs that are over, the open one."""
+        turn, task, answers = opened
         out = []
-        for at, (role, text, _) in ready:
-            self.waiting.removeKey((at,))
+        for at in sorted(t for t, v in waiting.items() if upto is None or v[2] <= upto):
+            role, text, _ = waiting.pop(at)
             if role == "user":
                 if turn is not None:
-                    out.append((key[0], turn, task, answers))
+                    out.append(PAIR(key[0], turn, task, answers))
                 turn, task, answers = at, text, None
             elif role == "assistant" and text and turn is not None and (self.every or answers is None):
                 answers = text if answers is None else f"{answers}\n{text}"
-        if last and turn is not None:
-            out.append((key[0], turn, task, answers))
-        if not last:
-            self.open.update((turn, task, answers, newest))
-        if out:
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "task_input", "assistant_response"])
+        return out, (turn, task, answers)
 
     def close(self) -> None:
         pass
@@ -102,8 +103,8 @@ def pair_events(turns: DataFrame, late: str = "10 minutes", gap_ms: int = 1_800_
     conversation is one key of state, taken in order by one task at a time; its state is the turns within `late` and one message.
     Queries are started inside state_store().
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", "ts").withWatermark("ts", late)
-    found = rows.groupBy("conv_id").transformWithStateInPandas(Pairer(gap_ms, every), OUT, "Append", "EventTime")
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text", "ts", F.unix_millis("ts").alias("ms")).withWatermark("ts", late)
+    found = rows.groupBy("conv_id").transformWithState(Pairer(gap_ms, every), OUT, "Append", "EventTime")
     answer = F.coalesce("assistant_response", F.lit(""))
     whole = has_value(F.col("task_input"), F.col("assistant_response")) if every else long_enough(F.col("task_input"))
     screened = found.where(whole & ~contains_secret(F.col("task_input")) & ~contains_secret(answer))

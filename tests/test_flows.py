@@ -6,13 +6,14 @@ import uuid
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from skein import queries
-from skein.operators import rendering
+from skein.operators import pairing, rendering
 from skein.plans import answers, flows, generate, judge
 from skein.streaming.events import pair_stream
-from skein.streaming.pairs import pair_events, state_store
+from skein.streaming.pairs import Pairer, pair_events, state_store
 
 
 def relevance_model(requests):
@@ -286,3 +287,70 @@ def test_pairs_by_event_time(spark, tmp_path):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
     assert got[True] == [(1, 0, "first question", "a\nb\nd"), (1, 5, "second question", "e"), (1, 20, "after the silence", "f"), (4, 0, "far ahead in time", "yes")]
     assert got[False] == [(1, 0, "first question", "a"), (1, 5, "second question", "e"), (1, 20, "after the silence", "f"), (3, 0, "never answered", ""), (4, 0, "far ahead in time", "yes")]
+
+
+@pytest.mark.parametrize("name", ["w1_replayed_stream", "w2_replayed_stream"])
+def test_replay_of_long_conversations(spark, tmp_path, monkeypatch, name):
+    """Files and batches go by the rows, not by the longest conversation; no turn is late, whichever files a batch takes."""
+    roles = ["user", "assistant", "assistant", "user", "assistant"]
+    rows = [(c, t, roles[(t + c) % 5], f"turn {t} of conversation {c}") for c in range(40) for t in range(3 + c % 4)]
+    rows += [(100, t, roles[t % 5], f"turn {t} of the long conversation") for t in range(200)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4).write.parquet(str(tmp_path / "conversations.parquet"))
+    made = {}
+    monkeypatch.setattr(queries, "fresh_path", lambda spark, what: made.setdefault(what, str(tmp_path / what)))
+    monkeypatch.setattr(queries, "LOT_ROWS", 50, raising=False)
+    monkeypatch.setattr(queries, "BATCH_FILES", 1, raising=False)
+    got = queries.QUERIES[name](spark, str(tmp_path))
+    assert len(list(Path(made["turns"]).glob("part-*"))) <= 20  # 67 lots
+    pair = pairing.pair_first_response if name.startswith("w1") else pairing.pair_all_responses
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pair(spark.read.parquet(str(tmp_path / "conversations.parquet"))).collect()))
+
+
+def test_groups_of_lots():
+    assert queries._lot_groups([], 10) == []
+    assert queries._lot_groups([(0, 25), (1, 9), (2, 1), (3, 1), (7, 30), (8, 10), (9, 1)], 10) == [(0, 0), (1, 2), (3, 3), (7, 7), (8, 8), (9, 9)]
+    assert queries._lot_groups([(k, 1) for k in range(100)], 50) == [(0, 49), (50, 99)]
+
+
+def test_calls_of_the_state_store():
+    """A batch reads and writes a conversation once, however many turns it has; its one timer is set again when it expires early."""
+
+    class Store:
+        def __init__(self):
+            self.calls, self.value = [], None
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.calls.append("clear")
+            self.value = None
+
+        def registerTimer(self, ms):
+            self.calls.append(ms)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    rows = lambda *turns: iter([Row(turn=t, role="assistant" if t % 2 else "user", text=f"text {t}", ms=t * 1000) for t in turns])
+    store, pairer = Store(), Pairer(10_000, False)
+    pairer.init(store)
+    steps = [
+        (lambda: pairer.handleInputRows((7,), rows(3, 1, 0, 2), At(0)), ["get", "update", 13_000], []),
+        (lambda: pairer.handleInputRows((7,), rows(5, 4), At(3000)), ["get", "update"], [(7, 0, "text 0", "text 1")]),
+        (lambda: pairer.handleExpiredTimer((7,), At(14_000), None), ["get", 15_000], []),
+        (lambda: pairer.handleExpiredTimer((7,), At(16_000), None), ["get", "clear"], [(7, 2, "text 2", "text 3"), (7, 4, "text 4", "text 5")]),
+        (lambda: pairer.handleInputRows((7,), rows(40), At(16_000)), ["get", "update", 50_000], []),
+    ]
+    for step, calls, out in steps:
+        store.calls = []
+        assert [tuple(r) for r in step()] == out and sorted(map(str, store.calls)) == sorted(map(str, calls))
